@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe_codec, chat_format, entropy_mix, rendezvous, token_counts
+from tallyspark.llm import bpe_codec, chat_format, entropy_mix, rendezvous, token_counts, winnowing
 
 SHARDS = 8
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", entropy_mix.n_words(F.col("text")).alias("size"))
@@ -56,6 +60,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_winnowing": op3_winnowing,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_token_counts": op8_token_counts,
