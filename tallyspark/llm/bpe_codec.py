@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.common import slices, utf8
 
@@ -215,7 +216,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     if ids in keep:
         raise ValueError(f"the input already has a column {ids}")
-    schema = docs.select(*keep).schema.add(ids, "array<int>", False)
+    schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType(), False), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

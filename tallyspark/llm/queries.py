@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe_codec, chat_format, entropy_mix, rendezvous, token_counts, winnowing
+from tallyspark.llm import bpe_codec, chat_format, entropy_mix, mixture_langid, rendezvous, token_counts, winnowing
 
 SHARDS = 8
 
@@ -18,6 +18,13 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = mixture_langid.fit(docs.where(~mixture_langid.held_out(F.col("doc_id"))))
+    return mixture_langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select(
+        "doc_id", mixture_langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", entropy_mix.n_words(F.col("text")).alias("size"))
@@ -61,6 +68,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_winnowing": op3_winnowing,
+        "op5_mixture_langid": op5_mixture_langid,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_token_counts": op8_token_counts,
