@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def unpack(payloads: pa.ChunkedArray | pa.Array, order: list[str] | None = None)
     if not tables:
         return None
     out = pa.concat_tables(tables).combine_chunks()
-    return out.take(pa.compute.sort_indices(out, [(c, "ascending") for c in order])) if order else out
+    return out.take(pc.sort_indices(out, [(c, "ascending") for c in order])) if order else out
 
 
 def packed(df: DataFrame, key: str) -> DataFrame:
@@ -226,3 +227,86 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 256) -> Ite
     it = iter(rows)
     while part := list(itertools.islice(it, size)):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+def corpus_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(block, payload) rows of the table's (doc_id, text), and the number of blocks."""
+    blocks = block_count(docs, text, block_bytes)
+    rows = docs.select(block_of(key, blocks), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return packed(rows, "block"), blocks
+
+
+def block_words(table: pa.Table, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a block's texts, in slices that bound memory: document index, hash, and bounds of each document's words."""
+    raw, offsets = utf8(table.column("text"))
+    docs, hashes = [], []
+    for i, j in slices(offsets):
+        _, _, d, h = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
+        docs.append(d + i)
+        hashes.append(h)
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    return doc, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.searchsorted(doc, np.arange(len(offsets)))
+
+
+#: What a block sends a shard (values in ascending order, one entry each, with how often the block has it, 255 at most)
+#: and what comes back (one byte for each entry, in the same order).
+SENT, ANSWER = "shard int, block int, sent binary, times binary", "block int, shard int, answer binary"
+
+
+def sent_rows(block: int, values: np.ndarray, times: np.ndarray, shards: int, coded) -> pa.RecordBatch:
+    """Distinct ascending values as one row a shard; ``coded(values, shard)`` gives the bytes."""
+    width = (1 << 64) // shards + 1
+    marks = np.array([i * width for i in range(1, shards)], np.uint64)
+    at = np.concatenate([[0], np.searchsorted(values, marks), [len(values)]]).astype(np.int64)
+    full = [s for s in range(shards) if at[s] < at[s + 1]]
+    times = np.minimum(times, 255).astype(np.uint8)
+    return pa.RecordBatch.from_arrays([
+        pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int32()),
+        pa.array([coded(values[at[s] : at[s + 1]], s) for s in full], pa.binary()), pa.array([times[at[s] : at[s + 1]].tobytes() for s in full], pa.binary())],
+        ["shard", "block", "sent", "times"])
+
+
+def count_in_shards(sent: DataFrame, decode) -> DataFrame:
+    """Answers to every block: the class of each value's count over all blocks (0: once; c: up to 2^c times, 63 at most).
+
+    A shard gets one row a block, whatever the values' frequencies; counts of a block stop at 255 there, which keeps
+    the classes comparable for all blocks."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        values = [decode(x.as_buffer()) for x in t.column("sent")]
+        times = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("times")]
+        _, inverse = np.unique(np.concatenate(values), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(times))
+        level = np.minimum(np.ceil(np.log2(total)), 63).astype(np.uint8)[inverse]
+        cuts = np.cumsum([len(v) for v in values])[:-1]
+        answers = [a.tobytes() for a in np.split(level, cuts)]
+        yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks(), pa.array([key[0].as_py()] * len(answers), pa.int32()), pa.array(answers, pa.binary())], ["block", "shard", "answer"])
+
+    return sent.groupBy("shard").applyInArrow(run, ANSWER)
+
+
+def joined_answers(replies: pa.Table) -> np.ndarray:
+    """A block's answers in the order of its values: shards are ascending ranges."""
+    order = np.argsort(replies.column("shard").to_numpy(), kind="stable")
+    rows = replies.column("answer").take(pa.array(order))
+    return np.frombuffer(b"".join(x.as_py() for x in rows), np.uint8)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of the edges (a, b): the smallest node that paths reach.
+
+    Labels spread along edges and through the labels themselves, each round written to the shared folder; rounds grow
+    with the logarithm of the longest path in practice."""
+    edges = edges.where("a <> b")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    labels = written(labels)
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
+        hop = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        new = written(spread.join(hop, F.col("label") == F.col("via")).select("node", F.least("label", "further").alias("label"), "was"))
+        labels = new.select("node", "label")
+        if new.where("label <> was").isEmpty():
+            return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe_codec, chat_format, entropy_mix, mixture_langid, rendezvous, token_counts, winnowing
+from tallyspark.llm import bpe_codec, chat_format, entropy_mix, mixture_langid, rendezvous, rlz_dedup, token_counts, winnowing
 
 SHARDS = 8
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = rlz_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_rlz_dedup": op1_rlz_dedup,
         "op3_winnowing": op3_winnowing,
         "op5_mixture_langid": op5_mixture_langid,
         "op6_entropy_mix": op6_entropy_mix,

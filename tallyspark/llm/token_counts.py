@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     mark = np.frombuffer(_MARK.encode(), np.uint8)
     raw, offsets = utf8(column)
     if (raw == mark[0]).any() and _MARK.encode() in raw.tobytes():  # the mark in a text is a space to the model
-        raw, offsets = utf8(pa.compute.replace_substring(column.fill_null(""), _MARK, " "))
+        raw, offsets = utf8(pc.replace_substring(column.fill_null(""), _MARK, " "))
     for i, j in slices(offsets):
         yield raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
@@ -179,7 +180,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
                 view = raw.tobytes()
                 found[miss] = worker.counts([b" " * (m - 1) + view[i:j] for i, j, m in zip(starts[miss].tolist(), ends[miss].tolist(), marks[miss].tolist(), strict=True)])
                 totals.append(np.bincount(docs_at, found, len(offsets) - 1).astype(np.int64))
-            sizes = pa.compute.coalesce(pa.compute.binary_length(b.column(text)), 0).cast(pa.int64())
+            sizes = pc.coalesce(pc.binary_length(b.column(text)), 0).cast(pa.int64())
             total = np.concatenate(totals) if totals else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), sizes, pa.array(total)], [*keep, "n_bytes", "n_tokens"])
 
