@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe_codec, chat_format, entropy_mix, mixture_langid, rendezvous, rlz_dedup, token_counts, winnowing
+from tallyspark.llm import bpe_codec, chat_format, entropy_mix, mixture_langid, rendezvous, rlz_dedup, signature_tree, token_counts, winnowing
 
 SHARDS = 8
 
@@ -23,6 +23,10 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op4_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = mixture_langid.fit(docs.where(~mixture_langid.held_out(F.col("doc_id"))))
@@ -74,6 +78,7 @@ def queries() -> dict:
     return {
         "op1_rlz_dedup": op1_rlz_dedup,
         "op3_winnowing": op3_winnowing,
+        "op4_signature_tree": op4_signature_tree,
         "op5_mixture_langid": op5_mixture_langid,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_bpe_codec": op7_bpe_codec,
