@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe_codec, chat_format, entropy_mix, mixture_langid, rendezvous, rlz_dedup, signature_tree, token_counts, winnowing
+from tallyspark.llm import bpe_codec, chat_format, entropy_mix, flac_media, mixture_langid, rendezvous, rlz_dedup, signature_tree, token_counts, winnowing
 
 SHARDS = 8
 
@@ -19,6 +19,11 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = flac_media.to_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return flac_media.read_media(stored).drop("blocks")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_rlz_dedup": op1_rlz_dedup,
+        "op2_flac_media": op2_flac_media,
         "op3_winnowing": op3_winnowing,
         "op4_signature_tree": op4_signature_tree,
         "op5_mixture_langid": op5_mixture_langid,
