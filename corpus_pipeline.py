@@ -1,8 +1,71 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: language ID, near copies, repeated passages, mixing, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
+``documents``.  ``run`` writes every stage's result as Parquet in the cluster's shared folder and reads it back, so that a
+lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import bpe_codec, entropy_mix, mixture_langid, rlz_dedup, signature_tree
+from tallyspark.llm.common import written
+
+#: A document whose largest language has less than this share of its words is rejected, as is one without letters.
+MIN_SHARE = 0.5
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language: ``lang`` becomes the predicted one.  Null and empty texts and texts without letters go."""
+    model = mixture_langid.fit(docs.where(~mixture_langid.held_out(F.col("doc_id"))))
+    found = mixture_langid.identify(docs, model, keep=docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies."""
+    gone = signature_tree.near_copies(docs).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 35 words or more that occur elsewhere; a text without any keeps its white space, and one
+    of which nothing is left goes."""
+    done = rlz_dedup.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
+    out = docs.join(done, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("text", F.coalesce("kept", "text"))
+    return out.where("kept is null or kept <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix to the sources' target weights takes it (0 to 2 times)."""
+    return entropy_mix.mix_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the token ids of every text, checked by their digest after decoding."""
+    import public_tokenizers
+
+    return bpe_codec.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: Most stages are no SQL; the pipeline is tested against brute force on small tables.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
