@@ -53,10 +53,10 @@ VIEWS: dict[str, str] = {
           CASE WHEN o_orderkey % 4 = 2 THEN cast(o_totalprice * 2 as decimal(12, 2)) END AS balance,
           CASE o_orderkey % 12 WHEN 0 THEN 'PAYMENT RECEIVED - thank you' WHEN 1 THEN 'Annual fee reversal' WHEN 2 THEN 'Refund/credit 9876543210'
             WHEN 3 THEN 'spent on your credit card' WHEN 4 THEN 'zomato order' WHEN 5 THEN 'ZERODHA broking' WHEN 6 THEN 'CC PAYMENT bbps' ELSE NULL END AS raw_description,
-          CASE (o_orderkey * 13 + o_custkey) % 20 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(9) WHEN 3 THEN 'unknown' WHEN 4 THEN 'crypto'
+          CASE WHEN o_orderkey % 3 = 0 AND ((o_orderkey div 3) % 2200) % 10 = 0 THEN 'self_transfer' ELSE CASE (o_orderkey * 13 + o_custkey) % 20 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(9) WHEN 3 THEN 'unknown' WHEN 4 THEN 'crypto'
             WHEN 5 THEN 'salary' WHEN 6 THEN 'interest' WHEN 7 THEN 'groceries' WHEN 8 THEN 'dining' WHEN 9 THEN 'refund' WHEN 10 THEN 'cashback_rewards'
             WHEN 11 THEN 'investment' WHEN 12 THEN 'investment_redemption' WHEN 13 THEN 'self_transfer' WHEN 14 THEN 'credit_card_payment'
-            WHEN 15 THEN 'repayment' WHEN 16 THEN 'family' WHEN 17 THEN 'rent' WHEN 18 THEN 'fees_charges' ELSE 'misc' END AS category,
+            WHEN 15 THEN 'repayment' WHEN 16 THEN 'family' WHEN 17 THEN 'rent' WHEN 18 THEN 'fees_charges' ELSE 'misc' END END AS category,
           CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'rule' WHEN 2 THEN 'llm' WHEN 3 THEN 'pending_llm' ELSE 'manual' END AS category_method,
           CASE o_orderkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'sms' ELSE 'statement' END AS source,
           cast(o_orderdate as timestamp) AS created_at
@@ -66,7 +66,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN transaction_time_s IS NULL OR id % 35 = 0 THEN NULL
             ELSE (transaction_time_s + CASE id % 4 WHEN 0 THEN 7 WHEN 1 THEN 540 WHEN 2 THEN 660 ELSE 43200 END) % 86400 END AS transaction_time_s,
           id % 20 = 10 AS received_time, CASE WHEN id % 3 = 0 THEN counterparty WHEN id % 3 = 1 THEN 'payroll' END AS counterparty,
-          account_mask, CASE WHEN id % 25 = 0 THEN NULL ELSE reference_number END AS reference_number,
+          CASE WHEN id % 6 = 0 THEN 'XXXX1111' ELSE account_mask END AS account_mask, CASE WHEN id % 25 = 0 THEN NULL ELSE reference_number END AS reference_number,
           CASE WHEN id % 8 = 2 THEN balance + 5 ELSE balance END AS balance, id % 2 = 0 AS by_email
         FROM {transactions} WHERE id % 5 = 0""",
     "balance_snapshots": """
