@@ -141,8 +141,6 @@ class BpeCodec:
 
     def learn(self, pre_tokens: set[str]) -> None:
         """Encodes new pre-tokens into the cache: greedy by one pass of the automaton, checked pair by pair."""
-        if len(self.cache) + len(pre_tokens) > self.cache_size:
-            self.cache.clear()
         todo = list(pre_tokens)
         raws = [t.encode("utf-8").decode("latin-1") for t in todo]
         for i in range(0, len(todo), 4096):
@@ -178,14 +176,11 @@ class BpeCodec:
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
         cache = self.cache
-        new = {p for s in split for p in s if p not in cache and p not in self.specials}
-        if new:
-            kept = len(cache)
+        if len(cache) > self.cache_size:  # between batches, so that a batch finds all of its own
+            cache.clear()
+        cache |= {s: (i,) for s, i in self.specials.items()}
+        if new := {p for s in split for p in s if p not in cache}:
             self.learn(new)
-            if len(cache) < kept + len(new):  # it was emptied
-                self.learn({p for s in split for p in s if p not in cache and p not in self.specials})
-        if self.specials:
-            cache |= {s: (i,) for s, i in self.specials.items()}
         return [list(chain.from_iterable(map(cache.__getitem__, s))) for s in split]
 
     def decode_flat(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -95,7 +95,7 @@ def packed(df: DataFrame, key: str) -> DataFrame:
     return df.mapInArrow(pack, "key int, payload binary").withColumnRenamed("key", key)
 
 
-def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``most`` bytes together (a longer document alone)."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -134,7 +134,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 .. n of an odd base and of its inverse modulo 2^64, kept per worker for usual sizes."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = -(-(n + 1) // (1 << 16)) << 16
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.empty(size, np.uint64)
@@ -145,7 +145,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 done += step
             out.append(p)
         have = (out[0], out[1])
-        if size <= 4 << 20:
+        if size <= 2 << 20:
             _powers[base] = have
     return have
 

@@ -18,7 +18,7 @@ entry a block.
 
 Defined results: a document without words has an empty set and no links; with fewer words than a shingle, the whole
 sequence is its one shingle; null text counts as empty; rows that share a doc_id are one node, whose links add up (a null
-doc_id is one such node); an empty table gives an empty table.  Only doc_id and text are read.  Shingles are compared by
+doc_id is one such node, and the last to name a component); an empty table gives an empty table.  Only doc_id and text are read.  Shingles are compared by
 64-bit hashes.
 """
 
@@ -35,7 +35,7 @@ SHINGLE, THRESHOLD = 5, 80
 #: Bits of a signature, documents of a leaf, shingles of a family's chunk.
 BITS, LEAF, CHUNK_TOKENS = 2048, 8, 1 << 20
 #: Stands for a null doc_id among nodes.
-NO_ID = -(1 << 63)
+NO_ID = (1 << 63) - 1
 
 
 def shingle_sets(table: pa.Table, width: int = SHINGLE) -> list[np.ndarray]:
@@ -196,7 +196,7 @@ def prepare(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -
                 continue
             first[key] = i
             # the set itself is a token too, by which equal sets meet
-            whole = mix(np.array([n], np.uint64) + np.bitwise_xor.reduce(mix(s)) * np.uint64(3))
+            whole = mix(np.array([n], np.uint64) + np.bitwise_xor.reduce(mix(s), keepdims=True) * np.uint64(3))
             order = np.lexsort((s, own))[: n - -(-threshold * n // 100) + 1]
             same.append(i), shared.append(s[own > 0].tobytes()), prefix.append(np.concatenate([s[order][own[order] > 0], whole]).view(np.int64).tolist())
         return pa.table([pa.array(ids, pa.int64()), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
@@ -262,5 +262,5 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOL
     found = components(family_links(prepared, threshold)).select(F.col("node").alias("_first"), "label")
     own = F.coalesce("same_as", "node")
     out = prepared.select("doc_id", "n_shingles", own.alias("_own")).join(found, F.col("_own") == F.col("_first"), "left")
-    label = F.coalesce("label", "_own")
+    label = F.when(F.col("n_shingles") == 0, F.coalesce("doc_id", F.lit(NO_ID))).otherwise(F.coalesce("label", "_own"))
     return out.select("doc_id", "n_shingles", F.when(label != NO_ID, label).alias("component_id"))

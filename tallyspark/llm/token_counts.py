@@ -50,7 +50,8 @@ class PieceCounter:
         inside = any(_MARK in p.piece.lstrip(_MARK) for p in spec.pieces)
         if norm.name != "identity" or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not norm.escape_whitespaces or inside or spec.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError(f"pre-tokens of {path} do not add up")
-        self.lone = len(self.model.encode("a")) and (1 if self.model.piece_to_id(_MARK) != self.model.unk_id() else 3)
+        # a space mark alone: the model gives nothing for an empty text, so it cannot be asked
+        self.lone = 1 if self.model.piece_to_id(_MARK) != self.model.unk_id() else len(_MARK.encode())
         self.cache: dict[bytes, int] = {}
         self.size = cache
 
@@ -151,7 +152,7 @@ def frequent_pre_tokens(docs: DataFrame, text: str = "text", top: int = TOP) ->
         best = seen.most_common(top)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.binary()), pa.array([v for _, v in best], pa.int64())], ["piece", "n"])
 
-    sums = docs.select(text).mapInArrow(summary, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    sums = docs.select(text).mapInArrow(summary, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).coalesce(8)
     return [bytes(r[0]) for r in sums.orderBy(F.desc("n"), "piece").limit(top).collect()]
 
 
