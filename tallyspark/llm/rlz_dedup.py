@@ -1,16 +1,18 @@
 """Substring dedup by Relative Lempel-Ziv parsing over words.
 
-The corpus is its own reference, cut into blocks.  A factor is a stretch of a document that reads the same somewhere else
-in the reference; only factors of at least ``width`` words matter, so a factor starts where the next ``width`` words occur
-elsewhere, is extended greedily word by word as long as its last ``width`` words do, and where it ends the windows over
-its boundary are looked up as well, so that a passage that begins inside one factor and ends in another is found whole.
-The words of these factors are the duplicate spans.
+The corpus is its own reference, cut into blocks; a word's address in it is (block, number within the block).  A factor is
+a stretch of a document with the address of another place that reads the same.  Only factors of at least ``width`` words
+matter: one starts where the next ``width`` words occur at an address, and is extended greedily word by word as long as
+the reference goes on in the same way from there.  Where it ends, the windows over the boundary are looked up again, each
+against all blocks, and the next factor starts with the first of them that occurs at another address; so a passage that
+begins inside one factor and ends in another is found whole.  The words of all factors are the duplicate spans.
 
 Index: in two rounds, every block is looked up against all others.
 
 1. Anchors: of every window of ``width`` words, the smallest ``K``-gram hash.  Equal windows have equal anchors, so only
    windows behind an anchor that occurs twice (about 2 / (width - K + 2) anchors a word are sent) can be duplicates.
-2. Windows behind shared anchors: the hash of all their words, counted over the corpus.
+2. Windows behind shared anchors: the hash of all their words and their address; the answer is the smallest address of
+   an equal window elsewhere.
 
 Each round a block sends a shard one row with its distinct values and gets one answer a value; a passage in a third of
 all documents is one entry a block.  No block, shard or group of copies needs more than its share of memory.
@@ -23,6 +25,7 @@ Columns other than doc_id and text are left out.  Windows are compared by 64-bit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SENT, block_words, corpus_blocks, count_in_shards, grams, joined_answers, sent_rows, sliding_min, unpack, utf8
+from tallyspark.llm.common import ANSWER, SENT, block_words, corpus_blocks, count_in_shards, grams, joined_answers, sent_rows, sliding_min, unpack, utf8
 
 WIDTH, K = 35, 12
 _whole = lambda v, _: v.tobytes()
@@ -70,18 +73,56 @@ class Parse:
     def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.unique(self.anchors, return_inverse=True, return_counts=True)
 
-    def candidates(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows under shared anchors: their first words; distinct hashes, which of them each window has, and counts."""
+    def candidates(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows under shared anchors: their first words; distinct hashes, the first window that has each, which of them
+        each window has, and counts."""
         _, inverse, _ = self.distinct_anchors()
         at = self.windows[(answers > 0)[inverse][self.run]]
-        return (at, *np.unique(grams(self.hashes, self.width)[at], return_inverse=True, return_counts=True))
+        return (at, *np.unique(grams(self.hashes, self.width)[at], return_index=True, return_inverse=True, return_counts=True))
 
-    def covered(self, starts: np.ndarray) -> np.ndarray:
-        """Words inside the windows: the greedy factors with all windows over their boundaries."""
-        step = np.zeros(len(self.hashes) + 1, np.int32)
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + self.width, -1)
-        return np.cumsum(step[:-1]) > 0
+    def factors(self, at: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy factors (first word, end, source block, source word) from ascending windows found elsewhere and the
+        addresses they were found at: a factor goes on while both sides move by one word in the same document."""
+        if not len(at):
+            return at, at, block, place
+        goes_on = (at[1:] == at[:-1] + 1) & (self.doc[at[1:]] == self.doc[at[:-1]]) & (block[1:] == block[:-1]) & (place[1:] == place[:-1] + 1)
+        first, last = np.flatnonzero(np.r_[True, ~goes_on]), np.flatnonzero(np.r_[~goes_on, True])
+        return at[first], at[last] + self.width, block[first], place[first]
+
+
+_SENT = SENT + ", places binary"
+
+
+def find_sources(sent: DataFrame) -> DataFrame:
+    """Answers to every block: nine bytes a value, whether it occurs elsewhere and the smallest address where (block, word)."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        values = [_read(x.as_buffer()) for x in t.column("sent")]
+        sizes = [len(v) for v in values]
+        value = np.concatenate(values)
+        times = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("times")])
+        place = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("places")])
+        block = np.repeat(t.column("block").to_numpy().astype(np.uint32), sizes)
+        order = np.lexsort((place, block, value))
+        ordered = value[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        run_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+        several = np.diff(np.r_[first, len(order)]) > 1
+        # the first entry of a value points to the second one, all others to the first
+        rank = np.arange(len(order)) - first[run_of]
+        source = order[first[run_of] + ((rank == 0) & several[run_of])]
+        out = np.zeros(len(order), _ADDRESS)
+        out["hit"][order] = several[run_of] | (times[order] > 1)
+        out["block"][order], out["place"][order] = block[source], place[source]
+        out[out["hit"] == 0] = np.zeros(1, out.dtype)
+        answers = [a.tobytes() for a in np.split(out, np.cumsum(sizes)[:-1])]
+        yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks(), pa.array([key[0].as_py()] * len(answers), pa.int32()), pa.array(answers, pa.binary())], ["block", "shard", "answer"])
+
+    return sent.groupBy("shard").applyInArrow(run, ANSWER)
+
+
+_ADDRESS = np.dtype([("hit", "u1"), ("block", "<u4"), ("place", "<u4")])
 
 
 def _block(table: pa.Table) -> tuple[int, pa.Table]:
@@ -89,7 +130,8 @@ def _block(table: pa.Table) -> tuple[int, pa.Table]:
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (array of first word and end word of every removed stretch), kept (text)."""
+    """doc_id, n_words, n_removed, spans (first word and end of every removed stretch), factors (the same before merging, each
+    with the address of its source), kept (text)."""
     blocks, shards = corpus_blocks(docs)
 
     def send_anchors(table: pa.Table) -> pa.Table:
@@ -99,39 +141,47 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFra
 
     def send_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         block, rows = _block(table)
-        _, values, _, times = Parse.of(rows, width, k).candidates(joined_answers(replies))
-        return pa.Table.from_batches([sent_rows(block, values, times, shards, _whole)])
+        at, values, first, _, times = Parse.of(rows, width, k).candidates(joined_answers(replies))
+        sent = sent_rows(block, values, times, shards, _whole)
+        sizes = np.array([len(x.as_buffer()) // 8 for x in sent.column("sent")], np.int64)
+        places = [p.tobytes() for p in np.split(at[first].astype(np.uint32), np.cumsum(sizes)[:-1])] if len(sizes) else []
+        return pa.Table.from_batches([sent]).append_column("places", pa.array(places, pa.binary()))
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         _, rows = _block(table)
         parse = Parse.of(rows, width, k)
         round_two = pc.greater_equal(replies.column("shard"), shards)
-        at, values, inverse, _ = parse.candidates(joined_answers(replies.filter(pc.invert(round_two))))
-        second = joined_answers(replies.filter(round_two))
-        gone = parse.covered(at[(second > 0)[inverse]])
+        at, _, _, inverse, _ = parse.candidates(joined_answers(replies.filter(pc.invert(round_two))))
+        found = joined_answers(replies.filter(round_two)).view(_ADDRESS)[inverse]
+        hit = found["hit"] > 0
+        start, end, block, place = parse.factors(at[hit], found["block"][hit].astype(np.int64), found["place"][hit].astype(np.int64))
+        cuts = np.searchsorted(start, parse.bounds)
         raw, offsets = utf8(rows.column("text"))
         raw = raw.tobytes()
-        n_removed, spans, kept = [], [], []
+        n_removed, spans, factors, kept = [], [], [], []
         for i in range(rows.num_rows):
-            a, b = parse.bounds[i], parse.bounds[i + 1]
-            own, mask = raw[offsets[i] : offsets[i + 1]].split(), gone[a:b]
-            if mask.any():
-                edge = np.flatnonzero(np.diff(np.r_[False, mask, False]))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
-                parts, last = [], 0
-                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    parts += own[last:s]
-                    last = e
-                own = parts + own[last:]
-            else:
-                spans.append([])
-            n_removed.append(int(mask.sum()))
-            kept.append(b" ".join(own))
+            a, b = int(parse.bounds[i]), int(parse.bounds[i + 1])
+            own, f = raw[offsets[i] : offsets[i + 1]].split(), slice(cuts[i], cuts[i + 1])
+            parts, merged, last = [], [], 0
+            for p, q in zip((start[f] - a).tolist(), (end[f] - a).tolist(), strict=True):
+                if merged and p <= merged[-1]["end"]:
+                    merged[-1]["end"] = q
+                else:
+                    merged.append({"start": p, "end": q})
+            for m in merged:
+                parts += own[last : m["start"]]
+                last = m["end"]
+            factors.append([{"start": p, "end": q, "source_block": r, "source_word": w} for p, q, r, w in zip((start[f] - a).tolist(), (end[f] - a).tolist(), block[f].tolist(), place[f].tolist(), strict=True)])
+            spans.append(merged)
+            n_removed.append(sum(m["end"] - m["start"] for m in merged))
+            kept.append(b" ".join(parts + own[last:]))
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table([rows.column("doc_id"), pa.array(np.diff(parse.bounds), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+        factor = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_block", pa.int32()), ("source_word", pa.int32())]))
+        return pa.table([rows.column("doc_id"), pa.array(np.diff(parse.bounds), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(factors, factor), pa.array(kept, pa.binary()).cast(pa.string())],
+                        ["doc_id", "n_words", "n_removed", "spans", "factors", "kept"])
 
     first = count_in_shards(blocks.groupBy("block").applyInArrow(send_anchors, SENT), _read)
-    second = count_in_shards(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_windows, SENT), _read)
+    second = find_sources(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_windows, _SENT))
     replies = first.unionByName(second.withColumn("shard", F.col("shard") + shards))
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        remove, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
+        remove, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, factors array<struct<start:int,end:int,source_block:int,source_word:int>>, kept string")

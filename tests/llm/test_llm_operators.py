@@ -122,6 +122,18 @@ def test_dedup_over_many_blocks_and_shards(spark, sf, monkeypatch):
     assert sorted(got) == sorted(brute_dedup(documents(spark, sf)))
     for r in done.where("n_removed > 0").collect():
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
+        assert all(f.end - f.start >= rlz_dedup.WIDTH for f in r.factors)
+
+
+def test_factors_read_the_same_at_their_source(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    reference = [w for _, t in sorted((r.doc_id, r.text or "") for r in docs.collect()) for w in words(t)]  # one block
+    n = 0
+    for r in rlz_dedup.dedup_substrings(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        for f in r.factors:
+            assert words(r.text)[f.start : f.end] == reference[f.source_word : f.source_word + f.end - f.start]
+            n += 1
+    assert n > 10
 
 
 @pytest.mark.parametrize("where", ["folder", "sf"])
