@@ -66,29 +66,22 @@ def extra(rows: DataFrame, txns: DataFrame) -> DataFrame:
 
 def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
     """Statement rows assigned to stored rows: unique references first, then offsets 0, -1, +1 where one candidate is left;
-    a row whose candidate several rows reach is ambiguous.  Groups hold the candidates of one account only."""
+    a row whose candidate several rows reach is ambiguous.  Tasks hold the candidate pairs of a share of the accounts."""
     schema = "stmt_idx long, id long, status string"
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, used = {}, set()
-        pairs = pdf.sort_values(["stmt_idx", "id"])
-        by_ref = pairs[pairs.same_reference]
-        n_ref, n_txn = by_ref.groupby("stmt_idx").id.nunique(), by_ref.groupby("id").stmt_idx.nunique()
-        for s, i in zip(by_ref.stmt_idx, by_ref.id):
-            if n_ref[s] == 1 and n_txn[i] == 1:
-                out[s] = (i, "reference")
-                used.add(i)
-        for offset in (0, -1, 1):
-            open_ = pairs[(pairs.offset == offset) & ~pairs.stmt_idx.isin(list(out)) & ~pairs.id.isin(used)]
-            reach = open_.groupby("id").stmt_idx.nunique()
-            for s, own in open_.groupby("stmt_idx"):
-                if len(own) == 1 and reach[own.id.iloc[0]] == 1:
-                    out[s] = (own.id.iloc[0], f"date{offset:+d}" if offset else "date")
-                    used.add(own.id.iloc[0])
-        rest = [s for s in pairs.stmt_idx.unique() if s not in out]
-        return pd.DataFrame([(s, i, how) for s, (i, how) in out.items()] + [(s, None, "ambiguous") for s in rest], columns=["stmt_idx", "id", "status"]).astype({"id": "Int64"})
-
-    found = candidates(rows, txns).groupBy("account_id").applyInPandas(assign, schema)
+        pairs = pdf.drop_duplicates(["stmt_idx", "id"]).sort_values(["stmt_idx", "id"])
+        every, done = pairs.stmt_idx.unique(), []
+        for status, pick in (("reference", pairs.same_reference), ("date", pairs.offset == 0), ("date-1", pairs.offset == -1), ("date+1", pairs.offset == 1)):
+            open_ = pairs[pick & ~pairs.stmt_idx.isin([s for d in done for s in d.stmt_idx]) & ~pairs.id.isin([i for d in done for i in d.id])]
+            sole = (open_.groupby("stmt_idx").id.transform("size") == 1) & (open_.groupby("id").stmt_idx.transform("size") == 1)
+            done.append(open_[sole][["stmt_idx", "id"]].assign(status=status))
+        found = pd.concat(done)
+        rest = pd.DataFrame({"stmt_idx": [s for s in every if s not in set(found.stmt_idx)]}).assign(id=None, status="ambiguous")
+        return pd.concat([found.astype({"id": "Int64"}), rest.astype({"id": "Int64", "stmt_idx": "int64"})])
+
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = candidates(rows, txns).withColumn("share", F.pmod(F.xxhash64("account_id"), F.lit(shares))).groupBy("share").applyInPandas(assign, schema)
     return rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.lit("missing")).alias("status"))
 
 

@@ -589,5 +589,10 @@ def oracle_sql() -> dict[str, str]:
     out = {name: oracle(sql) for name, sql in _SQL.items()}
     # the series reads its live snapshots by name
     with_live = oracle(f"SELECT 1 FROM ({_ACTIVE})").rsplit(" SELECT 1 FROM", 1)[0]
+    with_state = oracle(f"SELECT 1 FROM ({reads._STATE}), transactions").rsplit(" SELECT 1 FROM", 1)[0]
+    out["card_payment_accounts"] = f"{with_state}, state AS ({reads._STATE}) {_SQL['card_payment_accounts']}"
     out["networth_trend"] = f"{with_live}, live AS ({_ACTIVE}) {_SQL['networth_trend']}"
     return out
+
+
+from tallyspark.plans import reads  # noqa: E402, F401  (registers its queries here)

@@ -72,3 +72,32 @@ def test_canonical_lots_take_the_largest_multiplicity(spark):
     raw = spark.createDataFrame([lot(1, 1), lot(2, 1), lot(3, 2)], schema)
     got = sorted((r.occurrence, r.uploads, r.first_upload) for r in investments.canonical_lots(investments.classify(raw)).collect())
     assert got == [(0, 2, 1), (1, 1, 1)]
+
+
+def test_formats(spark):
+    from tallyspark.functions import formatting
+
+    for value, want in [("1234567.891", "₹12,34,567.89"), ("-999.995", "-₹1,000.00"), ("12.5", "₹12.50"), (None, "₹0.00"), ("100000", "₹1,00,000.00")]:
+        assert one(spark, formatting.indian_amount(F.lit(value).cast("decimal(20,4)"))) == want
+    for value, want in [("23400000", "₹2.34Cr"), ("1250000", "₹12.5L"), ("1500", "₹1.5K"), ("999.5", "₹999.50")]:
+        assert one(spark, formatting.compact_amount(F.lit(value).cast("decimal(20,2)"))) == want
+
+
+def test_scalar_functions(spark):
+    from tallyspark.functions import udfs
+
+    assert one(spark, udfs.redact_names(["alex", "doe", "x"])(F.lit("ALEX QUINN DOE paid at Shop"))) == "[redacted-name] paid at Shop"
+    assert one(spark, udfs.narration_names(F.lit("UPI/RAZ*SWIGGY/12"), F.lit("raz*swiggy"))) is True
+    assert one(spark, udfs.narration_names(F.lit("CAFÉTERIA bill"), F.lit("cafe"))) is False
+    token = one(spark, udfs.portfolio_token("s")(F.lit(" p1 ")))
+    assert token == one(spark, udfs.portfolio_token("s")(F.lit("P1"))) and token.startswith("P-") and len(token) == 18
+    assert one(spark, udfs.portfolio_token(" ")(F.lit("P1"))) is None
+
+
+def test_mail_folder(spark, tmp_path):
+    from tallyspark.sources.messages import mail_folder
+
+    (tmp_path / "hdfc").mkdir()
+    (tmp_path / "hdfc" / "a.eml").write_bytes(b"Message-ID: <1@x>\r\nFrom: Bank <a@b.c>\r\nSubject: Alert\r\nDate: Mon, 01 Jan 2024 10:00:00 +0530\r\nContent-Type: text/plain\r\n\r\nRs 5 debited\r\n")
+    r = mail_folder(spark, f"file://{tmp_path}").first()
+    assert (r.bank, r.message_id, r.subject, r.received_at.isoformat(), r.body.strip()) == ("hdfc", "<1@x>", "Alert", "2024-01-01T04:30:00", "Rs 5 debited")
