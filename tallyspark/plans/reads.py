@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import expressions as X
 from tallyspark.functions import formatting, udfs
 from tallyspark.functions.vocabulary import known_slugs
-from tallyspark.operators import cards, investments, ledger, listing, matching, networth, statements, sync
-from tallyspark.plans.catalogue import _ACTIVE, _CANON, _CCY, _DUE, _FLOW, _LOTS, _OWED, _POST, _in, _paise, _projected, _query
+from tallyspark.operators import cards, evidence, investments, journal, ledger, listing, matching, networth, statements, sync
+from tallyspark.plans.catalogue import _ACTIVE, _CANON, _CCY, _DUE, _FLOW, _LOTS, _OWED, _POST, _PROJ, _in, _paise, _projected, _query
 from tallyspark.sources import messages
 
 # ---- formats
@@ -241,3 +241,124 @@ def match_evidence(t):
     off = i.join(s, (F.col("_b") == F.col("bank")) & (F.col("_d") == F.col("direction")) & (F.col("_r") == F.trim("reference_number")) & (F.col("_r") != "")).groupBy("_q").agg(F.bool_or(F.coalesce(F.col("_bal") != F.col("balance"), F.lit(False))).alias("c"))
     out = t["incoming"].select("seq").join(hits.select(F.col("seq").alias("_h"), "candidates"), F.col("seq") == F.col("_h"), "left").join(off, F.col("seq") == F.col("_q"), "left")
     return out.select("seq", F.coalesce("candidates", F.lit(0)).cast("bigint").alias("stored"), F.coalesce("c", F.lit(False)).alias("balance_conflict"))
+
+
+# ---- evidence
+
+_SUFFIX = "'(_cc_bill_paid|_cc_bill_paid_alert|_cc_credit_alert|_cc_payment|_cc_payment_alert|_cc_payment_received_alert|_cc_repayment_received_alert|_cc_upi_payment_alert|sbi_payment_ack)$'"
+
+
+@_query(f"SELECT id, account_id FROM transactions WHERE direction = 'credit' AND account_id IS NOT NULL AND regexp_matches(email_type, {_SUFFIX})")
+def settling_rows(t):
+    return evidence.settles_statement(t["transactions"]).select("id", "account_id")
+
+
+_STOP = ["PAYMENT", "ORDER", "CARD", "RECEIVED", "THANK"]
+_TOK = lambda c: f"list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z]{{4,}}'), lambda w: upper(w)), lambda w: w NOT IN {_in(_STOP)})"
+_RIN = lambda r, x: f"coalesce(regexp_matches({r}, '^[A-Za-z0-9]{{6,}}$') AND regexp_matches(' ' || {x} || ' ', '[^A-Za-z0-9]' || {r} || '[^A-Za-z0-9]'), false)"
+
+
+@_query(f"""SELECT x.stmt_idx, x.id, CASE WHEN has AND sr = tr THEN true WHEN coalesce(sb <> tb, false) THEN false WHEN NOT has THEN true WHEN shifted THEN false ELSE {_RIN('tr', 'sn')} OR {_RIN('sr', 'tn')} OR coalesce(sc = 'upi' AND tc = 'upi' AND list_has_any({_TOK('tn')}, {_TOK('sn')}), false) END AS fits
+    FROM (SELECT r.stmt_idx, t.id, r.reference_number AS sr, t.reference_number AS tr, coalesce(r.reference_number <> '', false) AND coalesce(t.reference_number <> '', false) AS has, r.balance AS sb, t.balance AS tb, r.narration || coalesce(' ' || t.reference_number, '') AS sn, coalesce(t.raw_description, t.counterparty) AS tn, 'upi' AS sc, t.channel AS tc, r.date <> t.transaction_date AS shifted
+      FROM bank_statement_rows r JOIN transactions t ON t.account_id = r.account_id AND t.direction = r.direction AND abs(date_diff('day', r.date, t.transaction_date)) <= 1) x""")
+def candidate_compatibility(t):
+    r = t["bank_statement_rows"].select("stmt_idx", F.col("account_id").alias("_a"), F.col("direction").alias("_d"), F.col("date").alias("_date"), F.col("reference_number").alias("sr"), F.col("balance").alias("sb"), "narration", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("o"))
+    s = t["transactions"]
+    j = r.join(s, (F.col("_a") == F.col("account_id")) & (F.col("_d") == F.col("direction")) & (F.date_add("_date", F.col("o")) == F.col("transaction_date")))
+    told = F.concat(F.col("narration"), F.coalesce(F.concat(F.lit(" "), F.col("reference_number")), F.lit("")))
+    fits = evidence.compatible(F.col("sr"), told, F.col("sb"), F.lit("upi"), F.col("reference_number"), F.coalesce("raw_description", "counterparty"), F.col("balance"), F.col("channel"), F.col("o") != 0, _STOP)
+    return j.select("stmt_idx", "id", fits.alias("fits"))
+
+
+@_query("""SELECT id, least(length(x), length(y)) >= 4 AND (starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x)) AS same FROM (SELECT id, regexp_replace(upper(coalesce(reference_number, '')), '[^A-Z0-9]', '', 'g') AS x, regexp_replace(upper(coalesce(substr(reference_number, cast(2 + id % 5 AS INTEGER)), '')), '[^A-Z0-9]', '', 'g') AS y FROM transactions)""")
+def shortened_references(t):
+    return t["transactions"].select("id", evidence.shortened_reference(F.col("reference_number"), F.expr("substr(reference_number, cast(2 + id % 5 as int))")).alias("same"))
+
+
+@_query("""SELECT id, cast(CASE WHEN h BETWEEN 1 AND 12 THEN coalesce((SELECT min(c.t) FROM (SELECT am AS t UNION ALL SELECT am + 43200) c WHERE c.t - got BETWEEN -43200 AND 300 AND abs(c.t - got) = least(CASE WHEN am - got BETWEEN -43200 AND 300 THEN abs(am - got) ELSE 999999 END, CASE WHEN am + 43200 - got BETWEEN -43200 AND 300 THEN abs(am + 43200 - got) ELSE 999999 END)), s) ELSE s END AS INTEGER) AS resolved
+    FROM (SELECT id, transaction_time_s AS s, transaction_time_s // 3600 AS h, CASE WHEN transaction_time_s // 3600 = 12 THEN transaction_time_s - 43200 ELSE transaction_time_s END AS am, (id * 911) % 86400 AS got FROM transactions WHERE transaction_time_s IS NOT NULL AND transaction_date IS NOT NULL)""")
+def am_pm_by_arrival(t):
+    own = t["transactions"].where("transaction_time_s is not null and transaction_date is not null")
+    got = F.unix_date("transaction_date").cast("bigint") * 86400 + (F.col("id") * 911) % 86400
+    return own.select("id", evidence.half_of_day(F.col("transaction_time_s"), F.col("transaction_date"), got).cast("int").alias("resolved"))
+
+
+@_query(f"""SELECT account_id, kind, category, as_of_date, value_paise, id FROM (SELECT account_id, 'liability' AS kind, 'cc_outstanding' AS category, created_on AS as_of_date, id, {_paise("CASE WHEN payment_status = 'paid' OR due <= 0 THEN 0 ELSE greatest(due - coalesce(payment_paid_amount, 0), 0) END")} AS value_paise
+    FROM (SELECT *, {_OWED} AS due FROM statement_uploads) WHERE due IS NOT NULL)""")
+def card_snapshots(t):
+    return evidence.card_snapshots(t["statement_uploads"])
+
+
+@_query("SELECT id AS account_id, account_number AS card_mask, 'self' AS label, true AS is_primary FROM accounts a WHERE type = 'credit_card' AND coalesce(account_number, '') <> '' AND NOT EXISTS (SELECT 1 FROM cards c WHERE c.account_id = a.id AND c.id % 3 <> 0)")
+def default_cards(t):
+    return evidence.default_cards(t["accounts"], t["cards"].where("id % 3 <> 0"))
+
+
+@_query("""SELECT t.id, CASE WHEN trim(coalesce(t.reference_number, '')) = '' THEN 'no_reference' WHEN g.d <> 1 OR g.c <> 1 THEN 'legs' WHEN g.lo <> g.hi THEN 'amount_mismatch' WHEN g.c1 <> g.c2 THEN 'currency_mismatch' WHEN NOT g.known THEN 'account' ELSE 'paired' END AS verdict FROM transactions t
+    LEFT JOIN (SELECT trim(reference_number) AS ref, count(*) FILTER (WHERE direction = 'debit') AS d, count(*) FILTER (WHERE direction = 'credit') AS c, min(amount) AS lo, max(amount) AS hi, min(coalesce(nullif(trim(currency), ''), 'INR')) AS c1, max(coalesce(nullif(trim(currency), ''), 'INR')) AS c2, bool_and(account_id IS NOT NULL) AS known FROM transactions WHERE category = 'self_transfer' AND trim(coalesce(reference_number, '')) <> '' GROUP BY 1) g ON g.ref = trim(t.reference_number)
+    WHERE t.category = 'self_transfer'""")
+def self_transfer_verdicts(t):
+    return evidence.self_transfer_verdicts(t["transactions"])
+
+
+@_query(f"""SELECT DISTINCT p.transaction_date AS date, p.commodity, cast((SELECT r.rate FROM fx_rates r WHERE r.currency = p.commodity AND r.date <= p.transaction_date ORDER BY r.date DESC LIMIT 1) * 10000 AS BIGINT) AS rate_e4 FROM ({_PROJ}) p WHERE reason IS NULL AND commodity <> 'INR'""")
+def price_directives(t):
+    return evidence.price_directives(_projected(t)).select("date", "commodity", (F.col("rate") * 10000).cast("bigint").alias("rate_e4"))
+
+
+@_query(f"SELECT account_id, n, posted, CASE WHEN posted = 0 THEN 'excluded' WHEN posted < n THEN 'partial' ELSE 'included' END AS scope FROM (SELECT account_id, count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS posted FROM ({_PROJ}) WHERE account_id IS NOT NULL GROUP BY 1)")
+def ledger_scope(t):
+    return evidence.scope_completeness(_projected(t))
+
+
+@_query("""SELECT p.id, CASE WHEN m.n = 1 THEN m.a END AS card_account, CASE WHEN m.n = 1 THEN 'resolved' WHEN m.n > 1 THEN 'ambiguous_mask' ELSE 'unresolved' END AS status FROM transactions p LEFT JOIN (SELECT trim(card_mask) AS m, count(*) AS n, max(account_id) AS a FROM cards GROUP BY 1) m ON m.m = trim(p.card_mask) WHERE p.category = 'credit_card_payment'""")
+def card_of_payment(t):
+    return evidence.card_of_payment(t["transactions"].where("category = 'credit_card_payment'").select("id", "card_mask"), t["cards"])
+
+
+_NCP = "regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]', '', 'g')"
+
+
+@_query(f"""SELECT target, id, cast(r AS INTEGER) AS place FROM (SELECT x.target, c.id, row_number() OVER (PARTITION BY x.target ORDER BY c.created_at DESC, c.id DESC) AS r FROM (SELECT id AS target, direction, {_NCP.format('counterparty')} AS cp FROM transactions WHERE id % 50 = 3) x
+    JOIN (SELECT * FROM (SELECT id, direction, created_at, {_NCP.format('counterparty')} AS cp, row_number() OVER (PARTITION BY direction ORDER BY created_at DESC, id DESC) AS k FROM transactions WHERE category IS NOT NULL AND category_method IN ('manual', 'rule') AND direction IN ('credit', 'debit')) WHERE k <= 200) c
+    ON c.direction = x.direction AND x.cp <> '' AND c.cp <> '' AND (contains(c.cp, x.cp) OR contains(x.cp, c.cp))) WHERE r <= 5""")
+def similar_examples(t):
+    targets = t["transactions"].where("id % 50 = 3").select(F.col("id").alias("target"), "direction", "counterparty")
+    return evidence.similar_examples(t["transactions"], targets)
+
+
+@_query("""SELECT p_partkey, scope, source_ref, instrument, cast(row_number() OVER (PARTITION BY p_partkey, scope, source_ref, instrument ORDER BY q) - 1 AS INTEGER) AS occurrence, cast(v * 100 AS BIGINT) AS value_paise FROM (
+    SELECT p_partkey, 'demat' AS scope, 'D' || p_size % 3 AS source_ref, 'INE' || (p_size + k) % 2 AS instrument, k AS q, cast(p_size + k AS DECIMAL(16, 2)) AS v FROM part, (VALUES (0), (1), (2)) AS x(k)
+    UNION ALL SELECT p_partkey, 'folio', 'F' || p_size % 4, 'INF' || p_size % 5, 0, NULL FROM part WHERE p_size % 2 = 0)""")
+def nested_holdings(t):
+    text = """named_struct('accounts', array(named_struct('source_ref', concat('D', p_size % 3), 'holdings', transform(sequence(0, 2), k -> named_struct('isin', concat(' ine', (p_size + k) % 2), 'quantity', '1', 'value', cast(p_size + k as string))))),
+      'folios', if(p_size % 2 = 0, array(named_struct('source_ref', concat('F', p_size % 4), 'schemes', array(named_struct('isin', concat('INF', p_size % 5), 'units', 'n/a', 'value', 'n/a'), named_struct('isin', ' ', 'units', '1', 'value', '1')))), array()))"""
+    schema = "accounts array<struct<source_ref:string,holdings:array<struct<isin:string,quantity:string,value:string>>>>, folios array<struct<source_ref:string,schemes:array<struct<isin:string,units:string,value:string>>>>"
+    docs = messages.json_objects(t["part"].select("p_partkey", F.to_json(F.expr(text)).alias("doc")), "doc", schema).select("p_partkey", "doc.*")
+    return evidence.holdings_of(docs, "p_partkey").select("p_partkey", "scope", "source_ref", "instrument", "occurrence", (F.col("value") * 100).cast("bigint").alias("value_paise"))
+
+
+# ---- journal
+
+_PAYEE = "coalesce(nullif(trim(regexp_replace(translate(coalesce(t.counterparty, t.raw_description, ''), ';' || chr(10) || chr(13) || chr(9) || '{}', '      '), ' +', ' ', 'g')), ''), 'Unknown')"
+_AMT = "cast(cast(cast(amount_paise AS DECIMAL(22, 2)) / 100 AS DECIMAL(20, 2)) AS VARCHAR)"
+
+
+@_query(f"""SELECT e.id, strftime(e.date, '%Y/%m/%d') || ' * ' || {_PAYEE} || chr(10) || string_agg('    ' || rpad(account, 36, ' ') || lpad({_AMT}, 14, ' ') || ' ' || commodity, chr(10) ORDER BY leg) AS text FROM ({_POST}) e JOIN transactions t ON t.id = e.id GROUP BY e.id, e.date, t.counterparty, t.raw_description""")
+def journal_ledger(t):
+    e = journal.entries(ledger.postings(_projected(t)), t["transactions"])
+    return e.select("id", journal.ledger_entry(F.col("date"), F.col("payee"), F.col("postings")).alias("text"))
+
+
+_BEAN = "array_to_string(list_transform(string_split(account, ':'), lambda p: regexp_replace(upper(p[1]) || p[2:], '[^A-Za-z0-9-]', '-', 'g')), ':')"
+
+
+@_query(f"""SELECT e.id, cast(e.date AS VARCHAR) || ' * "' || replace({_PAYEE}, '"', '''') || '"' || chr(10) || string_agg('  ' || {_BEAN} || '  ' || {_AMT} || ' ' || commodity, chr(10) ORDER BY leg) AS text FROM ({_POST}) e JOIN transactions t ON t.id = e.id GROUP BY e.id, e.date, t.counterparty, t.raw_description""")
+def journal_beancount(t):
+    e = journal.entries(ledger.postings(_projected(t)), t["transactions"])
+    return e.select("id", journal.beancount_entry(F.col("date"), F.col("payee"), F.col("postings")).alias("text"))
+
+
+@_query(f"SELECT account, cast(opened AS VARCHAR) || ' open ' || account || ' ' || c AS line FROM (SELECT {_BEAN} AS account, min(date) AS opened, string_agg(DISTINCT commodity, ',' ORDER BY commodity) AS c FROM ({_POST}) GROUP BY 1)")
+def journal_opens(t):
+    return journal.open_directives(ledger.postings(_projected(t)))

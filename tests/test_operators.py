@@ -101,3 +101,22 @@ def test_mail_folder(spark, tmp_path):
     (tmp_path / "hdfc" / "a.eml").write_bytes(b"Message-ID: <1@x>\r\nFrom: Bank <a@b.c>\r\nSubject: Alert\r\nDate: Mon, 01 Jan 2024 10:00:00 +0530\r\nContent-Type: text/plain\r\n\r\nRs 5 debited\r\n")
     r = mail_folder(spark, f"file://{tmp_path}").first()
     assert (r.bank, r.message_id, r.subject, r.received_at.isoformat(), r.body.strip()) == ("hdfc", "<1@x>", "Alert", "2024-01-01T04:30:00", "Rs 5 debited")
+
+
+def test_journal_is_written_in_order(spark, tmp_path):
+    from tallyspark.operators import journal
+
+    texts = spark.createDataFrame([(3, dt.date(2024, 1, 2), "c"), (1, dt.date(2024, 1, 2), "b"), (2, dt.date(2024, 1, 1), "a")], "id long, date date, text string").repartition(3)
+    journal.write_journal(texts, f"file://{tmp_path}/j")
+    files = sorted((tmp_path / "j").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == "a\nb\nc\n"
+    assert journal.digest(texts).first() == journal.digest(texts.coalesce(1)).first() != journal.digest(texts.where("id < 3")).first()
+
+
+def test_replacement_respects_precedence(spark):
+    from tallyspark.sources.messages import replaced, upserted
+
+    stored = spark.createDataFrame([(1, "A", 2), (2, "B", 1)], "id long, k string, rank int")
+    new = spark.createDataFrame([(3, "A", 1), (4, "B", 1), (5, "C", 1)], "id long, k string, rank int")
+    assert sorted(r.id for r in replaced(stored, new, ["k"], "rank").collect()) == [1, 4, 5]
+    assert sorted(r.id for r in upserted(stored, new, ["k"], "id").collect()) == [3, 4, 5]
