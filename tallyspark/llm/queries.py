@@ -94,5 +94,35 @@ def queries() -> dict:
     }
 
 
+#: The operators whose whole result SQL can express; the others are tested against brute force, round trips or held-out accuracy.
+_OP1 = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS ws FROM documents),
+g AS (SELECT doc_id, text, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, text, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+d AS (SELECT doc_id, text, i FROM (SELECT *, count(*) OVER (PARTITION BY win) AS n FROM g) WHERE n > 1),
+gone AS (SELECT doc_id, text, list_sort(list_distinct(flatten(list(range(i, i + 35))))) AS bad FROM d GROUP BY ALL)
+SELECT w.doc_id, cast(len(ws) AS BIGINT) AS n_words, cast(coalesce(len(bad), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN bad IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(bad, i)), lambda i: ws[i]), ' '), '') END) AS kept_sha256
+FROM w LEFT JOIN gone ON gone.doc_id IS NOT DISTINCT FROM w.doc_id AND gone.text = w.text"""
+_OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 80 * (u.n + v.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(b) FROM r WHERE r.a = w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id"""
+_OP9 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, regexp_matches(text, '[<\[]\\+(/?s>|/?INST\])') OR contains(text, '<s>') OR contains(text, '[INST] ') OR CASE WHEN role = 'assistant' THEN contains(text, '</s>')
+    ELSE contains(text, ' [/INST]') OR contains(role, chr(10)) OR contains(role, '<s>') OR contains(role, '[INST] ') OR contains(role, ' [/INST]') OR regexp_matches(role, '%3C|%5B|%0A|%25') END AS clash FROM t),
+c AS (SELECT *, bool_or(clash) OVER (PARTITION BY conv_id) AS escaped FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(CASE WHEN role = 'assistant' THEN 7 ELSE 16 + CASE WHEN escaped THEN length(replace(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '[', '%5B'), '<', '%3C')) ELSE length(role) END END
+    + CASE WHEN escaped THEN length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) ELSE length(text) END) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_rlz_dedup": _OP1, "op4_signature_tree": _OP4, "op9_chat_format": _OP9}

@@ -514,3 +514,17 @@ def test_packed_rows_come_back(spark):
     df = spark.createDataFrame([(i % 3, i, None if i % 5 == 0 else str(i)) for i in range(50)], "block int, doc_id long, text string")
     rows = [r for p in common.packed(df, "block").collect() for r in common.unpack(pa.chunked_array([pa.array([bytes(p.payload)], pa.binary())])).to_pylist()]
     assert sorted(r["doc_id"] for r in rows) == list(range(50))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    df = Q[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*names).collect())
