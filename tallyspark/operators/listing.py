@@ -101,3 +101,39 @@ def bounded_text(c: Column, n: int) -> list[Column]:
 def display_mask(c: Column) -> Column:
     digits = mask_digits(c)
     return F.when(digits != "", F.concat(F.lit("XXXX"), F.right(digits, F.lit(4))))
+
+
+def exact_filters(df: DataFrame, **wanted) -> DataFrame:
+    """Rows that equal every given value: text is stripped, banks compare in lower case, ``date_from`` and ``date_to`` bound
+    the transaction date; a None filters nothing."""
+    for name, value in wanted.items():
+        if value is None:
+            continue
+        value = value.strip() if isinstance(value, str) else value
+        if name in ("date_from", "date_to"):
+            day = F.lit(value).cast("date")
+            df = df.where(F.col("transaction_date") >= day if name == "date_from" else F.col("transaction_date") <= day)
+        elif name == "bank":
+            df = df.where(F.lower("bank") == value.lower())
+        else:
+            df = df.where(F.col(name) == value)
+    return df
+
+
+def with_details(txns: DataFrame, accounts: DataFrame, cards: DataFrame) -> DataFrame:
+    """Rows with their account's label and type and its primary card; dangling and missing accounts stay."""
+    a = accounts.select(F.col("id").alias("_a"), F.col("label").alias("account_label"), F.col("type").alias("account_type"))
+    c = cards.where("is_primary").groupBy(F.col("account_id").alias("_c")).agg(F.min("card_mask").alias("primary_mask"))
+    return txns.join(a, F.col("account_id") == F.col("_a"), "left").join(c, F.col("account_id") == F.col("_c"), "left").drop("_a", "_c")
+
+
+def near_statement(txns: DataFrame, rows_: DataFrame, days: int = 7) -> DataFrame:
+    """Rows of each statement's account from ``days`` before its first date to as many after its last."""
+    span = rows_.groupBy(F.col("account_id").alias("_a")).agg(F.date_sub(F.min("date"), days).alias("_lo"), F.date_add(F.max("date"), days).alias("_hi"))
+    return txns.join(span, (F.col("account_id") == F.col("_a")) & F.col("transaction_date").between(F.col("_lo"), F.col("_hi"))).drop("_a", "_lo", "_hi")
+
+
+def by_person(rows_: DataFrame, group: str, person: str) -> DataFrame:
+    """Counts a person, only for groups that have more than one."""
+    g = rows_.where(F.col(person).isNotNull()).groupBy(group, person).agg(rows().alias("n"))
+    return g.withColumn("_p", F.count(F.lit(1)).over(Window.partitionBy(group))).where("_p > 1").drop("_p")

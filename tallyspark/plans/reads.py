@@ -362,3 +362,33 @@ def journal_beancount(t):
 @_query(f"SELECT account, cast(opened AS VARCHAR) || ' open ' || account || ' ' || c AS line FROM (SELECT {_BEAN} AS account, min(date) AS opened, string_agg(DISTINCT commodity, ',' ORDER BY commodity) AS c FROM ({_POST}) GROUP BY 1)")
 def journal_opens(t):
     return journal.open_directives(ledger.postings(_projected(t)))
+
+
+# ---- more listings
+
+
+@_query("SELECT id, amount FROM (SELECT id, cast(amount * 100 AS BIGINT) AS amount FROM transactions WHERE lower(bank) = 'icici' AND direction = 'debit' AND source = 'email' AND category = 'rent' AND transaction_date >= DATE '1996-01-01' AND transaction_date <= DATE '1999-12-31')")
+def exact_filters(t):
+    own = listing.exact_filters(t["transactions"], bank=" ICICI ", direction="debit ", source="email", category="rent", date_from="1996-01-01", date_to="1999-12-31", reference_number=None)
+    return own.select("id", X.paise(F.col("amount")).alias("amount"))
+
+
+@_query("SELECT t.id, a.label AS account_label, a.type AS account_type, (SELECT min(card_mask) FROM cards c WHERE c.account_id = t.account_id AND c.is_primary) AS primary_mask FROM transactions t LEFT JOIN accounts a ON a.id = t.account_id")
+def txn_details(t):
+    return listing.with_details(t["transactions"], t["accounts"], t["cards"]).select("id", "account_label", "account_type", "primary_mask")
+
+
+@_query("SELECT t.account_id, count(*) AS n FROM transactions t JOIN (SELECT account_id, min(date) - 7 AS lo, max(date) + 7 AS hi FROM bank_statement_rows GROUP BY 1) s ON s.account_id = t.account_id AND t.transaction_date BETWEEN lo AND hi GROUP BY 1")
+def near_statement_rows(t):
+    return listing.near_statement(t["transactions"], t["bank_statement_rows"]).groupBy("account_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@_query("SELECT account_id, person, n FROM (SELECT account_id, person, n, count(*) OVER (PARTITION BY account_id) AS p FROM (SELECT account_id, narration AS person, count(*) AS n FROM bank_statement_rows WHERE narration IS NOT NULL GROUP BY 1, 2)) WHERE p > 1")
+def rows_by_person(t):
+    return listing.by_person(t["bank_statement_rows"], "account_id", "narration").withColumnRenamed("narration", "person")
+
+
+@_query("SELECT count(*) AS rows_, count(*) FILTER (WHERE category_method = 'pending_llm') AS pending, count(*) FILTER (WHERE category_method IS NULL) AS open_, count(*) FILTER (WHERE account_id IS NULL) AS orphans, count(DISTINCT bank) AS banks FROM transactions")
+def status_counters(t):
+    return t["transactions"].agg(F.count(F.lit(1)).cast("bigint").alias("rows_"), F.count_if(F.col("category_method") == "pending_llm").cast("bigint").alias("pending"), F.count_if(F.col("category_method").isNull()).cast("bigint").alias("open_"),
+                                 F.count_if(F.col("account_id").isNull()).cast("bigint").alias("orphans"), F.countDistinct("bank").cast("bigint").alias("banks"))
