@@ -551,3 +551,26 @@ def read_media(stored: DataFrame, media: str = "media") -> DataFrame:
                     pa.array([[{"sample": x.sample, "samples": len(x.pcm)} for x in own] for own in blocks], block)], [f.name for f in schema])
 
     return stored.mapInArrow(run, schema)
+
+
+def pcm_blocks(stored: DataFrame, media: str = "media", first: int | None = None, end: int | None = None) -> DataFrame:
+    """One row a PCM block: every column but ``media`` with ``sample`` (number of the block's first sample in its stream) and
+    ``pcm`` (unsigned 8-bit samples).  With ``first`` and ``end`` only the blocks that hold samples of that range are read
+    and decoded, found by the seek table."""
+    keep = [c for c in stored.columns if c != media]
+    if {"sample", "pcm"} & set(keep):
+        raise ValueError("the input already has a column sample or pcm")
+    schema = stored.select(*keep).schema.add("sample", "long").add("pcm", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, offsets = utf8(b.column(media))
+            for i, j in slices(offsets, BATCH):
+                part = b.slice(i, j - i)
+                streams = part.column(media).to_pylist()
+                own = decode(streams, None if first is None and end is None else [(first or 0, end if end is not None else 1 << 62)] * len(streams))
+                rows = pa.array([k for k, blocks in enumerate(own) for _ in blocks], pa.int64())
+                flat = [x for blocks in own for x in blocks]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in keep), pa.array([x.sample for x in flat], pa.int64()), pa.array([x.pcm for x in flat], pa.binary())], [f.name for f in schema])
+
+    return stored.mapInArrow(run, schema)

@@ -528,3 +528,13 @@ def test_same_rows_as_sql(spark, sf, name):
     df = Q[name](spark, sf)
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*names).collect())
+
+
+def test_pcm_blocks_are_seekable(spark):
+    text = "".join(chr(33 + i % 90) for i in range(20000))
+    stored = flac_media.to_media(spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "short", "z")], "doc_id long, text string, source string"))
+    rows = flac_media.pcm_blocks(stored).orderBy("doc_id", "sample").collect()
+    assert b"".join(bytes(r.pcm) for r in rows if r.doc_id == 1) == flac_media.padded(text.encode())
+    assert [r.sample for r in rows if r.doc_id == 1] == [0, 4096, 8192, 12288, 16384] and rows[0].source == "x"
+    part = flac_media.pcm_blocks(stored, first=5000, end=9000).orderBy("doc_id", "sample").collect()
+    assert [(r.doc_id, r.sample) for r in part] == [(1, 4096), (1, 8192)]
