@@ -14,7 +14,7 @@ from tallyspark.llm import bpe_codec, entropy_mix, mixture_langid, rlz_dedup, si
 from tallyspark.llm.common import written
 
 #: A document whose largest language has less than this share of its words is rejected, as is one without letters.
-MIN_SHARE = 0.5
+MIN_SHARE = 0.4
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
