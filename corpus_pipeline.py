@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe_codec, entropy_mix, mixture_langid, rlz_dedup, signature_tree
-from tallyspark.llm.common import written
+from tallyspark.llm.common import unused, written
 
 #: A document whose largest language has less than this share of its words is rejected, as is one without letters.
 MIN_SHARE = 0.4
@@ -22,22 +22,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: ``lang`` becomes the predicted one.  Null and empty texts and texts without letters go."""
     model = mixture_langid.fit(docs.where(~mixture_langid.held_out(F.col("doc_id"))))
-    found = mixture_langid.identify(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    names = unused(docs.columns, "lang_pred", "score", "languages", "proportions")
+    found = mixture_langid.identify(docs, model, keep=docs.columns, names=tuple(names))
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_SHARE)).withColumn("lang", F.col(names[0])).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    gone = signature_tree.near_copies(docs).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each group of near copies.
+
+    Rows that share a doc_id are one document, of which the row with the smallest text stays; rows without a doc_id stay."""
+    (key, row) = unused(docs.columns, "_gone", "_row")
+    gone = signature_tree.near_copies(docs).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(key))
+    kept = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(row)).where(F.col(row) > 1).select(key)
+    others = [c for c in docs.columns if c != "text"]
+    one = kept.join(again, F.col("doc_id") == F.col(key), "left_semi").groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("text", *others)).alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return kept.join(again, F.col("doc_id") == F.col(key), "left_anti").select(*docs.columns).unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 35 words or more that occur elsewhere; a text without any keeps its white space, and one
     of which nothing is left goes."""
-    done = rlz_dedup.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
-    out = docs.join(done, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("text", F.coalesce("kept", "text"))
-    return out.where("kept is null or kept <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    key, kept, digest = unused(docs.columns, "_id", "_kept", "_sha")
+    done = rlz_dedup.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest), F.col("kept").alias(kept)).dropDuplicates([key, digest])
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.sha2("text", 256) == F.col(digest))
+    out = docs.join(done, same, "left").withColumn("text", F.coalesce(kept, "text"))
+    return out.where(F.col(kept).isNull() | (F.col(kept) != "")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

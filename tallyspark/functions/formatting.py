@@ -12,7 +12,7 @@ def grouped_amount(c: Column) -> Column:
 
 
 def indian_amount(c: Column) -> Column:
-    """Exact rupees with Indian grouping: the last three digits, then twos; half a paisa rounds up."""
+    """Exact rupees with Indian grouping: the last three digits, then twos; half a hundredth rounds up."""
     amount = F.round(F.coalesce(c.cast("decimal(20,4)"), F.lit(0)), 2).cast("decimal(20,2)")
     digits = F.split_part(F.abs(amount).cast("string"), F.lit("."), F.lit(1))
     head = F.regexp_replace(digits, r"(\d)(?=(\d\d)+\d{3}$)", "$1,")

@@ -11,8 +11,8 @@ Decoding: the bytes of all tokens lie in one array; token i is bytes[offset[i]:o
 decoded by one gather.
 
 Defined results: null and empty texts have no tokens; special strings of the vocabulary file inside a text become their
-token, as the tokenizers library does by default; a text of any length is encoded whole.  Extra columns are left alone:
-``encode_column`` gives ids for the texts it gets.  The vocabulary's path is a parameter, read by each worker, and the
+token, as the tokenizers library does by default; a text of any length is encoded whole.  Extra columns are kept; one
+with the name of an output column gives way to it.  The vocabulary's path is a parameter, read by each worker, and the
 caches hold a fixed number of pre-tokens.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import slices, utf8
+from tallyspark.llm.common import slices, utf8, without
 
 #: The GPT-2 pre-token pattern, a fixed value of byte-level BPE vocabularies.
 PATTERN = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -208,9 +208,7 @@ def _texts(column: pa.Array) -> Iterator[list[str]]:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all others by default) with the ids (array<int>) of each text."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if ids in keep:
-        raise ValueError(f"the input already has a column {ids}")
+    keep = without([c for c in docs.columns if c != text] if keep is None else keep, [ids])
     schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType(), False), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +222,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns but ``ids`` with the text that they decode to (bytes that are no UTF-8 become U+FFFD); null: empty."""
-    keep = [c for c in encoded.columns if c != ids]
-    if text in keep:
-        raise ValueError(f"the input already has a column {text}")
+    keep = without([c for c in encoded.columns if c != ids], [text])
     schema = encoded.select(*keep).schema.add(text, "string", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,12 +235,12 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", text: str
             out = [raw[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out, pa.string())], [*keep, text])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.select(*keep, ids).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of each text: encoded and decoded in one pass."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = without([c for c in docs.columns if c != text] if keep is None else keep, ["n_tokens", "ids_sha256", "decoded_sha256"])
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ block and shards stay even whatever the text looks like.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,21 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+
+def _give_memory_back() -> None:
+    """Large arrays go back to the system when they are freed.  Workers live through many stages, and by default glibc and
+    Arrow's pool would keep each worker at the largest size that it ever had."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, not raised by use
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
+_give_memory_back()
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -35,6 +51,23 @@ _BYTE_WORD_LOWER = _BYTE_WORD[_LOWER]
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
+def without(columns: list[str], new: list[str]) -> list[str]:
+    """``columns`` but those with the name of a new one: an input column gives way to an output of its name."""
+    return [c for c in columns if c.lower() not in {n.lower() for n in new}]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no column has them."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def working_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir`` (one under /tmp where the session names none, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -95,7 +128,7 @@ def packed(df: DataFrame, key: str) -> DataFrame:
     return df.mapInArrow(pack, "key int, payload binary").withColumnRenamed("key", key)
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``most`` bytes together (a longer document alone)."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -145,7 +178,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 done += step
             out.append(p)
         have = (out[0], out[1])
-        if size <= 2 << 20:
+        if size <= 1 << 20:
             _powers[base] = have
     return have
 
@@ -181,8 +214,11 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return mix(sums_of_runs(hashes, at, at + k, _Q))
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, 1 << 16):  # in pieces, so that the tables of powers stay small
+        at = np.arange(min(1 << 16, n - i))
+        out[i : i + len(at)] = mix(sums_of_runs(hashes[i : i + len(at) + k - 1], at, at + k, _Q))
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

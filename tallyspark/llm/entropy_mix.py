@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, ranked, written
+from tallyspark.llm.common import WORD, ranked, unused, written
 
 #: (source, size) pairs of the targets' table.
 Targets = dict[str | None, float]
@@ -119,11 +119,13 @@ def mix(sized: DataFrame, order: list[str], weights: Sequence[float] = (5, 2, 1)
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_share: float = 1.5, cap: int = 2) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` (doc_id, text, source and any further columns) as often as the mix takes it."""
+    """The mixed corpus: every row of ``docs`` (doc_id, text, source and any further columns that can be grouped by, whatever
+    their names) as often as the mix takes it.  Rows that repeat entirely are one row whose copies add up."""
     cols = docs.columns
     hashed = F.xxhash64(*[F.col(c).cast("string") for c in cols])
-    rows = docs.groupBy(*cols).agg(F.count(F.lit(1)).alias("_times")).withColumn("_h", hashed)
+    h, i, h2, n, copy = unused(cols, "_h", "_id", "_h2", "_copies", "_copy")
+    rows = docs.distinct().withColumn(h, hashed)
     sized = docs.select("source", n_words(F.col("text")).alias("size"), "doc_id", hashed.alias("_h"))
-    copies = mix(sized, ["doc_id", "_h"], weights, total_share, cap).groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_h2")).agg(F.sum("copies").cast("int").alias("_copies"))
-    out = rows.join(copies.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    copies = mix(sized, ["doc_id", "_h"], weights, total_share, cap).groupBy(F.col("doc_id").alias(i), F.col("_h").alias(h2)).agg(F.sum("copies").cast("int").alias(n))
+    out = rows.join(copies.where(F.col(n) > 0), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(h2)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*cols)

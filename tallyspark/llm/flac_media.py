@@ -12,8 +12,8 @@ Rice codes are parsed for thousands of frames side by side: a step takes the nex
 number of Python steps follows the length of a frame, not of the data.
 
 Defined results: null counts as empty; a payload is padded with zero bytes to a positive multiple of 64; equal payloads
-give equal streams; a damaged stream raises ``FlacError`` that names what failed; extra columns stay outside the media
-column.  Payloads of any length are stored whole.
+give equal streams; a damaged stream raises ``FlacError`` that names what failed; extra columns are kept, and one with the
+name of an output column gives way to it.  Payloads of any length are stored whole.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyspark.llm.common import slices, utf8
+from tallyspark.llm.common import slices, utf8, without
 
 BLOCK = 4096
 LPC_ORDER, LPC_BITS = 4, 12
@@ -503,9 +503,7 @@ def padded(data: bytes) -> bytes:
 
 def to_media(docs: DataFrame, text: str = "text", keep: list[str] | None = None, media: str = "media") -> DataFrame:
     """``keep`` columns (all others by default) with n_bytes of each text's UTF-8 and its padded payload as a FLAC stream."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if {media, "n_bytes"} & set(keep):
-        raise ValueError(f"the input already has a column {media} or n_bytes")
+    keep = without([c for c in docs.columns if c != text] if keep is None else keep, [media, "n_bytes"])
     schema = docs.select(*keep).schema.add("n_bytes", "long").add(media, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,7 +527,7 @@ def read_media(stored: DataFrame, media: str = "media") -> DataFrame:
     """Every column but ``media`` with what the stored stream gives when read back: payload_bytes, payload_sha256, tail_crc32
     (of the last 64 samples), media_bytes, media_sha256, feature and ``blocks`` (number of the
     first sample and count of samples of every PCM block).  Streams without samples give empty blocks."""
-    keep = [c for c in stored.columns if c != media]
+    keep = without([c for c in stored.columns if c != media], ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"])
     new = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks array<struct<sample:long,samples:int>>"
     schema = stored.select(*keep).schema
     for f in stored.sparkSession.createDataFrame([], new).schema:
@@ -550,16 +548,14 @@ def read_media(stored: DataFrame, media: str = "media") -> DataFrame:
                     pa.array([feature(np.frombuffer(p, np.uint8)) if p else "" for p in payloads], pa.string()),
                     pa.array([[{"sample": x.sample, "samples": len(x.pcm)} for x in own] for own in blocks], block)], [f.name for f in schema])
 
-    return stored.mapInArrow(run, schema)
+    return stored.select(*keep, media).mapInArrow(run, schema)
 
 
 def pcm_blocks(stored: DataFrame, media: str = "media", first: int | None = None, end: int | None = None) -> DataFrame:
     """One row a PCM block: every column but ``media`` with ``sample`` (number of the block's first sample in its stream) and
     ``pcm`` (unsigned 8-bit samples).  With ``first`` and ``end`` only the blocks that hold samples of that range are read
     and decoded, found by the seek table."""
-    keep = [c for c in stored.columns if c != media]
-    if {"sample", "pcm"} & set(keep):
-        raise ValueError("the input already has a column sample or pcm")
+    keep = without([c for c in stored.columns if c != media], ["sample", "pcm"])
     schema = stored.select(*keep).schema.add("sample", "long").add("pcm", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -573,4 +569,4 @@ def pcm_blocks(stored: DataFrame, media: str = "media", first: int | None = None
                 flat = [x for blocks in own for x in blocks]
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in keep), pa.array([x.sample for x in flat], pa.int64()), pa.array([x.pcm for x in flat], pa.binary())], [f.name for f in schema])
 
-    return stored.mapInArrow(run, schema)
+    return stored.select(*keep, media).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import mix
+from tallyspark.llm.common import mix, without
 
 BUCKETS = 1 << 16
 #: About so many labelled rows are read for training, chosen by a hash of their id.
@@ -161,14 +161,12 @@ def infer(model: LanguageModel, texts: list[str], steps: int = 6, penalty: float
     return shares
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, names: tuple[str, ...] = ("lang_pred", "score", "languages", "proportions")) -> DataFrame:
     """``keep`` columns (all by default) with lang_pred, score (its proportion), languages and proportions (the selected set,
-    largest first): a map without shuffle; the model is broadcast."""
-    keep = docs.columns if keep is None else keep
-    new = ["lang_pred", "score", "languages", "proportions"]
-    if set(new) & set(keep):
-        raise ValueError(f"the input already has one of the columns {new}")
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType()))
+    largest first), under ``names``: a map without shuffle; the model is broadcast.  An input column of such a name gives way."""
+    new = list(names)
+    keep = without(docs.columns if keep is None else keep, new)
+    schema = docs.select(*keep).schema.add(new[0], "string").add(new[1], "double").add(new[2], T.ArrayType(T.StringType())).add(new[3], T.ArrayType(T.DoubleType()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     read = [text, *(c for c in keep if c != text)]
 
@@ -176,16 +174,16 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
         m = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(text).to_pylist()]
-            names, best, sets, parts = [], [], [], []
+            first, best, sets, parts = [], [], [], []
             for i, j in _slices(texts):
                 shares = infer(m, texts[i:j])
                 for row in shares:
                     order = [k for k in np.argsort(-row, kind="stable") if row[k] > 0] if len(row) else []
-                    names.append(m.languages[order[0]] if order else "und")
+                    first.append(m.languages[order[0]] if order else "und")
                     best.append(float(min(1.0, row[order[0]])) if order else 0.0)
                     sets.append([m.languages[k] for k in order])
                     parts.append([float(row[k]) for k in order])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], [*keep, *new])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(first, pa.string()), pa.array(best, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], [*keep, *new])
 
     return docs.select(*read).mapInArrow(run, schema)
 

@@ -5,8 +5,8 @@ largest weight / -ln(u).  A shard's score for a key depends on no other shard, s
 itself (about its share of the weights) and a removed one gives its records to the rest.
 
 Defined results: a null key is a key like others (all such rows share a shard); equal keys share a shard; shards of
-weight 0 take nothing; an empty table gives an empty table; all columns of the input are kept, and a clash of the output
-column's name with one of the input's is an error at planning.
+weight 0 take nothing; an empty table gives an empty table; all columns of the input are kept, but one with the output
+column's name gives way to it.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], column: str = "shard") -> DataFrame:
     """``df`` with the shard of each row: a projection, without shuffle or state, that runs the same anywhere."""
-    if column in df.columns:
-        raise ValueError(f"the input already has a column {column}")
     return df.withColumn(column, shard_of(F.col(key), weights))
 
 

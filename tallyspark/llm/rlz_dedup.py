@@ -25,6 +25,7 @@ Columns other than doc_id and text are left out.  Windows are compared by 64-bit
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,7 +132,7 @@ def _block(table: pa.Table) -> tuple[int, pa.Table]:
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed, spans (first word and end of every removed stretch), factors (the same before merging, each
-    with the address of its source), kept (text)."""
+    with the address of its source), kept (text), text_sha256 (of the input text, which tells rows of one doc_id apart)."""
     blocks, shards = corpus_blocks(docs)
 
     def send_anchors(table: pa.Table) -> pa.Table:
@@ -158,7 +159,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFra
         cuts = np.searchsorted(start, parse.bounds)
         raw, offsets = utf8(rows.column("text"))
         raw = raw.tobytes()
-        n_removed, spans, factors, kept = [], [], [], []
+        n_removed, spans, factors, kept, digests = [], [], [], [], []
         for i in range(rows.num_rows):
             a, b = int(parse.bounds[i]), int(parse.bounds[i + 1])
             own, f = raw[offsets[i] : offsets[i + 1]].split(), slice(cuts[i], cuts[i + 1])
@@ -175,13 +176,14 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFra
             spans.append(merged)
             n_removed.append(sum(m["end"] - m["start"] for m in merged))
             kept.append(b" ".join(parts + own[last:]))
+            digests.append(hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).hexdigest())
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         factor = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_block", pa.int32()), ("source_word", pa.int32())]))
-        return pa.table([rows.column("doc_id"), pa.array(np.diff(parse.bounds), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(factors, factor), pa.array(kept, pa.binary()).cast(pa.string())],
-                        ["doc_id", "n_words", "n_removed", "spans", "factors", "kept"])
+        return pa.table([rows.column("doc_id"), pa.array(np.diff(parse.bounds), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(factors, factor), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
+                        ["doc_id", "n_words", "n_removed", "spans", "factors", "kept", "text_sha256"])
 
     first = count_in_shards(blocks.groupBy("block").applyInArrow(send_anchors, SENT), _read)
     second = find_sources(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_windows, _SENT))
     replies = first.unionByName(second.withColumn("shard", F.col("shard") + shards))
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        remove, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, factors array<struct<start:int,end:int,source_block:int,source_word:int>>, kept string")
+        remove, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, factors array<struct<start:int,end:int,source_block:int,source_word:int>>, kept string, text_sha256 string")

@@ -13,7 +13,8 @@ and the summaries (``top`` entries a partition) are added up; the largest ``top`
 never results.
 
 Defined results: null and empty texts have 0 tokens; special strings inside texts are ordinary text; texts are counted
-whole, whatever their length; an empty table gives an empty table.
+whole, whatever their length; an empty table gives an empty table; an input column with the name of an output column
+gives way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _BYTE, mix, slices, sums_of_runs, utf8
+from tallyspark.llm.common import _BYTE, mix, slices, sums_of_runs, utf8, without
 
 #: Entries of the broadcast table: a fixed bound, about 0.5 MB.
 TOP = 16_384
@@ -158,9 +159,7 @@ def frequent_pre_tokens(docs: DataFrame, text: str = "text", top: int = TOP) ->
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, frequent: list[bytes] | None = None) -> DataFrame:
     """``keep`` columns (all others by default) with n_bytes (UTF-8) and n_tokens of each text."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if {"n_bytes", "n_tokens"} & set(keep):
-        raise ValueError("the input already has a column n_bytes or n_tokens")
+    keep = without([c for c in docs.columns if c != text] if keep is None else keep, ["n_bytes", "n_tokens"])
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long")
     frequent = frequent_pre_tokens(docs, text) if frequent is None else frequent
     raw = np.frombuffer(b"".join(frequent), np.uint8)

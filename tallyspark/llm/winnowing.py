@@ -8,7 +8,8 @@ Defined results: null counts as empty; an empty text has no fingerprint (the emp
 gram; two texts without fingerprints are alike (1.0), one with and one without are not (0.0); likeness is the Jaccard
 index of the sets of fingerprint hashes.  The next document follows by ascending doc_id (null first), then text; rows that
 repeat follow each other; the last is followed by the first; a single document follows itself.  Texts of any length are
-read whole, in slices of documents.
+read whole, in slices of documents.  An input column named fingerprint gives way to the output's; the comparison reads
+doc_id and text only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _Q, block_count, mix, packed, sliding_min, sums_of_runs, unpack
+from tallyspark.llm.common import _Q, block_count, mix, packed, sliding_min, sums_of_runs, unpack, without
 
 #: Code points of a gram, and grams of a window: passages of 128 code points are sure to be found.
 K, W = 32, 97
@@ -86,9 +87,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W, text: str = "text") -> DataFrame:
     """``docs`` with a column ``fingerprint`` of each text: a map without shuffle."""
-    if "fingerprint" in docs.columns:
-        raise ValueError("the input already has a column fingerprint")
-    schema = docs.schema.add("fingerprint", "string")
+    keep = without(docs.columns, ["fingerprint"])
+    schema = docs.select(*keep).schema.add("fingerprint", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +97,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W, text: str = "
                 out += fingerprints(texts[i : i + 128], k, w)[0]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(run, schema)
 
 
 def edited(text: str, following: str) -> str:

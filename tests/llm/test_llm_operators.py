@@ -415,8 +415,7 @@ def test_bpe_query_and_columns(spark, folder):
     back = bpe_codec.decode_documents(bpe_codec.encode_documents(docs, path), path)
     assert back.columns == ["doc_id", "lang", "source", "n_chars", "decoded2", "decoded"]
     assert sorted(repr((r.doc_id, r.decoded)) for r in back.collect()) == sorted(repr((d, t or "")) for d, t in documents(spark, folder))
-    with pytest.raises(ValueError):
-        bpe_codec.encode_documents(docs.withColumn("ids", F.lit(1)), path)
+    assert bpe_codec.encode_documents(docs.withColumn("ids", F.lit(1)), path).schema["ids"].dataType.simpleString() == "array<int>"
 
 
 def test_token_counts_equal_the_library(spark):
@@ -538,3 +537,23 @@ def test_pcm_blocks_are_seekable(spark):
     assert [r.sample for r in rows if r.doc_id == 1] == [0, 4096, 8192, 12288, 16384] and rows[0].source == "x"
     part = flac_media.pcm_blocks(stored, first=5000, end=9000).orderBy("doc_id", "sample").collect()
     assert [(r.doc_id, r.sample) for r in part] == [(1, 4096), (1, 8192)]
+
+
+def test_clashing_extra_columns_give_way_or_stay(spark, folder):
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for c in ("Score", "lang_pred", "fingerprint", "n_bytes", "media", "n_tokens", "shard", "kept", "_kept", "_id", "_gone", "_h", "spans", "component_id", "block", "payload"):
+        docs = docs.withColumn(c, F.lit("own"))
+    n = docs.count()
+    model = mixture_langid.fit(docs)
+    assert mixture_langid.identify(docs, model).count() == n
+    assert winnowing.fingerprint_documents(docs).where("fingerprint = 'own'").isEmpty()
+    assert flac_media.read_media(flac_media.to_media(docs)).count() == n
+    assert token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).count() == n
+    assert rendezvous.assign_shards(docs, "doc_id", [1.0, 1.0]).schema["shard"].dataType.simpleString() == "int"
+    assert rlz_dedup.dedup_substrings(docs).count() == signature_tree.near_copies(docs).count() == n
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.written(stage(spark, docs, folder))
+        assert out.columns == docs.columns and out.where("_kept <> 'own' or Score <> 'own'").isEmpty()
+        docs = out
