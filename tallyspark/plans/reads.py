@@ -166,7 +166,20 @@ def expected_reversals(t):
     LEFT JOIN (SELECT account, date, amount_paise, count(*) AS times FROM ({_POST}) WHERE starts_with(account, 'Expenses:') AND amount_paise < 0 GROUP BY 1, 2, 3) e ON e.account = f.account AND e.date = f.date AND e.amount_paise = f.amount_paise""")
 def diagnosis_verdicts(t):
     posted = ledger.postings(_projected(t))
-    own = posted.where("leg = 1 and amount_paise < 0 and id % 50 < 5").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(9))))
+    return _verdicts(posted.where("id % 50 < 5"), posted)
+
+
+@_query(f"""SELECT f.id, CASE WHEN f.n <= coalesce(e.times, 0) THEN 'accepted' ELSE 'fatal' END AS verdict FROM (SELECT id, account, date, amount_paise, row_number() OVER (PARTITION BY account, date, amount_paise ORDER BY id) AS n FROM (
+      SELECT id * 10 + k AS id, CASE WHEN k = 9 THEN NULL ELSE account END AS account, date, amount_paise FROM ({_POST}), (VALUES (1), (2), (9)) AS v(k) WHERE leg = 1 AND amount_paise < 0)) f
+    LEFT JOIN (SELECT account, date, amount_paise, count(*) AS times FROM ({_POST}) WHERE starts_with(account, 'Expenses:') AND amount_paise < 0 GROUP BY 1, 2, 3) e ON e.account = f.account AND e.date = f.date AND e.amount_paise = f.amount_paise""")
+def diagnosis_verdicts_all(t):
+    posted = ledger.postings(_projected(t))
+    return _verdicts(posted, posted)
+
+
+def _verdicts(told, posted):
+    """Verdicts on three findings about each negative contra posting of ``told``: two by the template and one without."""
+    own = told.where("leg = 1 and amount_paise < 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(9))))
     amount = (F.col("amount_paise").cast("decimal(20,4)") / 100).cast("decimal(20,4)").cast("string")
     text = F.when(F.col("k") == 9, "Negative Balance").otherwise(F.concat(F.lit("<b>"), amount, F.lit("</b> got debited from <b>"), F.col("account"), F.lit("</b> on "), F.date_format("date", "dd MMM yyyy")))
     return sync.classify_findings(own.select((F.col("id") * 10 + F.col("k")).alias("id"), text.alias("details")), posted)
@@ -194,6 +207,11 @@ def ledger_lines(t):
     return ledger.journal_lines(ledger.postings(_projected(t)).where(F.length("account") < 48))
 
 
+@_query(f"SELECT id, leg, '    ' || account || repeat(' ', greatest(0, 48 - length(account))) || ' ' || cast(cast(amount_paise AS DECIMAL(20, 2)) / 100 AS DECIMAL(20, 2)) || ' ' || commodity AS line FROM ({_POST})")
+def ledger_lines_all(t):
+    return ledger.journal_lines(ledger.postings(_projected(t)))
+
+
 @_query(f"""SELECT coalesce(v.instrument, l.instrument) AS instrument, quantity, unit_price, lots, cost_paise FROM (SELECT instrument, cast(sum(units) AS BIGINT) AS quantity, cast(CASE WHEN count(DISTINCT nav) = 1 THEN max(nav) END AS BIGINT) AS unit_price FROM ({_LOTS}) WHERE upload_id % 10 = 0 AND instrument IS NOT NULL GROUP BY 1) v
     FULL JOIN (SELECT instrument, count(*) AS lots, cast(sum(units * nav) * 100 AS BIGINT) AS cost_paise FROM ({_CANON}) GROUP BY 1) l ON l.instrument = v.instrument""")
 def investment_positions(t):
@@ -201,6 +219,13 @@ def investment_positions(t):
     return investments.positions(raw.where("upload_id % 10 = 0 and instrument is not null"), investments.canonical_lots(raw))
 
 
+@_query(f"""SELECT coalesce(v.instrument, l.instrument) AS instrument, quantity, unit_price, lots, cost_paise FROM (SELECT instrument, cast(sum(units) AS BIGINT) AS quantity, cast(CASE WHEN count(DISTINCT nav) = 1 THEN max(nav) END AS BIGINT) AS unit_price FROM ({_LOTS}) WHERE instrument IS NOT NULL GROUP BY 1) v
+    FULL JOIN (SELECT instrument, count(*) AS lots, cast(sum(units * nav) * 100 AS BIGINT) AS cost_paise FROM ({_CANON}) GROUP BY 1) l ON l.instrument = v.instrument""")
+def investment_positions_all(t):
+    raw = investments.classify(t["raw_lots"])
+    return investments.positions(raw.where("instrument is not null"), investments.canonical_lots(raw))
+
+
 @_query("""SELECT portfolio_key, id AS upload_id, portfolio_ok FROM (SELECT *, row_number() OVER (PARTITION BY upper(trim(portfolio_key)) ORDER BY statement_date DESC, id DESC) AS r FROM cas_uploads) WHERE r = 1""")
 def latest_portfolios(t):
     g = t["cas_uploads"].groupBy(F.upper(F.trim("portfolio_key")).alias("k")).agg(F.max_by(F.struct("portfolio_key", "id", "portfolio_ok"), F.struct("statement_date", "id")).alias("u"))
@@ -327,6 +352,13 @@ def similar_examples(t):
     return evidence.similar_examples(t["transactions"], targets)
 
 
+@_query(f"""SELECT target, id, cast(r AS INTEGER) AS place FROM (SELECT x.target, c.id, row_number() OVER (PARTITION BY x.target ORDER BY c.created_at DESC, c.id DESC) AS r FROM (SELECT id AS target, direction, {_NCP.format('counterparty')} AS cp FROM transactions) x
+    JOIN (SELECT * FROM (SELECT id, direction, created_at, {_NCP.format('counterparty')} AS cp, row_number() OVER (PARTITION BY direction ORDER BY created_at DESC, id DESC) AS k FROM transactions WHERE category IS NOT NULL AND category_method IN ('manual', 'rule') AND direction IN ('credit', 'debit')) WHERE k <= 200) c
+    ON c.direction = x.direction AND x.cp <> '' AND c.cp <> '' AND (contains(c.cp, x.cp) OR contains(x.cp, c.cp))) WHERE r <= 5""")
+def similar_examples_all(t):
+    return evidence.similar_examples(t["transactions"], t["transactions"].select(F.col("id").alias("target"), "direction", "counterparty"))
+
+
 @_query("""SELECT p_partkey, scope, source_ref, instrument, cast(row_number() OVER (PARTITION BY p_partkey, scope, source_ref, instrument ORDER BY q) - 1 AS INTEGER) AS occurrence, cast(v * 100 AS BIGINT) AS value_paise FROM (
     SELECT p_partkey, 'demat' AS scope, 'D' || p_size % 3 AS source_ref, 'INE' || (p_size + k) % 2 AS instrument, k AS q, cast(p_size + k AS DECIMAL(16, 2)) AS v FROM part, (VALUES (0), (1), (2)) AS x(k)
     UNION ALL SELECT p_partkey, 'folio', 'F' || p_size % 4, 'INF' || p_size % 5, 0, NULL FROM part WHERE p_size % 2 = 0)""")
