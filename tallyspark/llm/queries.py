@@ -32,6 +32,10 @@ def op4_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_signature_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.near_copy_links(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = mixture_langid.fit(docs.where(~mixture_langid.held_out(F.col("doc_id"))))
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op2_flac_media": op2_flac_media,
         "op3_winnowing": op3_winnowing,
         "op4_signature_tree": op4_signature_tree,
+        "op4_signature_links": op4_signature_links,
         "op5_mixture_langid": op5_mixture_langid,
         "op6_entropy_mix": op6_entropy_mix,
         "op7_bpe_codec": op7_bpe_codec,

@@ -16,6 +16,10 @@ documents are all in one component already; pairs of documents that are left are
 cut into chunks by size and joined chunk against chunk, so no task holds a family; documents with identical sets are one
 entry a block.
 
+That is all components need.  For the join itself (``near_copy_links``, ``link_pairs``) the traversal keeps pairs within
+one component: every pair of distinct sets that passes is found, and counts for as many links as rows stand behind its
+sets.  Equal sets are one entry of the whole corpus there.
+
 Defined results: a document without words has an empty set and no links; with fewer words than a shingle, the whole
 sequence is its one shingle; null text counts as empty; rows that share a doc_id are one node, whose links add up (a null
 doc_id is one such node, and the last to name a component); an empty table gives an empty table.  Only doc_id and text are read.  Shingles are compared by
@@ -123,12 +127,35 @@ def _all_one(forest: Forest, x: np.ndarray, y: np.ndarray) -> bool:
     return all(forest.find(int(i)) == root for part in (x, y) for i in part)
 
 
-def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, threshold: int) -> list[tuple[int, int]]:
+class Leaf:
+    """Sets of a few documents as a matrix over their tokens."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every = np.concatenate(sets)
+        self.tokens, at = np.unique(every, return_inverse=True)
+        self.matrix = np.zeros((len(sets), len(self.tokens)), np.float32)
+        self.matrix[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at] = 1
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections of each own set with each of ``sets``."""
+        every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        other = np.zeros((len(self.tokens), len(sets)), np.float32)
+        at = np.minimum(np.searchsorted(self.tokens, every), len(self.tokens) - 1)
+        hit = self.tokens[at] == every
+        other[at[hit], of[hit]] = 1
+        return np.rint(self.matrix @ other).astype(np.int64)
+
+
+def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, threshold: int, found=None) -> list[tuple[int, int]]:
     """Links that join components, of a document of each tree (the same tree twice: within it).  ``members`` are positions
-    in the forest.  All links between the trees' documents are implied by the components afterwards."""
+    in the forest.  All links between the trees' documents are implied by the components afterwards.
+
+    With ``found`` no pair is skipped for being in one component: it is called with arrays of the members (x, y) of all
+    pairs that link, a few at a time and each pair once."""
     links: list[tuple[int, int]] = []
     if not left.nodes or not right.nodes:
         return links
+    leaves: dict[tuple[int, int], Leaf] = {}
     same = left is right
     todo = [((0, len(left.sets)), (0, len(right.sets)))]
     while todo:
@@ -137,7 +164,7 @@ def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, thresho
         if 100 * high_p < threshold * low_q or 100 * high_q < threshold * low_p:
             continue
         most = min(high_p, high_q, int(np.bitwise_count(bits_p & bits_q).sum()) + min(hidden_p, hidden_q))
-        if most < required(low_p, low_q, threshold) or _all_one(forest, left.members[p[0] : p[1]], right.members[q[0] : q[1]]):
+        if most < required(low_p, low_q, threshold) or not found and _all_one(forest, left.members[p[0] : p[1]], right.members[q[0] : q[1]]):
             continue
         big_p, big_q = p[1] - p[0] > LEAF, q[1] - q[0] > LEAF
         if big_p or big_q:
@@ -148,6 +175,16 @@ def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, thresho
         common = np.bitwise_count(left.bitmap[p[0] : p[1], None] & right.bitmap[None, q[0] : q[1]]).sum(axis=2)
         bound = common + np.minimum(left.hidden[p[0] : p[1], None], right.hidden[None, q[0] : q[1]])
         total = left.sizes[p[0] : p[1], None] + right.sizes[None, q[0] : q[1]]
+        if found:
+            if ((100 + threshold) * bound >= threshold * total).any():
+                if p not in leaves:
+                    leaves[p] = Leaf(left.sets[p[0] : p[1]])
+                passed = (100 + threshold) * leaves[p].common(right.sets[q[0] : q[1]]) >= threshold * total
+                x, y = np.nonzero(np.triu(passed, 1) if same and p == q else passed)
+                x, y = left.members[x + p[0]], right.members[y + q[0]]
+                found(x, y)
+                links += [(a, b) for a, b in zip(x.tolist(), y.tolist()) if forest.join(a, b)]
+            continue
         for i, j in np.argwhere((100 + threshold) * bound >= threshold * total).tolist():
             i, j = i + p[0], j + q[0]
             if same and i >= j:
@@ -162,12 +199,12 @@ def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, thresho
     return links
 
 
-_PREPARED = "node long, doc_id long, n_shingles long, same_as long, shared binary, prefix array<long>"
+_PREPARED = "node long, doc_id long, n_shingles long, same_as long, shared binary, prefix array<long>, set_id long"
 
 
 def prepare(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Every document with its set's size; candidates also with ``same_as`` (the first document of their block that has
-    the same set), which alone gets ``shared`` (its tokens that others have) and ``prefix`` (those to meet partners by)."""
+    the same set), which alone gets ``shared`` (its tokens that others have) and ``prefix`` (those to meet partners by).  Equal sets have the same ``set_id``."""
     blocks, shards = corpus_blocks(docs)
 
     def send(table: pa.Table) -> pa.Table:
@@ -183,38 +220,40 @@ def prepare(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -
         values = np.unique(everything)
         level = joined_answers(replies)[np.searchsorted(values, everything)] if len(values) else np.zeros(0, np.uint8)
         ids = rows.column("doc_id").fill_null(NO_ID).to_pylist()
-        at, first, same, shared, prefix = 0, {}, [], [], []
+        at, first, same, shared, prefix, set_id = 0, {}, [], [], [], []
         for i, s in zip(ids, sets, strict=True):
             own, at = level[at : at + len(s)], at + len(s)
             n = len(s)
             if not n or 100 * int((own > 0).sum()) < threshold * n:
-                same.append(None), shared.append(None), prefix.append(None)
+                same.append(None), shared.append(None), prefix.append(None), set_id.append(None)
                 continue
             key = s.tobytes()
             if key in first:
-                same.append(first[key]), shared.append(None), prefix.append(None)
+                same.append(first[key][0]), shared.append(None), prefix.append(None), set_id.append(first[key][1])
                 continue
-            first[key] = i
             # the set itself is a token too, by which equal sets meet
             whole = mix(np.array([n], np.uint64) + np.bitwise_xor.reduce(mix(s), keepdims=True) * np.uint64(3))
+            first[key] = i, int(whole.view(np.int64)[0])
+            set_id.append(first[key][1])
             order = np.lexsort((s, own))[: n - -(-threshold * n // 100) + 1]
             same.append(i), shared.append(s[own > 0].tobytes()), prefix.append(np.concatenate([s[order][own[order] > 0], whole]).view(np.int64).tolist())
-        return pa.table([pa.array(ids, pa.int64()), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                        ["node", "doc_id", "n_shingles", "same_as", "shared", "prefix"])
+        return pa.table([pa.array(ids, pa.int64()), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(set_id, pa.int64())],
+                        ["node", "doc_id", "n_shingles", "same_as", "shared", "prefix", "set_id"])
 
     answers = count_in_shards(blocks.groupBy("block").applyInArrow(send, SENT), _decode)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pick, _PREPARED)
 
 
 def family_tasks(prepared: DataFrame, threshold: int, chunk_tokens: int) -> DataFrame:
-    """Rows (task, label, i, j, side, node, n_shingles, shared): what each tree join reads.
+    """Rows (task, label, i, j, side, node, n_shingles, shared, and copies where there are any): what each tree join reads.
 
     Families up to ``chunk_tokens`` share tasks; larger ones are cut by size into chunks, of which those whose sizes can
     link meet two by two."""
     tokens = prepared.where("prefix is not null").select("node", F.explode("prefix").alias("token")).distinct()
     hubs = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
     families = components(tokens.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    members = prepared.where("shared is not null").select("node", "n_shingles", "shared")
+    own = ["shared", *(c for c in prepared.columns if c == "copies")]
+    members = prepared.where("shared is not null").select("node", "n_shingles", *own)
     total = members.agg(F.sum(F.length("shared"))).first()[0] or 0
     buckets = max(1, -(-int(total) // (2 * 8 * chunk_tokens)))
     placed = written(ranked(families.join(members.select("node", "n_shingles").distinct(), "node").select("label", "n_shingles", "node"), ["label", "n_shingles"], ["node"], "at"))
@@ -230,37 +269,111 @@ def family_tasks(prepared: DataFrame, threshold: int, chunk_tokens: int) -> Data
     sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")))).otherwise(
         F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side"))))
     needs = pairs.select("task", "label", "i", "j", F.explode(sides).alias("s")).select("task", "label", "i", "j", F.col("s.chunk").alias("chunk"), F.col("s.side").alias("side"))
-    return placed.select("label", "chunk", "node", "n_shingles").join(needs, ["label", "chunk"]).join(members, ["node", "n_shingles"]).select("task", "label", "i", "j", "side", "node", "n_shingles", "shared")
+    return placed.select("label", "chunk", "node", "n_shingles").join(needs, ["label", "chunk"]).join(members, ["node", "n_shingles"]).select("task", "label", "i", "j", "side", "node", "n_shingles", *own)
+
+
+def _joins(table: pa.Table):
+    """(nodes, copies, left tree, right tree) of each chunk pair of a task; members of the trees are positions in nodes."""
+    label, i, j, side = (table.column(c).to_numpy() for c in ("label", "i", "j", "side"))
+    node, size, shared = table.column("node").to_numpy(), table.column("n_shingles").to_numpy(), table.column("shared")
+    copies = table.column("copies").to_numpy() if "copies" in table.column_names else np.ones(len(node), np.int64)
+    order = np.lexsort((side, j, i, label))
+    cuts = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+    for rows in np.split(order, cuts):
+        sets = [np.frombuffer(shared[int(r)].as_buffer(), np.uint64) for r in rows]
+        ids, one, at = np.unique(node[rows], return_index=True, return_inverse=True)
+        trees = []
+        for s in (0, 1):
+            own = np.flatnonzero(side[rows] == s)
+            trees.append(SignatureTree([sets[k] for k in own], size[rows][own], at[own]) if len(own) else None)
+        yield ids, copies[rows][one], trees[0], trees[1] or trees[0]
 
 
 def family_links(prepared: DataFrame, threshold: int = THRESHOLD, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Links (a, b) that connect all linked candidates: within families, by signature trees."""
 
     def run(table: pa.Table) -> pa.Table:
-        label, i, j, side = (table.column(c).to_numpy() for c in ("label", "i", "j", "side"))
-        node, size, shared = table.column("node").to_numpy(), table.column("n_shingles").to_numpy(), table.column("shared")
-        order = np.lexsort((side, j, i, label))
-        cuts = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         a, b = [], []
-        for rows in np.split(order, cuts):
-            sets = [np.frombuffer(shared[int(r)].as_buffer(), np.uint64) for r in rows]
-            ids, at = np.unique(node[rows], return_inverse=True)
-            forest, trees = Forest(len(ids)), []
-            for s in (0, 1):
-                own = np.flatnonzero(side[rows] == s)
-                trees.append(SignatureTree([sets[k] for k in own], size[rows][own], at[own]) if len(own) else None)
-            for x, y in dual_join(trees[0], trees[1] or trees[0], forest, threshold):
+        for ids, _, left, right in _joins(table):
+            for x, y in dual_join(left, right, Forest(len(ids)), threshold):
                 a.append(int(ids[x])), b.append(int(ids[y]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return family_tasks(prepared, threshold, chunk_tokens).groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
+def distinct_sets(prepared: DataFrame) -> DataFrame:
+    """One row a distinct set of candidates: ``node`` (its set_id), ``first`` (the smallest node that has it), ``copies``
+    (rows that have it), n_shingles, shared and prefix."""
+    known = prepared.where("set_id is not null")
+    g = known.groupBy(F.col("set_id").alias("_s")).agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("shared").isNotNull(), F.col("node"))).alias("first"))
+    one = known.where("shared is not null").join(g, (F.col("set_id") == F.col("_s")) & (F.col("node") == F.col("first")))
+    return one.select(F.col("set_id").alias("node"), "first", "copies", "n_shingles", "shared", "prefix")
+
+
+def link_pairs(sets: DataFrame, threshold: int = THRESHOLD, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Every pair (a, b) of distinct sets that link, once, by their set_ids; ``sets`` are those of ``distinct_sets``.
+
+    The pairs of a group of different near copies grow with its square."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for ids, _, left, right in _joins(table):
+            dual_join(left, right, Forest(len(ids)), threshold, lambda x, y, ids=ids: (a.append(np.minimum(ids[x], ids[y])), b.append(np.maximum(ids[x], ids[y]))))
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return family_tasks(sets, threshold, chunk_tokens).groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def weighted_links(sets: DataFrame, threshold: int = THRESHOLD, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """All pairs of ``link_pairs``, added up in the tasks: rows (a, null, n) with the rows n behind sets that link with a,
+    and rows (a, b, null) of pairs that connect the components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, n = [], [], []
+        for ids, copies, left, right in _joins(table):
+            weight = np.zeros(len(ids), np.int64)
+
+            def found(x, y, weight=weight, copies=copies):
+                np.add.at(weight, x, copies[y])
+                np.add.at(weight, y, copies[x])
+
+            for x, y in dual_join(left, right, Forest(len(ids)), threshold, found):
+                a.append(int(ids[x])), b.append(int(ids[y])), n.append(None)
+            for x in np.flatnonzero(weight).tolist():
+                a.append(int(ids[x])), b.append(None), n.append(int(weight[x]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    return family_tasks(sets, threshold, chunk_tokens).groupBy("task").applyInArrow(run, "a long, b long, n long")
+
+
+def near_copy_links(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """The columns of ``near_copies``, with components taken from all links, and n_links: how many other rows link with a
+    row, those of equal sets and of its own doc_id among them."""
     prepared = written(prepare(docs, width, threshold))
-    found = components(family_links(prepared, threshold)).select(F.col("node").alias("_first"), "label")
+    sets = written(distinct_sets(prepared))
+    links = written(weighted_links(sets, threshold, chunk_tokens))
+    others = links.where("b is null").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("n"))
+    counted = sets.join(others, F.col("node") == F.col("_a"), "left").select(F.col("node").alias("_set"), "first", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    # one row a block and set, so that copies meet theirs within their block's share of them
+    entries = written(prepared.where("shared is not null").select("node", "set_id").join(counted, F.col("set_id") == F.col("_set")).select(F.col("node").alias("_node"), "_set", "first", "n_links"))
+    name = sets.select(F.col("node").alias("_k"), "first")
+    pairs = links.where("b is not null").select("a", "b").join(name.select(F.col("_k").alias("_ka"), F.col("first").alias("fa")), F.col("a") == F.col("_ka")).join(name.select(F.col("_k").alias("_kb"), F.col("first").alias("fb")), F.col("b") == F.col("_kb"))
+    edges = pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionByName(entries.select(F.col("_node").alias("a"), F.col("first").alias("b")))
+    counts = entries.select("_node", "_set", "n_links")
+    out = _labelled(prepared, edges, "set_id").join(counts, (F.col("_own") == F.col("_node")) & (F.col("set_id") == F.col("_set")), "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _labelled(prepared: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    found = components(edges).select(F.col("node").alias("_first"), "label")
     own = F.coalesce("same_as", "node")
-    out = prepared.select("doc_id", "n_shingles", own.alias("_own")).join(found, F.col("_own") == F.col("_first"), "left")
+    out = prepared.select("doc_id", "n_shingles", own.alias("_own"), *more).join(found, F.col("_own") == F.col("_first"), "left")
     label = F.when(F.col("n_shingles") == 0, F.coalesce("doc_id", F.lit(NO_ID))).otherwise(F.coalesce("label", "_own"))
-    return out.select("doc_id", "n_shingles", F.when(label != NO_ID, label).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(label != NO_ID, label).alias("component_id"), "_own", *more)
+
+
+def near_copies(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
+    prepared = written(prepare(docs, width, threshold))
+    return _labelled(prepared, family_links(prepared, threshold)).drop("_own")
