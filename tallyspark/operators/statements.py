@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import paise, parse_amount, parse_day_first
+from tallyspark.operators import evidence
 
 
 def parsed(uploads: DataFrame) -> DataFrame:
@@ -64,24 +65,46 @@ def extra(rows: DataFrame, txns: DataFrame) -> DataFrame:
     return inside.join(candidates(rows, txns).select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti").select("id", "account_id")
 
 
+def judged(rows: DataFrame, txns: DataFrame, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """``candidates`` with fits (the evidence lets the stored row be the statement's) and strong (one's reference stands in
+    the other's text).  Columns that a table lacks count as null."""
+    has = lambda df, name, kind: F.col(name) if name in df.columns else F.lit(None).cast(kind)
+    stmt = rows.select(F.col("stmt_idx").alias("_s"), F.trim("reference_number").alias("_sr"), has(rows, "narration", "string").alias("_st"), has(rows, "balance", "decimal(20,2)").alias("_sb"), has(rows, "channel", "string").alias("_sc"), F.col("direction").alias("_sd"), F.col("amount").alias("_sm"))
+    text = F.coalesce(has(txns, "raw_description", "string"), has(txns, "counterparty", "string"))
+    own = txns.select(F.col("id").alias("_t"), F.trim("reference_number").alias("_tr"), text.alias("_tt"), has(txns, "balance", "decimal(20,2)").alias("_tb"), has(txns, "channel", "string").alias("_tc"))
+    j = candidates(rows, txns).join(stmt, F.col("stmt_idx") == F.col("_s")).join(own, F.col("id") == F.col("_t"))
+    fits = evidence.compatible(F.col("_sr"), F.col("_st"), F.col("_sb"), F.col("_sc"), F.col("_tr"), F.col("_tt"), F.col("_tb"), F.col("_tc"), F.col("offset") != 0, list(leave_out))
+    strong = evidence.reference_in(F.col("_tr"), F.col("_st")) | evidence.reference_in(F.col("_sr"), F.col("_tt"))
+    return j.select("stmt_idx", "id", "offset", "same_reference", F.coalesce(fits, F.lit(False)).alias("fits"), strong.alias("strong"), "account_id", F.col("_sd").alias("direction"), F.col("_sm").alias("amount"))
+
+
 def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
-    """Statement rows assigned to stored rows: unique references first, then offsets 0, -1, +1 where one candidate is left;
-    a row whose candidate several rows reach is ambiguous.  Tasks hold the candidate pairs of a share of the accounts."""
+    """Statement rows assigned to stored rows: unique references first, then the first of the offsets 0, -1, +1 where one
+    compatible candidate is left, among those with strong evidence where there are any.  A row that picks what another
+    row without a reference match can reach at any offset is ambiguous, as is one with candidates and no pick; a row without
+    compatible candidates is missing.  Tasks hold candidate pairs by account, direction and amount, within which rows meet."""
     schema = "stmt_idx long, id long, status string"
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = pdf.drop_duplicates(["stmt_idx", "id"]).sort_values(["stmt_idx", "id"])
-        every, done = pairs.stmt_idx.unique(), []
-        for status, pick in (("reference", pairs.same_reference), ("date", pairs.offset == 0), ("date-1", pairs.offset == -1), ("date+1", pairs.offset == 1)):
-            open_ = pairs[pick & ~pairs.stmt_idx.isin([s for d in done for s in d.stmt_idx]) & ~pairs.id.isin([i for d in done for i in d.id])]
-            sole = (open_.groupby("stmt_idx").id.transform("size") == 1) & (open_.groupby("id").stmt_idx.transform("size") == 1)
-            done.append(open_[sole][["stmt_idx", "id"]].assign(status=status))
+        every = pairs.stmt_idx[pairs.fits | pairs.same_reference].unique()
+        told = pairs[pairs.same_reference]
+        told = told[(told.groupby("stmt_idx").id.transform("size") == 1) & (told.groupby("id").stmt_idx.transform("size") == 1)]
+        done, rest = [told[["stmt_idx", "id"]].assign(status="reference")], pairs[pairs.fits & ~pairs.stmt_idx.isin(told.stmt_idx)]
+        contested = rest.groupby("id").stmt_idx.transform("size") > 1
+        rest = rest.assign(contested=contested)[~rest.id.isin(told.id)]
+        for status, offset in (("date", 0), ("date-1", -1), ("date+1", 1)):
+            open_ = rest[rest.offset == offset]
+            pool = open_[open_.strong | ~open_.groupby("stmt_idx").strong.transform("any")]
+            picks = pool[pool.groupby("stmt_idx").id.transform("size") == 1]
+            done.append(picks[~picks.contested][["stmt_idx", "id"]].assign(status=status))
+            rest = rest[~rest.stmt_idx.isin(picks.stmt_idx) & ~rest.id.isin(picks.id)]
         found = pd.concat(done)
-        rest = pd.DataFrame({"stmt_idx": [s for s in every if s not in set(found.stmt_idx)]}).assign(id=None, status="ambiguous")
-        return pd.concat([found.astype({"id": "Int64"}), rest.astype({"id": "Int64", "stmt_idx": "int64"})])
+        left = pd.DataFrame({"stmt_idx": every[~pd.Series(every, dtype="int64").isin(found.stmt_idx).to_numpy()]}).assign(id=None, status="ambiguous")
+        return pd.concat([found.astype({"id": "Int64"}), left.astype({"id": "Int64", "stmt_idx": "int64"})])
 
     shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = candidates(rows, txns).withColumn("share", F.pmod(F.xxhash64("account_id"), F.lit(shares))).groupBy("share").applyInPandas(assign, schema)
+    found = judged(rows, txns).withColumn("share", F.pmod(F.xxhash64("account_id", "direction", "amount"), F.lit(shares))).select("share", "stmt_idx", "id", "offset", "same_reference", "fits", "strong").groupBy("share").applyInPandas(assign, schema)
     return rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.lit("missing")).alias("status"))
 
 
