@@ -1,9 +1,9 @@
-"""Shared helpers: corpus blocks, shard exchange and vectorised word hashing.
+"""Shared helpers: corpus blocks, shard exchange, vectorised word hashing and hash tables.
 
-A *block* is a fixed-size share of the corpus, dealt by a hash of the document id, so that no source,
-key or group of copies makes a block large.  A *shard* is a share of the hash space; a block sends a
-shard one binary row with all of its hashes in that shard, so that frequent values cost one entry per
-block and shards stay even whatever the text looks like.
+A *block* is a fixed-size share of the corpus, dealt by a hash of document id and text, so that no source, no null or
+repeated id and no group of copies makes a block large; rows that repeat entirely are one entry a map batch, with a
+count.  A *shard* is a share of the hash space; a block sends a shard one binary row with all of its hashes in that
+shard, so that frequent values cost one entry per block and shards stay even whatever the text looks like.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ import ctypes
 import itertools
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Raw text bytes in a block: bounds a Python worker's memory, so the number of blocks grows with the data.
@@ -25,10 +25,10 @@ BLOCK_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-
-def _give_memory_back() -> None:
-    """Large arrays go back to the system when they are freed.  Workers live through many stages, and by default glibc and
-    Arrow's pool would keep each worker at the largest size that it ever had."""
+@lru_cache(maxsize=1)
+def give_memory_back() -> None:
+    """Called by functions that run in Python workers: large arrays go back to the system when they are freed.  Workers
+    live through many stages, and by default glibc and Arrow's pool would keep each at the largest size that it ever had."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
@@ -38,7 +38,6 @@ def _give_memory_back() -> None:
         pass
 
 
-_give_memory_back()
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -69,9 +68,14 @@ def unused(columns: list[str], *names: str) -> list[str]:
 
 
 def working_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir`` (one under /tmp where the session names none, as in tests)."""
+    """A new folder under ``spark.checkpoint.dir``.  Where the session names none, a local session gets one under /tmp, and
+    one on a cluster is refused, as its executors don't share a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file:///tmp/tallyspark-checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/tallyspark-checkpoints"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -87,8 +91,8 @@ def block_count(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
     return max(1, -(-int(total) // block_bytes))
 
 
-def block_of(key: str | object, blocks: int):
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
+def block_of(blocks: int, *keys: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int").alias("block")
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -100,6 +104,7 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
 
 def unpack(payloads: pa.ChunkedArray | pa.Array, order: list[str] | None = None) -> pa.Table | None:
     """The rows of packed payloads, in a reproducible order."""
+    give_memory_back()
     tables = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in payloads]
     if not tables:
         return None
@@ -107,17 +112,22 @@ def unpack(payloads: pa.ChunkedArray | pa.Array, order: list[str] | None = None)
     return out.take(pc.sort_indices(out, [(c, "ascending") for c in order])) if order else out
 
 
-def packed(df: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` as (key, payload): each batch's rows of one key compressed together, which shuffles
-    a fraction of the bytes of plain rows."""
+def packed(df: DataFrame, key: str, times: str | None = None) -> DataFrame:
+    """Rows of ``df`` as (key, payload): each batch's rows of one key compressed together, which shuffles a fraction of the
+    bytes of plain rows.  With ``times``, rows that repeat in a batch are one row, and that column counts them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         for b in batches:
             if not b.num_rows:
                 continue
             keys = b.column(key).to_numpy(zero_copy_only=False)
             rest = b.select([n for n in b.schema.names if n != key])
             order = np.argsort(keys, kind="stable")
+            if times:
+                once, n = distinct_rows(rest)
+                rest = rest.append_column(times, pa.array(n, pa.int64()))
+                order = order[once[order]]
             cuts = np.flatnonzero(np.diff(keys[order])) + 1
             ks, payloads = [], []
             for part in np.split(order, cuts):
@@ -128,6 +138,34 @@ def packed(df: DataFrame, key: str) -> DataFrame:
     return df.mapInArrow(pack, "key int, payload binary").withColumnRenamed("key", key)
 
 
+def distinct_rows(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the first of their kind, and for those how many there are (columns of any type, compared by value)."""
+    codes = np.zeros(rows.num_rows, np.int64)
+    for c in rows.columns:
+        coded = c.dictionary_encode(null_encoding="encode")
+        coded = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, codes = np.unique(codes * (int(coded.max(initial=0)) + 1) + coded, return_inverse=True)
+    _, first, n = np.unique(codes, return_index=True, return_counts=True)
+    once, times = np.zeros(rows.num_rows, bool), np.ones(rows.num_rows, np.int64)
+    once[first], times[first] = True, n
+    return once, times
+
+
+#: Rows that one row of a count is written out as at a time.
+PIECE = 10_000
+
+
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` (a positive long) says, without that column.  Counts are cut into pieces,
+    so no array is longer than ``PIECE``."""
+    if "_repeat" in df.columns:
+        raise ValueError("_repeat is taken")
+    rest = [F.col(c) for c in df.columns if c != times]
+    big = df.select(*rest, F.col(times).alias("_repeat"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(PIECE * PIECE).cast("long"))).alias("_a"))
+    mid = big.select(*rest, "_repeat", "_a", F.explode(F.sequence(F.col("_a"), F.least(F.col("_repeat"), F.col("_a") + PIECE * PIECE) - 1, F.lit(PIECE).cast("long"))).alias("_b"))
+    return mid.select(*rest, F.explode(F.sequence(F.col("_b"), F.least(F.col("_repeat"), F.col("_a") + PIECE * PIECE, F.col("_b") + PIECE) - 1)).alias("_c")).drop("_c")
+
+
 def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``most`` bytes together (a longer document alone)."""
     i, n = 0, len(offsets) - 1
@@ -139,6 +177,7 @@ def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without copies of single values, and the n + 1 offsets; null counts as empty."""
+    give_memory_back()
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(a, pa.ChunkedArray):
         a = pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], pa.string())
@@ -153,6 +192,86 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes that vectorised passes take at a time; longer texts are cut where the pass allows it.
+STEP = 1 << 19
+
+
+def parts_of_texts(raw: np.ndarray, offsets: np.ndarray, cut, most: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in parts of about ``most`` bytes together: bytes, offsets of the parts, each part's text, whether it goes on
+    with a text that an earlier part began.  A text longer than ``most`` is cut at ``cut(raw, low, high)``: a position
+    behind low, at most high where there is one, at which the pass over both sides gives what it gives over the whole
+    (the length of raw if there is none)."""
+    for i, j in slices(offsets, most):
+        a, b = int(offsets[i]), int(offsets[j])
+        if b - a <= 2 * most:
+            yield raw[a:b], offsets[i : j + 1] - a, np.arange(i, j), np.zeros(j - i, bool)
+            continue
+        own, at = raw[a:b], 0
+        while at < len(own):
+            end = len(own) if len(own) - at <= 2 * most else int(cut(own, at, at + most))
+            yield own[at:end], np.array([0, end - at], np.int64), np.array([i]), np.array([at > 0])
+            at = end
+
+
+def cut_at(allowed):
+    """A ``cut`` for ``parts_of_texts`` from ``allowed(window)``: for each byte of a window but the first, whether the text may
+    be cut in front of it (decided by that byte and those next to it)."""
+
+    def cut(raw: np.ndarray, low: int, high: int) -> int:
+        step, end = high - low, high
+        begin = low
+        while begin < len(raw):
+            found = np.flatnonzero(allowed(raw[begin:end])[1:])
+            if len(found):
+                return begin + 1 + int(found[-1] if begin == low else found[0])
+            begin, end = end - 1, min(end + step, len(raw))
+            if begin >= len(raw) - 1:
+                break
+        return len(raw)
+
+    return cut
+
+
+def runs_gathered(source: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """source[first:first + size] of each pair, one behind the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return source[np.arange(total) + np.repeat(first - (ends - size), size)]
+
+
+class HashTable:
+    """Open addressing over scrambled 64-bit keys: slot = the key's top bits, then the next ones; a quarter full at most."""
+
+    def __init__(self, most_entries: int):
+        bits = max(4, int(4 * most_entries - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.entries = 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that the table doesn't hold yet."""
+        self.entries += len(keys)
+        at = (keys >> self.shift).astype(np.int64)
+        while len(keys):
+            _, first = np.unique(at, return_index=True)
+            first = first[self.values[at[first]] < 0]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where the table doesn't hold it."""
+        at = (keys >> self.shift).astype(np.int64)
+        out = self.values[at]
+        look = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
+        while len(look):
+            at[look] = (at[look] + 1) & self.mask
+            out[look] = self.values[at[look]]
+            look = look[(self.keys[at[look]] != keys[look]) & (out[look] >= 0)]
+        return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values, which leaves no arithmetic structure."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -256,7 +375,14 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, per_tas
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     out = counted.withColumn("_before", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(starts, on)
-    return out.select(*cols, F.explode(F.sequence(F.col("_start") + F.col("_before"), F.col("_start") + F.col("_before") + F.col("_n") - 1)).alias(rank))
+    first = F.col("_start") + F.col("_before")
+    big = out.select(*cols, first.alias("_first"), (first + F.col("_n")).alias("_end"))
+    # equal rows are written out in pieces, which are dealt anew: first those of PIECE squared, then those of PIECE
+    step = lambda a, b, n: F.explode(F.sequence(a, b - 1, F.lit(n).cast("long")))
+    big = big.select(*cols, "_end", step(F.col("_first"), F.col("_end"), PIECE * PIECE).alias("_a"))
+    mid = big.select(*cols, F.least("_end", F.col("_a") + PIECE * PIECE).alias("_end"), step(F.col("_a"), F.least("_end", F.col("_a") + PIECE * PIECE), PIECE).alias("_b"))
+    mid = mid.repartition(*cols, "_b")
+    return mid.select(*cols, step(F.col("_b"), F.least("_end", F.col("_b") + PIECE), 1).alias(rank))
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 256) -> Iterator[pa.RecordBatch]:
@@ -266,21 +392,38 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 256) -> Ite
 
 
 def corpus_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, payload) rows of the table's (doc_id, text), and the number of blocks."""
+    """(block, payload) rows of the table's (doc_id, text, times), and the number of blocks; ``times`` counts equal rows."""
     blocks = block_count(docs, text, block_bytes)
-    rows = docs.select(block_of(key, blocks), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(block_of(blocks, key), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return packed(rows, "block"), blocks
 
 
+def block_rows(table: pa.Table) -> tuple[int, pa.Table]:
+    """A block's number and its distinct rows (doc_id, text, times), by id and text."""
+    rows = unpack(table.column("payload"), ["doc_id", "text"])
+    again = np.ones(max(0, rows.num_rows - 1), bool)
+    for c in ("doc_id", "text"):
+        left, right = rows.column(c).slice(0, len(again)), rows.column(c).slice(1)
+        same = pc.or_(pc.fill_null(pc.equal(left, right), False), pc.and_(pc.is_null(left), pc.is_null(right)))
+        again &= same.to_numpy()
+    first = np.flatnonzero(np.r_[True, ~again][: rows.num_rows])
+    times = np.add.reduceat(rows.column("times").to_numpy(), first) if len(first) else np.zeros(0, np.int64)
+    return table.column("block")[0].as_py(), rows.select(["doc_id", "text"]).take(pa.array(first)).append_column("times", pa.array(times))
+
+
+#: A text may be cut in front of an ASCII separator that follows another byte.
+_cut_words = cut_at(lambda w: _SEP[w] & ~np.r_[True, _SEP[w][:-1]])
+
+
 def block_words(table: pa.Table, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a block's texts, in slices that bound memory: document index, hash, and bounds of each document's words."""
+    """Words of a block's texts, in parts that bound memory: document index, hash, and bounds of each document's words."""
     raw, offsets = utf8(table.column("text"))
     docs, hashes = [], []
-    for i, j in slices(offsets):
-        _, _, d, h = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
-        docs.append(d + i)
+    for own, at, text, _ in parts_of_texts(raw, offsets, _cut_words):
+        _, _, d, h = words(own, at, lower)
+        docs.append(text[d].astype(np.int32))
         hashes.append(h)
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     return doc, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.searchsorted(doc, np.arange(len(offsets)))
 
 
