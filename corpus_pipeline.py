@@ -56,10 +56,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the token ids of every text, checked by their digest after decoding."""
+    """doc_id, lang, source, the token ids of every text (none of a null or empty one), their number and digest, and whether
+    the text that they decode to is the input, by its digest.  Rows that repeat stay; other columns are left out."""
     import public_tokenizers
 
-    return bpe_codec.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_given"))
+    out = bpe_codec.round_trip(rows, public_tokenizers.path("byte_bpe_50k.json"), ids="ids")
+    return out.withColumn("exact", F.col("decoded_sha256") == F.col("_given")).drop("_given")
 
 
 STAGES = [
