@@ -394,8 +394,8 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 256) -> Ite
 def corpus_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(block, payload) rows of the table's (doc_id, text, times), and the number of blocks; ``times`` counts equal rows."""
     blocks = block_count(docs, text, block_bytes)
-    rows = docs.select(block_of(blocks, key), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return packed(rows, "block"), blocks
+    rows = docs.select(block_of(blocks, key, text), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return packed(rows, "block", "times"), blocks
 
 
 def block_rows(table: pa.Table) -> tuple[int, pa.Table]:
@@ -412,14 +412,14 @@ def block_rows(table: pa.Table) -> tuple[int, pa.Table]:
 
 
 #: A text may be cut in front of an ASCII separator that follows another byte.
-_cut_words = cut_at(lambda w: _SEP[w] & ~np.r_[True, _SEP[w][:-1]])
+cut_words = cut_at(lambda w: _SEP[w] & ~np.r_[True, _SEP[w][:-1]])
 
 
 def block_words(table: pa.Table, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of a block's texts, in parts that bound memory: document index, hash, and bounds of each document's words."""
     raw, offsets = utf8(table.column("text"))
     docs, hashes = [], []
-    for own, at, text, _ in parts_of_texts(raw, offsets, _cut_words):
+    for own, at, text, _ in parts_of_texts(raw, offsets, cut_words):
         _, _, d, h = words(own, at, lower)
         docs.append(text[d].astype(np.int32))
         hashes.append(h)

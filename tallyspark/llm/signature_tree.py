@@ -10,11 +10,13 @@ shingles that only one document has can't be shared, so what is left to compare
 found elsewhere.  Those that share such a shingle, directly or over others, are a family.
 
 Families are joined by trees: nodes hold the OR of their documents' token bitmaps, the range of their sizes and the
-largest number of tokens that bitmaps hide by collisions.  A traversal of two trees at once drops a pair of nodes whose
-largest possible overlap, min(size, common bits + hidden tokens), is below what the threshold needs, and a pair whose
-documents are all in one component already; pairs of documents that are left are compared exactly.  Larger families are
-cut into chunks by size and joined chunk against chunk, so no task holds a family; documents with identical sets are one
-entry a block.
+largest number of tokens that bitmaps hide by collisions.  A tree has a branch for each power of two of the sizes, whose
+bitmaps have ``SPARE`` bits a token, and in a branch documents lie in the order of their smallest tokens, so that near
+copies are neighbours and the bitmaps above them stay sparse.  A traversal of two trees at once drops a pair of nodes
+whose largest possible overlap, min(size, common bits + hidden tokens), is below what the threshold needs (of bitmaps of
+two widths, the wider one is folded), and a pair whose documents are all in one component already; pairs of documents that
+are left are compared exactly.  Larger families are cut into chunks by size and joined chunk against chunk, so no task
+holds a family; documents with identical sets are one entry a block.
 
 That is all components need.  For the join itself (``near_copy_links``, ``link_pairs``) the traversal keeps pairs within
 one component: every pair of distinct sets that passes is found, and counts for as many links as rows stand behind its
@@ -22,22 +24,26 @@ sets.  Equal sets are one entry of the whole corpus there.
 
 Defined results: a document without words has an empty set and no links; with fewer words than a shingle, the whole
 sequence is its one shingle; null text counts as empty; rows that share a doc_id are one node, whose links add up (a null
-doc_id is one such node, and the last to name a component); an empty table gives an empty table.  Only doc_id and text are read.  Shingles are compared by
-64-bit hashes.
+doc_id is one such node, and the last to name a component); rows that repeat entirely are one entry with a count, and all
+come out; an empty table gives an empty table.  Only doc_id and text are read, texts of any length whole, in parts that end
+between words.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SENT, block_words, components, corpus_blocks, count_in_shards, grams, joined_answers, mix, ranked, sent_rows, unpack, written
+from tallyspark.llm.common import SENT, block_rows, block_words, components, corpus_blocks, count_in_shards, grams, joined_answers, mix, ranked, repeated, sent_rows, written
 
 SHINGLE, THRESHOLD = 5, 80
-#: Bits of a signature, documents of a leaf, shingles of a family's chunk.
-BITS, LEAF, CHUNK_TOKENS = 2048, 8, 1 << 20
+#: Bits of a signature for each token of its document, documents of a leaf, shingles of a family's chunk.
+SPARE, LEAF, CHUNK_TOKENS = 128, 4, 1 << 20
 #: Stands for a null doc_id among nodes.
 NO_ID = (1 << 63) - 1
 
@@ -95,33 +101,70 @@ class Forest:
         return a != b
 
 
+class Node(NamedTuple):
+    bitmap: np.ndarray
+    low: int
+    high: int
+    hidden: int
+
+
 class SignatureTree:
-    """Binary tree over documents ordered by size: each node covers a range of them."""
+    """Binary trees over documents, one for each power of two of the sizes: each node covers a range of them."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, members: np.ndarray):
-        order = sorted(range(len(sets)), key=lambda i: (int(sizes[i]), int(members[i])))
-        self.sets, self.sizes, self.members = [sets[i] for i in order], np.asarray(sizes)[order], np.asarray(members)[order]
-        n = len(order)
-        bits = np.zeros((n, BITS), np.uint8)
+        sizes, members = np.asarray(sizes), np.asarray(members)
+        mixed = [mix(s) for s in sets]  # another order of tokens than the one bits are taken from
+        low = [tuple(np.partition(m, min(3, len(m) - 1))[:4].tolist()) for m in mixed]
+        level = [int(n).bit_length() for n in sizes]
+        order = sorted(range(len(sets)), key=lambda i: (level[i], sorted(low[i]), int(members[i])))
+        self.sets, self.sizes, self.members = [sets[i] for i in order], sizes[order], members[order]
+        self.bitmaps: list[np.ndarray] = []
+        self.hidden = np.zeros(len(order), np.int64)
         for i, s in enumerate(self.sets):
-            bits[i, (s >> np.uint64(53)).astype(np.int64) % BITS] = 1
-        self.bitmap = np.packbits(bits, axis=1).view(np.uint64)
-        # tokens that share a bit with another one of their document; tokens that nobody else has are in no stored set
-        self.hidden = np.array([len(s) for s in self.sets]) - bits.sum(axis=1, dtype=np.int64) if n else np.zeros(0, np.int64)
-        self.nodes: dict[tuple[int, int], tuple[np.ndarray, int, int, int]] = {}
-        if n:
-            self._build(0, n)
+            bits = max(6, (SPARE - 1).bit_length() + level[order[i]])
+            bitmap = np.zeros(1 << bits - 3, np.uint8)
+            at = (s >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            self.bitmaps.append(bitmap.view(np.uint64))
+            # tokens that share a bit with another one of their document; tokens that nobody else has are in no stored set
+            self.hidden[i] = len(s) - int(np.bitwise_count(self.bitmaps[i]).sum())
+        self.nodes: dict[tuple[int, int], Node] = {}
+        levels = np.array([level[i] for i in order])
+        cuts = [0, *(np.flatnonzero(np.diff(levels)) + 1).tolist(), len(order)]
+        self.roots = [(x, y) for x, y in zip(cuts, cuts[1:]) if x < y]
+        for x, y in self.roots:
+            self._build(x, y)
 
     def _build(self, a: int, b: int) -> np.ndarray:
         if b - a <= LEAF:
-            bitmap = np.bitwise_or.reduce(self.bitmap[a:b], axis=0)
+            bitmap = np.bitwise_or.reduce(np.stack(self.bitmaps[a:b]), axis=0)
         else:
             m = (a + b) // 2
             bitmap = self._build(a, m) | self._build(m, b)
-        self.nodes[a, b] = (bitmap, int(self.sizes[a]), int(self.sizes[b - 1]), int(self.hidden[a:b].max()))
+        self.nodes[a, b] = Node(bitmap, int(self.sizes[a:b].min()), int(self.sizes[a:b].max()), int(self.hidden[a:b].max()))
         return bitmap
 
 
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap over the leading bits of tokens, with fewer of them."""
+    have = bitmap
+    while len(have) > words:
+        # one leading bit less: neighbouring bits become one
+        pair = (have | (have >> np.uint64(1))) & np.uint64(0x5555555555555555)
+        for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+            pair = (pair | (pair >> np.uint64(shift))) & np.uint64(mask)
+        have = pair[::2] | (pair[1::2] << np.uint64(32))
+    return have
+
+
+def most_in_common(p: np.ndarray, hidden_p: int, q: np.ndarray, hidden_q: int) -> int:
+    """Bound on the overlap of a document under each of two bitmaps."""
+    if len(p) == len(q):
+        return int(np.bitwise_count(p & q).sum()) + min(hidden_p, hidden_q)
+    small, hidden = (p, hidden_p) if len(p) < len(q) else (q, hidden_q)
+    return int(np.bitwise_count(folded(p, len(small)) & folded(q, len(small))).sum()) + hidden
+
+
 def _all_one(forest: Forest, x: np.ndarray, y: np.ndarray) -> bool:
     root = forest.find(int(x[0]))
     return all(forest.find(int(i)) == root for part in (x, y) for i in part)
@@ -146,25 +189,30 @@ class Leaf:
         return np.rint(self.matrix @ other).astype(np.int64)
 
 
-def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, threshold: int, found=None) -> list[tuple[int, int]]:
+def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, threshold: int, found=None, seen: Counter | None = None) -> list[tuple[int, int]]:
     """Links that join components, of a document of each tree (the same tree twice: within it).  ``members`` are positions
     in the forest.  All links between the trees' documents are implied by the components afterwards.
 
     With ``found`` no pair is skipped for being in one component: it is called with arrays of the members (x, y) of all
-    pairs that link, a few at a time and each pair once."""
+    pairs that link, a few at a time and each pair once.  ``seen`` counts node pairs: visited, dropped by their sizes, by
+    their bitmaps, for being in one component, and leaf pairs compared; also pairs of documents compared."""
     links: list[tuple[int, int]] = []
-    if not left.nodes or not right.nodes:
-        return links
+    seen = Counter() if seen is None else seen
     leaves: dict[tuple[int, int], Leaf] = {}
     same = left is right
-    todo = [((0, len(left.sets)), (0, len(right.sets)))]
+    todo = [(p, q) for p in left.roots for q in right.roots if not same or p <= q]
     while todo:
         p, q = todo.pop()
-        (bits_p, low_p, high_p, hidden_p), (bits_q, low_q, high_q, hidden_q) = left.nodes[p], right.nodes[q]
-        if 100 * high_p < threshold * low_q or 100 * high_q < threshold * low_p:
+        a, b = left.nodes[p], right.nodes[q]
+        seen["visited"] += 1
+        if 100 * a.high < threshold * b.low or 100 * b.high < threshold * a.low:
+            seen["sizes"] += 1
+            continue
+        if min(a.high, b.high, most_in_common(a.bitmap, a.hidden, b.bitmap, b.hidden)) < required(a.low, b.low, threshold):
+            seen["bitmaps"] += 1
             continue
-        most = min(high_p, high_q, int(np.bitwise_count(bits_p & bits_q).sum()) + min(hidden_p, hidden_q))
-        if most < required(low_p, low_q, threshold) or not found and _all_one(forest, left.members[p[0] : p[1]], right.members[q[0] : q[1]]):
+        if not found and _all_one(forest, left.members[p[0] : p[1]], right.members[q[0] : q[1]]):
+            seen["components"] += 1
             continue
         big_p, big_q = p[1] - p[0] > LEAF, q[1] - q[0] > LEAF
         if big_p or big_q:
@@ -172,34 +220,21 @@ def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, thresho
             pairs = [(x, y) for x in split(p, big_p) for y in split(q, big_q) if not same or x <= y]
             todo += sorted(pairs, key=lambda t: t[0] == t[1])  # a node with itself first: components grow early
             continue
-        common = np.bitwise_count(left.bitmap[p[0] : p[1], None] & right.bitmap[None, q[0] : q[1]]).sum(axis=2)
-        bound = common + np.minimum(left.hidden[p[0] : p[1], None], right.hidden[None, q[0] : q[1]])
+        seen["leaves"] += 1
+        if p not in leaves:
+            leaves[p] = Leaf(left.sets[p[0] : p[1]])
         total = left.sizes[p[0] : p[1], None] + right.sizes[None, q[0] : q[1]]
-        if found:
-            if ((100 + threshold) * bound >= threshold * total).any():
-                if p not in leaves:
-                    leaves[p] = Leaf(left.sets[p[0] : p[1]])
-                passed = (100 + threshold) * leaves[p].common(right.sets[q[0] : q[1]]) >= threshold * total
-                x, y = np.nonzero(np.triu(passed, 1) if same and p == q else passed)
-                x, y = left.members[x + p[0]], right.members[y + q[0]]
-                found(x, y)
-                links += [(a, b) for a, b in zip(x.tolist(), y.tolist()) if forest.join(a, b)]
-            continue
-        for i, j in np.argwhere((100 + threshold) * bound >= threshold * total).tolist():
-            i, j = i + p[0], j + q[0]
-            if same and i >= j:
-                continue
-            x, y = int(left.members[i]), int(right.members[j])
-            if forest.find(x) == forest.find(y):
-                continue
-            n, m = int(left.sizes[i]), int(right.sizes[j])
-            if len(np.intersect1d(left.sets[i], right.sets[j], assume_unique=True)) >= required(n, m, threshold):
-                forest.join(x, y)
-                links.append((x, y))
+        seen["documents"] += total.size
+        passed = (100 + threshold) * leaves[p].common(right.sets[q[0] : q[1]]) >= threshold * total
+        x, y = np.nonzero(np.triu(passed, 1) if same and p == q else passed)
+        x, y = left.members[x + p[0]], right.members[y + q[0]]
+        if found and len(x):
+            found(x, y)
+        links += [(i, j) for i, j in zip(x.tolist(), y.tolist()) if forest.join(i, j)]
     return links
 
 
-_PREPARED = "node long, doc_id long, n_shingles long, same_as long, shared binary, prefix array<long>, set_id long"
+_PREPARED = "node long, doc_id long, n_shingles long, same_as long, shared binary, prefix array<long>, set_id long, times long"
 
 
 def prepare(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -208,13 +243,14 @@ def prepare(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -
     blocks, shards = corpus_blocks(docs)
 
     def send(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        sets = shingle_sets(unpack(table.column("payload"), ["doc_id", "text"]), width)
-        values, times = np.unique(np.concatenate(sets), return_counts=True)
+        block, rows = block_rows(table)
+        sets = shingle_sets(rows, width)
+        values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        times = np.bincount(inverse, np.repeat(rows.column("times").to_numpy(), [len(x) for x in sets]), len(values))
         return pa.Table.from_batches([sent_rows(block, values, times, shards, _code(shards))])
 
     def pick(table: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = unpack(table.column("payload"), ["doc_id", "text"])
+        _, rows = block_rows(table)
         sets = shingle_sets(rows, width)
         everything = np.concatenate(sets)
         values = np.unique(everything)
@@ -237,8 +273,8 @@ def prepare(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -
             set_id.append(first[key][1])
             order = np.lexsort((s, own))[: n - -(-threshold * n // 100) + 1]
             same.append(i), shared.append(s[own > 0].tobytes()), prefix.append(np.concatenate([s[order][own[order] > 0], whole]).view(np.int64).tolist())
-        return pa.table([pa.array(ids, pa.int64()), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(set_id, pa.int64())],
-                        ["node", "doc_id", "n_shingles", "same_as", "shared", "prefix", "set_id"])
+        return pa.table([pa.array(ids, pa.int64()), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(set_id, pa.int64()), rows.column("times")],
+                        ["node", "doc_id", "n_shingles", "same_as", "shared", "prefix", "set_id", "times"])
 
     answers = count_in_shards(blocks.groupBy("block").applyInArrow(send, SENT), _decode)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pick, _PREPARED)
@@ -306,7 +342,7 @@ def distinct_sets(prepared: DataFrame) -> DataFrame:
     """One row a distinct set of candidates: ``node`` (its set_id), ``first`` (the smallest node that has it), ``copies``
     (rows that have it), n_shingles, shared and prefix."""
     known = prepared.where("set_id is not null")
-    g = known.groupBy(F.col("set_id").alias("_s")).agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("shared").isNotNull(), F.col("node"))).alias("first"))
+    g = known.groupBy(F.col("set_id").alias("_s")).agg(F.sum("times").alias("copies"), F.min(F.when(F.col("shared").isNotNull(), F.col("node"))).alias("first"))
     one = known.where("shared is not null").join(g, (F.col("set_id") == F.col("_s")) & (F.col("node") == F.col("first")))
     return one.select(F.col("set_id").alias("node"), "first", "copies", "n_shingles", "shared", "prefix")
 
@@ -362,18 +398,18 @@ def near_copy_links(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     edges = pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionByName(entries.select(F.col("_node").alias("a"), F.col("first").alias("b")))
     counts = entries.select("_node", "_set", "n_links")
     out = _labelled(prepared, edges, "set_id").join(counts, (F.col("_own") == F.col("_node")) & (F.col("set_id") == F.col("_set")), "left")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return repeated(out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "times"), "times")
 
 
 def _labelled(prepared: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
     found = components(edges).select(F.col("node").alias("_first"), "label")
     own = F.coalesce("same_as", "node")
-    out = prepared.select("doc_id", "n_shingles", own.alias("_own"), *more).join(found, F.col("_own") == F.col("_first"), "left")
+    out = prepared.select("doc_id", "n_shingles", own.alias("_own"), "times", *more).join(found, F.col("_own") == F.col("_first"), "left")
     label = F.when(F.col("n_shingles") == 0, F.coalesce("doc_id", F.lit(NO_ID))).otherwise(F.coalesce("label", "_own"))
-    return out.select("doc_id", "n_shingles", F.when(label != NO_ID, label).alias("component_id"), "_own", *more)
+    return out.select("doc_id", "n_shingles", F.when(label != NO_ID, label).alias("component_id"), "_own", "times", *more)
 
 
 def near_copies(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
     prepared = written(prepare(docs, width, threshold))
-    return _labelled(prepared, family_links(prepared, threshold)).drop("_own")
+    return repeated(_labelled(prepared, family_links(prepared, threshold)).drop("_own"), "times")
