@@ -7,25 +7,32 @@ contributes the same fingerprint to both, and the positions say where.
 Defined results: null counts as empty; an empty text has no fingerprint (the empty string), a text shorter than k is one
 gram; two texts without fingerprints are alike (1.0), one with and one without are not (0.0); likeness is the Jaccard
 index of the sets of fingerprint hashes.  The next document follows by ascending doc_id (null first), then text; rows that
-repeat follow each other; the last is followed by the first; a single document follows itself.  Texts of any length are
-read whole, in slices of documents.  An input column named fingerprint gives way to the output's; the comparison reads
-doc_id and text only.
+repeat follow each other; the last is followed by the first; a single document follows itself; an empty table gives an
+empty table.  Texts of any length are read whole, long ones in stretches that overlap by a window.  An input column named
+fingerprint gives way to the output's; the comparison reads doc_id and text only.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _Q, block_count, mix, packed, sliding_min, sums_of_runs, unpack, without
+from tallyspark.llm.common import _Q, block_count, mix, packed, repeated, sliding_min, sums_of_runs, unpack, without
 
-#: Code points of a gram, and grams of a window: passages of 128 code points are sure to be found.
-K, W = 32, 97
+#: Code points of a gram, and grams of a window: passages of 48 code points are sure to be found.
+K, W = 16, 33
+#: Code points that are hashed at a time.
+STEP = 1 << 18
+#: Ranges of documents beyond which they are larger than blocks, by how much they then are; sampled keys for each; code points
+#: of a text that ranges are told apart by within one doc_id.
+MANY, LARGER, SAMPLED, PREFIX = 4096, 8, 64, 64
 
 
 def winnow(points: np.ndarray, offsets: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,12 +77,50 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(lengths)])
 
 
+def _entries(at: np.ndarray, hashes: np.ndarray) -> str:
+    return ",".join([f"{h:016x}@{p}" for h, p in zip(hashes.tolist(), at.tolist(), strict=True)])
+
+
+def long_fingerprint(text: str, k: int, w: int, step: int = STEP) -> tuple[str, np.ndarray]:
+    """``fingerprints`` of one text, in stretches of about ``step`` windows."""
+    parts, sets, last = [], [], -1
+    for begin in range(0, max(1, len(text) - k - w + 2), step):
+        _, at, hashes = winnow(*_points([text[begin : begin + step + w + k - 2]]), k, w)
+        at = at + begin
+        at, hashes = at[at > last], hashes[at > last]  # the first one may be known from the stretch before
+        if len(at):
+            last = int(at[-1])
+            parts.append(_entries(at, hashes))
+            sets.append(np.unique(hashes))
+    return ",".join(parts), np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+
+
 def fingerprints(texts: list[str], k: int = K, w: int = W) -> tuple[list[str], list[np.ndarray]]:
     """Of each text: ``hash@position`` entries (16 hex digits, decimal) joined by commas, and the distinct hashes."""
-    doc, at, hashes = winnow(*_points(texts), k, w)
-    entries = [f"{h:016x}@{p}" for h, p in zip(hashes.tolist(), at.tolist(), strict=True)]
-    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return [",".join(entries[i:j]) for i, j in zip(cuts, cuts[1:])], [np.unique(hashes[i:j]) for i, j in zip(cuts, cuts[1:])]
+    prints: list[str] = []
+    sets: list[np.ndarray] = []
+    for i, j in _slices([len(t) for t in texts]):
+        if j == i + 1 and len(texts[i]) > 2 * STEP:
+            one, own = long_fingerprint(texts[i], k, w)
+            prints.append(one), sets.append(own)
+            continue
+        doc, at, hashes = winnow(*_points(texts[i:j]), k, w)
+        cuts = np.searchsorted(doc, np.arange(j - i + 1))
+        prints += [_entries(at[a:b], hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        sets += [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return prints, sets
+
+
+def _slices(lengths: list[int], most: int = STEP) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` code points together (a longer text alone)."""
+    i = 0
+    while i < len(lengths):
+        j, n = i + 1, lengths[i]
+        while j < len(lengths) and n + lengths[j] <= most:
+            n += lengths[j]
+            j += 1
+        yield i, j
+        i = j
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -92,9 +137,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, out = [t or "" for t in b.column(text).to_pylist()], []
-            for i in range(0, len(texts), 128):
-                out += fingerprints(texts[i : i + 128], k, w)[0]
+            out = fingerprints([t or "" for t in b.column(text).to_pylist()], k, w)[0]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [f.name for f in schema])
 
     return docs.select(*keep).mapInArrow(run, schema)
@@ -106,60 +149,116 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+class Ranges:
+    """Ranges of documents by (doc_id, first code points of the text), null ids first: each begins with a key of the table."""
+
+    def __init__(self, marks: list[tuple[int | None, str]], first: tuple[int | None, str]):
+        self.first = first
+        self.none = sorted({p for d, p in marks if d is None and (d, p) != first})
+        known = sorted({(d, p) for d, p in marks if d is not None and (d, p) != first})
+        self.ids, self.prefixes = np.array([d for d, _ in known], np.int64), [p for _, p in known]
+
+    def __len__(self) -> int:
+        return len(self.none) + len(self.prefixes) + 1
+
+    def place(self, ids: pa.Array, prefixes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and the one that it follows as its successor if it opens a range (-1: none)."""
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(self.ids, values), np.searchsorted(self.ids, values, side="right")
+        at = np.where(known, len(self.none) + high, 0)
+        opens = np.full(len(at), -1, np.int64)
+        first_id = self.first[0]
+        look = np.flatnonzero(np.where(known, (low < high) | (values == (0 if first_id is None else first_id)), True))
+        for i, p in zip(look.tolist(), prefixes.take(pa.array(look)).to_pylist(), strict=True):
+            if known[i]:
+                k = bisect_right(self.prefixes, p, int(low[i]), int(high[i]))
+                at[i] = len(self.none) + k
+                if k > low[i] and self.prefixes[k - 1] == p:
+                    opens[i] = at[i] - 1
+            else:
+                at[i] = k = bisect_right(self.none, p)
+                if k and self.none[k - 1] == p:
+                    opens[i] = k - 1
+            if (int(values[i]) if known[i] else None, p) == self.first:
+                opens[i] = len(self) - 1
+        return at, opens
+
+
+def ranges_of(docs: DataFrame) -> Ranges | None:
+    """Ranges of about equal numbers of rows, from a sample of ``SAMPLED`` keys each, sorted in Spark; the driver gets one key
+    a range.  None for an empty table."""
+    n = block_count(docs)
+    n = max(min(n, MANY), n // LARGER)
+    keys = docs.select("doc_id", F.coalesce(F.substring("text", 1, PREFIX), F.lit("")).alias("p"))
+    rows, least = keys.agg(F.count(F.lit(1)), F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "p"))).first()
+    if not rows:
+        return None
+    marks = []
+    if n > 1:
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = 0
+            for b in batches:
+                at = np.arange(b.num_rows)[(seen + np.arange(b.num_rows)) % SAMPLED == SAMPLED // 2]
+                seen += b.num_rows
+                yield b.take(pa.array(at))
+
+        sample = keys.where(F.rand(11) < F.lit(SAMPLED * n / rows)).orderBy(F.asc_nulls_first("doc_id"), "p")
+        marks = [(d, p) for d, p in sample.mapInArrow(every, "doc_id long, p string").collect()]
+    return Ranges(marks, (least["doc_id"], least["p"]))
+
+
 def followed(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) dealt into ranges of ascending doc_id, packed as (block, payload) with a column ``guard``.
+    """Rows of (doc_id, text) dealt into ranges of ascending keys, packed as (block, payload) with the columns ``guard`` and
+    ``times`` (equal rows).
 
-    The ranges' bounds are quantiles of doc_id (ids of the table), so ranges hold about equal numbers of rows.  The rows
-    that open a range also go to the range before it, marked ``guard``, so that every row meets its successor in its own
-    task.  Rows of one doc_id share a range; the driver holds one id a range."""
-    ranges = block_count(docs)
-    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(max(10_000, 20 * ranges))) if ranges > 1 else F.lit(None).cast("array<bigint>")
-    found, least, nulls = docs.agg(cuts, F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    marks = np.array(sorted({m for m in found or [] if m > least}), np.int64)
-    first = None if nulls else least
+    The rows that open a range also go to the range before it, marked ``guard``, so that every row meets its successor in
+    its own task.  Rows that share a doc_id and the first ``PREFIX`` code points share a range."""
+    ranges = ranges_of(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(ranges)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.where(known, np.searchsorted(marks, values, side="right"), 0)
-            opens = np.where(known & np.isin(values, marks), at - 1, -1)
-            opens[(values == first) & known if first is not None else ~known] = len(marks)
+            prefixes = pc.utf8_slice_codeunits(b.column("text").fill_null(""), 0, PREFIX)
+            at, opens = shared.value.place(b.column("doc_id"), prefixes)
             again = np.flatnonzero(opens >= 0)
             rows = np.concatenate([np.arange(len(at)), again])
             guard = np.repeat([False, True], [len(at), len(again)])
             part = b.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, opens[again]]), pa.int32()), pa.array(guard), *part.columns], ["block", "guard", *part.schema.names])
 
-    return packed(docs.mapInArrow(place, "block int, guard boolean, doc_id long, text string"), "block")
+    return packed(docs.mapInArrow(place, "block int, guard boolean, doc_id long, text string"), "block", "times")
 
 
 def compare_with_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Of each document (doc_id, text): n_chars, edited_sha256, fingerprint and edited_fingerprint, near_edited and near_next."""
     rows = followed(docs.select(F.col("doc_id").cast("long"), "text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, _times long"
 
     def run(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = unpack(pa.chunked_array([g.column("payload") for g in groups]))
-        ids, guard = t.column("doc_id").to_pylist(), t.column("guard").to_pylist()
-        texts = [x or "" for x in t.column("text").to_pylist()]
-        low = -(1 << 63) - 1
-        order = sorted((i for i in range(len(ids)) if not guard[i]), key=lambda i: (low if ids[i] is None else ids[i], texts[i]))
-        after = sorted((i for i in range(len(ids)) if guard[i]), key=lambda i: (low if ids[i] is None else ids[i], texts[i]))[:1]
-        chain = order + after
-        step = 128
-        for s in range(0, len(order), step):
-            own = chain[s : s + step + 1]
-            have = [texts[i] for i in own]
-            n = min(step, len(order) - s)
-            prints, sets = fingerprints(have, k, w)
-            changed = [edited(have[j], have[j + 1]) for j in range(n)]
+        t = t.set_column(t.schema.get_field_index("text"), "text", t.column("text").fill_null(""))
+        order = pc.sort_indices(t, [("guard", "ascending"), ("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        t = t.take(order)
+        n = int(pc.sum(pc.invert(t.column("guard"))).as_py() or 0)
+        size = pc.utf8_length(t.column("text")).to_pylist()[: n + 1]
+        total = len(size)
+        for a, b in _slices(size[:n]):
+            own = t.slice(a, min(b + 1, total) - a)  # with the row behind
+            ids, texts, times = own.column("doc_id").to_pylist(), own.column("text").to_pylist(), own.column("times").to_pylist()
+            prints, sets = fingerprints(texts, k, w)
+            out: list[tuple] = []
+            for j in range(b - a):
+                # all but the last of equal rows are followed by one of them
+                for other, count in ((j, times[j] - 1), (j + 1, 1)):
+                    if count:
+                        out.append((j, min(other, len(texts) - 1), count))
+            changed = [edited(texts[j], texts[o]) for j, o, _ in out]
             prints_e, sets_e = fingerprints(changed, k, w)
             yield pa.RecordBatch.from_arrays([
-                pa.array([ids[i] for i in own[:n]], pa.int64()), pa.array([len(x) for x in have[:n]], pa.int64()),
-                pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed]), pa.array(prints[:n]), pa.array(prints_e),
-                pa.array([likeness(sets[j], sets_e[j]) for j in range(n)]), pa.array([likeness(sets[j], sets[j + 1]) for j in range(n)])],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                pa.array([ids[j] for j, _, _ in out], pa.int64()), pa.array([len(texts[j]) for j, _, _ in out], pa.int64()),
+                pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed]), pa.array([prints[j] for j, _, _ in out]), pa.array(prints_e),
+                pa.array([likeness(sets[j], e) for (j, _, _), e in zip(out, sets_e, strict=True)]), pa.array([likeness(sets[j], sets[o]) for j, o, _ in out]), pa.array([c for _, _, c in out], pa.int64())],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "_times"])
 
-    return rows.groupBy("block").applyInArrow(run, schema)
+    return repeated(rows.groupBy("block").applyInArrow(run, schema), "_times")
