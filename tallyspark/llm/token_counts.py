@@ -8,13 +8,13 @@ A pre-token is a run of spaces with the run of other characters behind it (the m
 front, so counts of pre-tokens add up to the text's, for models that split by white space and add a dummy prefix without
 further normalisation; others are refused).
 
-The frequent table is built from every document: each partition keeps a bounded summary of its most frequent pre-tokens,
-and the summaries (``top`` entries a partition) are added up; the largest ``top`` sums are broadcast.  It changes speed,
-never results.
+The frequent table is fitted on a random sample of rows with about ``SAMPLE_BYTES`` of text, a documented bound: the sample's
+texts are dealt to ``SAMPLE_PARTS`` tasks, of which each sends its ``top`` most frequent pre-tokens to the driver.  The table
+changes speed, never results.
 
 Defined results: null and empty texts have 0 tokens; special strings inside texts are ordinary text; texts are counted
-whole, whatever their length; an empty table gives an empty table; an input column with the name of an output column
-gives way to it.
+whole, whatever their length, in parts that end before a run of spaces; repeated rows each count; an empty table gives an
+empty table; an input column with the name of an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _BYTE, mix, slices, sums_of_runs, utf8, without
+from tallyspark.llm.common import _BYTE, HashTable, cut_at, mix, parts_of_texts, sums_of_runs, utf8, without
 
-#: Entries of the broadcast table: a fixed bound, about 0.5 MB.
+#: Entries of the broadcast table: a fixed bound, about 1 MB.
 TOP = 16_384
+#: Bytes of text that the table is fitted on, and tasks that count them.
+SAMPLE_BYTES, SAMPLE_PARTS = 32 << 20, 8
 CACHE = 200_000
 _MARK = "▁"
 
@@ -74,34 +76,10 @@ def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-class FrequentTable:
-    """Open addressing over 64-bit hashes: slot = the hash's top bits, then the next ones; at most a quarter full."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        bits = max(4, int(4 * len(hashes)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.most = 1
-        for h, c in zip(hashes.tolist(), counts.tolist(), strict=True):
-            at, steps = h >> int(self.shift), 1
-            while self.values[at] >= 0 and self.keys[at] != h:
-                at, steps = (at + 1) & ((1 << bits) - 1), steps + 1
-            self.keys[at], self.values[at], self.most = h, c, max(self.most, steps)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The count of each hash, -1 where it isn't in the table."""
-        at = (hashes >> self.shift).astype(np.int64)
-        out = np.where(self.keys[at] == hashes, self.values[at], -1)
-        for _ in range(self.most - 1):
-            miss = np.flatnonzero(out < 0)
-            at[miss] = (at[miss] + 1) & (len(self.keys) - 1)
-            out[miss] = np.where(self.keys[at[miss]] == hashes[miss], self.values[at[miss]], -1)
-        return out
-
-
-def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pre-tokens of concatenated texts: first byte behind the spaces, end, document, space marks in front (with the dummy
-    prefix), hash of the bytes.  Trailing spaces are a pre-token of their own, with no bytes behind its marks."""
+def pieces(raw: np.ndarray, offsets: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pre-tokens of concatenated texts: first byte behind the spaces, end, text, space marks in front (with the dummy prefix,
+    but for a part that goes on with a text), hash of the bytes.  Trailing spaces are a pre-token of their own, with no
+    bytes behind its marks."""
     other = raw != 0x20
     begin = offsets[:-1][offsets[:-1] < len(raw)]
     first, last = other.copy(), other.copy()
@@ -121,40 +99,47 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     head = np.ones(len(docs), bool)
     head[1:] = docs[1:] != docs[:-1]
     before[head] = offsets[:-1][docs[head]]
-    marks = starts - before + head
+    marks = starts - before + (head & ~goes_on[docs])
     return starts, ends, docs, marks, mix(sums_of_runs(_BYTE[raw], starts, ends) + (ends - starts).astype(np.uint64))
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+#: A text may be cut in front of a space that follows another byte.
+_cut = cut_at(lambda w: (w == 0x20) & np.r_[False, w[:-1] != 0x20])
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     mark = np.frombuffer(_MARK.encode(), np.uint8)
     raw, offsets = utf8(column)
     if (raw == mark[0]).any() and _MARK.encode() in raw.tobytes():  # the mark in a text is a space to the model
         raw, offsets = utf8(pc.replace_substring(column.fill_null(""), _MARK, " "))
-    for i, j in slices(offsets):
-        yield raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    return parts_of_texts(raw, offsets, _cut)
 
 
-def frequent_pre_tokens(docs: DataFrame, text: str = "text", top: int = TOP) -> list[bytes]:
-    """The most frequent pre-tokens by the added summaries of all partitions (at most ``top`` each)."""
+def frequent_pre_tokens(docs: DataFrame, text: str = "text", top: int = TOP, sample_bytes: int = SAMPLE_BYTES) -> list[bytes]:
+    """The most frequent pre-tokens of a sample of rows with about ``sample_bytes`` of text, counted in ``SAMPLE_PARTS`` tasks
+    of which each sends its ``top`` ones to the driver."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    sample = docs.select(text).where(F.rand(7) < F.lit(sample_bytes / max(1, total))).repartition(SAMPLE_PARTS)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for raw, offsets in _parts(b.column(0)):
-                starts, ends, _, marks, hashes = pieces(raw, offsets)
+            for raw, offsets, _, goes_on in _parts(b.column(0)):
+                starts, ends, _, marks, hashes = pieces(raw, offsets, goes_on)
                 plain = marks == 1
                 _, first, n = np.unique(hashes[plain], return_index=True, return_counts=True)
-                often = np.flatnonzero(n > 1)
-                s, e, view = starts[plain][first[often]].tolist(), ends[plain][first[often]].tolist(), raw.tobytes()
-                for i, j, k in zip(s, e, n[often].tolist(), strict=True):
+                s, e, view = starts[plain][first].tolist(), ends[plain][first].tolist(), raw.tobytes()
+                for i, j, k in zip(s, e, n.tolist(), strict=True):
                     seen[view[i:j]] += k
-            if len(seen) > 8 * top:
+            if len(seen) > 16 * top:
                 seen = Counter(dict(seen.most_common(top)))
         best = seen.most_common(top)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.binary()), pa.array([v for _, v in best], pa.int64())], ["piece", "n"])
 
-    sums = docs.select(text).mapInArrow(summary, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).coalesce(8)
-    return [bytes(r[0]) for r in sums.orderBy(F.desc("n"), "piece").limit(top).collect()]
+    seen: Counter = Counter()
+    for piece, n in sample.mapInArrow(summary, "piece binary, n long").collect():
+        seen[bytes(piece)] += n
+    return [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:top]]
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, frequent: list[bytes] | None = None) -> DataFrame:
@@ -166,22 +151,22 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     ends = np.cumsum([len(p) for p in frequent]).astype(np.int64)
     starts = ends - np.array([len(p) for p in frequent], np.int64)
     hashes = mix(sums_of_runs(_BYTE[raw], starts, ends) + (ends - starts).astype(np.uint64))
-    counts = np.array(PieceCounter(path).counts(frequent), np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast(FrequentTable(hashes, counts))
+    table = HashTable(max(1, len(frequent)))
+    table.add(hashes, np.array(PieceCounter(path).counts(frequent), np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, worker = shared.value, piece_counter(path)
         for b in batches:
-            sizes, totals = [], []
-            for raw, offsets in _parts(b.column(text)):
-                starts, ends, docs_at, marks, hashes = pieces(raw, offsets)
+            total = np.zeros(b.num_rows, np.int64)
+            for raw, offsets, text_of, goes_on in _parts(b.column(text)):
+                starts, ends, at, marks, hashes = pieces(raw, offsets, goes_on)
                 found = np.where(marks == 1, table.find(hashes), -1).astype(np.int64)
                 miss = np.flatnonzero(found < 0)
                 view = raw.tobytes()
                 found[miss] = worker.counts([b" " * (m - 1) + view[i:j] for i, j, m in zip(starts[miss].tolist(), ends[miss].tolist(), marks[miss].tolist(), strict=True)])
-                totals.append(np.bincount(docs_at, found, len(offsets) - 1).astype(np.int64))
+                np.add.at(total, text_of, np.bincount(at, found, len(offsets) - 1).astype(np.int64))
             sizes = pc.coalesce(pc.binary_length(b.column(text)), 0).cast(pa.int64())
-            total = np.concatenate(totals) if totals else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), sizes, pa.array(total)], [*keep, "n_bytes", "n_tokens"])
 
     return docs.select(*keep, text).mapInArrow(run, schema)
