@@ -447,6 +447,28 @@ def _frame_at(data: np.ndarray, at: int) -> tuple[int, int, int]:
     return number, n, end + 1
 
 
+def scan_frames(data: np.ndarray, first: int) -> list[tuple[int, int, int]]:
+    """(first sample, byte behind the metadata, samples) of every frame of a stream without a seek table: a frame ends where
+    the next header stands whose CRC-8 holds and whose number follows, and its own CRC-16 holds."""
+    marks = np.flatnonzero((data[first:-1] == 0xFF) & (data[first + 1 :] & 0xFE == 0xF8)) + first
+    out: list[tuple[int, int, int]] = []
+    at, sample = first, 0
+    while at < len(data):
+        number, n, _ = _frame_at(data, at)
+        out.append((sample, at - first, n))
+        follow = 0
+        for c in marks[np.searchsorted(marks, at, side="right") :].tolist():
+            try:
+                following = _frame_at(data, c)[0]
+            except (FlacError, IndexError):
+                continue
+            if following in (number + 1, sample + n) and int(crc16_many(data, np.array([at]), np.array([c - 2]))[0]) == int(data[c - 2]) << 8 | int(data[c - 1]):
+                follow = c
+                break
+        at, sample = follow or len(data), sample + n
+    return out
+
+
 @dataclass
 class PcmBlock:
     """Decoded samples of one frame (unsigned bytes) and the stream's number of the first one."""
@@ -458,16 +480,15 @@ class PcmBlock:
 def decode(streams: list[bytes], spans: list[tuple[int, int]] | None = None) -> list[list[PcmBlock]]:
     """PCM blocks of each stream; with ``spans`` (first sample, end) only of the frames that hold them.
 
-    Frames are found by the seek table; every frame's CRC-8 and CRC-16 are verified, and the MD5 of whole streams."""
+    Frames are found by the seek table, or one after the other where a stream has none; every frame's CRC-8 and CRC-16 are verified, and the MD5 of whole streams."""
     heads = [read_head(s) for s in streams]
     owner, first, end, sample, n, skip = [], [], [], [], [], []
     base = 0
     for i, (s, h) in enumerate(zip(streams, heads, strict=True)):
         data = np.frombuffer(s, np.uint8)
-        if not h.seek and h.total:
-            raise FlacError("a stream without seek points")
-        ends = [b for _, b, _ in h.seek[1:]] + [len(s) - h.first]
-        for (at, byte, size), stop in zip(h.seek, ends, strict=False):
+        points = h.seek if h.seek or not h.total else scan_frames(data, h.first)
+        ends = [b for _, b, _ in points[1:]] + [len(s) - h.first]
+        for (at, byte, size), stop in zip(points, ends, strict=False):
             if spans and (at >= spans[i][1] or at + size <= spans[i][0]):
                 continue
             _, have, head = _frame_at(data, h.first + byte)

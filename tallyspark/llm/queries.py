@@ -21,7 +21,7 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = flac_media.to_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return flac_media.read_media(stored).drop("blocks")
+    return flac_media.read_media(stored)
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
