@@ -158,12 +158,12 @@ PIECE = 10_000
 def repeated(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as its column ``times`` (a positive long) says, without that column.  Counts are cut into pieces,
     so no array is longer than ``PIECE``."""
-    if "_repeat" in df.columns:
-        raise ValueError("_repeat is taken")
-    rest = [F.col(c) for c in df.columns if c != times]
-    big = df.select(*rest, F.col(times).alias("_repeat"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(PIECE * PIECE).cast("long"))).alias("_a"))
-    mid = big.select(*rest, "_repeat", "_a", F.explode(F.sequence(F.col("_a"), F.least(F.col("_repeat"), F.col("_a") + PIECE * PIECE) - 1, F.lit(PIECE).cast("long"))).alias("_b"))
-    return mid.select(*rest, F.explode(F.sequence(F.col("_b"), F.least(F.col("_repeat"), F.col("_a") + PIECE * PIECE, F.col("_b") + PIECE) - 1)).alias("_c")).drop("_c")
+    a, b, c = unused(df.columns, "_a", "_b", "_c")
+    rest = [F.col(x) for x in df.columns if x != times]
+    step = lambda low, high, n: F.explode(F.sequence(low, high - 1, F.lit(n).cast("long")))
+    big = df.select(*rest, times, step(F.lit(0).cast("long"), F.col(times), PIECE * PIECE).alias(a))
+    mid = big.select(*rest, times, a, step(F.col(a), F.least(F.col(times), F.col(a) + PIECE * PIECE), PIECE).alias(b))
+    return mid.select(*rest, step(F.col(b), F.least(F.col(times), F.col(a) + PIECE * PIECE, F.col(b) + PIECE), 1).alias(c)).drop(c)
 
 
 def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, ranked, unused, written
+from tallyspark.llm.common import WORD, ranked, repeated, unused, written
 
 #: (source, size) pairs of the targets' table.
 Targets = dict[str | None, float]
@@ -58,14 +58,15 @@ def _table(spark, values: dict[str | None, tuple], names: str) -> DataFrame:
     return spark.createDataFrame([(s, *v) for s, v in values.items()], f"_s string, {names}")
 
 
-def solve_multipliers(cells: DataFrame, sizes: dict[str | None, tuple[int, int]], targets: Targets, cap: float, iterations: int = 60, tolerance: float = 1e-9) -> dict[str | None, float]:
-    """Newton on the dual.  cells: source, size, n; sizes: (total size, rows) by source.  Only sources between 0 and their cap."""
+def solve_multipliers(cells: DataFrame, sizes: dict[str | None, tuple[int, int]], targets: Targets, cap: float, tolerance: float = 1e-9) -> dict[str | None, float]:
+    """Newton on the dual, until every source meets its target or its bracket can't be halved.  cells: source, size, n; sizes:
+    (total size, rows) by source.  Only sources between 0 and their cap."""
     spark = cells.sparkSession
     live = {s: [0.0, -math.inf, math.inf] for s, (total, _) in sizes.items() if 0 < targets[s] < cap * total}
     done: dict[str | None, float] = {}
-    for _ in range(iterations):
-        if not live:
-            break
+    rounds = 0
+    while live:
+        rounds += 1
         at = _table(spark, {s: (v[0], sizes[s][0] / max(1, sizes[s][1])) for s, v in live.items()}, "_l double, _m double")
         z = F.col("size") / F.col("_m")
         p = 1 / (1 + F.lit(cap - 1) * F.exp(-F.col("_l") * z))
@@ -79,10 +80,14 @@ def solve_multipliers(cells: DataFrame, sizes: dict[str | None, tuple[int, int]]
                 continue
             low, high = (low, now) if gap > 0 else (now, high)
             step = now - gap / slope if slope > 0 else math.nan
-            if not low < step < high:
+            if not low < step < high or rounds % 4 == 0 and math.isfinite(low + high):  # halvings among the steps end any run
                 step = (low + high) / 2 if math.isfinite(low + high) else now - math.copysign(max(1.0, abs(now)), gap)
-            live[s] = [step, low, high]
-    return done | {s: v[0] for s, v in live.items()}
+            if not low < step < high:
+                done[s] = now
+                live.pop(s)
+            else:
+                live[s] = [step, low, high]
+    return done
 
 
 def _round_source(cap: float):
@@ -122,10 +127,11 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_s
     """The mixed corpus: every row of ``docs`` (doc_id, text, source and any further columns that can be grouped by, whatever
     their names) as often as the mix takes it.  Rows that repeat entirely are one row whose copies add up."""
     cols = docs.columns
-    hashed = F.xxhash64(*[F.col(c).cast("string") for c in cols])
-    h, i, h2, n, copy = unused(cols, "_h", "_id", "_h2", "_copies", "_copy")
-    rows = docs.distinct().withColumn(h, hashed)
-    sized = docs.select("source", n_words(F.col("text")).alias("size"), "doc_id", hashed.alias("_h"))
-    copies = mix(sized, ["doc_id", "_h"], weights, total_share, cap).groupBy(F.col("doc_id").alias(i), F.col("_h").alias(h2)).agg(F.sum("copies").cast("int").alias(n))
-    out = rows.join(copies.where(F.col(n) > 0), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(h2)))
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*cols)
+    plain = [F.col(c).cast("string") for c in cols]
+    digest = [F.xxhash64(*plain), F.xxhash64(F.lit(1), *plain)]  # 128 bits name a row
+    h, g, n, i, j = unused(cols, "_h", "_g", "_copies", "_i", "_j")
+    rows = docs.select(*cols, digest[0].alias(h), digest[1].alias(g)).dropDuplicates([h, g])
+    sized = docs.select("source", n_words(F.col("text")).alias("size"), digest[0].alias("_h"), digest[1].alias("_g"))
+    copies = mix(sized, ["_h", "_g"], weights, total_share, cap).groupBy(F.col("_h").alias(i), F.col("_g").alias(j)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    out = rows.join(copies, (F.col(h) == F.col(i)) & (F.col(g) == F.col(j))).select(*cols, n)
+    return repeated(out, n)
