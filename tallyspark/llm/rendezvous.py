@@ -4,7 +4,7 @@ Every (record key, shard) pair gets a uniform number u from a 64-bit hash, and t
 largest weight / -ln(u).  A shard's score for a key depends on no other shard, so an added shard takes records only into
 itself (about its share of the weights) and a removed one gives its records to the rest.
 
-Defined results: a null key is a key like others (all such rows share a shard); equal keys share a shard; shards of
+Defined results: a null text counts as empty where sizes are taken; a null key is a key like others (all such rows share a shard); equal keys share a shard; shards of
 weight 0 take nothing; an empty table gives an empty table; all columns of the input are kept, but one with the output
 column's name gives way to it.
 """
@@ -23,12 +23,13 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     """The shard (int) of a key among ``len(weights)`` weighted shards, by built-in functions alone."""
     if not weights or min(weights) < 0 or max(weights) <= 0:
         raise ValueError("weights must be at least 0, one of them above")
-    scores = []
-    for shard, weight in enumerate(weights):
-        if weight > 0:
-            u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-            scores.append(F.struct((F.log(u) / F.lit(float(weight))).alias("score"), F.lit(shard).alias("shard")))
-    return F.array_max(F.array(*scores))["shard"] if len(scores) > 1 else scores[0]["shard"]
+    table = F.array(*[F.struct(F.lit(shard).alias("shard"), F.lit(float(weight)).alias("weight")) for shard, weight in enumerate(weights) if weight > 0])
+
+    def score(s: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, s["shard"]), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        return F.struct((F.log(u) / s["weight"]).alias("score"), s["shard"].alias("shard"))
+
+    return F.array_max(F.transform(table, score))["shard"]
 
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], column: str = "shard") -> DataFrame:
