@@ -8,6 +8,7 @@ shard, so that frequent values cost one entry per block and shards stay even wha
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import itertools
 import uuid
@@ -78,13 +79,38 @@ def working_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Lists of written folders, innermost last.
+_recorded: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The folders that ``written`` makes inside, in their order."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.remove(paths)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.  It stays until whoever
+    reads results made from it deletes it (``delete_folders``)."""
     path = working_dir(df.sparkSession)
     df.write.parquet(path)
+    for paths in _recorded[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of any file system that Spark knows."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def block_count(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks of about ``block_bytes`` raw text each; at least one."""
     total = df.agg(F.sum(F.octet_length(F.col(text)).cast("long") + 16)).first()[0] or 0
@@ -452,6 +478,7 @@ def count_in_shards(sent: DataFrame, decode) -> DataFrame:
     the classes comparable for all blocks."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         t = pa.Table.from_batches(list(batches))
         values = [decode(x.as_buffer()) for x in t.column("sent")]
         times = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("times")]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import mix, without
+from tallyspark.llm.common import give_memory_back, mix, without
 
 BUCKETS = 1 << 16
 #: About so many labelled rows are read for training, chosen by a hash of their id.
@@ -219,6 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     read = [text, *(c for c in keep if c != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         m = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(text).to_pylist()]

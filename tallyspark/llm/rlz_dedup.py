@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import ANSWER, SENT, cut_words, block_rows, block_words, corpus_blocks, count_in_shards, grams, joined_answers, parts_of_texts, repeated, runs_gathered, sent_rows, sliding_min, utf8
+from tallyspark.llm.common import ANSWER, SENT, cut_words, block_rows, block_words, corpus_blocks, count_in_shards, give_memory_back, grams, joined_answers, parts_of_texts, repeated, runs_gathered, sent_rows, sliding_min, utf8
 
 WIDTH, K = 35, 12
 #: Blocks for each shard of the hash space.
@@ -195,6 +195,7 @@ def find_sources(sent: DataFrame) -> DataFrame:
     """Answers to every block: nine bytes a value, whether it occurs elsewhere and its address in the next block that has it."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         t = pa.Table.from_batches(list(batches))
         values = [_read(x.as_buffer()) for x in t.column("sent")]
         sizes = [len(v) for v in values]

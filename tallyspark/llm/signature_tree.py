@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SENT, block_rows, block_words, components, corpus_blocks, count_in_shards, grams, joined_answers, mix, ranked, repeated, sent_rows, written
+from tallyspark.llm.common import SENT, block_rows, block_words, components, corpus_blocks, count_in_shards, give_memory_back, grams, joined_answers, mix, ranked, repeated, sent_rows, written
 
 SHINGLE, THRESHOLD = 5, 80
 #: Bits of a signature for each token of its document, documents of a leaf, shingles of a family's chunk.
@@ -102,7 +102,8 @@ class Forest:
 
 
 class Node(NamedTuple):
-    bitmap: np.ndarray
+    #: None where so many bits are set that they bound nothing
+    bitmap: np.ndarray | None
     low: int
     high: int
     hidden: int
@@ -113,21 +114,11 @@ class SignatureTree:
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, members: np.ndarray):
         sizes, members = np.asarray(sizes), np.asarray(members)
-        mixed = [mix(s) for s in sets]  # another order of tokens than the one bits are taken from
-        low = [tuple(np.partition(m, min(3, len(m) - 1))[:4].tolist()) for m in mixed]
+        # another order of tokens than the one bits are taken from
+        low = [sorted(np.partition(mix(s), min(3, len(s) - 1))[:4].tolist()) for s in sets]
         level = [int(n).bit_length() for n in sizes]
-        order = sorted(range(len(sets)), key=lambda i: (level[i], sorted(low[i]), int(members[i])))
+        order = sorted(range(len(sets)), key=lambda i: (level[i], low[i], int(members[i])))
         self.sets, self.sizes, self.members = [sets[i] for i in order], sizes[order], members[order]
-        self.bitmaps: list[np.ndarray] = []
-        self.hidden = np.zeros(len(order), np.int64)
-        for i, s in enumerate(self.sets):
-            bits = max(6, (SPARE - 1).bit_length() + level[order[i]])
-            bitmap = np.zeros(1 << bits - 3, np.uint8)
-            at = (s >> np.uint64(64 - bits)).astype(np.int64)
-            np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-            self.bitmaps.append(bitmap.view(np.uint64))
-            # tokens that share a bit with another one of their document; tokens that nobody else has are in no stored set
-            self.hidden[i] = len(s) - int(np.bitwise_count(self.bitmaps[i]).sum())
         self.nodes: dict[tuple[int, int], Node] = {}
         levels = np.array([level[i] for i in order])
         cuts = [0, *(np.flatnonzero(np.diff(levels)) + 1).tolist(), len(order)]
@@ -135,14 +126,28 @@ class SignatureTree:
         for x, y in self.roots:
             self._build(x, y)
 
-    def _build(self, a: int, b: int) -> np.ndarray:
+    def _leaf(self, a: int, b: int) -> tuple[np.ndarray, int]:
+        """Bitmap of a few documents, and the most tokens of one that share a bit with another one of it (tokens that nobody
+        else has are in no stored set)."""
+        bits = max(6, (SPARE - 1).bit_length() + int(self.sizes[a]).bit_length())
+        out, hidden = np.zeros(1 << bits - 3, np.uint8), 0
+        for s in self.sets[a:b]:
+            at = np.unique(s >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            hidden = max(hidden, len(s) - len(at))
+        return out.view(np.uint64), hidden
+
+    def _build(self, a: int, b: int) -> tuple[np.ndarray | None, int]:
         if b - a <= LEAF:
-            bitmap = np.bitwise_or.reduce(np.stack(self.bitmaps[a:b]), axis=0)
+            bitmap, hidden = self._leaf(a, b)
         else:
             m = (a + b) // 2
-            bitmap = self._build(a, m) | self._build(m, b)
-        self.nodes[a, b] = Node(bitmap, int(self.sizes[a:b].min()), int(self.sizes[a:b].max()), int(self.hidden[a:b].max()))
-        return bitmap
+            (left, h), (right, k) = self._build(a, m), self._build(m, b)
+            bitmap, hidden = None if left is None or right is None else left | right, max(h, k)
+            if bitmap is not None and int(np.bitwise_count(bitmap).sum()) > 16 * len(bitmap):
+                bitmap = None
+        self.nodes[a, b] = Node(bitmap, int(self.sizes[a:b].min()), int(self.sizes[a:b].max()), hidden)
+        return bitmap, hidden
 
 
 def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
@@ -157,8 +162,10 @@ def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return have
 
 
-def most_in_common(p: np.ndarray, hidden_p: int, q: np.ndarray, hidden_q: int) -> int:
+def most_in_common(p: np.ndarray | None, hidden_p: int, q: np.ndarray | None, hidden_q: int) -> int:
     """Bound on the overlap of a document under each of two bitmaps."""
+    if p is None or q is None:
+        return 1 << 60
     if len(p) == len(q):
         return int(np.bitwise_count(p & q).sum()) + min(hidden_p, hidden_q)
     small, hidden = (p, hidden_p) if len(p) < len(q) else (q, hidden_q)
@@ -310,6 +317,7 @@ def family_tasks(prepared: DataFrame, threshold: int, chunk_tokens: int) -> Data
 
 def _joins(table: pa.Table):
     """(nodes, copies, left tree, right tree) of each chunk pair of a task; members of the trees are positions in nodes."""
+    give_memory_back()
     label, i, j, side = (table.column(c).to_numpy() for c in ("label", "i", "j", "side"))
     node, size, shared = table.column("node").to_numpy(), table.column("n_shingles").to_numpy(), table.column("shared")
     copies = table.column("copies").to_numpy() if "copies" in table.column_names else np.ones(len(node), np.int64)
