@@ -11,26 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe_codec, entropy_mix, mixture_langid, rlz_dedup, signature_tree
-from tallyspark.llm.common import unused, written
-
-#: A document whose largest language has less than this share of its words is rejected, as is one without letters.
-MIN_SHARE = 0.4
+from tallyspark.llm.common import delete_folders, recording, unused, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: ``lang`` becomes the predicted one.  Null and empty texts and texts without letters go."""
+    """Documents with a language: ``lang`` becomes the predicted one, that of the largest share.
+
+    Null and empty texts and texts without letters have none and go; mixed texts stay.  Repeated rows and null ids stay;
+    without labelled documents there is no language and nothing is kept; an empty table stays empty."""
     model = mixture_langid.fit(docs.where(~mixture_langid.held_out(F.col("doc_id"))))
     names = unused(docs.columns, "lang_pred", "score", "languages", "proportions")
     found = mixture_langid.identify(docs, model, keep=docs.columns, names=tuple(names))
-    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_SHARE)).withColumn("lang", F.col(names[0])).select(*docs.columns)
+    return found.where(F.col(names[0]) != "und").withColumn("lang", F.col(names[0])).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies.
 
-    Rows that share a doc_id are one document, of which the row with the smallest text stays; rows without a doc_id stay."""
+    Rows that share a doc_id are one document, of which the row with the smallest text stays; rows without a doc_id stay; null
+    and empty texts are no copies of each other; an empty table stays empty."""
     (key, row) = unused(docs.columns, "_gone", "_row")
     gone = signature_tree.near_copies(docs).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(key))
     kept = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
@@ -42,7 +43,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 35 words or more that occur elsewhere; a text without any keeps its white space, and one
-    of which nothing is left goes."""
+    of which nothing is left goes.  Null and empty texts stay, repeated rows are passages of each other."""
     key, kept, digest = unused(docs.columns, "_id", "_kept", "_sha")
     done = rlz_dedup.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest), F.col("kept").alias(kept)).dropDuplicates([key, digest])
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.sha2("text", 256) == F.col(digest))
@@ -51,7 +52,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix to the sources' target weights takes it (0 to 2 times)."""
+    """Every document as often as the mix to the sources' target weights takes it (0 to 2 times).  Null and empty texts take
+    no words and may stay or go; null is a source; rows that repeat are copies of one row."""
     return entropy_mix.mix_documents(docs)
 
 
@@ -78,7 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``.  Once a stage's result is written, the tables that it was made from are deleted; the last
+    one stays, as the returned rows are read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    with recording() as paths:
+        for _, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir))
+            delete_folders(spark, paths[:-1])
+            del paths[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
