@@ -50,10 +50,19 @@ def normalize_counterparty(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
 
 
+# Patterns of personal numbers and the marks that take their place, phones first.
+PERSONAL_NUMBERS = [
+    (r"(?<!\d)(?:\+?\d[\s-]?){10,13}(?!\d)", "[redacted-phone]"),
+    (r"\d{7,}", "[redacted-num]"),
+]
+
+
 def redact_pii(c: Column) -> Column:
     """Phone-like sequences, then runs of seven or more digits, replaced by fixed marks."""
-    phones = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<!\d)(?:\+?\d[\s-]?){10,13}(?!\d)", "[redacted-phone]")
-    return F.regexp_replace(phones, r"\d{7,}", "[redacted-num]")
+    out = F.coalesce(c, F.lit(""))
+    for pattern, mark in PERSONAL_NUMBERS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
 
 
 def has_marker(text: Column, markers: list[str]) -> Column:

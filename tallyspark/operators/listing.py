@@ -45,6 +45,16 @@ def page(txns: DataFrame, sort: str = "transaction_date", descending: bool = Tru
     return txns.orderBy(*by).offset(max(0, number - 1) * size).limit(size)
 
 
+def counted(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).cast("bigint").alias("total"))
+
+
+def page_by_id(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One page, newest ids first, with the number of all rows."""
+    one = counted(df).withColumn("_one", F.lit(1))
+    return df.orderBy(F.col("id").desc()).offset(offset).limit(limit).withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+
+
 def totals_by_currency(txns: DataFrame) -> DataFrame:
     """Credits, debits and net of each currency (other directions left out); an INR row is always there."""
     currency = normalized_currency(F.col("currency")).alias("currency")

@@ -162,11 +162,11 @@ def expected_reversals(t):
 
 
 @_query(f"""SELECT f.id, CASE WHEN f.n <= coalesce(e.times, 0) THEN 'accepted' ELSE 'fatal' END AS verdict FROM (SELECT id, account, date, amount_paise, row_number() OVER (PARTITION BY account, date, amount_paise ORDER BY id) AS n FROM (
-      SELECT id * 10 + k AS id, CASE WHEN k = 9 THEN NULL ELSE account END AS account, date, amount_paise FROM ({_POST}), (VALUES (1), (2), (9)) AS v(k) WHERE leg = 1 AND amount_paise < 0 AND id % 50 < 5)) f
+      SELECT id * 10 + k AS id, CASE WHEN k = 9 THEN NULL ELSE account END AS account, date, amount_paise FROM ({_POST}), (VALUES (1), (2), (9)) AS v(k) WHERE leg = 1 AND amount_paise < 0)) f
     LEFT JOIN (SELECT account, date, amount_paise, count(*) AS times FROM ({_POST}) WHERE starts_with(account, 'Expenses:') AND amount_paise < 0 GROUP BY 1, 2, 3) e ON e.account = f.account AND e.date = f.date AND e.amount_paise = f.amount_paise""")
 def diagnosis_verdicts(t):
     posted = ledger.postings(_projected(t))
-    return _verdicts(posted.where("id % 50 < 5"), posted)
+    return _verdicts(posted, posted)
 
 
 @_query(f"""SELECT f.id, CASE WHEN f.n <= coalesce(e.times, 0) THEN 'accepted' ELSE 'fatal' END AS verdict FROM (SELECT id, account, date, amount_paise, row_number() OVER (PARTITION BY account, date, amount_paise ORDER BY id) AS n FROM (
@@ -202,9 +202,9 @@ def balance_rollup(t):
     return sync.rolled_up(ledger.balances(ledger.postings(_projected(t))), names)
 
 
-@_query(f"SELECT id, leg, rpad('    ' || account, 52, ' ') || ' ' || cast(cast(amount_paise AS DECIMAL(20, 2)) / 100 AS DECIMAL(20, 2)) || ' ' || commodity AS line FROM ({_POST}) WHERE length(account) < 48")
+@_query(f"SELECT id, leg, '    ' || account || repeat(' ', greatest(0, 48 - length(account))) || ' ' || cast(cast(amount_paise AS DECIMAL(20, 2)) / 100 AS DECIMAL(20, 2)) || ' ' || commodity AS line FROM ({_POST})")
 def ledger_lines(t):
-    return ledger.journal_lines(ledger.postings(_projected(t)).where(F.length("account") < 48))
+    return ledger.journal_lines(ledger.postings(_projected(t)))
 
 
 @_query(f"SELECT id, leg, '    ' || account || repeat(' ', greatest(0, 48 - length(account))) || ' ' || cast(cast(amount_paise AS DECIMAL(20, 2)) / 100 AS DECIMAL(20, 2)) || ' ' || commodity AS line FROM ({_POST})")
@@ -212,11 +212,11 @@ def ledger_lines_all(t):
     return ledger.journal_lines(ledger.postings(_projected(t)))
 
 
-@_query(f"""SELECT coalesce(v.instrument, l.instrument) AS instrument, quantity, unit_price, lots, cost_paise FROM (SELECT instrument, cast(sum(units) AS BIGINT) AS quantity, cast(CASE WHEN count(DISTINCT nav) = 1 THEN max(nav) END AS BIGINT) AS unit_price FROM ({_LOTS}) WHERE upload_id % 10 = 0 AND instrument IS NOT NULL GROUP BY 1) v
+@_query(f"""SELECT coalesce(v.instrument, l.instrument) AS instrument, quantity, unit_price, lots, cost_paise FROM (SELECT instrument, cast(sum(units) AS BIGINT) AS quantity, cast(CASE WHEN count(DISTINCT nav) = 1 THEN max(nav) END AS BIGINT) AS unit_price FROM ({_LOTS}) WHERE instrument IS NOT NULL GROUP BY 1) v
     FULL JOIN (SELECT instrument, count(*) AS lots, cast(sum(units * nav) * 100 AS BIGINT) AS cost_paise FROM ({_CANON}) GROUP BY 1) l ON l.instrument = v.instrument""")
 def investment_positions(t):
     raw = investments.classify(t["raw_lots"])
-    return investments.positions(raw.where("upload_id % 10 = 0 and instrument is not null"), investments.canonical_lots(raw))
+    return investments.positions(raw.where("instrument is not null"), investments.canonical_lots(raw))
 
 
 @_query(f"""SELECT coalesce(v.instrument, l.instrument) AS instrument, quantity, unit_price, lots, cost_paise FROM (SELECT instrument, cast(sum(units) AS BIGINT) AS quantity, cast(CASE WHEN count(DISTINCT nav) = 1 THEN max(nav) END AS BIGINT) AS unit_price FROM ({_LOTS}) WHERE instrument IS NOT NULL GROUP BY 1) v
@@ -314,9 +314,9 @@ def card_snapshots(t):
     return evidence.card_snapshots(t["statement_uploads"])
 
 
-@_query("SELECT id AS account_id, account_number AS card_mask, 'self' AS label, true AS is_primary FROM accounts a WHERE type = 'credit_card' AND coalesce(account_number, '') <> '' AND NOT EXISTS (SELECT 1 FROM cards c WHERE c.account_id = a.id AND c.id % 3 <> 0)")
+@_query("SELECT id AS account_id, account_number AS card_mask, 'self' AS label, true AS is_primary FROM accounts a WHERE type = 'credit_card' AND coalesce(account_number, '') <> '' AND NOT EXISTS (SELECT 1 FROM known_cards c WHERE c.account_id = a.id)")
 def default_cards(t):
-    return evidence.default_cards(t["accounts"], t["cards"].where("id % 3 <> 0"))
+    return evidence.default_cards(t["accounts"], t["known_cards"])
 
 
 @_query("""SELECT t.id, CASE WHEN trim(coalesce(t.reference_number, '')) = '' THEN 'no_reference' WHEN g.d <> 1 OR g.c <> 1 THEN 'legs' WHEN g.lo <> g.hi THEN 'amount_mismatch' WHEN g.c1 <> g.c2 THEN 'currency_mismatch' WHEN NOT g.known THEN 'account' ELSE 'paired' END AS verdict FROM transactions t
@@ -344,11 +344,11 @@ def card_of_payment(t):
 _NCP = "regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]', '', 'g')"
 
 
-@_query(f"""SELECT target, id, cast(r AS INTEGER) AS place FROM (SELECT x.target, c.id, row_number() OVER (PARTITION BY x.target ORDER BY c.created_at DESC, c.id DESC) AS r FROM (SELECT id AS target, direction, {_NCP.format('counterparty')} AS cp FROM transactions WHERE id % 50 = 3) x
+@_query(f"""SELECT target, id, cast(r AS INTEGER) AS place FROM (SELECT x.target, c.id, row_number() OVER (PARTITION BY x.target ORDER BY c.created_at DESC, c.id DESC) AS r FROM (SELECT id AS target, direction, {_NCP.format('counterparty')} AS cp FROM transactions) x
     JOIN (SELECT * FROM (SELECT id, direction, created_at, {_NCP.format('counterparty')} AS cp, row_number() OVER (PARTITION BY direction ORDER BY created_at DESC, id DESC) AS k FROM transactions WHERE category IS NOT NULL AND category_method IN ('manual', 'rule') AND direction IN ('credit', 'debit')) WHERE k <= 200) c
     ON c.direction = x.direction AND x.cp <> '' AND c.cp <> '' AND (contains(c.cp, x.cp) OR contains(x.cp, c.cp))) WHERE r <= 5""")
 def similar_examples(t):
-    targets = t["transactions"].where("id % 50 = 3").select(F.col("id").alias("target"), "direction", "counterparty")
+    targets = t["transactions"].select(F.col("id").alias("target"), "direction", "counterparty")
     return evidence.similar_examples(t["transactions"], targets)
 
 

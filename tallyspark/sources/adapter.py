@@ -123,6 +123,31 @@ VIEWS: dict[str, str] = {
         SELECT conv_id * 1000 + turn AS id, 'VM-' || upper(role) AS sender, text AS body, conv_id AS arrival FROM {conversations}
         UNION ALL
         SELECT conv_id * 1000 + turn + 500, 'VM-' || upper(role), text, conv_id + 1 FROM {conversations} WHERE conv_id % 3 = 0""",
+    "fetch_rules": """
+        SELECT * FROM (VALUES (1, 'alerts@hdfc.test', 'spent', 'hdfc', true), (2, 'icici', '', 'icici', false), (3, '', 'statement', 'kotak', true)) AS t(id, sender, subject, bank, enabled)""",
+    "emails": """
+        SELECT event_id AS id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 4 + 1 END AS rule_id,
+          CASE event_id % 4 WHEN 0 THEN 'HDFC <Alerts@HDFC.test>' WHEN 1 THEN 'noreply@icici.test' WHEN 2 THEN 'x-alerts@hdfc.test' END AS sender,
+          CASE event_id % 3 WHEN 0 THEN 'Rs 5 spent' WHEN 1 THEN 'Your Statement for May' END AS subject, ts AS received_at,
+          CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'parsed' WHEN 2 THEN 'skipped' WHEN 3 THEN 'pending' ELSE 'enriched' END AS status,
+          CASE WHEN event_id % 10 = 0 THEN 'no parser matched ' || cast(user_id as string) END AS error, props AS body
+        FROM {events}""",
+    "txn_links": """
+        SELECT id, CASE WHEN id % 4 = 3 THEN NULL ELSE (id * 7) % 800 END AS email_id, account_id, bank, direction, amount, transaction_date FROM {transactions}""",
+    "sms_rows": """
+        SELECT id, sender, body, arrival, CASE id % 4 WHEN 0 THEN 'parsed' WHEN 1 THEN 'pending' WHEN 2 THEN 'error' ELSE 'skipped' END AS status,
+          CASE WHEN id % 3 = 0 THEN id % 700 END AS transaction_id, CASE id % 7 WHEN 0 THEN 'provisional' WHEN 1 THEN 'restatement' END AS ledger_role,
+          CASE id % 5 WHEN 0 THEN 'declined' WHEN 1 THEN 'credit' WHEN 2 THEN 'credit' ELSE 'debit' END AS direction
+        FROM {sms_messages}""",
+    "settings": """
+        SELECT * FROM (VALUES ('poll.minutes', ' 15 '), ('poll.enabled', 'Yes'), ('poll.names', '[1, 2]'), ('llm.limit', 'many'), ('llm.enabled', 'off'), ('empty', CAST(NULL AS VARCHAR(9)))) AS t(key, value)""",
+    "known_cards": """
+        SELECT * FROM {cards} WHERE id % 3 <> 0""",
+    "bank_uploads": """
+        SELECT o_orderkey AS id, o_custkey AS account_id, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' ELSE cast(round(o_totalprice) as bigint) div 1000 || ',' || lpad(cast(cast(round(o_totalprice) as bigint) % 1000 as string), 3, '0') || '.50' END AS closing_balance,
+          CASE WHEN o_orderkey % 11 = 0 THEN 'soon' WHEN o_orderkey % 13 <> 0 THEN lpad(cast(day(cast(o_orderdate as date)) as string), 2, '0') || '/' || lpad(cast(month(cast(o_orderdate as date)) as string), 2, '0') || '/' || cast(year(cast(o_orderdate as date)) as string) END AS period_end,
+          CASE WHEN o_orderkey % 3 = 0 THEN repeat('x', cast(o_orderkey % 50 as int)) END AS payload
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_mktsegment IN ('HOUSEHOLD', 'BUILDING')""",
 }
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents"]

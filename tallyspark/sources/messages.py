@@ -8,7 +8,7 @@ import email.utils
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,15 @@ MAIL = "message_id string, sender string, subject string, received_at timestamp,
 
 
 def mail_folder(spark: SparkSession, path: str) -> DataFrame:
-    """``*.eml`` files below a folder: bank (the folder's name), header fields, the HTML body or else the text, attachment names.
+    """``*.eml`` files below a folder: bank (the folder's name) and what ``parsed_mail`` gives."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return parsed_mail(files).withColumn("bank", F.element_at(F.split("path", "/"), -2))
+
+
+def parsed_mail(files: DataFrame) -> DataFrame:
+    """Mail files (path, content) with header fields, the HTML body or else the text, and attachment names.
 
     A file that is no mail gives a row of nulls with its path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -35,7 +40,20 @@ def mail_folder(spark: SparkSession, path: str) -> DataFrame:
                 out.append((path, m["Message-ID"], m["From"], m["Subject"], when, body.get_content() if body else None, [a.get_filename() or "" for a in m.iter_attachments()]))
             yield pd.DataFrame(out, columns=["path", "message_id", "sender", "subject", "received_at", "body", "attachments"]).astype({"received_at": "datetime64[ns]"})
 
-    return files.mapInPandas(parse, "path string, " + MAIL).withColumn("bank", F.element_at(F.split("path", "/"), -2))
+    return files.select("path", "content").mapInPandas(parse, "path string, " + MAIL)
+
+
+def statement_attachment(names: Column, skip: list[str]) -> Column:
+    """The first PDF among attachment names with none of the ``skip`` words in it; null where there is none."""
+    fits = F.filter(names, lambda n: F.lower(n).endswith(".pdf") & ~F.lower(n).rlike("|".join(skip) if skip else "$^"))
+    return F.get(fits, 0)
+
+
+def typed_settings(settings: DataFrame) -> DataFrame:
+    """Settings with their value as text, number, flag and list of JSON, each null where it isn't one."""
+    v = F.trim("value")
+    flag = F.when(F.lower(v).isin("1", "true", "yes", "on"), True).when(v.isNotNull(), False)
+    return settings.select("key", v.alias("text"), v.try_cast("bigint").alias("number"), flag.alias("flag"), F.when(v.startswith("["), F.from_json(v, "array<string>")).alias("items"))
 
 
 def json_objects(df: DataFrame, column: str, schema: str | T.StructType) -> DataFrame:
@@ -50,9 +68,9 @@ def amounts_of_map(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, entries.alias("e")).select(key, F.col("e.key").alias("name"), F.coalesce(F.col("e.value").try_cast("decimal(16,2)"), F.lit(0).cast("decimal(16,2)")).alias("amount"))
 
 
-def since(last_synced, first_days: int = 90, again_days: int = 2):
+def since(last_synced: Column, first_days: int = 90, again_days: int = 2, today: Column | None = None) -> Column:
     """Where a source reads from: a little before the cursor, or far enough back for the first time."""
-    return F.coalesce(F.date_sub(last_synced, again_days), F.date_sub(F.current_date(), first_days))
+    return F.coalesce(F.date_sub(last_synced, again_days), F.date_sub(F.current_date() if today is None else today, first_days))
 
 
 def unseen(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
