@@ -74,6 +74,15 @@ def account_counts(accounts: DataFrame, txns: DataFrame, statements: DataFrame)
     return out.select("id", F.coalesce("txns", F.lit(0)).alias("txns"), F.coalesce("statements", F.lit(0)).alias("statements"))
 
 
+def link_counts(accounts: DataFrame, linked: dict[str, DataFrame]) -> DataFrame:
+    """How many rows of each linked table name each account; 0 where none does."""
+    out = accounts.select("id")
+    for name, df in linked.items():
+        g = df.groupBy(F.col("account_id").alias("_a")).agg(rows().alias("_n"))
+        out = out.join(g, F.col("id") == F.col("_a"), "left").select(*out.columns, F.coalesce("_n", F.lit(0)).alias(name))
+    return out
+
+
 def first_cards(cards: DataFrame, most: int = 50) -> DataFrame:
     """Up to ``most`` cards of each account, primary first, with a flag where there are more."""
     w = Window.partitionBy("account_id")

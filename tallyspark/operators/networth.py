@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import month_key, paise
 from tallyspark.functions.vocabulary import STALE_DAYS
+from tallyspark.operators import evidence, uploads
 
 
 def source_key() -> Column:
@@ -68,3 +69,9 @@ def monthly_trend(snapshots: DataFrame, accounts: DataFrame, items: DataFrame, t
     filled = spine.join(monthly, "m", "left")
     running = F.sum(F.coalesce("step", F.lit(0).cast("decimal(16,2)"))).over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
     return filled.select(month_key(F.col("m")).alias("month"), paise(running).alias("value_paise"))
+
+
+def backfill(bank_uploads: DataFrame, card_uploads: DataFrame) -> DataFrame:
+    """The balances of all stored statements, bank and card: one for each account, category and date (the newest upload's)."""
+    cards = evidence.card_snapshots(card_uploads).groupBy("account_id", "kind", "category", "as_of_date").agg(F.max_by("value_paise", "id").alias("value_paise"))
+    return uploads.bank_snapshots(bank_uploads).drop("upload_id").unionByName(cards)

@@ -43,6 +43,12 @@ def outstanding(uploads: DataFrame, today: str) -> DataFrame:
     return latest.select("account_id", F.col("id").alias("statement_id"), "due", paise(owed).alias("outstanding_paise"), (F.coalesce(owed > 0, F.lit(False)) & (F.col("due") < F.lit(today).cast("date"))).alias("overdue"))
 
 
+def outstanding_totals(uploads: DataFrame, today: str) -> DataFrame:
+    """One row: what all cards owe, and how many owe something, nothing, or are overdue; amounts that don't parse are in none."""
+    own = outstanding(uploads, today).join(parsed(uploads).where("amount_due is not null").select(F.col("id").alias("_i")), F.col("statement_id") == F.col("_i"), "left_semi")
+    return own.agg(F.coalesce(F.sum("outstanding_paise"), F.lit(0)).cast("bigint").alias("total_paise"), F.count_if(F.col("outstanding_paise") > 0).cast("bigint").alias("owing"), F.count_if(F.col("outstanding_paise") == 0).cast("bigint").alias("settled"), F.count_if("overdue").cast("bigint").alias("overdue"))
+
+
 def reminders(uploads: DataFrame, today: str, offsets: tuple[int, ...] = (7, 3, 1, 0)) -> DataFrame:
     """Statements to remind of today: the latest of an account, not paid, and so many days before its due date."""
     days = F.datediff(F.col("due"), F.lit(today).cast("date"))
