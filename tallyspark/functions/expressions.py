@@ -100,8 +100,19 @@ def parse_amount(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit("")).try_cast("decimal(16,2)")
 
 
+#: Shapes of printed dates, day first, and the pattern that each must have.
+DAY_FIRST = [("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"), ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"), ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"), ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"), ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"), ("dd/MM/yy", r"^\d{2}/\d{2}/\d{2}$")]
+
+
 def parse_day_first(c: Column) -> Column:
-    return F.coalesce(F.try_to_date(c, "dd/MM/yyyy"), F.try_to_date(c, "d-MMM-yyyy"))
+    """The date of a printed text in one of the shapes; null for any other."""
+    t = F.trim(c)
+    return F.coalesce(*[F.when(t.rlike(pattern), F.try_to_date(t, shape)) for shape, pattern in DAY_FIRST])
+
+
+def local_time(at: Column, zone: str = "Asia/Kolkata") -> Column:
+    """A stored time (UTC, without zone) as the local one."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), at)
 
 
 def month_key(date: Column) -> Column:

@@ -114,3 +114,8 @@ def trend(txns: DataFrame, accounts: DataFrame, months: int, today: str) -> Data
         F.sum(F.when(inr & (F.col("bucket") == "income"), amount)).alias("i"), F.sum(F.when(inr & (F.col("bucket") == "expense"), -amount)).alias("e"),
         F.sum(F.when(inr & (F.col("bucket") == "investment"), -amount)).alias("v"), F.count_if(F.col("category") == "salary").alias("s"))
     return spine.join(sums, "month", "left").select("month", paise(F.col("i")).alias("income"), paise(F.col("e")).alias("expense"), paise(F.col("v")).alias("net_invested"), F.coalesce("s", F.lit(0)).cast("bigint").alias("salary_count"))
+
+
+def by_magnitude(lines: DataFrame, total: str, label: str) -> DataFrame:
+    """Report lines with the largest first, whatever their sign; labels break ties."""
+    return lines.orderBy(F.abs(F.col(total)).desc(), F.col(label).asc_nulls_first())

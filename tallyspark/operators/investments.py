@@ -34,12 +34,78 @@ def classify(raw: DataFrame) -> DataFrame:
 BASE = ["instrument", "source_ref", "acquired_on", "units", "nav", "kind", "reference"]
 
 
-def canonical_lots(classified: DataFrame) -> DataFrame:
-    """Lots over overlapping uploads: of equal lots, as many as the upload with the most has; the uploads that show each."""
-    lots = classified.where("reason is null")
+def numbered_lots(classified: DataFrame) -> DataFrame:
+    """Complete lots with their number among equal ones of their upload."""
     w = Window.partitionBy(*BASE, "upload_id").orderBy("raw_id")
-    numbered = lots.withColumn("occurrence", F.row_number().over(w) - 1)
-    return numbered.groupBy(*BASE, "occurrence").agg(F.min("upload_id").alias("first_upload"), F.count(F.lit(1)).cast("bigint").alias("uploads"))
+    return classified.where("reason is null").withColumn("occurrence", F.row_number().over(w) - 1)
+
+
+def canonical_lots(classified: DataFrame) -> DataFrame:
+    """Lots over overlapping uploads: of equal lots, as many as the upload with the most has; the uploads that show each.
+
+    Equal lots of an upload are counted first; the lots of rank k are those of the uploads that have more than k."""
+    counts = classified.where("reason is null").groupBy(*BASE, "upload_id").agg(F.count(F.lit(1)).alias("_n"))
+    ranks = counts.select(*BASE, "upload_id", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("occurrence"))
+    return ranks.groupBy(*BASE, "occurrence").agg(F.min("upload_id").alias("first_upload"), F.count(F.lit(1)).cast("bigint").alias("uploads"))
+
+
+def canonical_lots_with_sources(classified: DataFrame) -> DataFrame:
+    """``canonical_lots`` with the ids of all uploads that show each lot, ascending."""
+    counts = classified.where("reason is null").groupBy(*BASE, "upload_id").agg(F.count(F.lit(1)).alias("_n"))
+    ranks = counts.select(*BASE, "upload_id", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("occurrence"))
+    return ranks.groupBy(*BASE, "occurrence").agg(F.array_sort(F.collect_list("upload_id")).alias("sources"))
+
+
+def in_order(lots: DataFrame) -> DataFrame:
+    """Canonical lots under one total order."""
+    return lots.orderBy(*[F.asc_nulls_last(c) for c in [*BASE, "occurrence"]])
+
+
+def canonical_raw(raw: DataFrame) -> DataFrame:
+    """Raw transactions over overlapping uploads by fingerprint (SHA-256 of what identifies them): as many as the upload with
+    the most has, and the first upload that shows one."""
+    whole = lambda c: F.col(c).cast("bigint").cast("string")
+    parts = [F.coalesce(F.upper(F.trim("isin")), F.lit("")), F.coalesce("source_ref", F.lit("")), F.col("acquired_on").cast("string"), whole("units"), whole("nav"), F.lower(F.trim(F.coalesce("transaction_type", F.lit("")))), F.coalesce("reference", F.lit(""))]
+    each = raw.groupBy(F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"), "upload_id").agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
+    return each.groupBy("fingerprint").agg(F.max("_n").alias("copies"), F.min("upload_id").alias("first_upload"))
+
+
+def extracted_lots(documents: DataFrame, key: str) -> DataFrame:
+    """Lots of nested documents (folios, schemes, transactions) with a number among those of one source, instrument and day in
+    the order of the document; schemes without an instrument are left out."""
+    f = documents.select(key, F.posexplode("folios").alias("_p", "f")).select(key, "_p", F.col("f.source_ref").alias("source_ref"), F.posexplode("f.schemes").alias("_q", "s"))
+    rows = f.where("trim(coalesce(s.isin, '')) <> ''").select(key, "_p", "_q", "source_ref", F.upper(F.trim("s.isin")).alias("instrument"), F.posexplode("s.transactions").alias("_r", "t"))
+    own = rows.select(key, "_p", "_q", "_r", "source_ref", "instrument", F.try_to_date("t.date", "yyyy-MM-dd").alias("acquired_on"), F.col("t.units").try_cast("decimal(20,6)").alias("units"))
+    n = F.row_number().over(Window.partitionBy(key, "source_ref", "instrument", "acquired_on").orderBy("_p", "_q", "_r"))
+    return own.withColumn("occurrence", (n - 1).cast("bigint")).select(key, "source_ref", "instrument", "acquired_on", "occurrence", "units")
+
+
+def latest_portfolios(uploads: DataFrame) -> DataFrame:
+    """The newest upload of each portfolio (keys compare trimmed and in capitals) by date and id."""
+    rest = [c for c in uploads.columns]
+    g = uploads.groupBy(F.upper(F.trim("portfolio_key")).alias("_k")).agg(F.max_by(F.struct(*rest), F.struct("statement_date", "id")).alias("u"))
+    return g.select("u.*")
+
+
+def current_valuations(uploads: DataFrame, schema: str) -> DataFrame:
+    """The newest upload of each portfolio with its payload decoded; one that doesn't parse stays null, older ones don't step in."""
+    return latest_portfolios(uploads).select("portfolio_key", F.col("id").alias("upload_id"), F.when(F.trim("payload").rlike(r"^\{.*\}$"), F.from_json("payload", schema)).alias("payload"))
+
+
+def latest_values(valuations: DataFrame) -> DataFrame:
+    """The value of each instrument, summed over the newest upload of every portfolio; those without a value are absent."""
+    newest = latest_portfolios(valuations.select("id", "portfolio_key", "statement_date")).select(F.col("id").alias("_i"))
+    return valuations.join(newest, F.col("id") == F.col("_i"), "left_semi").where("value is not null").groupBy("instrument").agg(F.sum("value").alias("value"))
+
+
+def classes(holdings: DataFrame) -> DataFrame:
+    """The asset class of each instrument: its only one, else other."""
+    return holdings.groupBy("instrument").agg(F.when(F.countDistinct("asset_class") == 1, F.max("asset_class")).otherwise("other").alias("asset_class"), F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def with_uploads(lots: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Lots with the portfolio of their upload; those of unknown uploads are left out."""
+    return lots.join(uploads.select(F.col("id").alias("_u"), "portfolio_key"), F.col("upload_id") == F.col("_u")).drop("_u")
 
 
 def lot_totals(lots: DataFrame) -> DataFrame:

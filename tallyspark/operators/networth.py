@@ -75,3 +75,21 @@ def backfill(bank_uploads: DataFrame, card_uploads: DataFrame) -> DataFrame:
     """The balances of all stored statements, bank and card: one for each account, category and date (the newest upload's)."""
     cards = evidence.card_snapshots(card_uploads).groupBy("account_id", "kind", "category", "as_of_date").agg(F.max_by("value_paise", "id").alias("value_paise"))
     return uploads.bank_snapshots(bank_uploads).drop("upload_id").unionByName(cards)
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Sources of each category and kind as an array, by label without regard to case, then id."""
+    sort = F.array_sort(F.collect_list(F.struct(F.lower("label").alias("low"), F.col("id").alias("id"), F.col("label").alias("label"))))
+    return rows.groupBy("category", "kind").agg(sort.alias("rows")).orderBy("category", "kind")
+
+
+def holdings_by_class(snapshots: DataFrame, holdings: DataFrame, total: Column) -> DataFrame:
+    """Value of each asset class; what a snapshot's total has beyond its holdings is of class other."""
+    held = holdings.groupBy(F.col("snapshot_id").alias("_s")).agg(F.sum("value").alias("held"))
+    rest = snapshots.join(held, F.col("id") == F.col("_s")).select(F.lit("other").alias("asset_class"), (total - F.col("held")).cast("decimal(20,2)").alias("v")).where("v > 0")
+    return holdings.select("asset_class", F.col("value").cast("decimal(20,2)").alias("v")).unionByName(rest).groupBy("asset_class").agg(paise(F.sum("v")).alias("value_paise"))
+
+
+def manual_history(snapshots: DataFrame) -> DataFrame:
+    """Values of each manual item as an array, newest first."""
+    return snapshots.where("manual_item_id is not null").groupBy(F.col("manual_item_id").alias("item")).agg(F.sort_array(F.collect_list(F.struct("as_of_date", "id", "value")), False).alias("history"))

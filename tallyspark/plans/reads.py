@@ -228,21 +228,17 @@ def investment_positions_all(t):
 
 @_query("""SELECT portfolio_key, id AS upload_id, portfolio_ok FROM (SELECT *, row_number() OVER (PARTITION BY upper(trim(portfolio_key)) ORDER BY statement_date DESC, id DESC) AS r FROM cas_uploads) WHERE r = 1""")
 def latest_portfolios(t):
-    g = t["cas_uploads"].groupBy(F.upper(F.trim("portfolio_key")).alias("k")).agg(F.max_by(F.struct("portfolio_key", "id", "portfolio_ok"), F.struct("statement_date", "id")).alias("u"))
-    return g.select("u.portfolio_key", F.col("u.id").alias("upload_id"), "u.portfolio_ok")
+    return investments.latest_portfolios(t["cas_uploads"]).select("portfolio_key", F.col("id").alias("upload_id"), "portfolio_ok")
 
 
 @_query(f"""SELECT asset_class, {_paise('sum(v)')} AS value_paise FROM (SELECT asset_class, value AS v FROM snapshot_holdings UNION ALL SELECT 'other', total - held FROM (SELECT s.id, s.value * 3 AS total, sum(h.value) AS held FROM balance_snapshots s JOIN snapshot_holdings h ON h.snapshot_id = s.id GROUP BY 1, 2) WHERE total > held) GROUP BY 1""")
 def holdings_by_class(t):
-    h = t["snapshot_holdings"]
-    held = h.groupBy(F.col("snapshot_id").alias("_s")).agg(F.sum("value").alias("held"))
-    rest = t["balance_snapshots"].join(held, F.col("id") == F.col("_s")).select(F.lit("other").alias("asset_class"), (F.col("value") * 3 - F.col("held")).cast("decimal(20,2)").alias("v")).where("v > 0")
-    return h.select("asset_class", F.col("value").cast("decimal(20,2)").alias("v")).unionByName(rest).groupBy("asset_class").agg(X.paise(F.sum("v")).alias("value_paise"))
+    return networth.holdings_by_class(t["balance_snapshots"], t["snapshot_holdings"], F.col("value") * 3)
 
 
 @_query(f"""SELECT item, newest, values_ FROM (SELECT manual_item_id AS item, max(as_of_date) AS newest, count(*) AS values_ FROM balance_snapshots WHERE manual_item_id IS NOT NULL GROUP BY 1)""")
 def manual_item_history(t):
-    g = t["balance_snapshots"].where("manual_item_id is not null").groupBy(F.col("manual_item_id").alias("item")).agg(F.sort_array(F.collect_list(F.struct("as_of_date", "id", "value")), False).alias("history"))
+    g = networth.manual_history(t["balance_snapshots"])
     return g.select("item", F.element_at("history", 1)["as_of_date"].alias("newest"), F.size("history").cast("bigint").alias("values_"))
 
 

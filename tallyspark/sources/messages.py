@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.expressions import local_time
+
 MAIL = "message_id string, sender string, subject string, received_at timestamp, body string, attachments array<string>"
 
 
@@ -68,6 +70,14 @@ def amounts_of_map(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, entries.alias("e")).select(key, F.col("e.key").alias("name"), F.coalesce(F.col("e.value").try_cast("decimal(16,2)"), F.lit(0).cast("decimal(16,2)")).alias("amount"))
 
 
+def dated_by_arrival(told: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """Parsed messages with date and time (seconds of the day) taken from their arrival, in local time, where the text has none;
+    ``received_time`` says whether the time is of that kind."""
+    local = local_time(F.col("received_at"), zone)
+    seconds = (F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)).cast("bigint")
+    return told.withColumn("received_time", F.col("time_s").isNull()).withColumn("date", F.coalesce("date", local.cast("date"))).withColumn("time_s", F.coalesce("time_s", seconds))
+
+
 def since(last_synced: Column, first_days: int = 90, again_days: int = 2, today: Column | None = None) -> Column:
     """Where a source reads from: a little before the cursor, or far enough back for the first time."""
     return F.coalesce(F.date_sub(last_synced, again_days), F.date_sub(F.current_date() if today is None else today, first_days))
