@@ -7,10 +7,11 @@ against the stored table; matches among themselves are a second call with the ac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.expressions import mask_matches, normalize_counterparty, normalize_mask
+from tallyspark.functions.expressions import mask_digits, mask_matches, normalize_counterparty, normalize_mask, trailing_digits
+from tallyspark.operators.evidence import shortened_reference
 
 WINDOW_S, RECEIVED_WINDOW_S = 600, 60
 
@@ -50,10 +51,18 @@ def fuzzy_candidates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     near = F.when(F.col("i_transaction_time_s").isNull(), F.col("transaction_date") == F.col("i_transaction_date")).otherwise(dates & F.coalesce(F.abs(at - other) <= window, F.lit(True)))
     m, n = normalize_mask(F.col("i_account_mask")), normalize_mask(F.col("account_mask"))
     hits = i.join(s, keys & near).where((m == "") | (n == "") | mask_matches(m, n)).withColumn("cp", counterparty_match(F.col("counterparty"), F.col("i_counterparty")))
-    g = hits.groupBy("i_seq").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("cp").alias("_cp"), F.bool_or(F.col("transaction_time_s").isNull() | F.col("i_transaction_time_s").isNull()).alias("_untimed")).withColumnRenamed("i_seq", "_seq")
-    kept = hits.join(g, F.col("i_seq") == F.col("_seq"))
-    rule = F.when(F.col("_untimed"), F.col("cp")).when((F.col("_n") > 1) & F.col("_cp"), F.col("cp")).otherwise(F.lit(True))
-    return kept.where(rule).select(F.col("i_seq").alias("seq"), "id", F.col("i_balance").alias("balance_in"), "balance")
+    w = Window.partitionBy("i_seq")
+    untimed = F.bool_or(F.col("transaction_time_s").isNull() | F.col("i_transaction_time_s").isNull()).over(w)
+    seen = hits.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_cp", F.bool_or("cp").over(w)).withColumn("_untimed", untimed)
+    # without a time: by counterparty, else by the card that both say shows the event, else where both say that nothing does
+    tier = F.when(F.col("cp"), 3)
+    if "identifies_by" in incoming.columns and "identifies_by" in stored.columns:
+        m, n = normalize_mask(F.col("i_card_mask")), normalize_mask(F.col("card_mask"))
+        by_card = (F.col("identifies_by") == "card_mask") & (F.col("i_identifies_by") == "card_mask") & (trailing_digits(m) > 0) & (trailing_digits(n) > 0) & mask_matches(m, n)
+        tier = tier.when(F.coalesce(by_card, F.lit(False)), 2).when((F.col("identifies_by") == "none") & (F.col("i_identifies_by") == "none"), 1)
+    seen = seen.withColumn("_tier", tier.otherwise(0)).withColumn("_best", F.max("_tier").over(w))
+    rule = F.when(F.col("_untimed"), (F.col("_tier") > 0) & (F.col("_tier") == F.col("_best"))).when((F.col("_n") > 1) & F.col("_cp"), F.col("cp")).otherwise(F.lit(True))
+    return seen.where(rule).select(F.col("i_seq").alias("seq"), "id", F.col("i_balance").alias("balance_in"), "balance")
 
 
 def decide(incoming: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -96,3 +105,145 @@ def enrichment(incoming: DataFrame, stored: DataFrame, matches: DataFrame) -> Da
         use = new.isNotNull() & (F.trim(new) != "") & (old.isNull() | (F.col("by_email") & (old != new) & ~less))
         changes.append(F.when(use, F.struct(F.lit(f).alias("field"), old.alias("old"), new.alias("new"))))
     return rows.select("seq", "id", F.explode(F.array_compact(F.array(*changes))).alias("c")).select("seq", "id", "c.field", "c.old", "c.new")
+
+
+# Message types whose stored times may be twelve hours off.
+TWELVE_HOUR_TYPES = ["icici_cc_transaction_alert"]
+
+
+def other_half(incoming: DataFrame, stored: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """The only stored row of a type with ambiguous hours that is the message read twelve hours off (across midnight too), with
+    equal keys and counterparty: a time from noon on meets hours 1 to 11 before it, one before noon the hour of noon after it."""
+    types = TWELVE_HOUR_TYPES if types is None else types
+    i = incoming.where("transaction_date is not null and transaction_time_s is not null").select("seq", *[F.col(c).alias(f"i_{c}") for c in ("bank", "direction", "amount", "currency", "transaction_date", "transaction_time_s", "counterparty", "balance")])
+    late = F.col("i_transaction_time_s") >= 43200
+    i = i.withColumn("_at", seconds(F.col("i_transaction_date"), F.col("i_transaction_time_s")) + F.when(late, -43200).otherwise(43200))
+    # the shifted time can lie within the window of two dates
+    i = i.withColumn("_day", F.explode(F.array_distinct(F.array(F.floor((F.col("_at") - WINDOW_S) / 86400), F.floor((F.col("_at") + WINDOW_S) / 86400)))))
+    s = stored.where("transaction_date is not null and transaction_time_s is not null").where(F.col("email_type").isin(types))
+    cur = lambda c: F.coalesce(c, F.lit("INR"))
+    keys = (F.col("i_bank") == F.col("bank")) & (F.col("i_direction") == F.col("direction")) & (F.col("i_amount") == F.col("amount")) & (cur(F.col("i_currency")) == cur(F.col("currency"))) & (F.unix_date("transaction_date") == F.col("_day"))
+    hour = F.floor(F.col("transaction_time_s") / 3600)
+    half = F.when(F.col("i_transaction_time_s") >= 43200, hour.between(1, 11)).otherwise(hour == 12)
+    near = F.abs(seconds(F.col("transaction_date"), F.col("transaction_time_s")) - F.col("_at")) <= WINDOW_S
+    hits = i.join(s, keys & half & near & counterparty_match(F.col("counterparty"), F.col("i_counterparty")))
+    g = hits.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), F.bool_or(F.coalesce(F.col("i_balance") != F.col("balance"), F.lit(False))).alias("balance_off"))
+    return g.where("n = 1").select("seq", "id", "balance_off")
+
+
+def find_matches(incoming: DataFrame, stored: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """What becomes of each message: match (with the row and how it was found), insert or defer (with the reason).
+
+    A reference that is stored decides by itself; else the rows within the time window do, if there are any; else the
+    other half of the day, where a different balance makes it a new event."""
+    ref = by_reference(incoming, stored).select(F.col("seq").alias("_q"), F.col("action").alias("_ra"), F.col("reason").alias("_rr"), F.col("id").alias("_ri"), F.col("candidates").alias("_rn"))
+    near = fuzzy_candidates(incoming, stored)
+    fuzzy = decide(incoming, near).select(F.col("seq").alias("_f"), F.col("action").alias("_fa"), F.col("reason").alias("_fr"), F.col("id").alias("_fi"), F.col("candidates").alias("_fn"))
+    any_near = near.select(F.col("seq").alias("_w")).distinct()
+    half = other_half(incoming, stored, types).select(F.col("seq").alias("_h"), F.col("id").alias("_hi"), "balance_off")
+    j = incoming.select("seq").join(ref, F.col("seq") == F.col("_q"), "left").join(fuzzy, F.col("seq") == F.col("_f"), "left").join(any_near, F.col("seq") == F.col("_w"), "left").join(half, F.col("seq") == F.col("_h"), "left")
+    path = F.when(F.col("_ra").isNotNull(), "reference").when(F.col("_w").isNotNull(), "fuzzy").when(F.col("_hi").isNotNull(), "other_half").otherwise("none")
+    action = F.when(path == "reference", F.col("_ra")).when(path == "fuzzy", F.col("_fa")).when((path == "other_half") & ~F.col("balance_off"), "match").otherwise("insert")
+    found = F.when(path == "reference", F.col("_ri")).when(path == "fuzzy", F.col("_fi")).when(action == "match", F.col("_hi"))
+    reason = F.when(path == "reference", F.col("_rr")).when(path == "fuzzy", F.col("_fr")).when((path == "other_half") & F.col("balance_off"), "alias_balance_mismatch")
+    return j.select("seq", path.alias("path"), action.alias("action"), found.alias("id"), reason.alias("reason"))
+
+
+FIELDS = ["counterparty", "card_mask", "account_mask", "reference_number", "channel", "balance", "raw_description", "transaction_date", "transaction_time_s"]
+_MASKS = ["card_mask", "account_mask"]
+
+
+def _value(field: str, old: Column, new: Column, by_email: Column, earlier: Column) -> tuple[Column, Column]:
+    """(whether the field changes, whether it is only filled) under the rules of ``changes``."""
+    differs = new.isNotNull() & old.isNotNull() & (old != new)
+    if field in _MASKS:
+        a, b = mask_digits(old), mask_digits(new)
+        differs = differs & (a != b) & ~((F.length(b) < F.length(a)) & a.endswith(b))
+    elif field == "counterparty":
+        a, b = normalize_counterparty(old), normalize_counterparty(new)
+        differs = differs & ~((b != "") & a.contains(b) & (a != b))
+    elif field == "raw_description":
+        a, b = F.trim(old), F.trim(new)
+        differs = differs & ~((b != "") & a.contains(b) & (a != b))
+    elif field == "transaction_time_s":
+        differs = differs & earlier
+    elif field == "transaction_date":
+        differs = differs & (new < old)
+    fills = new.isNotNull() & old.isNull()
+    return fills | (by_email & differs), fills
+
+
+def changes(incoming: DataFrame, stored: DataFrame, matches: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(seq, id, field, kind, old, new) of what matched messages change, values as text.
+
+    Any message fills what is missing; an e-mail also replaces, but not a time or date by a later one, a text by a part of it,
+    a mask by fewer of its last digits or by another way to write it."""
+    fields = [f for f in (fields or FIELDS) if f in incoming.columns and f in stored.columns]
+    m = matches.where("action = 'match'").select(F.col("seq").alias("_s"), F.col("id").alias("_t"))
+    i = incoming.select("seq", "by_email", *[F.col(f).alias(f"new_{f}") for f in fields])
+    s = stored.select("id", *[F.col(f).alias(f"old_{f}") for f in fields])
+    rows = m.join(i, F.col("_s") == F.col("seq")).join(s, F.col("_t") == F.col("id"))
+    at = lambda side: seconds(F.coalesce(F.col(f"{side}_transaction_date"), F.col("old_transaction_date"), F.col("new_transaction_date")), F.col(f"{side}_transaction_time_s"))
+    earlier = at("new") < at("old")
+    out = []
+    for f in fields:
+        old, new = F.col(f"old_{f}"), F.col(f"new_{f}")
+        use, fills = _value(f, old, new, F.col("by_email"), earlier)
+        out.append(F.when(use, F.struct(F.lit(f).alias("field"), F.when(fills, "filled").otherwise("overwritten").alias("kind"), old.cast("string").alias("old"), new.cast("string").alias("new"))))
+    return rows.select("seq", "id", F.explode(F.array_compact(F.array(*out))).alias("c")).select("seq", "id", "c.*")
+
+
+def applied(stored: DataFrame, incoming: DataFrame, changed: DataFrame, order: str = "seq") -> DataFrame:
+    """Stored rows after their changes (of several messages for one field the first counts); an enriched row has both sources."""
+    first = changed.groupBy(F.col("id").alias("_i"), "field").agg(F.min_by("new", order).alias("new"))
+    wide = first.groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("field", "new"))).alias("_new"))
+    j = stored.join(wide, F.col("id") == F.col("_i"), "left")
+    types = dict(stored.dtypes)
+    cols = []
+    for c in stored.columns:
+        if c in FIELDS:
+            cols.append(F.when(F.map_contains_key(F.coalesce("_new", F.create_map().cast("map<string,string>")), c), F.element_at("_new", c).cast(types[c])).otherwise(F.col(c)).alias(c))
+        elif c == "source":
+            cols.append(F.when(F.col("_i").isNotNull(), "sms+email").otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(c))
+    return j.select(*cols, F.col("_i").isNotNull().alias("enriched"))
+
+
+def slot_claims(matches: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(seq, id, claimed): of the messages of one channel that match a row, the first takes its slot."""
+    i = incoming.select(F.col("seq").alias("_s"), F.when(F.col("by_email"), "email").otherwise("sms").alias("slot"))
+    m = matches.where("action = 'match'").select("seq", "id").join(i, F.col("seq") == F.col("_s"))
+    return m.select("seq", "id", "slot", (F.row_number().over(Window.partitionBy("id", "slot").orderBy("seq")) == 1).alias("claimed"))
+
+
+def explicit_matches(pairs: DataFrame, incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Whether rows that a person picked (seq, id) can be the message: equal keys, no contradicting balance, the same time
+    window or day, and among the automatic candidates or with a shortened reference."""
+    cur = lambda c: F.coalesce(F.nullif(F.upper(F.trim(c)), F.lit("")), F.lit("INR"))
+    i = incoming.select(F.col("seq").alias("_s"), *[F.col(c).alias(f"i_{c}") for c in ("bank", "direction", "amount", "currency", "balance", "reference_number", "transaction_date", "transaction_time_s")])
+    j = pairs.join(i, F.col("seq") == F.col("_s")).join(stored, "id")
+    auto = fuzzy_candidates(incoming, stored).select(F.col("seq").alias("_a"), F.col("id").alias("_b"), F.lit(True).alias("_auto"))
+    j = j.join(auto, (F.col("seq") == F.col("_a")) & (F.col("id") == F.col("_b")), "left")
+    same = F.col("bank").eqNullSafe(F.col("i_bank")) & (F.col("direction") == F.col("i_direction")) & (F.col("amount") == F.col("i_amount")) & (cur(F.col("currency")) == cur(F.col("i_currency")))
+    both = F.col("transaction_time_s").isNotNull() & F.col("i_transaction_time_s").isNotNull()
+    gap = F.abs(seconds(F.col("transaction_date"), F.col("transaction_time_s")) - seconds(F.col("i_transaction_date"), F.col("i_transaction_time_s")))
+    time = F.when(both, gap <= WINDOW_S).otherwise(F.col("transaction_date") == F.col("i_transaction_date"))
+    fine = same & F.coalesce(time, F.lit(False)) & ~F.coalesce(F.bround("balance", 2) != F.bround("i_balance", 2), F.lit(False))
+    return j.select("seq", "id", F.coalesce(fine & (F.coalesce("_auto", F.lit(False)) | shortened_reference(F.col("reference_number"), F.col("i_reference_number"))), F.lit(False)).alias("qualifies"))
+
+
+def preview_token(incoming: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seq, id, token): a digest of everything a person's decision rests on, which tells when any of it has changed since."""
+    i = incoming.select(F.col("seq").alias("_s"), "amount", "balance", "reference_number")
+    s = stored.select(F.col("id").alias("_t"), F.col("amount").alias("_am"), F.col("balance").alias("_bal"), F.col("source").alias("_src"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    j = pairs.join(i, F.col("seq") == F.col("_s")).join(s, F.col("id") == F.col("_t"))
+    return j.select("seq", "id", F.sha2(F.concat_ws("|", *[text(c) for c in ("seq", "id", "amount", "balance", "reference_number", "_am", "_bal", "_src")]), 256).alias("token"))
+
+
+def batch_repeats(incoming: DataFrame) -> DataFrame:
+    """(seq, first_seq) of messages that repeat an earlier one of their batch: its bank, direction, reference and amount."""
+    w = Window.partitionBy("bank", "direction", F.trim("reference_number"), "amount").orderBy("seq")
+    own = incoming.where("trim(coalesce(reference_number, '')) <> ''").withColumn("first_seq", F.first("seq").over(w))
+    return own.where("seq <> first_seq").select("seq", "first_seq")
