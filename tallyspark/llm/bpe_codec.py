@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import _BYTE, STEP, HashTable, mix, runs_gathered, slices, sums_of_runs, utf8, without
+from tallyspark.llm.common import _BYTE, STEP, WORKER_CACHES, HashTable, mix, runs_gathered, slices, sums_of_runs, utf8, without
 
 #: The GPT-2 pre-token pattern, a fixed value of byte-level BPE vocabularies.
 PATTERN = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens and pairs of tokens that a worker remembers, and bytes of those that take their steps side by side.
-CACHE, PAIRS, SHORT = 500_000, 500_000, 48
+CACHE, PAIRS, SHORT = 250_000, 250_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -458,6 +458,9 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+WORKER_CACHES.append(codec.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all others by default) with the ids (array<int>) of each text."""
     keep = without([c for c in docs.columns if c != text] if keep is None else keep, [ids])

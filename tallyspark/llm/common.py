@@ -12,7 +12,7 @@ import contextlib
 import ctypes
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +39,16 @@ def give_memory_back() -> None:
         pass
 
 
+#: What drops the tables that a worker keeps between tasks (vocabularies, caches).  Operators that hold whole blocks call
+#: them, as a worker that ran another operator before would hold both.
+WORKER_CACHES: list[Callable[[], None]] = []
+
+
+def drop_caches() -> None:
+    for drop in WORKER_CACHES:
+        drop()
+
+
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -426,6 +436,7 @@ def corpus_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", bloc
 
 def block_rows(table: pa.Table) -> tuple[int, pa.Table]:
     """A block's number and its distinct rows (doc_id, text, times), by id and text."""
+    drop_caches()
     rows = unpack(table.column("payload"), ["doc_id", "text"])
     again = np.ones(max(0, rows.num_rows - 1), bool)
     for c in ("doc_id", "text"):

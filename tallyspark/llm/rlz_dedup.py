@@ -47,7 +47,7 @@ from tallyspark.llm.common import ANSWER, SENT, cut_words, block_rows, block_wor
 
 WIDTH, K = 35, 12
 #: Blocks for each shard of the hash space.
-SHARE = 4
+SHARE = 2
 _whole = lambda v, _: v.tobytes()
 _read = lambda b: np.frombuffer(b, np.uint64)
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _BYTE, HashTable, cut_at, mix, parts_of_texts, sums_of_runs, utf8, without
+from tallyspark.llm.common import _BYTE, WORKER_CACHES, HashTable, cut_at, mix, parts_of_texts, sums_of_runs, utf8, without
 
 #: Entries of the broadcast table: a fixed bound, about 1 MB.
 TOP = 16_384
@@ -76,6 +76,9 @@ def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+WORKER_CACHES.append(piece_counter.cache_clear)
+
+
 def pieces(raw: np.ndarray, offsets: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pre-tokens of concatenated texts: first byte behind the spaces, end, text, space marks in front (with the dummy prefix,
     but for a part that goes on with a text), hash of the bytes.  Trailing spaces are a pre-token of their own, with no
