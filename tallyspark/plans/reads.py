@@ -55,7 +55,7 @@ def names_redacted(t):
     return t["transactions"].where("counterparty is not null").select("id", udfs.redact_names(["ravi"])(F.col("counterparty")).alias("redacted"))
 
 
-@_query()
+@_query(r"SELECT id, coalesce(regexp_matches(nfc_normalize(lower(trim(regexp_replace(raw_description, '[ \t\n\r\f\v]+', ' ', 'g')))), '(^|[^\p{L}\p{N}\p{M}\p{Pc}])zomato($|[^\p{L}\p{N}\p{M}\p{Pc}])'), false) AS named FROM transactions")
 def narration_names(t):
     return t["transactions"].select("id", udfs.narration_names(F.col("raw_description"), F.lit("zomato")).alias("named"))
 
