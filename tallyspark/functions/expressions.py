@@ -1,8 +1,8 @@
-"""Column expressions shared by the operators: money, blanks, text, masks and dates.  No actions, no Python UDFs."""
+"""Column expressions shared by the operators: money, blanks, text, masks and dates, without Python UDFs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that make a string blank (space, tab, newline, return, vertical tab, form feed).
@@ -121,3 +121,8 @@ def month_key(date: Column) -> Column:
 
 def financial_year_start(date: Column) -> Column:
     return F.make_date(F.year(date) - (F.month(date) < 4).cast("int"), F.lit(4), F.lit(1))
+
+
+def is_small(df: DataFrame, most: int = 50_000) -> bool:
+    """Whether a table that people keep (rules, masks) has few enough rows to be sent to all tasks; counts no further."""
+    return df.limit(most + 1).count() <= most

@@ -140,6 +140,16 @@ def disposals(classified: DataFrame) -> DataFrame:
     return events.groupBy("source_ref", "instrument").applyInPandas(run, "source_ref string, instrument string, resolved boolean, disposals long, units_left decimal(20,6)")
 
 
+def disposals_by_portfolio(classified: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``disposals`` within each portfolio: raw rows of its uploads, equal ones of several uploads once."""
+    own = classified.join(uploads.select(F.col("id").alias("_u"), "portfolio_key"), F.col("upload_id") == F.col("_u"))
+    n = F.row_number().over(Window.partitionBy("portfolio_key", "upload_id", *BASE, "reason").orderBy("raw_id"))
+    once = own.withColumn("_n", n).groupBy("portfolio_key", *BASE, "reason", "_n").agg(F.min("raw_id").alias("raw_id"))
+    keyed = once.withColumn("source_ref", F.to_json(F.struct("portfolio_key", "source_ref")))
+    out = disposals(keyed)
+    return out.select(F.get_json_object("source_ref", "$.portfolio_key").alias("portfolio_key"), F.get_json_object("source_ref", "$.source_ref").alias("source_ref"), "instrument", "resolved", "disposals", "units_left")
+
+
 def positions(valuations: DataFrame, lots: DataFrame) -> DataFrame:
     """Instruments that either side knows: quantity and price (only where it is one), lots and cost."""
     v = valuations.groupBy(F.col("instrument").alias("_v")).agg(F.sum("units").cast("bigint").alias("quantity"), F.when(F.countDistinct("nav") == 1, F.max("nav")).cast("bigint").alias("unit_price"))

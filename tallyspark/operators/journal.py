@@ -6,6 +6,7 @@ order are the journal, whatever its size.  A digest of the sorted entries tells
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyspark.functions.formatting import sanitized_text
@@ -53,6 +54,35 @@ def write_journal(texts: DataFrame, path: str) -> None:
     texts.orderBy("date", "id").select("text").write.mode("overwrite").text(path)
 
 
+#: The first line of folders that ``publish`` writes; others are not overwritten.
+SENTINEL = "; written by tallyspark, changes by hand are lost"
+
+
+def publish(texts: DataFrame, path: str) -> str:
+    """``write_journal`` behind the sentinel, and what was done: unchanged where the folder's digest is the new one's, refused
+    where a folder is there without the sentinel, else written.  The digest stands beside the text, written last."""
+    spark = texts.sparkSession
+    new = digest(texts).first()
+    told = f"{SENTINEL} {new['entries']} {new['digest']}"
+    try:
+        old = [r["value"] for r in spark.read.text(f"{path}/about").limit(1).collect()]
+    except AnalysisException:
+        old = None
+    if old is None:
+        try:
+            spark.read.text(f"{path}/entries").limit(1).collect()
+            return "refused"
+        except AnalysisException:
+            pass
+    elif not old or not old[0].startswith(SENTINEL):
+        return "refused"
+    elif old[0] == told:
+        return "unchanged"
+    write_journal(texts, f"{path}/entries")
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    return "written"
+
+
 def digest(texts: DataFrame) -> DataFrame:
     """One row that changes when any entry does, whatever the order: entries and the exact sum of their hashes."""
     return texts.agg(F.count(F.lit(1)).alias("entries"), F.sum(F.xxhash64("date", "id", "text").cast("decimal(20,0)")).alias("digest"))

@@ -2,7 +2,8 @@
 
 Masks agree by position from the right, so an equi-join needs a key: a usable mask has at least three trailing digits,
 and two masks that agree share those last three unless the stored one hides some there.  Stored masks are therefore
-joined on (bank, last three characters), the few with a wildcard among them on the bank alone, and the exact test follows.
+joined on (bank, last three characters), the few with a wildcard among them on the bank alone (sent to all tasks if there are
+no more than ``is_small`` allows), and the exact test follows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.expressions import mask_matches, normalize_mask, trailing_digits
+from tallyspark.functions.expressions import is_small, mask_matches, normalize_mask, trailing_digits
 
 
 def _usable(mask: Column) -> Column:
@@ -22,7 +23,8 @@ def mask_candidates(masks: DataFrame, stored: DataFrame) -> DataFrame:
     ask = masks.where(_usable(F.col("mask"))).withColumn("k", F.right(F.col("mask"), F.lit(3)))
     keyed = stored.where("stored <> ''").withColumn("sk", F.when(trailing_digits(F.col("stored")) >= 3, F.right(F.col("stored"), F.lit(3))))
     exact = ask.join(keyed.where("sk is not null").withColumnRenamed("bank_key", "sb"), (F.col("bank_key") == F.col("sb")) & (F.col("k") == F.col("sk")))
-    loose = ask.join(keyed.where("sk is null").withColumnRenamed("bank_key", "sb"), F.col("bank_key") == F.col("sb"))
+    few = keyed.where("sk is null").withColumnRenamed("bank_key", "sb")
+    loose = ask.join(F.broadcast(few) if is_small(few) else few, F.col("bank_key") == F.col("sb"))
     return exact.unionByName(loose).where(mask_matches(F.col("mask"), F.col("stored"))).drop("k", "sk", "sb")
 
 

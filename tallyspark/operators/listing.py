@@ -156,3 +156,30 @@ def by_person(rows_: DataFrame, group: str, person: str) -> DataFrame:
     """Counts a person, only for groups that have more than one."""
     g = rows_.where(F.col(person).isNotNull()).groupBy(group, person).agg(rows().alias("n"))
     return g.withColumn("_p", F.count(F.lit(1)).over(Window.partitionBy(group))).where("_p > 1").drop("_p")
+
+
+def with_sources(txns: DataFrame, emails: DataFrame, accounts: DataFrame, messages: DataFrame) -> DataFrame:
+    """Transactions (with email_id) beside the state of their e-mail, their account's label and the state of the text message
+    that names them (the first one in order where several do); what is missing or dangling is null."""
+    e = emails.select(F.col("id").alias("_e"), F.col("status").alias("email_status"))
+    a = accounts.select(F.col("id").alias("_a"), F.col("label").alias("account_label"))
+    m = messages.where("transaction_id is not null").groupBy(F.col("transaction_id").alias("_m")).agg(F.min("status").alias("sms_status"))
+    return txns.join(e, F.col("email_id") == F.col("_e"), "left").join(a, F.col("account_id") == F.col("_a"), "left").join(m, F.col("id") == F.col("_m"), "left").drop("_e", "_a", "_m")
+
+
+def dangling(relations: list[tuple[DataFrame, str, DataFrame, str]], limit: int) -> DataFrame:
+    """(relation, violations, beyond_limit) of each (child, key, parent, name): rows whose key has no parent row."""
+    out = None
+    for child, key, parent, name in relations:
+        bad = without_match(child, key, parent, "id", name).agg(F.count(F.lit(1)).cast("bigint").alias("violations"))
+        one = bad.select(F.lit(name).alias("relation"), "violations", (F.col("violations") > limit).alias("beyond_limit"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def whole(text: str | None) -> int | None:
+    """The whole number of a filter's text; a bad one filters nothing."""
+    try:
+        return int(text) if text is not None else None
+    except ValueError:
+        return None

@@ -71,6 +71,15 @@ def extra(rows: DataFrame, txns: DataFrame) -> DataFrame:
     return inside.join(candidates(rows, txns).select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti").select("id", "account_id")
 
 
+def certain_extra(rows: DataFrame, txns: DataFrame) -> DataFrame:
+    """``extra`` without those that a row of uncertain direction (column ``uncertain``) could be, by amount within a day."""
+    vague = rows.where("uncertain").select(F.col("account_id").alias("_a"), F.col("amount").alias("_m"), F.col("date").alias("_date"), F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("_o"))
+    vague = vague.select("_a", "_m", F.date_add("_date", F.col("_o")).alias("_on")).distinct()
+    own = extra(rows, txns).select(F.col("id").alias("_x"))
+    left = txns.join(own, F.col("id") == F.col("_x"), "left_semi").join(vague, (F.col("account_id") == F.col("_a")) & (F.col("amount") == F.col("_m")) & (F.col("transaction_date") == F.col("_on")), "left_anti")
+    return left.select("id", "account_id")
+
+
 def judged(rows: DataFrame, txns: DataFrame, leave_out: tuple[str, ...] = ()) -> DataFrame:
     """``candidates`` with fits (the evidence lets the stored row be the statement's) and strong (one's reference stands in
     the other's text).  Columns that a table lacks count as null."""

@@ -595,4 +595,4 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
-from tallyspark.plans import books, card_statements, mailbox, merging, reads, upkeep, uploads  # noqa: E402, F401  (they register their queries here)
+from tallyspark.plans import books, card_statements, mailbox, merging, reads, relations, upkeep, uploads  # noqa: E402, F401  (they register their queries here)

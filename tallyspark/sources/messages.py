@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.expressions import local_time
+from tallyspark.functions.expressions import is_small, local_time
 
 MAIL = "message_id string, sender string, subject string, received_at timestamp, body string, attachments array<string>"
 
@@ -91,7 +91,7 @@ def unseen(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def rules_for(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """(message id, rule id) where the rule's sender and subject stand in the message's; an empty field fits all.  Rules are a
     small table that people edit."""
-    m, r = messages.alias("m"), rules.alias("r")
+    m, r = messages.alias("m"), (F.broadcast(rules) if is_small(rules) else rules).alias("r")
     fits = lambda rule, text: (F.coalesce(F.trim(rule), F.lit("")) == "") | F.lower(text).contains(F.lower(F.trim(rule)))
     return m.join(r, fits(F.col("r.sender"), F.col("m.sender")) & fits(F.col("r.subject"), F.col("m.subject"))).select(F.col("m.id").alias("message_id"), F.col("r.id").alias("rule_id"))
 
