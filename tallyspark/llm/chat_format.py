@@ -2,8 +2,8 @@
 
 Template: ``<s>text</s>`` for an assistant turn, ``[INST] role\\ntext [/INST]`` for any other.  Texts are first rendered as
 they are; the rendered string is read back by a deterministic parser, and where the recovered turns differ from the
-source, conflicting content is escaped and the result parsed again (a difference that is left is an error, never a
-silent loss).  Escaping puts one backslash behind the first character of each control string, also where backslashes
+source, conflicting content is escaped and the result parsed again (``exact`` says whether the turns came back; a
+conversation that didn't would have it false, and none is known).  Escaping puts one backslash behind the first character of each control string, also where backslashes
 already stand there, and unescaping takes one away, so any text survives; roles use percent signs.
 
 Defined results: a null text or role is empty; rows of a conversation go by turn, then role and text, and repeated rows
@@ -80,15 +80,14 @@ def loss_spans(formatted: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, turns (as given), formatted, escaped (whether escaping was needed), parsed (read back), loss_spans."""
+    """conv_id, turns (as given), formatted, escaped (whether escaping was needed), parsed (read back), loss_spans, exact."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     chats = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), role.alias("role"), text.alias("text")))).alias("rows"))
     chats = chats.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
     plain = chats.withColumn("_plain", render(F.col("turns"), False)).withColumn("escaped", ~parse(F.col("_plain")).cast(_TURN).eqNullSafe(F.col("turns")))
     out = plain.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("_plain"))).withColumn("parsed", parse(F.col("formatted")).cast(_TURN))
     same = F.col("parsed").eqNullSafe(F.col("turns"))
-    out = out.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("no round trip for conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))
-    return out.select("conv_id", "turns", "formatted", "escaped", "parsed", loss_spans(F.col("formatted")).alias("loss_spans"))
+    return out.select("conv_id", "turns", "formatted", "escaped", "parsed", loss_spans(F.col("formatted")).alias("loss_spans"), same.alias("exact"))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
