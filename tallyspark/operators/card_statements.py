@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import mask_matches, normalize_mask, paise
 from tallyspark.functions.udfs import contains_whole_token, normalized_narration
-from tallyspark.operators.statements import cycles, parsed
+from tallyspark.operators.statements import cycles, parsed, whole_groups
 from tallyspark.operators.uploads import stored_masks
 
 #: Days after its due date for which an open statement is still reminded of.
@@ -98,9 +98,14 @@ def assign(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def reconcile(rows: DataFrame, txns: DataFrame, accounts: DataFrame, cards: DataFrame) -> DataFrame:
-    """(stmt_idx, id, status) of every card statement row.  A task holds the candidate pairs of one account, direction and
-    amount, within which rows meet; rows without candidates are missing."""
-    found = judged_pairs(rows, txns, accounts, cards).groupBy("account_id", "direction", "amount").applyInPandas(assign, "stmt_idx long, id long, status string")
+    """(stmt_idx, id, status) of every card statement row; rows without candidates are missing.  Rows meet within one account,
+    direction and amount, and a task holds a batch of such groups at a time."""
+    keys = ["account_id", "direction", "amount"]
+
+    def each(pairs: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([assign(p) for _, p in pairs.groupby(keys)])
+
+    found = whole_groups(judged_pairs(rows, txns, accounts, cards), keys, each, "stmt_idx long, id long, status string")
     return rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.lit("missing")).alias("status"))
 
 

@@ -210,6 +210,30 @@ def applied(stored: DataFrame, incoming: DataFrame, changed: DataFrame, order: s
     return j.select(*cols, F.col("_i").isNotNull().alias("enriched"))
 
 
+def booked(incoming: DataFrame, stored: DataFrame, decisions: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """The stored table after a batch: matched rows enriched, and a new row for every message to insert; of several new ones
+    with one bank, direction and reference the first stands (its message is what the others would have met)."""
+    changed = changes(incoming, stored, decisions)
+    after = applied(stored, incoming, changed).drop("enriched")
+    new = incoming.join(decisions.where("action = 'insert'").select(F.col("seq").alias("_s")), F.col("seq") == F.col("_s"), "left_semi")
+    ref = F.nullif(F.trim(F.coalesce("reference_number", F.lit(""))), F.lit(""))
+    n = F.row_number().over(Window.partitionBy("bank", "direction", ref, F.when(ref.isNull(), F.col("seq"))).orderBy("seq"))
+    new = new.withColumn("_n", n).where("_n = 1").withColumn("source", F.when(F.col("by_email"), "email").otherwise("sms"))
+    kinds = dict(stored.dtypes)
+    have = set(new.columns)
+    return after.withColumn("seq", F.lit(None).cast("bigint")).unionByName(new.select(*[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns], "seq"))
+
+
+def resolved_duplicates(choices: DataFrame, tokens: DataFrame, qualifies: DataFrame) -> DataFrame:
+    """What becomes of a person's choices (seq, id, action, token) about deferred messages: stale where the token isn't what the
+    data gives now, refused where the target can't be the message, else merged or created."""
+    now = tokens.select(F.col("seq").alias("_s"), F.col("id").alias("_t"), F.col("token").alias("_now"))
+    fit = qualifies.select(F.col("seq").alias("_q"), F.col("id").alias("_i"), "qualifies")
+    j = choices.join(now, (F.col("seq") == F.col("_s")) & (F.col("id") == F.col("_t")), "left").join(fit, (F.col("seq") == F.col("_q")) & (F.col("id") == F.col("_i")), "left")
+    stale = ~F.col("token").eqNullSafe(F.col("_now"))
+    return j.select("seq", "id", F.when(stale, "stale").when(F.col("action") == "create_new", "created").when(F.coalesce("qualifies", F.lit(False)), "merged").otherwise("refused").alias("outcome"))
+
+
 def slot_claims(matches: DataFrame, incoming: DataFrame) -> DataFrame:
     """(seq, id, claimed): of the messages of one channel that match a row, the first takes its slot."""
     i = incoming.select(F.col("seq").alias("_s"), F.when(F.col("by_email"), "email").otherwise("sms").alias("slot"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,7 +99,8 @@ def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
     """Statement rows assigned to stored rows: unique references first, then the first of the offsets 0, -1, +1 where one
     compatible candidate is left, among those with strong evidence where there are any.  A row that picks what another
     row without a reference match can reach at any offset is ambiguous, as is one with candidates and no pick; a row without
-    compatible candidates is missing.  Tasks hold candidate pairs by account, direction and amount, within which rows meet."""
+    compatible candidates is missing.  Rows meet within one account, direction and amount, and a task holds a batch of such
+    groups at a time."""
     schema = "stmt_idx long, id long, status string"
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,11 +121,32 @@ def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
         left = pd.DataFrame({"stmt_idx": every[~pd.Series(every, dtype="int64").isin(found.stmt_idx).to_numpy()]}).assign(id=None, status="ambiguous")
         return pd.concat([found.astype({"id": "Int64"}), left.astype({"id": "Int64", "stmt_idx": "int64"})])
 
-    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = judged(rows, txns).withColumn("share", F.pmod(F.xxhash64("account_id", "direction", "amount"), F.lit(shares))).select("share", "stmt_idx", "id", "offset", "same_reference", "fits", "strong").groupBy("share").applyInPandas(assign, schema)
+    found = whole_groups(judged(rows, txns), ["account_id", "direction", "amount"], assign, schema)
     return rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.lit("missing")).alias("status"))
 
 
+def whole_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over sorted batches of rows that hold whole groups of ``keys``: a batch's last group waits for the next batch, so
+    memory is bounded by a batch and the largest group, and small groups cost no call each."""
+
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for f in frames:
+            f = f if left is None else pd.concat([left, f], ignore_index=True)
+            if not len(f):
+                continue
+            last = pd.Series(True, index=f.index)
+            for k in keys:
+                last &= f[k].isna() if pd.isna(f[k].iloc[-1]) else f[k] == f[k].iloc[-1]
+            left = f[last]
+            if not last.all():
+                yield run(f[~last])
+        if left is not None and len(left):
+            yield run(left)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(over, schema)
+
+
 def balance_check(rows: DataFrame) -> DataFrame:
     """Credits, debits and net of each account's statement rows."""
     credit, debit = F.sum(F.when(F.col("direction") == "credit", F.col("amount"))), F.sum(F.when(F.col("direction") == "debit", F.col("amount")))

@@ -88,6 +88,15 @@ def slot_claims(t):
     return matching.slot_claims(matching.find_matches(i, t["transactions"], _TYPES), i)
 
 
+@_query(f"""SELECT source, count(*) AS n, count(seq) AS fresh, cast(sum(amount) * 100 AS BIGINT) AS paise FROM (SELECT CASE WHEN t.id IN (SELECT id FROM ({_CHANGES})) THEN 'sms+email' ELSE t.source END AS source, NULL AS seq, amount FROM transactions t
+    UNION ALL SELECT source, seq, amount FROM (SELECT CASE WHEN by_email THEN 'email' ELSE 'sms' END AS source, seq, amount, row_number() OVER (PARTITION BY bank, direction, nullif(trim(coalesce(reference_number, '')), ''), CASE WHEN trim(coalesce(reference_number, '')) = '' THEN seq END ORDER BY seq) AS r
+      FROM (WITH tin AS ({_TURNED}) SELECT i.* FROM tin i JOIN ({_ALL}) a ON a.seq = i.seq WHERE a.action = 'insert')) WHERE r = 1) GROUP BY 1""")
+def booked_batch(t):
+    i, s = _turned(t), t["transactions"]
+    out = matching.booked(i, s, matching.find_matches(i, s, _TYPES))
+    return out.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.count("seq").cast("bigint").alias("fresh"), (F.sum("amount") * 100).cast("bigint").alias("paise"))
+
+
 _SHORT = "(least(length(x), length(y)) >= 4 AND (starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x)))"
 _BARE = lambda c: f"regexp_replace(upper(coalesce({c}, '')), '[^A-Z0-9]', '', 'g')"
 
@@ -124,3 +133,14 @@ def untimed_tiers(t):
     stored = t["transactions"].withColumn("identifies_by", who).withColumn("amount", F.lit(1)).withColumn("currency", F.lit("INR")).withColumn("account_mask", F.lit(None).cast("string"))
     i = stored.where("id % 5 = 0").withColumn("transaction_time_s", F.lit(None).cast("int")).withColumn("counterparty", F.when(F.col("id") % 2 == 0, F.col("counterparty"))).withColumnRenamed("id", "seq")
     return matching.fuzzy_candidates(i.drop("email_type", "created_at"), stored).select("seq", "id")
+
+
+@_query(f"""SELECT * FROM (WITH tin AS (SELECT * FROM incoming) SELECT seq, id, CASE WHEN seq % 7 = 0 THEN 'stale' WHEN seq % 3 = 0 THEN 'created' WHEN coalesce(fine AND (auto OR {_SHORT}), false) THEN 'merged' ELSE 'refused' END AS outcome FROM (SELECT i.seq, s.id, (i.seq, s.id) IN (SELECT seq, id FROM ({_NEAR})) AS auto, {_BARE('s.reference_number')} AS x, {_BARE('i.reference_number')} AS y,
+    s.bank IS NOT DISTINCT FROM i.bank AND s.direction = i.direction AND s.amount = i.amount AND coalesce(nullif(upper(trim(s.currency)), ''), 'INR') = coalesce(nullif(upper(trim(i.currency)), ''), 'INR') AND coalesce(CASE WHEN s.transaction_time_s IS NOT NULL AND i.transaction_time_s IS NOT NULL THEN abs({_AT} - {_SAT}) <= 600 ELSE s.transaction_date = i.transaction_date END, false) AND NOT coalesce(s.balance <> i.balance, false) AS fine
+    FROM tin i JOIN transactions s ON s.id = i.seq))""")
+def resolved_duplicates(t):
+    i, s = t["incoming"], t["transactions"]
+    pairs = i.select("seq", F.col("seq").alias("id"))
+    tokens = matching.preview_token(i, s, pairs)
+    choices = tokens.select("seq", "id", F.when(F.col("seq") % 3 == 0, "create_new").otherwise("merge").alias("action"), F.when(F.col("seq") % 7 == 0, "old").otherwise(F.col("token")).alias("token"))
+    return matching.resolved_duplicates(choices, tokens, matching.explicit_matches(pairs, i, s))

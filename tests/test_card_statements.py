@@ -117,3 +117,18 @@ def test_functions_have_names_in_sql(spark):
     udfs.register(spark)
     row = spark.sql(r"SELECT normalized_text('A.b  c') a, normalized_counterparty('É-1 x') b, normalized_mask('xx-12*') c, masks_agree('XX12', '5112') d, contains_whole_token('raz*swiggy/12', 'raz*swiggy') e, contains_whole_token('cafeteria', 'cafe') f").first()
     assert tuple(row) == ("a b c", "é1x", "XX12X", True, True, False)
+
+
+def test_disposals_of_a_portfolio_are_those_of_its_rows(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import investments
+    from tallyspark.sources.adapter import FinanceTables
+
+    raw = investments.classify(FinanceTables(spark, sf)["raw_lots"])
+    uploads = spark.createDataFrame([(i, f"P{i % 3}") for i in range(1, 11)], "id long, portfolio_key string")
+    got = {(r.portfolio_key, r.source_ref, r.instrument): (r.resolved, r.disposals) for r in investments.disposals_by_portfolio(raw, uploads).collect()}
+    one = investments.disposals(raw.where(F.col("upload_id").isin([1]))).collect()
+    alone = investments.disposals_by_portfolio(raw, uploads.where("id = 1")).collect()
+    assert sorted((r.source_ref, r.instrument) for r in one) == sorted((r.source_ref, r.instrument) for r in alone)
+    assert len(got) > 100 and {k[0] for k in got} == {"P0", "P1", "P2"}
