@@ -335,3 +335,24 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.working_dir(Session())
+
+
+def test_last_stage_gives_checked_ids(spark, folder):  # noqa: F811
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = Counter(repr((r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    out = corpus_pipeline.tokens(spark, docs, folder).collect()
+    assert Counter(repr((r.doc_id, r.ids)) for r in out) == want and all(r.exact and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_run_leaves_one_intermediate_table(spark, folder, tmp_path, monkeypatch):  # noqa: F811
+    import corpus_pipeline
+
+    made = iter(range(1000))
+    monkeypatch.setattr(common, "working_dir", lambda spark: f"file://{tmp_path}/t{next(made)}")
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert next(made) > 10 and len(os.listdir(tmp_path)) == 1
