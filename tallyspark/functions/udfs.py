@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -98,7 +97,7 @@ def _with_marks(text: str, listed: list[str]) -> str:
 @F.pandas_udf(T.StringType())
 def normalized_narration(texts: pd.Series) -> pd.Series:
     """Canonically composed, case-folded, single spaces; '' for null."""
-    return texts.map(lambda s: unicodedata.normalize("NFC", " ".join((s or "").split()).casefold()), na_action=None)
+    return texts.fillna("").astype(str).str.casefold().str.split().str.join(" ").str.normalize("NFC")
 
 
 #: Characters that belong to a word in any script: letters, digits, marks, connecting punctuation and joiners.

@@ -9,8 +9,9 @@ from tallyspark.functions.expressions import paise
 from tallyspark.functions.formatting import sanitized_meta
 from tallyspark.operators.ledger import account_name, normalized_commodity
 
-# Roots of account names.
+# Roots of account names, and the keys of an entry's metadata in their order.
 ROOTS = ["Assets", "Equity", "Expenses", "Income", "Liabilities"]
+META_KEYS = ["dashboard_txn_ids", "dashboard_kind", "dashboard_category", "dashboard_source", "dashboard_channel", "dashboard_email_type", "dashboard_account_ids", "dashboard_card_ids", "dashboard_reference"]
 
 
 def parsed_rates(config: DataFrame, column: str = "value") -> DataFrame:
@@ -136,10 +137,8 @@ def metadata(kind: str) -> Column:
     clean = lambda c: F.coalesce(F.nullif(sanitized_meta(F.col(c)), F.lit("")), F.lit("unknown"))
     slug = F.coalesce(F.nullif(F.lower(F.trim(F.coalesce("category", F.lit("")))), F.lit("")), F.lit("unknown"))
     ref = sanitized_meta(F.col("reference_number"))
-    pairs = [("dashboard_txn_ids", F.concat(F.lit("txn-"), F.col("id").cast("string"))), ("dashboard_kind", F.lit(kind)), ("dashboard_category", slug), ("dashboard_source", clean("source")), ("dashboard_channel", clean("channel")),
-             ("dashboard_email_type", clean("email_type")), ("dashboard_account_ids", F.coalesce(F.col("account_id").cast("string"), F.lit("none"))), ("dashboard_card_ids", F.lit("none"))]
-    lines = [F.concat(F.lit(f"{k}: "), v) for k, v in pairs]
-    return F.concat_ws("\n", *lines, F.when(ref != "", F.concat(F.lit("dashboard_reference: "), ref)))
+    values = [F.concat(F.lit("txn-"), F.col("id").cast("string")), F.lit(kind), slug, clean("source"), clean("channel"), clean("email_type"), F.coalesce(F.col("account_id").cast("string"), F.lit("none")), F.lit("none"), F.nullif(ref, F.lit(""))]
+    return F.concat_ws("\n", *[F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in zip(META_KEYS, values, strict=True)])
 
 
 def commodity_token(c: Column) -> Column:
@@ -172,7 +171,7 @@ def in_file_order(posted: DataFrame) -> DataFrame:
 
 
 def compared(names: DataFrame, native: DataFrame, projected: DataFrame, external: DataFrame, tolerance_paise: int = 1) -> DataFrame:
-    """Each account's balance in the dashboard, the projection and an outside report (liabilities turned to what is owed), their
+    """Each account's balance as stored, in the projection and in an outside report (liabilities turned to what is owed), their
     differences, and what is missing."""
     flip = lambda c: F.when(F.col("kind") == "liability", -F.col(c)).otherwise(F.col(c))
     n = native.select(F.col("account_id").alias("_n"), F.col("paise").alias("native_paise"))

@@ -1,6 +1,7 @@
 """Outside reports as rows: JSON of budgets, allocations, recurring payments, income, liabilities and assets.
 
-A payload that is no object, or lacks the part, gives no rows; money that is no number is '0', else text with two places."""
+A payload that is no object, or lacks the part, gives no rows; money that is no number is '0', else text with two places.
+The names of parts and fields are fixed values: the reports' own."""
 
 from __future__ import annotations
 

@@ -121,6 +121,8 @@ def bank_account_of(statements: DataFrame, accounts: DataFrame) -> DataFrame:
 
 # ---- stored reconciliations
 
+# The words of the note about rows that an import left out.
+SKIPPED = ["Skipped ", " duplicate", " unexpected error", " row(s) during auto-import; see reconciliation details."]
 RECON = "matched array<struct<stmt_idx:bigint,id:bigint>>, missing array<struct<stmt_idx:bigint,duplicate:boolean,import_failed:boolean,candidates:array<bigint>>>"
 
 
@@ -139,10 +141,10 @@ def reconciliation_summary(decoded: DataFrame) -> DataFrame:
     missing = F.coalesce(F.col("recon.missing"), F.array().cast("array<struct<stmt_idx:bigint,duplicate:boolean,import_failed:boolean,candidates:array<bigint>>>"))
     count = lambda f: F.size(F.filter(missing, f)).cast("bigint")
     d, e = count(lambda m: F.coalesce(m["duplicate"], F.lit(False))), count(lambda m: F.coalesce(m["import_failed"], F.lit(False)))
-    told = F.concat_ws(", ", F.when(d > 0, F.concat(d.cast("string"), F.lit(" duplicate"))), F.when(e > 0, F.concat(e.cast("string"), F.lit(" unexpected error"))))
+    told = F.concat_ws(", ", F.when(d > 0, F.concat(d.cast("string"), F.lit(SKIPPED[1]))), F.when(e > 0, F.concat(e.cast("string"), F.lit(SKIPPED[2]))))
     ids = F.array_distinct(F.transform(F.coalesce(F.col("recon.matched"), F.array().cast("array<struct<stmt_idx:bigint,id:bigint>>")), lambda m: m["id"]))
     return decoded.select("id", "recon_state", F.size(missing).cast("bigint").alias("missing"), d.alias("duplicates"), e.alias("failures"), ids.alias("ids"),
-                          F.when((d > 0) | (e > 0), F.concat(F.lit("Skipped "), told, F.lit(" row(s) during auto-import; see reconciliation details."))).alias("note"))
+                          F.when((d > 0) | (e > 0), F.concat(F.lit(SKIPPED[0]), told, F.lit(SKIPPED[3]))).alias("note"))
 
 
 def hydrated(decoded: DataFrame, txns: DataFrame) -> DataFrame:
