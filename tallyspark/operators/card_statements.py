@@ -98,14 +98,22 @@ def assign(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def reconcile(rows: DataFrame, txns: DataFrame, accounts: DataFrame, cards: DataFrame) -> DataFrame:
-    """(stmt_idx, id, status) of every card statement row; rows without candidates are missing.  Rows meet within one account,
-    direction and amount, and a task holds a batch of such groups at a time."""
+    """(stmt_idx, id, status) of every card statement row; rows without candidates are missing.
+
+    A row whose stored rows no other row can reach takes the first that fits, by windows alone.  The others meet within one
+    account, direction and amount, and a task holds a batch of such groups at a time."""
     keys = ["account_id", "direction", "amount"]
 
     def each(pairs: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([assign(p) for _, p in pairs.groupby(keys)])
 
-    found = whole_groups(judged_pairs(rows, txns, accounts, cards), keys, each, "stmt_idx long, id long, status string")
+    pairs = judged_pairs(rows, txns, accounts, cards).repartition(*keys)
+    pairs = pairs.withColumn("_reach", F.count(F.lit(1)).over(Window.partitionBy(*keys, "id"))).withColumn("_most", F.max("_reach").over(Window.partitionBy(*keys, "stmt_idx")))
+    order = F.when(F.col("offset") == 0, 0).when(F.col("offset") == -1, 1).otherwise(2)
+    alone = pairs.where("_most = 1").groupBy("stmt_idx").agg(F.min(F.when(F.col("fits"), F.struct(order.alias("o"), F.col("id").alias("id")))).alias("p"))
+    alone = alone.select("stmt_idx", F.col("p.id").alias("id"), F.when(F.col("p").isNull(), "ambiguous").otherwise(F.element_at(F.array(*[F.lit(v) for v in ("date", "date-1", "date+1")]), F.coalesce(F.col("p.o"), F.lit(0)) + 1)).alias("status"))
+    met = whole_groups(pairs.where("_most > 1").drop("_reach", "_most"), keys, each, "stmt_idx long, id long, status string")
+    found = alone.unionByName(met)
     return rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.lit("missing")).alias("status"))
 
 
