@@ -15,7 +15,7 @@ bitmaps have ``SPARE`` bits a token, and in a branch documents lie in the order
 copies are neighbours and the bitmaps above them stay sparse.  A traversal of two trees at once drops a pair of nodes
 whose largest possible overlap, min(size, common bits + hidden tokens), is below what the threshold needs (of bitmaps of
 two widths, the wider one is folded), and a pair whose documents are all in one component already; pairs of documents that
-are left are compared exactly.  Larger families are cut into chunks by size and joined chunk against chunk, so no task
+are left are compared exactly, those of nodes with few tokens in all by one matrix product.  Larger families are cut into chunks by size and joined chunk against chunk, so no task
 holds a family; documents with identical sets are one entry a block.
 
 That is all components need.  For the join itself (``near_copy_links``, ``link_pairs``) the traversal keeps pairs within
@@ -42,8 +42,9 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import SENT, block_rows, block_words, components, corpus_blocks, count_in_shards, give_memory_back, grams, joined_answers, mix, ranked, repeated, sent_rows, written
 
 SHINGLE, THRESHOLD = 5, 80
-#: Bits of a signature for each token of its document, documents of a leaf, shingles of a family's chunk.
-SPARE, LEAF, CHUNK_TOKENS = 128, 4, 1 << 20
+#: Bits of a signature for each token of its document, documents of a leaf, documents of a node that may be compared at once
+#: and how many times the tokens of one document such a node has at most, shingles of a family's chunk.
+SPARE, LEAF, WIDE, DENSE, CHUNK_TOKENS = 128, 4, 64, 4, 1 << 20
 #: Stands for a null doc_id among nodes.
 NO_ID = (1 << 63) - 1
 
@@ -186,14 +187,19 @@ class Leaf:
         self.matrix = np.zeros((len(sets), len(self.tokens)), np.float32)
         self.matrix[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at] = 1
 
-    def common(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Sizes of the intersections of each own set with each of ``sets``."""
-        every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        other = np.zeros((len(self.tokens), len(sets)), np.float32)
-        at = np.minimum(np.searchsorted(self.tokens, every), len(self.tokens) - 1)
-        hit = self.tokens[at] == every
-        other[at[hit], of[hit]] = 1
-        return np.rint(self.matrix @ other).astype(np.int64)
+    def common(self, other: Leaf) -> np.ndarray:
+        """Sizes of the intersections of each own set with each of the other's."""
+        _, i, j = np.intersect1d(self.tokens, other.tokens, assume_unique=True, return_indices=True)
+        return np.rint(self.matrix[:, i] @ other.matrix[:, j].T).astype(np.int64)
+
+
+def _at_once(tree: SignatureTree, r: tuple[int, int], known: dict[tuple[int, int], Leaf | None]) -> bool:
+    """Whether a node's documents are so few and alike that one matrix over their tokens compares them."""
+    if r not in known:
+        sets = tree.sets[r[0] : r[1]]
+        few = len(sets) <= WIDE and (len(sets) <= LEAF or len(np.unique(np.concatenate(sets))) <= DENSE * max(len(s) for s in sets))
+        known[r] = Leaf(sets) if few else None
+    return known[r] is not None
 
 
 def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, threshold: int, found=None, seen: Counter | None = None) -> list[tuple[int, int]]:
@@ -205,7 +211,8 @@ def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, thresho
     their bitmaps, for being in one component, and leaf pairs compared; also pairs of documents compared."""
     links: list[tuple[int, int]] = []
     seen = Counter() if seen is None else seen
-    leaves: dict[tuple[int, int], Leaf] = {}
+    leaves: dict[tuple[int, int], Leaf | None] = {}
+    others: dict[tuple[int, int], Leaf | None] = {}
     same = left is right
     todo = [(p, q) for p in left.roots for q in right.roots if not same or p <= q]
     while todo:
@@ -222,17 +229,19 @@ def dual_join(left: SignatureTree, right: SignatureTree, forest: Forest, thresho
             seen["components"] += 1
             continue
         big_p, big_q = p[1] - p[0] > LEAF, q[1] - q[0] > LEAF
-        if big_p or big_q:
+        if (big_p or big_q) and not (_at_once(left, p, leaves) and _at_once(right, q, leaves if same else others)):
             split = lambda r, big: [(r[0], (r[0] + r[1]) // 2), ((r[0] + r[1]) // 2, r[1])] if big else [r]
             pairs = [(x, y) for x in split(p, big_p) for y in split(q, big_q) if not same or x <= y]
             todo += sorted(pairs, key=lambda t: t[0] == t[1])  # a node with itself first: components grow early
             continue
         seen["leaves"] += 1
-        if p not in leaves:
-            leaves[p] = Leaf(left.sets[p[0] : p[1]])
+        mine, theirs = leaves, leaves if same else others
+        for tree, r, known in ((left, p, mine), (right, q, theirs)):
+            if known.get(r) is None:
+                known[r] = Leaf(tree.sets[r[0] : r[1]])
         total = left.sizes[p[0] : p[1], None] + right.sizes[None, q[0] : q[1]]
         seen["documents"] += total.size
-        passed = (100 + threshold) * leaves[p].common(right.sets[q[0] : q[1]]) >= threshold * total
+        passed = (100 + threshold) * mine[p].common(theirs[q]) >= threshold * total
         x, y = np.nonzero(np.triu(passed, 1) if same and p == q else passed)
         x, y = left.members[x + p[0]], right.members[y + q[0]]
         if found and len(x):
