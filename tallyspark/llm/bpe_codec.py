@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +36,6 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.common import _BYTE, STEP, WORKER_CACHES, HashTable, mix, runs_gathered, slices, sums_of_runs, utf8, without
 
-#: The GPT-2 pre-token pattern, a fixed value of byte-level BPE vocabularies.
-PATTERN = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens and pairs of tokens that a worker remembers, and bytes of those that take their steps side by side.
 CACHE, PAIRS, SHORT = 250_000, 250_000, 48
 
@@ -57,64 +55,29 @@ def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(sums_of_runs(_BYTE[raw], starts, ends) + (ends - starts).astype(np.uint64))
 
 
-class BpeCodec:
-    """Encoder and decoder for one vocabulary file (tokenizers' JSON, model BPE, byte level)."""
+class PreTokenTable:
+    """Texts as ids through a table of pre-tokens: what encoders of one vocabulary share.  A subclass says how new pre-tokens are
+    encoded (``merged``)."""
 
-    def __init__(self, path: str, cache: int = CACHE):
-        import ahocorasick
+    def __init__(self, piece: list[bytes], specials: dict[str, int], cache: int):
+        """``piece``: the bytes of every token; ``specials``: strings inside texts that are a token of their own."""
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
-            raise ValueError(f"special strings of {path} take up their surroundings")
-        vocab, self.specials = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
-        alphabet = byte_alphabet()
-        self.size = max([*vocab.values(), *self.specials.values()]) + 1
-        self.piece = [b""] * self.size
-        for content, i in vocab.items():
-            if content not in self.specials:
-                self.piece[i] = bytes(alphabet[c] for c in content)
-        self.id_of = {p: i for i, p in enumerate(self.piece) if p}
-        for content, i in self.specials.items():
-            self.piece[i] = content.encode()
-        self.merge_rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        for rank, m in enumerate(spec["model"]["merges"]):
-            left, right = (vocab[x] for x in (m.split(" ") if isinstance(m, str) else m))
-            whole = self.id_of[self.piece[left] + self.piece[right]]
-            self.merge_rank[left, right] = rank
-            self.parts.setdefault(whole, (left, right, rank))
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in self.piece])]).astype(np.int64)
-        self.bytes = np.frombuffer(b"".join(self.piece), np.uint8)
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.id_of.items():
-            self.automaton.add_word(p.decode("latin-1"), i)
-        self.automaton.make_automaton()
-        self.pre_tokens = regex.compile(PATTERN).findall
-        self.special_split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.longest_piece = max(map(len, self.id_of))
-        self.near: dict[int, bool] = {}
-        self.pairs = HashTable(PAIRS)
-        self.merges = HashTable(len(self.merge_rank))
-        pairs = np.array(list(self.merge_rank), np.uint64).reshape(-1, 2)
-        self.merges.add(_pair_key(pairs[:, 0], pairs[:, 1]), np.array(list(self.merge_rank.values()), np.int32))
-        self.shorter = np.full(self.size, -1, np.int64)
-        for p, i in self.id_of.items():
-            self.shorter[i] = next((self.id_of[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id_of), -1)
-        self.length = np.array([len(p) for p in self.piece], np.int64)
-        self.spines = []
-        for side in (0, 1):
-            own = [self.spine(t, side) for t in range(self.size)]
-            size = np.array([len(x) for x in own], np.int64)
-            self.spines.append((np.cumsum(size) - size, size, np.array([t for x in own for t, _ in x], np.uint64), np.array([u for x in own for _, u in x], np.int64)))
+        self.piece, self.specials, self.size = piece, specials, len(piece)
+        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in piece])]).astype(np.int64)
+        self.bytes = np.frombuffer(b"".join(piece), np.uint8)
         names = [b"%d," % i for i in range(self.size)]
         self.name_offsets = np.concatenate([[0], np.cumsum([len(n) for n in names])]).astype(np.int64)
         self.names = np.frombuffer(b"".join(names), np.uint8)
-        self.special_ids = {content.encode(): i for content, i in self.specials.items()}
+        self.special_split = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        self.special_ids = {content.encode(): i for content, i in specials.items()}
         self.cache_size = cache
         self.forget()
 
+    def merged(self, pre_tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact encodings of pre-tokens: ids, one list behind the other, and the lists' lengths."""
+        raise NotImplementedError
+
     def forget(self, room: int = 0) -> None:
         """Empties the cache of pre-tokens: a table from hash to number, and by number the place and length of its ids."""
         self.table = HashTable(max(self.cache_size, room) + len(self.specials))
@@ -126,126 +89,6 @@ class BpeCodec:
             n = len(ends)
             self._remember(_hashes(raw, np.r_[0, ends[:-1]], ends), np.array(list(self.special_ids.values()), np.int32), np.ones(n, np.int64))
 
-    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The token's parts at one border (side 1: its right end, 0: its left end), each with the rank of the merge that
-        takes it up (beyond all ranks for the whole token)."""
-        out = [(token, 1 << 40)]
-        while (made := self.parts.get(out[-1][0])) is not None:
-            out.append((made[side], made[2]))
-        return out
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether tokens a and b stay apart: no part at a's right end and part at b's left end are merged before either
-        is taken up by its own token.  At equal rank the merge further left comes first."""
-        key = a << 32 | b
-        known = self.near.get(key)
-        if known is None:
-            lefts, rights = self.spine(a, 1), self.spine(b, 0)
-            known = not any((r := self.merge_rank.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in lefts for y, y_until in rights)
-            if len(self.near) > 100_000:
-                self.near.clear()
-            self.near[key] = known
-        return known
-
-    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``compatible`` of many pairs, through the pair table."""
-        key = _pair_key(a, b)
-        out = self.pairs.find(key)
-        miss = np.flatnonzero(out < 0)
-        if len(miss):
-            new, first = np.unique(key[miss], return_index=True)
-            x, y = a[miss[first]], b[miss[first]]
-            (left_at, left_n, left, left_until), (right_at, right_n, right, right_until) = self.spines
-            n = right_n[x] * left_n[y]
-            begin = np.cumsum(n) - n
-            of = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(of)) - begin[of]
-            i, j = right_at[x][of] + k // left_n[y][of], left_at[y][of] + k % left_n[y][of]
-            rank = self.merges.find(_pair_key(right[i], left[j]))
-            joined = (rank >= 0) & (rank < right_until[i]) & (rank <= left_until[j])
-            value = (~np.logical_or.reduceat(joined, begin)).astype(np.int32)
-            if self.pairs.entries + len(new) > PAIRS:
-                self.pairs = HashTable(max(PAIRS, len(new)))
-            self.pairs.add(new, value)
-            out[miss] = value[np.searchsorted(new, key[miss])]
-        return out > 0
-
-    def longest(self, raw: str, at: int) -> int:
-        """The longest token at a position (bytes as Latin-1)."""
-        n = self.automaton.longest_prefix(raw[at : at + self.longest_piece])
-        while n and (i := self.automaton.get(raw[at : at + n], None)) is None:
-            n -= 1
-        return i
-
-    def backtrack(self, raw: str) -> tuple[int, ...]:
-        """Exact encoding of one pre-token (bytes as Latin-1)."""
-        end, out, at = len(raw), [], 0
-        failed = bytearray(end + 1)
-        token = self.longest(raw, 0)
-        while True:
-            stop = at + len(self.piece[token])
-            if not failed[stop] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = stop
-                if at == end:
-                    return tuple(out)
-                token = self.longest(raw, at)
-                continue
-            token = int(self.shorter[token])
-            while token < 0:
-                failed[at] = 1
-                token = out.pop()
-                at -= len(self.piece[token])
-                token = int(self.shorter[token])
-
-    def side_by_side(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``backtrack`` of many short pre-tokens at once: a pool of ids, and where in it each one's are and how many."""
-        size = np.array([len(t) for t in texts], np.int64)
-        begin = np.cumsum(size + 1) - size - 1  # U+0100 parts them: it stands in no token
-        found = np.fromiter(self.automaton.iter("Ā".join(t.decode("latin-1") for t in texts)), np.dtype([("last", np.int64), ("token", np.int64)]))
-        longest = np.full(int((size + 1).sum()), -1, np.int64)
-        longest[found["last"] - self.length[found["token"]] + 1] = found["token"]  # of those at a place, the last is the longest
-        failed, pool = np.zeros(len(longest), bool), np.zeros(len(longest), np.int32)
-        at, depth, live, token = begin.copy(), np.zeros(len(texts), np.int64), np.flatnonzero(size), longest[begin].copy()
-        end = begin + size
-        while len(live):
-            t = token[live]
-            back = t < 0  # no shorter token: the place failed, and the token before it gives way
-            if back.any():
-                who = live[back]
-                failed[at[who]] = True
-                depth[who] -= 1
-                last = pool[begin[who] + depth[who]].astype(np.int64)
-                at[who] -= self.length[last]
-                token[who] = self.shorter[last]
-                who, t = live[~back], t[~back]
-            else:
-                who = live
-            stop = at[who] + self.length[t]
-            good = ~failed[stop]
-            check = np.flatnonzero(good & (depth[who] > 0))
-            if len(check):
-                good[check] = self.apart(pool[begin[who[check]] + depth[who[check]] - 1].astype(np.int64), t[check])
-            token[who[~good]] = self.shorter[t[~good]]
-            who, t, stop = who[good], t[good], stop[good]
-            pool[begin[who] + depth[who]] = t
-            depth[who] += 1
-            at[who] = stop
-            token[who] = longest[stop]
-            live = live[at[live] < end[live]]
-        return pool, begin, depth
-
-    def merged(self, pre_tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Exact encodings of pre-tokens: ids, one list behind the other, and the lists' lengths."""
-        long = [i for i, t in enumerate(pre_tokens) if len(t) > SHORT]
-        pool, first, count = self.side_by_side([b"" if len(t) > SHORT else t for t in pre_tokens])
-        if long:
-            lists = [np.array(self.backtrack(pre_tokens[i].decode("latin-1")), np.int32) for i in long]
-            count[long] = [len(x) for x in lists]
-            first[long] = len(pool) + np.cumsum(count[long]) - count[long]
-            pool = np.concatenate([pool, *lists])
-        return runs_gathered(pool, first, count), count
-
     def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, p = self.known + len(sizes), self.pooled + len(ids)
         while n > len(self.first):
@@ -264,11 +107,16 @@ class BpeCodec:
 
     def plainly(self, raw: bytes) -> np.ndarray:
         """Ids of a text without cache and hashes."""
-        text, at, out = raw.decode("utf-8"), 0, [np.zeros(0, np.int32)]
-        for m in self.special_split.finditer(text) if self.special_split else ():
-            out += [self.merged([p.encode() for p in self.pre_tokens(text[at : m.start()])])[0], np.array([self.specials[m.group()]], np.int32)]
-            at = m.end()
-        return np.concatenate([*out, self.merged([p.encode() for p in self.pre_tokens(text[at:])])[0]])
+        bounds, _ = self.segments(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
+        out = [np.zeros(0, np.int32)]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = raw[a:b]
+            if own in self.special_ids:
+                out.append(np.array([self.special_ids[own]], np.int32))
+                continue
+            starts = pre_token_starts(np.frombuffer(own, np.uint8), np.array([0, len(own)], np.int64)).tolist()
+            out.append(self.merged([own[i:j] for i, j in zip(starts, [*starts[1:], len(own)])])[0])
+        return np.concatenate(out)
 
     def segments(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of stretches that are cut into pre-tokens each by itself, and the text of each: texts, parted where a
@@ -391,23 +239,196 @@ class BpeCodec:
         return runs_gathered(source, first, size), at[np.concatenate([[0], np.cumsum(counts)])]
 
 
+class BpeCodec(PreTokenTable):
+    """Encoder and decoder for one vocabulary file (tokenizers' JSON, model BPE, byte level)."""
+
+    def __init__(self, path: str, cache: int = CACHE):
+        import ahocorasick
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"special strings of {path} take up their surroundings")
+        vocab, specials = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        alphabet = byte_alphabet()
+        piece = [b""] * (max([*vocab.values(), *specials.values()]) + 1)
+        for content, i in vocab.items():
+            if content not in specials:
+                piece[i] = bytes(alphabet[c] for c in content)
+        self.id_of = {p: i for i, p in enumerate(piece) if p}
+        for content, i in specials.items():
+            piece[i] = content.encode()
+        super().__init__(piece, specials, cache)
+        self.merge_rank: dict[tuple[int, int], int] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        for rank, m in enumerate(spec["model"]["merges"]):
+            left, right = (vocab[x] for x in (m.split(" ") if isinstance(m, str) else m))
+            whole = self.id_of[self.piece[left] + self.piece[right]]
+            self.merge_rank[left, right] = rank
+            self.parts.setdefault(whole, (left, right, rank))
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.id_of.items():
+            self.automaton.add_word(p.decode("latin-1"), i)
+        self.automaton.make_automaton()
+        self.longest_piece = max(map(len, self.id_of))
+        self.near: dict[int, bool] = {}
+        self.pairs = HashTable(PAIRS)
+        self.merges = HashTable(len(self.merge_rank))
+        pairs = np.array(list(self.merge_rank), np.uint64).reshape(-1, 2)
+        self.merges.add(_pair_key(pairs[:, 0], pairs[:, 1]), np.array(list(self.merge_rank.values()), np.int32))
+        self.shorter = np.full(self.size, -1, np.int64)
+        for p, i in self.id_of.items():
+            self.shorter[i] = next((self.id_of[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id_of), -1)
+        self.length = np.array([len(p) for p in self.piece], np.int64)
+        self.spines = []
+        for side in (0, 1):
+            own = [self.spine(t, side) for t in range(self.size)]
+            size = np.array([len(x) for x in own], np.int64)
+            self.spines.append((np.cumsum(size) - size, size, np.array([t for x in own for t, _ in x], np.uint64), np.array([u for x in own for _, u in x], np.int64)))
+
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token's parts at one border (side 1: its right end, 0: its left end), each with the rank of the merge that
+        takes it up (beyond all ranks for the whole token)."""
+        out = [(token, 1 << 40)]
+        while (made := self.parts.get(out[-1][0])) is not None:
+            out.append((made[side], made[2]))
+        return out
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether tokens a and b stay apart: no part at a's right end and part at b's left end are merged before either
+        is taken up by its own token.  At equal rank the merge further left comes first."""
+        key = a << 32 | b
+        known = self.near.get(key)
+        if known is None:
+            lefts, rights = self.spine(a, 1), self.spine(b, 0)
+            known = not any((r := self.merge_rank.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in lefts for y, y_until in rights)
+            if len(self.near) > 100_000:
+                self.near.clear()
+            self.near[key] = known
+        return known
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs, through the pair table."""
+        key = _pair_key(a, b)
+        out = self.pairs.find(key)
+        miss = np.flatnonzero(out < 0)
+        if len(miss):
+            new, first = np.unique(key[miss], return_index=True)
+            x, y = a[miss[first]], b[miss[first]]
+            (left_at, left_n, left, left_until), (right_at, right_n, right, right_until) = self.spines
+            n = right_n[x] * left_n[y]
+            begin = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(of)) - begin[of]
+            i, j = right_at[x][of] + k // left_n[y][of], left_at[y][of] + k % left_n[y][of]
+            rank = self.merges.find(_pair_key(right[i], left[j]))
+            joined = (rank >= 0) & (rank < right_until[i]) & (rank <= left_until[j])
+            value = (~np.logical_or.reduceat(joined, begin)).astype(np.int32)
+            if self.pairs.entries + len(new) > PAIRS:
+                self.pairs = HashTable(max(PAIRS, len(new)))
+            self.pairs.add(new, value)
+            out[miss] = value[np.searchsorted(new, key[miss])]
+        return out > 0
+
+    def longest(self, raw: str, at: int) -> int:
+        """The longest token at a position (bytes as Latin-1)."""
+        n = self.automaton.longest_prefix(raw[at : at + self.longest_piece])
+        while n and (i := self.automaton.get(raw[at : at + n], None)) is None:
+            n -= 1
+        return i
+
+    def backtrack(self, raw: str) -> tuple[int, ...]:
+        """Exact encoding of one pre-token (bytes as Latin-1)."""
+        end, out, at = len(raw), [], 0
+        failed = bytearray(end + 1)
+        token = self.longest(raw, 0)
+        while True:
+            stop = at + len(self.piece[token])
+            if not failed[stop] and (not out or self.compatible(out[-1], token)):
+                out.append(token)
+                at = stop
+                if at == end:
+                    return tuple(out)
+                token = self.longest(raw, at)
+                continue
+            token = int(self.shorter[token])
+            while token < 0:
+                failed[at] = 1
+                token = out.pop()
+                at -= len(self.piece[token])
+                token = int(self.shorter[token])
+
+    def side_by_side(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``backtrack`` of many short pre-tokens at once: a pool of ids, and where in it each one's are and how many."""
+        size = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(size + 1) - size - 1  # U+0100 parts them: it stands in no token
+        found = np.fromiter(self.automaton.iter("Ā".join(t.decode("latin-1") for t in texts)), np.dtype([("last", np.int64), ("token", np.int64)]))
+        longest = np.full(int((size + 1).sum()), -1, np.int64)
+        longest[found["last"] - self.length[found["token"]] + 1] = found["token"]  # of those at a place, the last is the longest
+        failed, pool = np.zeros(len(longest), bool), np.zeros(len(longest), np.int32)
+        at, depth, live, token = begin.copy(), np.zeros(len(texts), np.int64), np.flatnonzero(size), longest[begin].copy()
+        end = begin + size
+        while len(live):
+            t = token[live]
+            back = t < 0  # no shorter token: the place failed, and the token before it gives way
+            if back.any():
+                who = live[back]
+                failed[at[who]] = True
+                depth[who] -= 1
+                last = pool[begin[who] + depth[who]].astype(np.int64)
+                at[who] -= self.length[last]
+                token[who] = self.shorter[last]
+                who, t = live[~back], t[~back]
+            else:
+                who = live
+            stop = at[who] + self.length[t]
+            good = ~failed[stop]
+            check = np.flatnonzero(good & (depth[who] > 0))
+            if len(check):
+                good[check] = self.apart(pool[begin[who[check]] + depth[who[check]] - 1].astype(np.int64), t[check])
+            token[who[~good]] = self.shorter[t[~good]]
+            who, t, stop = who[good], t[good], stop[good]
+            pool[begin[who] + depth[who]] = t
+            depth[who] += 1
+            at[who] = stop
+            token[who] = longest[stop]
+            live = live[at[live] < end[live]]
+        return pool, begin, depth
+
+    def merged(self, pre_tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact encodings of pre-tokens: ids, one list behind the other, and the lists' lengths."""
+        long = [i for i, t in enumerate(pre_tokens) if len(t) > SHORT]
+        pool, first, count = self.side_by_side([b"" if len(t) > SHORT else t for t in pre_tokens])
+        if long:
+            lists = [np.array(self.backtrack(pre_tokens[i].decode("latin-1")), np.int32) for i in long]
+            count[long] = [len(x) for x in lists]
+            first[long] = len(pool) + np.cumsum(count[long]) - count[long]
+            pool = np.concatenate([pool, *lists])
+        return runs_gathered(pool, first, count), count
+
+
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """The class of every code point in the pre-token pattern."""
-    import regex
+    """The class of every code point in the pre-token pattern, by the tables of the tokenizers library (the regex module knows
+    letters of later Unicode versions)."""
+    from tokenizers import Regex, pre_tokenizers
 
-    out, every = np.zeros(0x110000, np.uint8), "".join(map(chr, range(0x110000)))
+    every, out = [*range(0xD800), *range(0xE000, 0x110000)], np.zeros(0x110000, np.uint8)
+    points, text = np.array(every), "".join(map(chr, every))
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+        inside = np.ones(len(points), bool)
+        for _, (low, high) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(text):
+            inside[low:high] = False
+        out[points[inside]] = kind
     return out
 
 
 def pre_token_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """First bytes of the pre-tokens of concatenated stretches of UTF-8 text, by rules that do what ``PATTERN`` does:
+    """First bytes of the pre-tokens of concatenated stretches of UTF-8 text, by rules for the pattern of byte-level BPE (contractions, letters, numbers,
+    other characters, white space):
 
     a pre-token is a run of one class; a plain space goes to the run behind it; the last of several spaces before another
     class stands alone or goes with that; an apostrophe that opens a run takes the letters of a contraction."""
@@ -461,13 +482,16 @@ def codec(path: str) -> BpeCodec:
 WORKER_CACHES.append(codec.cache_clear)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+Encoder = Callable[[str], PreTokenTable]
+
+
+def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, encoder: Encoder = codec) -> DataFrame:
     """``keep`` columns (all others by default) with the ids (array<int>) of each text."""
     keep = without([c for c in docs.columns if c != text] if keep is None else keep, [ids])
     schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType(), False), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = encoder(path)
         for b in batches:
             parts = list(c.encoded_parts(b.column(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), _id_lists(parts, b.num_rows)], [*keep, ids])
@@ -483,13 +507,13 @@ def _id_lists(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded", encoder: Encoder = codec) -> DataFrame:
     """All columns but ``ids`` with the text that they decode to (bytes that are no UTF-8 become U+FFFD); null: empty."""
     keep = without([c for c in encoded.columns if c != ids], [text])
     schema = encoded.select(*keep).schema.add(text, "string", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = encoder(path)
         for b in batches:
             lists = b.column(ids).fill_null(pa.scalar([], b.column(ids).type))
             counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -501,7 +525,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", text: str
     return encoded.select(*keep, ids).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: str | None = None, encoder: Encoder = codec) -> DataFrame:
     """``keep`` columns (all others by default) with n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of
     each text, encoded and decoded in one pass; with ``ids``, also the ids (array<int>) under that name."""
     names = [*([ids] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -511,7 +535,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = encoder(path)
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             digest = [(hashlib.sha256(), hashlib.sha256()) for _ in range(b.num_rows)]

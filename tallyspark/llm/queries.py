@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe_codec, chat_format, entropy_mix, flac_media, mixture_langid, rendezvous, rlz_dedup, signature_tree, token_counts, winnowing
+from tallyspark.llm import anchor_codes, bpe_codec, chat_format, entropy_mix, flac_media, library_bpe, mixture_langid, rendezvous, rlz_dedup, signature_tree, token_counts, winnowing
 
 SHARDS = 8
 
@@ -83,6 +83,19 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = anchor_codes.quantize(rows, keep=["vec_id", "label"])
+    return anchor_codes.with_label_error(coded).select(
+        "vec_id", anchor_codes.hex_code("codes").alias("code"), "error", "label_error", F.lit(anchor_codes.codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_library_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return library_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict:
     return {
         "op1_rlz_dedup": op1_rlz_dedup,
@@ -96,6 +109,8 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_chat_format": op9_chat_format,
         "op10_rendezvous": op10_rendezvous,
+        "op11_anchor_codes": op11_anchor_codes,
+        "op12_library_bpe": op12_library_bpe,
     }
 
 
@@ -129,5 +144,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     + CASE WHEN escaped THEN length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) ELSE length(text) END) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
 
+
+def _op11_round(k: int) -> str:
+    """Assignment of all parts to codebook k - 1 and the codebook k that it gives."""
+    return f"""
+a{k} AS (SELECT rid, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT rid, p.part, x, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) AS d FROM p JOIN b{k - 1} b ON b.part = p.part) GROUP BY ALL),
+s{k} AS (SELECT part, entry, list(m ORDER BY i) AS e FROM (SELECT part, entry, i, cast(floor(sum(c) / count(*)) AS BIGINT) AS m FROM (SELECT part, entry, unnest(range(len(x))) AS i, unnest(x) AS c FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+b{k} AS (SELECT b.part, b.entry, coalesce(s.e, b.e) AS e FROM b{k - 1} b LEFT JOIN s{k} s ON s.part = b.part AND s.entry = b.entry)"""
+
+
+_OP11 = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT rid, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM k, range(16) t(part)),
+b0 AS (SELECT part, rid - 1 AS entry, x AS e FROM p WHERE rid <= 64),{_op11_round(1)},{_op11_round(2)},{_op11_round(3)},
+r AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, cast(sum(d) AS BIGINT) AS error FROM a3 GROUP BY 1),
+h AS (SELECT sha256(string_agg(cast(c AS VARCHAR), ',' ORDER BY part, entry, i)) AS books FROM (SELECT part, entry, unnest(range(len(e))) AS i, unnest(e) AS c FROM b2))
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256 FROM k JOIN r USING (rid), h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rlz_dedup": _OP1, "op4_signature_tree": _OP4, "op9_chat_format": _OP9}
+    return {"op1_rlz_dedup": _OP1, "op4_signature_tree": _OP4, "op9_chat_format": _OP9, "op11_anchor_codes": _OP11}
