@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import anchor_codes, bpe_codec, chat_format, entropy_mix, flac_media, library_bpe, mixture_langid, rendezvous, rlz_dedup, signature_tree, token_counts, winnowing
+from tallyspark.llm import anchor_codes, bpe_codec, chat_format, entropy_mix, flac_media, library_bpe, mixture_langid, phrase_automata, rendezvous, rlz_dedup, signature_tree, token_counts, winnowing
 
 SHARDS = 8
 
@@ -96,6 +96,10 @@ def op12_library_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.mine_phrases(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict:
     return {
         "op1_rlz_dedup": op1_rlz_dedup,
@@ -111,6 +115,7 @@ def queries() -> dict:
         "op10_rendezvous": op10_rendezvous,
         "op11_anchor_codes": op11_anchor_codes,
         "op12_library_bpe": op12_library_bpe,
+        "op13_phrase_automata": op13_phrase_automata,
     }
 
 
@@ -162,6 +167,19 @@ r AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, c
 h AS (SELECT sha256(string_agg(cast(c AS VARCHAR), ',' ORDER BY part, entry, i)) AS books FROM (SELECT part, entry, unnest(range(len(e))) AS i, unnest(e) AS c FROM b2))
 SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256 FROM k JOIN r USING (rid), h"""
 
+_OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS g, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 4) t(k)) GROUP BY ALL),
+n AS (SELECT lang, cast(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(g, ' ') AS x FROM g WHERE k > 1 AND f >= 10),
+s AS (SELECT c.lang, c.g, c.f AS a, a.f AS l, b.f AS r, cut, (1000000::HUGEINT * c.f * c.f) // (a.f::HUGEINT * b.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN g a ON a.lang = c.lang AND a.g = array_to_string(x[1:cut], ' ') JOIN g b ON b.lang = c.lang AND b.g = array_to_string(x[cut + 1:c.k], ' ')),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+i AS (SELECT lang, part, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(x[1:k - 1], ' '), array_to_string(x[2:k], ' ')]) AS part FROM c WHERE k > 2) GROUP BY ALL)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, cast(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang LEFT JOIN i ON i.lang = o.lang AND i.part = o.g WHERE coalesce(100 * i.f < 50 * a, true) QUALIFY row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, g) <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rlz_dedup": _OP1, "op4_signature_tree": _OP4, "op9_chat_format": _OP9, "op11_anchor_codes": _OP11}
+    return {"op1_rlz_dedup": _OP1, "op4_signature_tree": _OP4, "op9_chat_format": _OP9, "op11_anchor_codes": _OP11, "op13_phrase_automata": _OP13}
