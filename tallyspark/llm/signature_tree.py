@@ -361,7 +361,8 @@ def distinct_sets(prepared: DataFrame) -> DataFrame:
     known = prepared.where("set_id is not null")
     g = known.groupBy(F.col("set_id").alias("_s")).agg(F.sum("times").alias("copies"), F.min(F.when(F.col("shared").isNotNull(), F.col("node"))).alias("first"))
     one = known.where("shared is not null").join(g, (F.col("set_id") == F.col("_s")) & (F.col("node") == F.col("first")))
-    return one.select(F.col("set_id").alias("node"), "first", "copies", "n_shingles", "shared", "prefix")
+    # blocks that hold the same id (or none) with the same set have a row each
+    return one.select(F.col("set_id").alias("node"), "first", "copies", "n_shingles", "shared", "prefix").dropDuplicates(["node"])
 
 
 def link_pairs(sets: DataFrame, threshold: int = THRESHOLD, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -408,8 +409,8 @@ def near_copy_links(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     links = written(weighted_links(sets, threshold, chunk_tokens))
     others = links.where("b is null").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("n"))
     counted = sets.join(others, F.col("node") == F.col("_a"), "left").select(F.col("node").alias("_set"), "first", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    # one row a block and set, so that copies meet theirs within their block's share of them
-    entries = written(prepared.where("shared is not null").select("node", "set_id").join(counted, F.col("set_id") == F.col("_set")).select(F.col("node").alias("_node"), "_set", "first", "n_links"))
+    # one row a node and set, whatever the blocks that hold it
+    entries = written(prepared.where("shared is not null").select("node", "set_id").distinct().join(counted, F.col("set_id") == F.col("_set")).select(F.col("node").alias("_node"), "_set", "first", "n_links"))
     name = sets.select(F.col("node").alias("_k"), "first")
     pairs = links.where("b is not null").select("a", "b").join(name.select(F.col("_k").alias("_ka"), F.col("first").alias("fa")), F.col("a") == F.col("_ka")).join(name.select(F.col("_k").alias("_kb"), F.col("first").alias("fb")), F.col("b") == F.col("_kb"))
     edges = pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionByName(entries.select(F.col("_node").alias("a"), F.col("first").alias("b")))

@@ -60,3 +60,18 @@ def test_links_are_counted_and_paired_exactly(spark, rows, monkeypatch):
     distinct = set(sets)
     pairs = signature_tree.link_pairs(signature_tree.distinct_sets(common.written(signature_tree.prepare(docs))), 80, 1500).collect()
     assert len(pairs) == len(set(pairs)) == sum(linked(a, b) for a, b in itertools.combinations(distinct, 2))
+
+
+def test_rows_of_one_id_in_many_blocks(spark, monkeypatch):
+    """One doc_id (and none) with one set of shingles in texts that differ by letter case, so that blocks share it."""
+    base = " ".join(f"w{i}" for i in range(30))
+    cases = [base, base.upper(), base.title(), base.replace("w1", "W1")]
+    near = base.replace("w29", "w29 more")
+    rows = [(5, t) for t in cases] + [(None, t) for t in cases] + [(None, base)] * 2 + [(7, near), (7, near), (8, near.upper()), (9, "of its own " * 9), (9, "OF its own " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(signature_tree, "corpus_blocks", lambda d: common.corpus_blocks(d, block_bytes=400))
+    sets = [shingles(t) for _, t in rows]
+    n = [sum(linked(a, b) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+    got = signature_tree.near_copy_links(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == Counter((i, len(s), k) for (i, _), s, k in zip(rows, sets, n))
+    assert len(signature_tree.link_pairs(signature_tree.distinct_sets(common.written(signature_tree.prepare(docs)))).collect()) == 1
