@@ -186,25 +186,31 @@ class Ranges:
 
 
 def ranges_of(docs: DataFrame) -> Ranges | None:
-    """Ranges of about equal numbers of rows, from a sample of ``SAMPLED`` keys each, sorted in Spark; the driver gets one key
-    a range.  None for an empty table."""
+    """Ranges of about equal numbers of bytes.  Rows are sampled in proportion to their size, about ``SAMPLED`` a range, and sorted
+    in Spark; a sampled row stands for the bytes that its chance was taken from, and a range begins where those of the ranges
+    before are full.  The driver gets one key a range.  None for an empty table."""
     n = block_count(docs)
     n = max(min(n, MANY), n // LARGER)
-    keys = docs.select("doc_id", F.coalesce(F.substring("text", 1, PREFIX), F.lit("")).alias("p"))
-    rows, least = keys.agg(F.count(F.lit(1)), F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "p"))).first()
-    if not rows:
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("double")
+    keys = docs.select("doc_id", F.coalesce(F.substring("text", 1, PREFIX), F.lit("")).alias("p"), size.alias("size"))
+    total, least = keys.agg(F.sum("size"), F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "p"))).first()
+    if total is None:
         return None
     marks = []
     if n > 1:
-        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = 0
-            for b in batches:
-                at = np.arange(b.num_rows)[(seen + np.arange(b.num_rows)) % SAMPLED == SAMPLED // 2]
-                seen += b.num_rows
-                yield b.take(pa.array(at))
+        step = total / n
 
-        sample = keys.where(F.rand(11) < F.lit(SAMPLED * n / rows)).orderBy(F.asc_nulls_first("doc_id"), "p")
-        marks = [(d, p) for d, p in sample.mapInArrow(every, "doc_id long, p string").collect()]
+        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = step / 2
+            for b in batches:
+                ends = done + np.cumsum(b.column(2).to_numpy())
+                before = np.r_[done, ends[:-1]]
+                yield b.take(pa.array(np.flatnonzero(ends // step > before // step))).select(["doc_id", "p"])
+                done = ends[-1] if len(ends) else done
+
+        stands = F.greatest("size", F.lit(step / SAMPLED))
+        sample = keys.where(F.rand(11) * step < F.col("size") * SAMPLED).withColumn("size", stands).orderBy(F.asc_nulls_first("doc_id"), "p")
+        marks = [(d, p) for d, p in sample.mapInArrow(full, "doc_id long, p string").collect()]
     return Ranges(marks, (least["doc_id"], least["p"]))
 
 
