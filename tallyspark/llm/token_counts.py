@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier 1: a compact table of the frequent pre-tokens' token counts is broadcast: two arrays (64-bit hashes by open
-addressing, counts), looked up for all pre-tokens of a batch at once.  Tier 2: misses go to a cache in the worker, and new
+Tier 1: a compact table of the frequent pre-tokens' token counts is broadcast: 64-bit hashes by open addressing, bytes and
+counts, looked up for all pre-tokens of a batch at once; an entry counts only if its bytes are the pre-token's.  Tier 2: misses go to a cache in the worker, and new
 ones to the tokenizer, once each.  No pre-token is shuffled: every partition counts its own texts.
 
 A pre-token is a run of spaces with the run of other characters behind it (the model's pieces hold the space mark only in
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _BYTE, WORKER_CACHES, HashTable, cut_at, mix, parts_of_texts, sums_of_runs, utf8, without
+from tallyspark.llm.common import _BYTE, WORKER_CACHES, HashTable, cut_at, mix, parts_of_texts, runs_gathered, sums_of_runs, utf8, without
 
 #: Entries of the broadcast table: a fixed bound, about 1 MB.
 TOP = 16_384
@@ -145,6 +145,19 @@ def frequent_pre_tokens(docs: DataFrame, text: str = "text", top: int = TOP, sam
     return [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:top]]
 
 
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray, known: np.ndarray, known_starts: np.ndarray, known_ends: np.ndarray) -> np.ndarray:
+    """Whether each pre-token has the bytes of the entry found by its hash (-1: none was found)."""
+    out = entry >= 0
+    at, size = np.flatnonzero(out), ends - starts
+    equal = size[at] == (known_ends - known_starts)[entry[at]]
+    out[at[~equal]] = False
+    at = at[equal & (size[at] > 0)]
+    if len(at):
+        differ = runs_gathered(raw, starts[at], size[at]) != runs_gathered(known, known_starts[entry[at]], size[at])
+        out[at[np.logical_or.reduceat(differ, np.cumsum(size[at]) - size[at])]] = False
+    return out
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, frequent: list[bytes] | None = None) -> DataFrame:
     """``keep`` columns (all others by default) with n_bytes (UTF-8) and n_tokens of each text."""
     keep = without([c for c in docs.columns if c != text] if keep is None else keep, ["n_bytes", "n_tokens"])
@@ -155,16 +168,18 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     starts = ends - np.array([len(p) for p in frequent], np.int64)
     hashes = mix(sums_of_runs(_BYTE[raw], starts, ends) + (ends - starts).astype(np.uint64))
     table = HashTable(max(1, len(frequent)))
-    table.add(hashes, np.array(PieceCounter(path).counts(frequent), np.int32))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    table.add(hashes, np.arange(len(frequent), dtype=np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast((table, np.array(PieceCounter(path).counts(frequent), np.int64), raw, starts, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, worker = shared.value, piece_counter(path)
+        (table, counts, *known), worker = shared.value, piece_counter(path)
         for b in batches:
             total = np.zeros(b.num_rows, np.int64)
             for raw, offsets, text_of, goes_on in _parts(b.column(text)):
                 starts, ends, at, marks, hashes = pieces(raw, offsets, goes_on)
-                found = np.where(marks == 1, table.find(hashes), -1).astype(np.int64)
+                entry = np.where(marks == 1, table.find(hashes), -1).astype(np.int64)
+                entry[~same_bytes(raw, starts, ends, entry, *known)] = -1
+                found = np.where(entry >= 0, counts[entry], -1) if len(counts) else entry
                 miss = np.flatnonzero(found < 0)
                 view = raw.tobytes()
                 found[miss] = worker.counts([b" " * (m - 1) + view[i:j] for i, j, m in zip(starts[miss].tolist(), ends[miss].tolist(), marks[miss].tolist(), strict=True)])
