@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import _BYTE, HashTable, cut_at, drop_caches, give_memory_back, mix, parts_of_texts, runs_gathered, sums_of_runs, utf8, written
 
-#: Words in a shard at most (about 15 MB of text) and distinct ones from which it is closed; shard entries in a range.
-SHARD_WORDS, SHARD_VOCABULARY, RANGE_ENTRIES = 2_500_000, 1 << 19, 1_500_000
+#: Words in a shard at most (about 8 MB of text) and distinct ones from which it is closed; shard entries in a range.
+SHARD_WORDS, SHARD_VOCABULARY, RANGE_ENTRIES = 1_250_000, 1 << 19, 1_500_000
 #: Bytes of text that boundaries are sampled from for each range, at least ``SAMPLE_BYTES`` together, and keys for each range.
 RANGE_SAMPLE, SAMPLE_BYTES, RANGE_KEYS = 16 << 10, 8 << 20, 64
 #: Shard entries that a byte of text makes about: sets the number of ranges only.
