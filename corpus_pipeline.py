@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe_codec, entropy_mix, mixture_langid, rlz_dedup, signature_tree
-from tallyspark.llm.common import delete_folders, recording, unused, written
+from tallyspark.llm.common import delete_folders, ranked, recording, unused, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,15 +30,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies.
 
-    Rows that share a doc_id are one document, of which the row with the smallest text stays; rows without a doc_id stay; null
-    and empty texts are no copies of each other; an empty table stays empty."""
-    (key, row) = unused(docs.columns, "_gone", "_row")
-    gone = signature_tree.near_copies(docs).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(key))
-    kept = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(row)).where(F.col(row) > 1).select(key)
-    others = [c for c in docs.columns if c != "text"]
-    one = kept.join(again, F.col("doc_id") == F.col(key), "left_semi").groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("text", *others)).alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
-    return kept.join(again, F.col("doc_id") == F.col(key), "left_anti").select(*docs.columns).unionByName(one)
+    Rows that share a doc_id are documents like others: the first by a hash of its columns goes by the id, the others by numbers
+    behind all ids.  So rows go only where they link, and of linked ones a row that goes by its id stays before others.
+    Rows without a doc_id stay; null and empty texts are no copies of each other; an empty table stays empty."""
+    key, node, rank = unused(docs.columns, "_key", "_node", "_rank")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(rank)).where(F.col(rank) > 1).select(key)
+    again = written(again)
+    twice = docs.join(again, F.col("doc_id") == F.col(key), "left_semi")
+    behind = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    numbered = ranked(twice, ["doc_id"], [c for c in docs.columns if c != "doc_id"], rank)
+    numbered = written(numbered.withColumn(node, F.when(F.col(rank) == 0, F.col("doc_id")).otherwise(F.lit(behind) + F.monotonically_increasing_id())))
+    rows = docs.join(again, F.col("doc_id") == F.col(key), "left_anti").withColumn(node, F.col("doc_id")).unionByName(numbered.drop(rank))
+    gone = signature_tree.near_copies(rows.select(F.col(node).alias("doc_id"), "text")).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(key))
+    return rows.join(gone, F.col(node) == F.col(key), "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
