@@ -58,6 +58,17 @@ def test_fingerprint_query_equals_a_plain_version(spark, folder, monkeypatch):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_ranges_are_cut_by_bytes(spark):
+    """Texts of 100 kB beside many short ones: no range holds more than twice its share."""
+    rows = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 300, F.repeat(F.lit("long text "), 10_000)).otherwise("short").alias("text"))
+    ranges = winnowing.ranges_of(rows.repartition(7))
+    held = {}
+    for d, t in rows.collect():
+        (at,), _ = ranges.place(pa.array([d]), pa.array([t[:64]]))
+        held[at] = held.get(at, 0) + len(t) + 16
+    assert len(held) == len(ranges) >= 3 and max(held.values()) <= 2 * common.BLOCK_BYTES
+
+
 def test_half_edited_texts_stay_near(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "".join(rng.choice(list("abcdefghij "), 110))) for i in range(60)]
@@ -239,7 +250,7 @@ def test_hot_ids_are_dealt_over_blocks(spark, hot):
     assert ranges is not None
 
 
-@pytest.mark.parametrize("name", ["op1_rlz_dedup", "op3_winnowing", "op4_signature_tree", "op6_entropy_mix", "op10_rendezvous"])
+@pytest.mark.parametrize("name", ["op1_rlz_dedup", "op3_winnowing", "op4_signature_tree", "op4_signature_links", "op6_entropy_mix", "op10_rendezvous"])
 def test_hot_rows(spark, hot, name):
     d, n = hot
     out = Q[name](spark, d)
@@ -260,7 +271,7 @@ _LONG = """
 import json, random, resource, sys
 sys.path.insert(0, sys.argv[1])
 import numpy as np, pyarrow as pa
-from tallyspark.llm import bpe_codec, common, flac_media, mixture_langid, rlz_dedup, signature_tree, token_counts, winnowing
+from tallyspark.llm import bpe_codec, common, flac_media, library_bpe, mixture_langid, phrase_automata, rlz_dedup, signature_tree, token_counts, winnowing
 import public_tokenizers
 rnd = random.Random(1)
 vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(50000)]
@@ -282,6 +293,12 @@ elif name == "op5":
 elif name == "op7":
     codec = bpe_codec.codec(public_tokenizers.path("byte_bpe_50k.json"))
     out = sum(len(codec.decode_flat(ids, n)[0]) for ids, n, _ in codec.encoded_parts(column)) - len(text)
+elif name == "op12":
+    codec = library_bpe.library_codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = sum(len(codec.decode_flat(ids, n)[0]) for ids, n, _ in codec.encoded_parts(column)) - len(text)
+elif name == "op13":
+    rows = pa.RecordBatch.from_arrays([column, pa.array(["en"])], ["text", "lang"])
+    out = sum(int(t.weight[0].sum()) for t in phrase_automata.shard_tries(iter([rows]), 3))
 else:
     counter = token_counts.piece_counter(public_tokenizers.path("piece_bpe_32k.model"))
     out = sum(len(token_counts.pieces(raw, at, on)[0]) for raw, at, _, on in token_counts._parts(column))
@@ -289,7 +306,7 @@ print(json.dumps([out, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
 """
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op7", "op8"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op7", "op8", "op12", "op13"])
 def test_a_text_of_33_megabytes_takes_little_memory(name):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     out, peak = json.loads(subprocess.run([sys.executable, "-c", _LONG, root, name], capture_output=True, text=True, check=True).stdout)

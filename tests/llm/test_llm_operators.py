@@ -557,3 +557,27 @@ def test_clashing_extra_columns_give_way_or_stay(spark, folder):
         out = common.written(stage(spark, docs, folder))
         assert out.columns == docs.columns and out.where("_kept <> 'own' or Score <> 'own'").isEmpty()
         docs = out
+
+
+def test_entries_count_only_for_their_own_bytes():
+    texts = [b"abc", b"abd", b"ab", b"", b"zz"]
+    raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([3, 3, 2, 0, 2])
+    starts = ends - [3, 3, 2, 0, 2]
+    known = np.frombuffer(b"abdab", np.uint8), np.array([0, 3, 5]), np.array([3, 5, 5])
+    assert token_counts.same_bytes(raw, starts, ends, np.array([0, 0, 1, 2, -1]), *known).tolist() == [False, True, True, True, False]
+
+
+def test_pipeline_keeps_rows_of_one_id_that_do_not_link(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "one text of its own here"), (1, "quite another text under the same id"), (1, text), (2, text.upper()), (3, text + " end"), (None, text), (4, ""), (4, None), (5, "x y"), (5, "x y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    count = lambda x: sum(t == x for _, t in got)
+    assert count(rows[0][1]) == count(rows[1][1]) == count("x y") == 1 and (None, text) in got and (4, "") in got and (4, None) in got
+    assert sum(shingled(t) for i, t in got if i is not None) == 1
+
+
+def shingled(text):
+    return bool(text) and text.lower().startswith("w0 w1 ")
