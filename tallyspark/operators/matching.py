@@ -1,8 +1,8 @@
 """Duplicate matching of incoming messages against stored transactions.
 
 Every path is an equi-join on (bank, direction, amount, currency) or on the reference, with the time window as a range
-condition, and a decision by counts over each message's candidates; ambiguity defers.  Messages of one batch are matched
-against the stored table; matches among themselves are a second call with the accepted rows stored.
+condition, and a decision by counts over each message's candidates; ambiguity defers.  Messages are matched against the
+stored table; ``batches.merge_batch`` merges the messages of one batch in their order.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def counterparty_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
-def fuzzy_candidates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def fuzzy_candidates(incoming: DataFrame, stored: DataFrame, slots: bool = False) -> DataFrame:
     """(seq, id, ...) of stored rows that can be the message's event: equal keys, within the time window, no mask that rules
     it out, narrowed by counterparty where a time is missing or several are left."""
     cur = lambda c: F.coalesce(c, F.lit("INR"))
@@ -62,19 +62,22 @@ def fuzzy_candidates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         tier = tier.when(F.coalesce(by_card, F.lit(False)), 2).when((F.col("identifies_by") == "none") & (F.col("i_identifies_by") == "none"), 1)
     seen = seen.withColumn("_tier", tier.otherwise(0)).withColumn("_best", F.max("_tier").over(w))
     rule = F.when(F.col("_untimed"), (F.col("_tier") > 0) & (F.col("_tier") == F.col("_best"))).when((F.col("_n") > 1) & F.col("_cp"), F.col("cp")).otherwise(F.lit(True))
-    return seen.where(rule).select(F.col("i_seq").alias("seq"), "id", F.col("i_balance").alias("balance_in"), "balance")
+    own = [F.col("source").isin("sms+email") | (F.col("source") == F.when(F.col("i_by_email"), "email").otherwise("sms"))] if slots else []
+    return seen.where(rule).select(F.col("i_seq").alias("seq"), "id", F.col("i_balance").alias("balance_in"), "balance", *[(~F.coalesce(x, F.lit(False))).alias("open") for x in own])
 
 
-def decide(incoming: DataFrame, candidates: DataFrame) -> DataFrame:
-    """match, insert or defer by balances: a different known balance rules a candidate out, one equal balance is the event."""
+def decide(incoming: DataFrame, candidates: DataFrame, slots: bool = False) -> DataFrame:
+    """match, insert or defer by balances: a different known balance rules a candidate out, one equal balance is the event.  With
+    ``slots`` a message without a balance needs a row that no message of its channel has."""
     keep = candidates.where(F.col("balance_in").isNull() | F.col("balance").isNull() | (F.bround("balance", 2) == F.bround("balance_in", 2)))
     g = keep.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("balance").isNotNull() & F.col("balance_in").isNotNull()).alias("equal"),
-                                F.max(F.when(F.col("balance").isNotNull(), F.col("id"))).alias("equal_id"), F.count_if(F.col("balance").isNull()).alias("bare"), F.max("id").alias("any_id"), F.bool_or(F.col("balance_in").isNotNull()).alias("known"))
+                                F.max(F.when(F.col("balance").isNotNull(), F.col("id"))).alias("equal_id"), F.count_if(F.col("balance").isNull()).alias("bare"), F.max("id").alias("any_id"), F.bool_or(F.col("balance_in").isNotNull()).alias("known"), *([F.bool_or("open").alias("open")] if slots else []))
     g = g.withColumnRenamed("seq", "_seq")
     out = incoming.select("seq").join(g, F.col("seq") == F.col("_seq"), "left")
-    sure = F.when(F.col("known"), F.when(F.col("equal") == 1, F.col("equal_id"))).otherwise(F.when((F.col("n") == 1) & (F.col("bare") == 1), F.col("any_id")))
+    sure = F.when(F.col("known"), F.when(F.col("equal") == 1, F.col("equal_id"))).otherwise(F.when((F.col("n") == 1) & (F.col("bare") == 1) & (F.col("open") if slots else F.lit(True)), F.col("any_id")))
     action = F.when(F.col("n").isNull(), "insert").when(sure.isNotNull(), "match").otherwise("defer")
-    reason = F.when(action == "defer", F.when(~F.col("known") & (F.col("n") > 1), "multiple_candidates").otherwise("balance_ambiguous"))
+    alone = "source_slot_filled" if slots else "balance_ambiguous"
+    reason = F.when(action == "defer", F.when(F.col("known"), "balance_ambiguous").when(F.col("n") > 1, "multiple_candidates").otherwise(alone))
     return out.select("seq", action.alias("action"), sure.alias("id"), reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("bigint").alias("candidates"))
 
 
@@ -131,14 +134,14 @@ def other_half(incoming: DataFrame, stored: DataFrame, types: list[str] | None =
     return g.where("n = 1").select("seq", "id", "balance_off")
 
 
-def find_matches(incoming: DataFrame, stored: DataFrame, types: list[str] | None = None) -> DataFrame:
+def find_matches(incoming: DataFrame, stored: DataFrame, types: list[str] | None = None, slots: bool = False) -> DataFrame:
     """What becomes of each message: match (with the row and how it was found), insert or defer (with the reason).
 
     A reference that is stored decides by itself; else the rows within the time window do, if there are any; else the
     other half of the day, where a different balance makes it a new event."""
     ref = by_reference(incoming, stored).select(F.col("seq").alias("_q"), F.col("action").alias("_ra"), F.col("reason").alias("_rr"), F.col("id").alias("_ri"), F.col("candidates").alias("_rn"))
-    near = fuzzy_candidates(incoming, stored)
-    fuzzy = decide(incoming, near).select(F.col("seq").alias("_f"), F.col("action").alias("_fa"), F.col("reason").alias("_fr"), F.col("id").alias("_fi"), F.col("candidates").alias("_fn"))
+    near = fuzzy_candidates(incoming, stored, slots)
+    fuzzy = decide(incoming, near, slots).select(F.col("seq").alias("_f"), F.col("action").alias("_fa"), F.col("reason").alias("_fr"), F.col("id").alias("_fi"), F.col("candidates").alias("_fn"))
     any_near = near.select(F.col("seq").alias("_w")).distinct()
     half = other_half(incoming, stored, types).select(F.col("seq").alias("_h"), F.col("id").alias("_hi"), "balance_off")
     j = incoming.select("seq").join(ref, F.col("seq") == F.col("_q"), "left").join(fuzzy, F.col("seq") == F.col("_f"), "left").join(any_near, F.col("seq") == F.col("_w"), "left").join(half, F.col("seq") == F.col("_h"), "left")

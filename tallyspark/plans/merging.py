@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import matching
+from tallyspark.operators import batches, matching
 from tallyspark.plans.catalogue import _AT, _CP, _CPM, _FUZZY, _SAT, _USABLE, _fits, _mask, _query
 
 _TYPES = ["bank_transfer", "upi_alert", "bank_cc_debit"]
@@ -144,3 +144,23 @@ def resolved_duplicates(t):
     tokens = matching.preview_token(i, s, pairs)
     choices = tokens.select("seq", "id", F.when(F.col("seq") % 3 == 0, "create_new").otherwise("merge").alias("action"), F.when(F.col("seq") % 7 == 0, "old").otherwise(F.col("token")).alias("token"))
     return matching.resolved_duplicates(choices, tokens, matching.explicit_matches(pairs, i, s))
+
+
+_PAIR = """SELECT id * 2 AS seq, bank, direction, amount, currency, transaction_date, transaction_time_s, false AS received_time, counterparty, cast(NULL AS VARCHAR) AS account_mask, cast(NULL AS VARCHAR) AS reference_number, cast(NULL AS DECIMAL(12, 2)) AS balance, email_type, false AS by_email FROM transactions WHERE id % 5 = 0
+    UNION ALL SELECT id * 2 + 1, bank, direction, amount, currency, transaction_date, least(transaction_time_s + 45, 86399), false, counterparty, NULL, 'E' || id, NULL, email_type, true FROM transactions WHERE id % 5 = 0"""
+_COLS = "bank, direction, amount, currency, transaction_date, transaction_time_s, received_time, counterparty, account_mask, reference_number, balance, email_type"
+
+
+@_query(f"""SELECT * FROM (WITH st AS (SELECT id, {_COLS} FROM transactions WHERE id % 5 <> 0), m AS ({_PAIR}), n AS (SELECT seq, (SELECT max(id) FROM st) + 1 + seq - (SELECT min(seq) FROM m) AS fresh FROM m),
+    d1 AS (SELECT * FROM (WITH tin AS (SELECT * FROM m WHERE NOT by_email), transactions AS (SELECT * FROM st) {_ALL})),
+    t2 AS (SELECT * FROM st UNION ALL SELECT fresh, {_COLS} FROM m JOIN n USING (seq) WHERE seq IN (SELECT seq FROM d1 WHERE action = 'insert')),
+    d2 AS (SELECT * FROM (WITH tin AS (SELECT * FROM m WHERE by_email), transactions AS (SELECT * FROM t2) {_ALL}))
+    SELECT seq, path, action, CASE WHEN action = 'insert' THEN fresh ELSE id END AS id, reason FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) JOIN n USING (seq))""")
+def batch_merged(t):
+    """A batch that holds the text message and the e-mail of events that aren't stored."""
+    s = t["transactions"]
+    own = s.where("id % 5 = 0").withColumns({"received_time": F.lit(False), "account_mask": F.lit(None).cast("string"), "reference_number": F.lit(None).cast("string"), "balance": F.lit(None).cast("decimal(12,2)")})
+    own = own.select("id", *_COLS.split(", "))
+    sms = own.withColumn("seq", F.col("id") * 2).withColumn("by_email", F.lit(False))
+    mail = own.withColumn("seq", F.col("id") * 2 + 1).withColumn("by_email", F.lit(True)).withColumn("reference_number", F.concat(F.lit("E"), F.col("id").cast("string"))).withColumn("transaction_time_s", F.least(F.col("transaction_time_s") + 45, F.when(F.col("transaction_time_s").isNotNull(), F.lit(86399))))
+    return batches.merge_batch(sms.unionByName(mail).drop("id"), s.where("id % 5 <> 0"), _TYPES).decisions.select("seq", "path", "action", "id", "reason")
