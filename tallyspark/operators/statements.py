@@ -66,6 +66,15 @@ def candidates(rows: DataFrame, txns: DataFrame) -> DataFrame:
     return hit.select("stmt_idx", "id", "account_id", "offset", F.coalesce(F.col("_ref") == F.trim("reference_number"), F.lit(False)).alias("same_reference"))
 
 
+def reference_pairs(rows: DataFrame, txns: DataFrame) -> DataFrame:
+    """(stmt_idx, id, account_id, direction, amount, same_amount) of stored rows with the same account, direction and reference,
+    whatever their date; the direction counts, as a refund can have the reference of its payment."""
+    s = rows.select("stmt_idx", F.col("account_id").alias("_a"), F.col("direction").alias("_d"), F.col("amount").alias("_m"), F.trim("reference_number").alias("_ref")).where("_ref <> ''")
+    t = txns.select("id", "account_id", "direction", F.col("amount").alias("_tm"), F.trim("reference_number").alias("_r"))
+    hit = s.join(t, (F.col("_a") == F.col("account_id")) & (F.col("_d") == F.col("direction")) & (F.col("_ref") == F.col("_r")))
+    return hit.select("stmt_idx", "id", "account_id", "direction", F.col("_m").alias("amount"), F.coalesce(F.col("_m") == F.col("_tm"), F.lit(False)).alias("same_amount"))
+
+
 def extra(rows: DataFrame, txns: DataFrame) -> DataFrame:
     """Stored rows inside a statement's dates that no statement row can be."""
     span = rows.groupBy(F.col("account_id").alias("_a")).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
@@ -86,20 +95,21 @@ def judged(rows: DataFrame, txns: DataFrame, leave_out: tuple[str, ...] = ()) ->
     """``candidates`` with fits (the evidence lets the stored row be the statement's) and strong (one's reference stands in
     the other's text).  Columns that a table lacks count as null."""
     has = lambda df, name, kind: F.col(name) if name in df.columns else F.lit(None).cast(kind)
-    stmt = rows.select(F.col("stmt_idx").alias("_s"), F.trim("reference_number").alias("_sr"), has(rows, "narration", "string").alias("_st"), has(rows, "balance", "decimal(20,2)").alias("_sb"), has(rows, "channel", "string").alias("_sc"), F.col("direction").alias("_sd"), F.col("amount").alias("_sm"))
+    ref = F.nullif(F.trim("reference_number"), F.lit(""))
+    stmt = rows.select(F.col("stmt_idx").alias("_s"), ref.alias("_sr"), has(rows, "narration", "string").alias("_st"), has(rows, "balance", "decimal(20,2)").alias("_sb"), has(rows, "channel", "string").alias("_sc"), F.col("direction").alias("_sd"), F.col("amount").alias("_sm"))
     text = F.coalesce(has(txns, "raw_description", "string"), has(txns, "counterparty", "string"))
-    own = txns.select(F.col("id").alias("_t"), F.trim("reference_number").alias("_tr"), text.alias("_tt"), has(txns, "balance", "decimal(20,2)").alias("_tb"), has(txns, "channel", "string").alias("_tc"))
+    own = txns.select(F.col("id").alias("_t"), ref.alias("_tr"), text.alias("_tt"), has(txns, "balance", "decimal(20,2)").alias("_tb"), has(txns, "channel", "string").alias("_tc"))
     j = candidates(rows, txns).join(stmt, F.col("stmt_idx") == F.col("_s")).join(own, F.col("id") == F.col("_t"))
     fits = evidence.compatible(F.col("_sr"), F.col("_st"), F.col("_sb"), F.col("_sc"), F.col("_tr"), F.col("_tt"), F.col("_tb"), F.col("_tc"), F.col("offset") != 0, list(leave_out))
     strong = evidence.reference_in(F.col("_tr"), F.col("_st")) | evidence.reference_in(F.col("_sr"), F.col("_tt"))
-    return j.select("stmt_idx", "id", "offset", "same_reference", F.coalesce(fits, F.lit(False)).alias("fits"), strong.alias("strong"), "account_id", F.col("_sd").alias("direction"), F.col("_sm").alias("amount"))
+    return j.select("stmt_idx", "id", "offset", F.coalesce(F.col("_sr") == F.col("_tr"), F.lit(False)).alias("same_reference"), F.coalesce(fits, F.lit(False)).alias("fits"), strong.alias("strong"), "account_id", F.col("_sd").alias("direction"), F.col("_sm").alias("amount"))
 
 
 def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
-    """Statement rows assigned to stored rows: unique references first, then the first of the offsets 0, -1, +1 where one
+    """Statement rows assigned to stored rows: unique references of equal amount first, whatever the date, then the first of the offsets 0, -1, +1 where one
     compatible candidate is left, among those with strong evidence where there are any.  A row that picks what another
-    row without a reference match can reach at any offset is ambiguous, as is one with candidates and no pick; a row without
-    compatible candidates is missing.  Rows meet within one account, direction and amount, and a task holds a batch of such
+    row without a reference match can reach at any offset is ambiguous, as is one with candidates and no pick, also where all it
+    has is its reference under another amount; a row without any is missing.  Rows meet within one account, direction and amount, and a task holds a batch of such
     groups at a time."""
     schema = "stmt_idx long, id long, status string"
 
@@ -121,8 +131,14 @@ def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
         left = pd.DataFrame({"stmt_idx": every[~pd.Series(every, dtype="int64").isin(found.stmt_idx).to_numpy()]}).assign(id=None, status="ambiguous")
         return pd.concat([found.astype({"id": "Int64"}), left.astype({"id": "Int64", "stmt_idx": "int64"})])
 
-    found = whole_groups(judged(rows, txns), ["account_id", "direction", "amount"], assign, schema)
-    return rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.lit("missing")).alias("status"))
+    near, told = judged(rows, txns), reference_pairs(rows, txns)
+    known = near.select(F.col("stmt_idx").alias("_s"), F.col("id").alias("_t"))
+    far = told.where("same_amount").join(known, (F.col("stmt_idx") == F.col("_s")) & (F.col("id") == F.col("_t")), "left_anti")
+    far = far.select("stmt_idx", "id", F.lit(None).cast("int").alias("offset"), F.lit(True).alias("same_reference"), F.lit(False).alias("fits"), F.lit(False).alias("strong"), "account_id", "direction", "amount")
+    found = whole_groups(near.unionByName(far), ["account_id", "direction", "amount"], assign, schema)
+    other = told.where("not same_amount").select(F.col("stmt_idx").alias("_o")).distinct()
+    out = rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").join(other, F.col("_s") == F.col("_o"), "left")
+    return out.select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.when(F.col("_o").isNotNull(), "ambiguous"), F.lit("missing")).alias("status"))
 
 
 def whole_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -148,7 +148,7 @@ def candidate_evidence(t):
     return g.select("stmt_idx", "candidates")
 
 
-@_query("SELECT s.stmt_idx, s.id AS id FROM (SELECT r.stmt_idx, t.id, count(*) OVER (PARTITION BY r.stmt_idx) AS a, count(*) OVER (PARTITION BY t.id) AS b FROM bank_statement_rows r JOIN transactions t ON t.account_id = r.account_id AND t.direction = r.direction AND t.amount = r.amount AND trim(r.reference_number) = trim(t.reference_number) AND abs(date_diff('day', r.date, t.transaction_date)) <= 1) s WHERE a = 1 AND b = 1")
+@_query("SELECT s.stmt_idx, s.id AS id FROM (SELECT r.stmt_idx, t.id, count(*) OVER (PARTITION BY r.stmt_idx) AS a, count(*) OVER (PARTITION BY t.id) AS b FROM bank_statement_rows r JOIN transactions t ON t.account_id = r.account_id AND t.direction = r.direction AND t.amount = r.amount AND trim(r.reference_number) = trim(t.reference_number) AND trim(r.reference_number) <> '') s WHERE a = 1 AND b = 1")
 def stmt_reference_matches(t):
     done = statements.reconcile(t["bank_statement_rows"], t["transactions"])
     return done.where("status = 'reference'").select("stmt_idx", "id")

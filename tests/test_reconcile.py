@@ -16,3 +16,58 @@ def test_reconcile_weighs_evidence_and_rivals_of_every_offset(spark):
     got = {r.stmt_idx: (r.id, r.status) for r in statements.reconcile(stmt, stored).collect()}
     # balances contradict; references differ; the strong one of two; a rival a day away; references differ on another day
     assert got == {1: (None, "missing"), 2: (None, "missing"), 3: (13, "date"), 4: (None, "ambiguous"), 5: (None, "ambiguous"), 6: (None, "missing")}
+
+
+def test_references_match_on_any_date_and_hold_back_other_amounts(spark):
+    d, m = dt.date(2024, 1, 10), Decimal("5.00")
+    stmt = spark.createDataFrame([(1, 1, "debit", d, m, " R1", None, None), (2, 1, "debit", d, m, "R2", None, None), (3, 1, "debit", d, m, "R3", None, None), (4, 1, "credit", d, m, "R1", None, None)], STMT)
+    stored = spark.createDataFrame([(11, 1, "debit", m, dt.date(2024, 3, 1), "R1", None, None), (12, 1, "debit", Decimal("6.00"), d, "R2", None, None), (13, 2, "debit", m, d, "R3", None, None)], STORED)
+    assert {r.stmt_idx: (r.id, r.status) for r in statements.reconcile(stmt, stored).collect()} == {1: (11, "reference"), 2: (None, "ambiguous"), 3: (None, "missing"), 4: (None, "missing")}
+
+
+STMT = "stmt_idx long, account_id long, direction string, date date, amount decimal(12,2), reference_number string, balance decimal(12,2), narration string"
+STORED = "id long, account_id long, direction string, amount decimal(12,2), transaction_date date, reference_number string, balance decimal(12,2), raw_description string"
+
+
+def plain_reconcile(stmt, stored):
+    """The passes row by row: rows are (number, account, direction, date, amount, reference, balance)."""
+    same = lambda s, t: s[1:3] == t[1:3]
+    near, told, evidence = {}, {}, {}
+    for s in stmt:
+        near[s[0]], told[s[0]], evidence[s[0]] = {}, [], []
+        for t in stored:
+            if not same(s, t):
+                continue
+            equal = s[5] is not None and s[5] == t[5]
+            if equal:
+                (told if s[4] == t[4] else evidence)[s[0]].append(t[0])
+            off = (t[3] - s[3]).days
+            contradict = s[6] is not None and t[6] is not None and s[6] != t[6]
+            if s[4] == t[4] and abs(off) <= 1 and (equal or (not contradict and (s[5] is None or t[5] is None))):
+                near[s[0]][t[0]] = off
+    out = {s: (ids[0], "reference") for s, ids in told.items() if len(ids) == 1 and sum(ids[0] in x for x in told.values()) == 1}
+    used = {i for i, _ in out.values()}
+    left = {s: c for s, c in near.items() if s not in out and c}
+    reach = {i: sum(i in c for c in left.values()) for c in left.values() for i in c}
+    for status, offset in (("date", 0), ("date-1", -1), ("date+1", 1)):
+        picks = {}
+        for s, c in left.items():
+            open_ = [i for i, o in c.items() if o == offset and i not in used]
+            if s not in out and len(open_) == 1:
+                picks[s] = open_[0]
+        for s, i in picks.items():
+            out[s] = (i, status) if reach[i] == 1 else (None, "ambiguous")
+        used |= set(picks.values())
+    return {s[0]: out.get(s[0], (None, "ambiguous" if near[s[0]] or told[s[0]] or evidence[s[0]] else "missing")) for s in stmt}
+
+
+def test_reconcile_equals_a_plain_version(spark):
+    import random
+
+    rnd = random.Random(3)
+    row = lambda i: (i, rnd.randrange(4), rnd.choice(["debit", "debit", "credit"]), dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(9)), Decimal(rnd.choice([5, 6, 7])), rnd.choice([None, None, *(f"REF{k:04}" for k in range(25))]), rnd.choice([None, None, Decimal(1), Decimal(2)]))
+    stmt, stored = [row(i) for i in range(150)], [row(1000 + i) for i in range(130)]
+    got = statements.reconcile(spark.createDataFrame([(i, a, d, on, m, r, b, None) for i, a, d, on, m, r, b in stmt], STMT), spark.createDataFrame([(i, a, d, m, on, r, b, None) for i, a, d, on, m, r, b in stored], STORED))
+    want = plain_reconcile(stmt, stored)
+    assert {r.stmt_idx: (r.id, r.status) for r in got.collect()} == want
+    assert {s for _, s in want.values()} == {"reference", "date", "date-1", "date+1", "ambiguous", "missing"}
