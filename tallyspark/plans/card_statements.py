@@ -30,10 +30,10 @@ def card_candidates(t):
     return card_statements.judged_pairs(_rows(t), t["transactions"], t["accounts"], t["cards"]).select("stmt_idx", "id", "offset", "fits", "other")
 
 
-@_query("""SELECT id FROM transactions t WHERE EXISTS (SELECT 1 FROM (SELECT account_id, min(date) - 7 AS lo, max(date) + 7 AS hi FROM bank_statement_rows WHERE stmt_idx % 5 = 0 GROUP BY 1) s WHERE s.account_id = t.account_id AND t.transaction_date BETWEEN lo AND hi)
-    OR EXISTS (SELECT 1 FROM bank_statement_rows r WHERE r.stmt_idx % 5 = 0 AND r.account_id = t.account_id AND trim(coalesce(r.reference_number, '')) <> '' AND trim(r.reference_number) = trim(t.reference_number))""")
+@_query("""SELECT id FROM transactions t WHERE EXISTS (SELECT 1 FROM (SELECT account_id, min(date) - 7 AS lo, max(date) + 7 AS hi FROM bank_statement_rows GROUP BY 1) s WHERE s.account_id = t.account_id AND t.transaction_date BETWEEN lo AND hi)
+    OR EXISTS (SELECT 1 FROM bank_statement_rows r WHERE r.account_id = t.account_id AND trim(coalesce(r.reference_number, '')) <> '' AND trim(r.reference_number) = trim(t.reference_number))""")
 def reconcile_preview(t):
-    return card_statements.preview(t["bank_statement_rows"].where("stmt_idx % 5 = 0"), t["transactions"])
+    return card_statements.preview(t["bank_statement_rows"], t["transactions"])
 
 
 _WIN = f"SELECT w.*, p.payment_paid_amount FROM ({_CYCLES}) w JOIN statement_uploads p ON p.id = w.id"

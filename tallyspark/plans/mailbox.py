@@ -130,16 +130,27 @@ def typed_settings(t):
     return s.select("key", "text", "number", "flag", F.when(F.col("items").isNotNull(), F.size("items")).cast("bigint").alias("items"))
 
 
-@_query("SELECT c_custkey AS id, 'u' || c_custkey || '@bank.test' AS sender, 'Statement ' || c_custkey AS subject, 'statement.pdf' AS pdf, TIMESTAMP '2024-05-20 04:30:00' AS received_at, 'Dear customer' AS body FROM customer WHERE c_custkey <= 200")
+@_query("SELECT c_custkey AS id, 'u' || c_custkey || '@bank.test' AS sender, 'Statement ' || c_custkey AS subject, 'statement.pdf' AS pdf, TIMESTAMP '2024-05-20 04:30:00' AS received_at, 'Dear customer' AS body FROM customer")
 def mail_fields(t):
+    m = messages.parsed_mail(_mails(t))
+    return m.select(F.regexp_extract("path", r"(\d+)\.eml", 1).cast("bigint").alias("id"), "sender", "subject", messages.statement_attachment(F.col("attachments"), ["terms"]).alias("pdf"), F.col("received_at").cast("timestamp_ntz").alias("received_at"), F.trim(F.regexp_replace("body", r"[\r\n]+", "")).alias("body"))
+
+
+def _mails(t):
+    """A mail with two attachments for every customer, under a character set that nobody knows for every third."""
     eol = "\r\n"
     k = F.col("c_custkey").cast("string")
     head = F.concat(F.lit("From: u"), k, F.lit(f"@bank.test{eol}Subject: Statement "), k, F.lit(f"{eol}Message-ID: <m"), k, F.lit(f"@x>{eol}Date: Mon, 20 May 2024 10:00:00 +0530{eol}MIME-Version: 1.0{eol}Content-Type: multipart/mixed; boundary=cut{eol}{eol}"))
-    part = lambda name: f"--cut{eol}Content-Type: application/pdf; name={name}{eol}Content-Disposition: attachment; filename={name}{eol}{eol}x{eol}"
-    raw = F.concat(head, F.lit(f"--cut{eol}Content-Type: text/plain{eol}{eol}Dear customer{eol}" + part("Terms_and_Conditions.pdf") + part("statement.pdf") + f"--cut--{eol}"))
-    files = t["customer"].where("c_custkey <= 200").select(F.concat(F.lit("data/hdfc/"), k, F.lit(".eml")).alias("path"), F.encode(raw, "utf-8").alias("content"))
-    m = messages.parsed_mail(files)
-    return m.select(F.regexp_extract("path", r"(\d+)\.eml", 1).cast("bigint").alias("id"), "sender", "subject", messages.statement_attachment(F.col("attachments"), ["terms"]).alias("pdf"), F.col("received_at").cast("timestamp_ntz").alias("received_at"), F.trim(F.regexp_replace("body", r"[\r\n]+", "")).alias("body"))
+    part = lambda name: f"--cut{eol}Content-Type: application/pdf; name={name}{eol}Content-Disposition: attachment; filename={name}{eol}{eol}"
+    charset = F.when(F.col("c_custkey") % 3 == 0, "; charset=x-of-old").otherwise("")
+    raw = F.concat(head, F.lit(f"--cut{eol}Content-Type: text/plain"), charset, F.lit(f"{eol}{eol}Dear customer{eol}" + part("Terms_and_Conditions.pdf") + f"x{eol}" + part("statement.pdf") + "balance of "), k, F.lit(f"{eol}--cut--{eol}"))
+    return t["customer"].select(F.concat(F.lit("data/hdfc/"), k, F.lit(".eml")).alias("path"), F.encode(raw, "utf-8").alias("content"))
+
+
+@_query("SELECT c_custkey AS id, cast(part AS INTEGER) AS part, name, 'application/pdf' AS content_type, cast(length(body) AS BIGINT) AS size, sha256(body) AS sha FROM (SELECT c_custkey, 0 AS part, 'Terms_and_Conditions.pdf' AS name, 'x' AS body FROM customer UNION ALL SELECT c_custkey, 1, 'statement.pdf', 'balance of ' || c_custkey FROM customer)")
+def mail_attachments(t):
+    m = messages.mail_attachments(_mails(t))
+    return m.select(F.regexp_extract("path", r"(\d+)\.eml", 1).cast("bigint").alias("id"), "part", "name", "content_type", "size", F.sha2("content", 256).alias("sha"))
 
 
 @_query("SELECT count(*) AS total FROM transactions WHERE bank = 'icici' AND direction = 'debit'")

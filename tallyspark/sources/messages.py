@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.message
 import email.policy
 import email.utils
 from collections.abc import Iterator
@@ -26,25 +27,91 @@ def mail_folder(spark: SparkSession, path: str) -> DataFrame:
 def parsed_mail(files: DataFrame) -> DataFrame:
     """Mail files (path, content) with header fields, the HTML body or else the text, and attachment names.
 
-    A file that is no mail gives a row of nulls with its path."""
+    No file ends the job: one that is no mail gives a row of nulls with its path, a header that can't be read is null, and text
+    under an unknown character set is read as UTF-8 with marks for what isn't."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for path, raw in zip(f["path"], f["content"]):
-                m = email.message_from_bytes(raw, policy=email.policy.default)
-                when = None
-                try:
-                    when = pd.Timestamp(email.utils.parsedate_to_datetime(str(m["Date"]))).tz_convert("UTC").tz_localize(None) if m["Date"] else None
-                except (TypeError, ValueError):
-                    pass
-                body = m.get_body(("html", "plain"))
-                out.append((path, m["Message-ID"], m["From"], m["Subject"], when, body.get_content() if body else None, [a.get_filename() or "" for a in m.iter_attachments()]))
+                m = _message(raw)
+                body = None if m is None else _body(m)
+                names = None if m is None else [name for name, _, _ in _attachments(m)]
+                out.append((path, _header(m, "Message-ID"), _header(m, "From"), _header(m, "Subject"), _sent_at(m), body, names))
             yield pd.DataFrame(out, columns=["path", "message_id", "sender", "subject", "received_at", "body", "attachments"]).astype({"received_at": "datetime64[ns]"})
 
     return files.select("path", "content").mapInPandas(parse, "path string, " + MAIL)
 
 
+def mail_attachments(files: DataFrame) -> DataFrame:
+    """(path, part, name, content_type, size, content) of every attachment of mail files, also of those of messages inside
+    messages, numbered in their order; a file that is no mail and a mail without attachments give none."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, raw in zip(f["path"], f["content"]):  # a frame a mail: attachments are large
+                m = _message(raw)
+                out = [] if m is None else [(path, i, name, kind, len(data), data) for i, (name, kind, data) in enumerate(_attachments(m))]
+                yield pd.DataFrame(out, columns=["path", "part", "name", "content_type", "size", "content"])
+
+    return files.select("path", "content").mapInPandas(parse, "path string, part int, name string, content_type string, size long, content binary")
+
+
+def _message(raw: bytes | None) -> email.message.EmailMessage | None:
+    """A mail, or None where the bytes have no header of one."""
+    if not raw:
+        return None
+    m = email.message_from_bytes(raw, policy=email.policy.default)
+    return m if m.keys() else None
+
+
+def _header(m: email.message.EmailMessage | None, name: str) -> str | None:
+    try:
+        value = None if m is None else m[name]
+        return None if value is None else str(value).encode("utf-8", "replace").decode()
+    except Exception:  # noqa: BLE001  (the parser of a header that is none fails in many ways)
+        return None
+
+
+def _sent_at(m: email.message.EmailMessage | None) -> pd.Timestamp | None:
+    try:
+        at = pd.Timestamp(email.utils.parsedate_to_datetime(_header(m, "Date") or ""))
+        return at.tz_convert("UTC").tz_localize(None) if at.tzinfo else at
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+def _payload(part: email.message.EmailMessage) -> bytes:
+    try:
+        return part.get_payload(decode=True) or b""
+    except Exception:  # noqa: BLE001  (a broken transfer encoding)
+        return str(part.get_payload()).encode("utf-8", "replace")
+
+
+def _body(m: email.message.EmailMessage) -> str | None:
+    """The first HTML part that is no attachment, else the first plain one."""
+    texts = {}
+    for part in m.walk():
+        if not part.is_multipart() and part.get_content_type() in ("text/html", "text/plain") and not _named(part):
+            texts.setdefault(part.get_content_type(), part)
+    part = texts.get("text/html", texts.get("text/plain"))
+    if part is None:
+        return None
+    raw = _payload(part)
+    try:
+        return raw.decode(part.get_content_charset() or "utf-8", "replace")
+    except (LookupError, ValueError):
+        return raw.decode("utf-8", "replace")
+
+
+def _named(part: email.message.EmailMessage) -> bool:
+    return part.get_content_disposition() == "attachment" or part.get_filename() is not None
+
+
+def _attachments(m: email.message.EmailMessage) -> list[tuple[str, str, bytes]]:
+    return [((p.get_filename() or "").encode("utf-8", "replace").decode(), p.get_content_type(), _payload(p)) for p in m.walk() if not p.is_multipart() and _named(p)]
+
+
 def statement_attachment(names: Column, skip: list[str]) -> Column:
     """The first PDF among attachment names with none of the ``skip`` words in it; null where there is none."""
     fits = F.filter(names, lambda n: F.lower(n).endswith(".pdf") & ~F.lower(n).rlike("|".join(skip) if skip else "$^"))
