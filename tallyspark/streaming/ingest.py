@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.streaming.tables import KeyedTable, upsert
+
+__all__ = ["deduplicated", "debounced", "dirty_windows", "message_stream", "poll", "session_stream", "upsert", "upserted_table"]
+
 _log = logging.getLogger(__name__)
 
 #: Late messages are read again from so far before the cursor; deduplication makes that harmless.
@@ -67,38 +70,9 @@ def debounced(changes: DataFrame, key: str, time: str = "ts", quiet_s: int = 5,
     return timed.groupBy("key").applyInPandasWithState(step, "key string, first_s double, last_s double, n long", "first double, last double, n long", "append", "EventTimeTimeout")
 
 
-def upsert(target: str, keys: list[str], order: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the newest row of each key in a folder of buckets (by a hash of the key).
-
-    A batch rewrites the buckets that it touches, each as a new version named after the batch, so a repeated batch gives the
-    same rows; the newest version of every bucket is the table (``upserted_table``).  More rows want more buckets."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("version", F.lit(batch_id).cast("long"))
-        try:
-            stored = spark.read.parquet(target).where(F.col("version") < batch_id)
-            touched = rows.select(F.col("bucket").alias("_b")).distinct()
-            mine = _newest(stored).join(F.broadcast(touched), F.col("bucket") == F.col("_b"), "left_semi").withColumn("version", F.lit(batch_id).cast("long"))
-            rows = rows.unionByName(mine)
-        except AnalysisException:  # the first batch
-            pass
-        newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-        out = rows.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
-
-    return write
-
-
-def _newest(stored: DataFrame) -> DataFrame:
-    """Rows of the newest version of each bucket."""
-    last = stored.groupBy(F.col("bucket").alias("_k")).agg(F.max("version").alias("_v"))
-    return stored.join(F.broadcast(last), (F.col("bucket") == F.col("_k")) & (F.col("version") == F.col("_v"))).drop("_k", "_v")
-
-
-def upserted_table(spark: SparkSession, target: str) -> DataFrame:
+def upserted_table(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
     """The rows that ``upsert`` keeps."""
-    return _newest(spark.read.parquet(target)).drop("bucket", "version")
+    return KeyedTable(spark, target, keys, order).read()
 
 
 def poll(stream: DataFrame, stages: list[tuple[str, Callable[[DataFrame, int], None]]], checkpoint: str, minutes: int = 15, once: bool = False):

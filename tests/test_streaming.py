@@ -36,7 +36,7 @@ def test_upsert_keeps_the_newest_and_repeats_safely(spark, tmp_path):
     a = spark.createDataFrame([(1, 1), (2, 1)], "k long, v long")
     b = spark.createDataFrame([(1, 2), (1, 3)], "k long, v long")
     write(a, 0), write(b, 1), write(b, 1)
-    assert sorted(map(tuple, ingest.upserted_table(spark, f"file://{tmp_path}/t").collect())) == [(1, 3), (2, 1)]
+    assert sorted(map(tuple, ingest.upserted_table(spark, f"file://{tmp_path}/t", ["k"], "v").collect())) == [(1, 3), (2, 1)]
 
 
 def test_dirty_windows(spark):
@@ -57,7 +57,7 @@ def test_poll_runs_its_stages_and_isolates_failures(spark, tmp_path):
     stages = [("store", ingest.upsert(f"file://{tmp_path}/t", ["id"], "received_at")), ("broken", broken), ("count", lambda b, i: seen.append(b.count()))]
     q = ingest.poll(ingest.message_stream(spark, f"{tmp_path}/in", SCHEMA), stages, f"{tmp_path}/state", once=True)
     q.awaitTermination(120)
-    assert sum(seen) == 2 and ingest.upserted_table(spark, f"file://{tmp_path}/t").count() == 2
+    assert sum(seen) == 2 and ingest.upserted_table(spark, f"file://{tmp_path}/t", ["id"], "received_at").count() == 2
 
 
 def test_a_stream_gives_the_rows_of_its_batch(spark, tmp_path):
