@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import has_marker, is_small, mask_digits, normalize_counterparty, normalize_text
 from tallyspark.functions.vocabulary import CARD_IMPOSSIBLE, CARD_PAYMENT_MARKERS, CARD_REFUND_MARKERS, EXPENSE_SLUGS, FEE_REVERSAL_MARKERS, INCOME_SLUGS
+from tallyspark.operators.substrings import containing
 
 
 def is_fd(counterparty: Column, bank: Column) -> Column:
@@ -19,15 +20,17 @@ def narration() -> Column:
     return normalize_text(F.concat_ws(" ", F.when(F.col("counterparty") != "", F.col("counterparty")), F.when(F.col("raw_description") != "", F.col("raw_description"))))
 
 
-def merchant_match(txns: DataFrame, rules: DataFrame) -> DataFrame:
+def merchant_match(txns: DataFrame, rules: DataFrame, few: int = 1_000) -> DataFrame:
     """The first rule by (priority, longest pattern, id) that stands in a row's narration and that its direction allows.
 
-    Rules are a table that people edit, so the substring join tests a row against each of them (they are sent to all tasks if
-    they are few); the best one is kept by an aggregate, not by sorting the pairs."""
+    Up to ``few`` rules are sent to all tasks and tested against every row; more are found by an index of their q-grams.  The
+    best one is kept by an aggregate, not by sorting the pairs."""
     r = rules.where("active").select("id", F.lower(F.trim("pattern")).alias("pattern"), F.col("category").alias("rule_category"), "priority").where("pattern <> ''").withColumnRenamed("id", "rule_id")
     spent = F.col("text").contains("spent on") & F.col("text").contains("credit card") & (F.col("rule_category") == "credit_card_payment")
     wrong = ((F.col("direction") == "credit") & F.col("rule_category").isin(EXPENSE_SLUGS)) | ((F.col("direction") == "debit") & F.col("rule_category").isin(INCOME_SLUGS))
-    hits = txns.select(F.col("id"), F.lower(F.coalesce("direction", F.lit(""))).alias("direction"), narration().alias("text")).join(F.broadcast(r) if is_small(r) else r, F.col("text").contains(F.col("pattern")) & ~spent & ~wrong)
+    rows = txns.select(F.col("id"), F.lower(F.coalesce("direction", F.lit(""))).alias("direction"), narration().alias("text"))
+    hits = rows.join(F.broadcast(r), F.col("text").contains(F.col("pattern"))) if is_small(r, few) else containing(rows, "text", r, "pattern")
+    hits = hits.where(~spent & ~wrong)
     best = hits.groupBy("id", "direction").agg(F.min_by(F.struct("rule_id", "rule_category"), F.struct("priority", -F.length("pattern"), "rule_id")).alias("b"))
     slug = F.when((F.col("b.rule_category") == "investment") & (F.col("direction") == "credit"), "investment_redemption").otherwise(F.col("b.rule_category"))
     return best.select("id", F.col("b.rule_id").alias("rule_id"), slug.alias("merchant_slug"))

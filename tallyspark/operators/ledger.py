@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import paise
 from tallyspark.functions.vocabulary import EXPENSE_SLUGS, INCOME_SLUGS
+from tallyspark.operators.asof import as_of
 
 
 def fx_as_of(txns: DataFrame, rates: DataFrame) -> DataFrame:
-    """id, currency and the latest rate on or before each row's date (null: none).
-
-    Rates become ranges [date, next date) of their currency, so a row meets one range by an equi-join on the currency."""
-    w = Window.partitionBy("currency").orderBy("date")
-    r = rates.select(F.col("currency").alias("_c"), F.col("date").alias("_from"), F.lead("date").over(w).alias("_to"), "rate")
-    return txns.join(r, (F.col("currency") == F.col("_c")) & (F.col("transaction_date") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("transaction_date") < F.col("_to"))), "left").select("id", "currency", "transaction_date", "rate")
+    """id, currency and the latest rate on or before each row's date (null: none)."""
+    return as_of(txns.select("id", "currency", "transaction_date"), "currency", "transaction_date", rates, "currency", "date", "rate", "rate")
 
 
 def normalized_commodity(c: Column) -> Column:
