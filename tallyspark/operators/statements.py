@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import paise, parse_amount, parse_day_first
@@ -105,40 +105,50 @@ def judged(rows: DataFrame, txns: DataFrame, leave_out: tuple[str, ...] = ()) ->
     return j.select("stmt_idx", "id", "offset", F.coalesce(F.col("_sr") == F.col("_tr"), F.lit(False)).alias("same_reference"), F.coalesce(fits, F.lit(False)).alias("fits"), strong.alias("strong"), "account_id", F.col("_sd").alias("direction"), F.col("_sm").alias("amount"))
 
 
-def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
-    """Statement rows assigned to stored rows: unique references of equal amount first, whatever the date, then the first of the offsets 0, -1, +1 where one
-    compatible candidate is left, among those with strong evidence where there are any.  A row that picks what another
-    row without a reference match can reach at any offset is ambiguous, as is one with candidates and no pick, also where all it
-    has is its reference under another amount; a row without any is missing.  Rows meet within one account, direction and amount, and a task holds a batch of such
-    groups at a time."""
-    schema = "stmt_idx long, id long, status string"
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = pdf.drop_duplicates(["stmt_idx", "id"]).sort_values(["stmt_idx", "id"])
-        every = pairs.stmt_idx[pairs.fits | pairs.same_reference].unique()
-        told = pairs[pairs.same_reference]
-        told = told[(told.groupby("stmt_idx").id.transform("size") == 1) & (told.groupby("id").stmt_idx.transform("size") == 1)]
-        done, rest = [told[["stmt_idx", "id"]].assign(status="reference")], pairs[pairs.fits & ~pairs.stmt_idx.isin(told.stmt_idx)]
-        contested = rest.groupby("id").stmt_idx.transform("size") > 1
-        rest = rest.assign(contested=contested)[~rest.id.isin(told.id)]
-        for status, offset in (("date", 0), ("date-1", -1), ("date+1", 1)):
-            open_ = rest[rest.offset == offset]
-            pool = open_[open_.strong | ~open_.groupby("stmt_idx").strong.transform("any")]
-            picks = pool[pool.groupby("stmt_idx").id.transform("size") == 1]
-            done.append(picks[~picks.contested][["stmt_idx", "id"]].assign(status=status))
-            rest = rest[~rest.stmt_idx.isin(picks.stmt_idx) & ~rest.id.isin(picks.id)]
-        found = pd.concat(done)
-        left = pd.DataFrame({"stmt_idx": every[~pd.Series(every, dtype="int64").isin(found.stmt_idx).to_numpy()]}).assign(id=None, status="ambiguous")
-        return pd.concat([found.astype({"id": "Int64"}), left.astype({"id": "Int64", "stmt_idx": "int64"})])
+def identity(rows: DataFrame) -> Column:
+    """What a statement row would bring to a stored one: counterparty or else narration, and channel; null where it has none."""
+    has = lambda name: F.trim(F.coalesce(F.col(name) if name in rows.columns else F.lit(None).cast("string"), F.lit("")))
+    text = F.concat_ws("\1", F.coalesce(F.nullif(has("counterparty"), F.lit("")), has("narration")), has("channel"))
+    return F.when(text != "\1", text)
+
+
+#: The date passes in their order: status and offset.
+PASSES = (("date", 0), ("date-1", -1), ("date+1", 1))
 
+
+def reconcile(rows: DataFrame, txns: DataFrame) -> DataFrame:
+    """Statement rows assigned to stored rows: unique references of equal amount first, whatever the date, then the first of the
+    offsets 0, -1, +1 where one compatible candidate is left, among those with strong evidence where there are any.
+
+    A row that picks what another row without a reference match can reach at any offset is ambiguous, unless all rows that
+    reach it have one identity (``identity``): of such, any pairing brings the same, so the first that picks it has it and the
+    next ones look further.  A row with candidates and no pick is ambiguous, also where all it has is its reference under
+    another amount; a row without any is missing.  Every step is a count over the pairs of one statement row or one stored row, so
+    no account, amount or day has to fit in a task."""
     near, told = judged(rows, txns), reference_pairs(rows, txns)
     known = near.select(F.col("stmt_idx").alias("_s"), F.col("id").alias("_t"))
     far = told.where("same_amount").join(known, (F.col("stmt_idx") == F.col("_s")) & (F.col("id") == F.col("_t")), "left_anti")
-    far = far.select("stmt_idx", "id", F.lit(None).cast("int").alias("offset"), F.lit(True).alias("same_reference"), F.lit(False).alias("fits"), F.lit(False).alias("strong"), "account_id", "direction", "amount")
-    found = whole_groups(near.unionByName(far), ["account_id", "direction", "amount"], assign, schema)
+    far = far.select("stmt_idx", "id", F.lit(None).cast("int").alias("offset"), F.lit(True).alias("same_reference"), F.lit(False).alias("fits"), F.lit(False).alias("strong"))
+    who = rows.select(F.col("stmt_idx").alias("_w"), identity(rows).alias("who"))
+    p = near.select(*far.columns).unionByName(far).join(who, F.col("stmt_idx") == F.col("_w")).drop("_w")
+    mine, its = Window.partitionBy("stmt_idx"), Window.partitionBy("id")
+    once = lambda flag, w: F.count_if(flag).over(w) == 1
+    p = p.withColumn("_told", F.col("same_reference") & once(F.col("same_reference"), mine)).withColumn("_told", F.col("_told") & once(F.col("same_reference"), its)).withColumn("_gone", F.bool_or("_told").over(its))
+    p = p.withColumn("_live", F.col("fits") & ~F.bool_or("_told").over(mine))
+    live = F.when(F.col("_live"), F.coalesce("who", F.lit("")))
+    alike = (F.min(live).over(its) == F.max(live).over(its)) & (F.max(live).over(its) != "")
+    p = p.withColumn("_held", (F.count_if(F.col("_live")).over(its) > 1) & ~F.coalesce(alike, F.lit(False))).withColumn("_open", F.col("_live") & ~F.col("_gone")).withColumn("status", F.when(F.col("_told"), "reference"))
+    for status, offset in PASSES:
+        here = F.col("_open") & F.coalesce(F.col("offset") == offset, F.lit(False))
+        p = p.withColumn("_here", here & (F.col("strong") | ~F.bool_or(here & F.col("strong")).over(mine)))
+        p = p.withColumn("_sole", F.col("_here") & once(F.col("_here"), mine))
+        p = p.withColumn("_pick", F.col("_sole") & (F.col("_held") | (F.col("stmt_idx") == F.min(F.when(F.col("_sole"), F.col("stmt_idx"))).over(its))))
+        p = p.withColumn("status", F.when(F.col("_pick") & ~F.col("_held"), status).otherwise(F.col("status"))).withColumn("_open", F.col("_open") & ~F.bool_or("_pick").over(its)).withColumn("_open", F.col("_open") & ~F.bool_or("_pick").over(mine))
+    found = p.groupBy("stmt_idx").agg(F.max("status").alias("status"), F.max(F.when(F.col("status").isNotNull(), F.col("id"))).alias("id"), F.bool_or(F.col("fits") | F.col("same_reference")).alias("_any"))
     other = told.where("not same_amount").select(F.col("stmt_idx").alias("_o")).distinct()
     out = rows.select(F.col("stmt_idx").alias("_s")).join(found, F.col("_s") == F.col("stmt_idx"), "left").join(other, F.col("_s") == F.col("_o"), "left")
-    return out.select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", F.when(F.col("_o").isNotNull(), "ambiguous"), F.lit("missing")).alias("status"))
+    ambiguous = F.when(F.col("_o").isNotNull() | F.coalesce("_any", F.lit(False)), "ambiguous")
+    return out.select(F.col("_s").alias("stmt_idx"), "id", F.coalesce("status", ambiguous, F.lit("missing")).alias("status"))
 
 
 def whole_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
