@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,31 +110,43 @@ def lot_totals(lots: DataFrame) -> DataFrame:
     return lots.groupBy("instrument").agg(F.count(F.lit(1)).cast("bigint").alias("lots"), F.sum("units").cast("bigint").alias("units"), paise(F.sum(cost)).alias("cost_paise"))
 
 
+_LOT = "struct<lot:bigint,units:decimal(20,6),reference:string>"
+_OPEN = f"struct<lots:array<{_LOT}>,resolved:boolean,taken:bigint>"
+
+
+def _step(state: Column, e: Column) -> Column:
+    """A lot joins the open ones; a disposal takes from the one with its reference, or from the only one with enough left."""
+    able = F.filter(state["lots"], lambda x: F.coalesce((x["units"] >= e["units"]) & (e["units"] > 0), F.lit(False)))
+    named = F.filter(able, lambda x: F.coalesce(x["reference"] == e["reference"], F.lit(False)))
+    pick = F.when(F.size(named) == 1, F.get(named, 0)["lot"]).when(F.size(able) == 1, F.get(able, 0)["lot"])
+    opened = F.struct(F.concat(state["lots"], F.array(F.struct(e["n"], e["units"], e["reference"]).cast(_LOT))), F.lit(True), state["taken"]).cast(_OPEN)
+    less = F.transform(state["lots"], lambda x: F.struct(x["lot"], F.when(x["lot"] == pick, x["units"] - e["units"]).otherwise(x["units"]), x["reference"]))
+    took = F.struct(less, F.lit(True), state["taken"] + 1).cast(_OPEN)
+    took = F.struct(F.filter(took["lots"], lambda x: x["units"] > 0), took["resolved"], took["taken"]).cast(_OPEN)
+    lost = F.struct(state["lots"], F.lit(False), state["taken"]).cast(_OPEN)
+    return F.when(~state["resolved"], state).when(~e["out"], opened).when(pick.isNotNull(), took).otherwise(lost)
+
+
 def disposals(classified: DataFrame) -> DataFrame:
     """Units left of each lot after its disposals, by source and instrument: a disposal takes from the lot with its reference or
-    from the only one that is old enough and has enough left; otherwise the instrument is unresolved (no guess of an order)."""
-    events = classified.where("reason is null or reason = 'disposal_transaction'").where("instrument is not null").select("source_ref", "instrument", "acquired_on", "raw_id", "units", "reference", (F.col("reason") == "disposal_transaction").alias("out"))
-    events = events.fillna({"out": False}).withColumn("units", F.col("units").cast("decimal(20,6)"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["acquired_on", "out", "raw_id"])
-        lots, resolved, taken = [], True, 0
-        for e in pdf.itertuples():
-            if not e.out:
-                lots.append([e.raw_id, e.units, e.reference])
-                continue
-            able = [x for x in lots if x[1] >= e.units > 0]
-            named = [x for x in able if e.reference is not None and x[2] == e.reference]
-            pick = named if len(named) == 1 else able if len(able) == 1 else []
-            if not pick:
-                resolved = False
-                break
-            pick[0][1] -= e.units
-            taken += 1
-        left = sum((x[1] for x in lots), Decimal(0))
-        return pd.DataFrame([(pdf.source_ref.iloc[0], pdf.instrument.iloc[0], resolved, taken, left if resolved else None)], columns=["source_ref", "instrument", "resolved", "disposals", "units_left"])
-
-    return events.groupBy("source_ref", "instrument").applyInPandas(run, "source_ref string, instrument string, resolved boolean, disposals long, units_left decimal(20,6)")
+    from the only one that is old enough and has enough left; otherwise the instrument is unresolved (no guess of an order).
+
+    The events of an instrument are folded in their order, with the open lots as state.  They are cut where nothing is open
+    (the running sum of units is back at nothing), so one array holds the events of one such stretch only."""
+    events = classified.where("reason is null or reason = 'disposal_transaction'").where("instrument is not null").select("source_ref", "instrument", "acquired_on", "raw_id", F.col("units").cast("decimal(20,6)").alias("units"), "reference", F.coalesce(F.col("reason") == "disposal_transaction", F.lit(False)).alias("out"))
+    w = Window.partitionBy("source_ref", "instrument").orderBy(F.col("acquired_on").asc_nulls_last(), "out", "raw_id", "units", "reference")
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    signed = F.coalesce(F.when(F.col("out"), -F.col("units")).otherwise(F.col("units")), F.lit(0).cast("decimal(20,6)"))
+    cut = events.withColumn("n", F.row_number().over(w).cast("bigint")).withColumn("_before", F.coalesce(F.sum(signed).over(so_far), F.lit(0)))
+    cut = cut.withColumn("stretch", F.sum((F.col("_before") == 0).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = cut.groupBy("source_ref", "instrument", "stretch").agg(F.array_sort(F.collect_list(F.struct("n", "out", "units", "reference"))).alias("events"))
+    none = F.struct(F.array(), F.lit(True), F.lit(0)).cast(_OPEN)
+    folded = each.select("source_ref", "instrument", "stretch", F.aggregate("events", none, _step).alias("s"))
+    left = F.aggregate(F.col("s.lots"), F.lit(0).cast("decimal(38,6)"), lambda total, x: (total + x["units"]).cast("decimal(38,6)"))
+    first_lost = F.min(F.when(~F.col("s.resolved"), F.col("stretch"))).over(Window.partitionBy("source_ref", "instrument"))
+    told = folded.select("source_ref", "instrument", "stretch", F.col("s.resolved").alias("resolved"), F.col("s.taken").alias("taken"), left.alias("left"), first_lost.alias("_lost"))
+    g = told.groupBy("source_ref", "instrument").agg(F.bool_and("resolved").alias("resolved"), F.sum(F.when(F.col("_lost").isNull() | (F.col("stretch") <= F.col("_lost")), F.col("taken")).otherwise(0)).alias("disposals"), F.sum("left").alias("_left"))
+    return g.select("source_ref", "instrument", "resolved", "disposals", F.when(F.col("resolved"), F.col("_left").cast("decimal(20,6)")).alias("units_left"))
 
 
 def disposals_by_portfolio(classified: DataFrame, uploads: DataFrame) -> DataFrame:

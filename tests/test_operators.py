@@ -120,3 +120,44 @@ def test_replacement_respects_precedence(spark):
     new = spark.createDataFrame([(3, "A", 1), (4, "B", 1), (5, "C", 1)], "id long, k string, rank int")
     assert sorted(r.id for r in replaced(stored, new, ["k"], "rank").collect()) == [1, 4, 5]
     assert sorted(r.id for r in upserted(stored, new, ["k"], "id").collect()) == [3, 4, 5]
+
+
+def plain_disposals(events):
+    """(source, instrument): resolved, disposals taken and units left, event by event."""
+    out = {}
+    for key in {(e[0], e[1]) for e in events}:
+        own = sorted((e for e in events if (e[0], e[1]) == key), key=lambda e: (e[2], e[3], e[4]))
+        lots, resolved, taken = [], True, 0
+        for _, _, _, sold, _, units, ref in own:
+            if not sold:
+                lots.append([units, ref])
+                continue
+            able = [x for x in lots if units is not None and x[0] >= units > 0]
+            named = [x for x in able if ref is not None and x[1] == ref]
+            pick = named if len(named) == 1 else able if len(able) == 1 else []
+            if not pick:
+                resolved = False
+                break
+            pick[0][0] -= units
+            taken += 1
+        out[key] = (resolved, taken, sum((x[0] for x in lots), Decimal(0)) if resolved else None)
+    return out
+
+
+def test_disposals_equal_a_plain_loop(spark):
+    import random
+
+    rnd, events = random.Random(8), []
+    for k in range(60):
+        for i in range(rnd.randrange(1, 14)):
+            sold = i > 0 and rnd.random() < 0.5
+            units = None if sold and rnd.random() < 0.03 else Decimal(rnd.choice([2, 2, 5])) if rnd.random() < 0.97 else Decimal("0.5")
+            events.append((f"F{k % 3}", f"I{k}", dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(9)), sold, k * 100 + i, units, rnd.choice([None, "A", "B"])))
+    # one instrument that is bought and sold out again and again: stretches of two events
+    events += [("F", "long", dt.date(2000, 1, 1) + dt.timedelta(days=i), i % 2 == 1, 10_000 + i, Decimal(3), None) for i in range(3000)]
+    df = spark.createDataFrame([(i, src, ins, on, "disposal_transaction" if sold else None, u, r) for src, ins, on, sold, i, u, r in events], "raw_id long, source_ref string, instrument string, acquired_on date, reason string, units decimal(20,6), reference string")
+    out = investments.disposals(df)
+    want = plain_disposals(events)
+    assert {(r.source_ref, r.instrument): (r.resolved, r.disposals, r.units_left) for r in out.collect()} == want
+    assert want["F", "long"] == (True, 1500, 0) and sum(r for r, _, _ in want.values()) > 10 and sum(not r for r, _, _ in want.values()) > 10
+    assert "Python" not in out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
