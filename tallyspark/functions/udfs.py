@@ -123,7 +123,7 @@ _SQL_FUNCTIONS = [
     ("normalized_counterparty", "c STRING", r"regexp_replace(lower(coalesce(c, '')), '[^\\p{L}\\p{N}]', '')"),
     ("normalized_mask", "c STRING", r"CASE WHEN regexp_replace(coalesce(c, ''), '[\\s-]', '') RLIKE '^[0-9Xx*#]+$' THEN regexp_replace(regexp_replace(c, '[\\s-]', ''), '[x*#]', 'X') ELSE '' END"),
     ("masks_agree", "a STRING, b STRING", "least(length(a), length(b)) > 0 AND forall(sequence(1, greatest(least(length(a), length(b)), 1)), i -> substr(a, -i, 1) = substr(b, -i, 1) OR substr(a, -i, 1) = 'X' OR substr(b, -i, 1) = 'X')"),
-    ("contains_whole_token", "t STRING, k STRING", r"coalesce(k <> '' AND regexp_like(t, concat('(?<![\\p{L}\\p{N}\\p{M}\\p{Pc}\\u200C\\u200D])\\Q', k, '\\E(?![\\p{L}\\p{N}\\p{M}\\p{Pc}\\u200C\\u200D])')), false)"),
+    ("contains_whole_token", "t STRING, k STRING", r"coalesce(k <> '' AND regexp_like(t, concat('(?<![\\p{L}\\p{N}\\p{M}\\p{Pc}\\u200C\\u200D])\\Q', replace(k, '\\E', '\\E\\\\E\\Q'), '\\E(?![\\p{L}\\p{N}\\p{M}\\p{Pc}\\u200C\\u200D])')), false)"),
 ]
 
 

@@ -13,11 +13,13 @@ from tallyspark.sources import messages
 # ---- ledger
 
 
-@_query("SELECT * FROM (VALUES ('USD', DATE '2026-01-15', 830000::BIGINT), ('USD', DATE '2026-02-01', 835000::BIGINT), ('EUR', DATE '2026-01-01', 901235::BIGINT)) AS t(currency, date, rate_e4)")
+@_query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'USD' ELSE 'EUR' END AS currency, cast(o_orderdate AS DATE) AS date, cast(cast(o_totalprice AS DECIMAL(12, 2)) * 10000 AS BIGINT) AS rate_e4 FROM orders WHERE o_orderkey % 4 <> 3")
 def parsed_rates(t):
-    text = '{" usd": [{"date": "2026-01-15", "rate": "83.00"}, {"date": "2026-02-01", "rate": 83.5}, {"date": "soon", "rate": "1"}, {"date": "2026-03-01", "rate": "-1"}], "EUR": [{"date": "2026-01-01", "rate": "90.12345001"}, {"date": "2026-01-02", "rate": "0.00001"}, {"rate": "5"}], "": [{"date": "2026-01-01", "rate": "1"}], "GBP": []}'
-    config = t.spark.range(1).select(F.lit(text).alias("value"))
-    return books.parsed_rates(config).select("currency", "date", (F.col("rate") * 10000).cast("bigint").alias("rate_e4"))
+    """A rate table for every order: a good entry beside ones that don't parse, are negative or round to nothing."""
+    day, rate = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    name = F.when(F.col("o_orderkey") % 4 == 3, "").when(F.col("o_orderkey") % 3 == 0, " usd").otherwise("EUR")
+    text = F.format_string('{"%s": [{"date": "%s", "rate": "%s"}, {"date": "soon", "rate": "1"}, {"date": "%s", "rate": "-1"}, {"date": "%s", "rate": "0.00001"}, {"rate": "5"}], "GBP": []}', name, day, rate, day, day)
+    return books.parsed_rates(t["orders"].select(text.alias("value"))).select("currency", "date", (F.col("rate") * 10000).cast("bigint").alias("rate_e4"))
 
 
 _PJ = _PROJ.replace("SELECT t.id,", "SELECT t.id, t.reference_number, t.card_mask,")
@@ -139,9 +141,10 @@ def journal_order(t):
     return books.in_file_order(ledger.postings(_projected(t))).select("date", "id", "leg", "account", "amount_paise")
 
 
-@_query("SELECT 'P ' || strftime(date, '%Y/%m/%d') || ' ' || currency || ' ' || cast(rate AS VARCHAR) || ' INR' AS line FROM fx_rates")
+@_query("SELECT 'P ' || strftime(cast(o_orderdate AS DATE), '%Y/%m/%d') || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'EUR' END || ' ' || cast(cast(o_totalprice AS DECIMAL(12, 2)) AS DECIMAL(18, 4)) || ' INR' AS line FROM orders")
 def price_lines(t):
-    return t["fx_rates"].select(books.price_line(F.col("date"), F.col("currency"), F.col("rate")).alias("line"))
+    rate = F.col("o_totalprice").cast("decimal(12,2)").cast("decimal(18,4)")
+    return t["orders"].select(books.price_line(F.col("o_orderdate").cast("date"), F.when(F.col("o_orderkey") % 2 == 0, "USD").otherwise("EUR"), rate).alias("line"))
 
 
 @_query(f"""SELECT account_id, account, native_paise, projected_paise, external_paise, CASE WHEN projected_paise IS NULL THEN 'not_projected' WHEN external_paise IS NULL THEN 'not_loaded' WHEN native_paise IS NULL THEN 'no_balance' WHEN projected_paise <> external_paise THEN 'stale_external' WHEN native_paise <> projected_paise THEN 'drift' ELSE 'agrees' END AS note FROM (

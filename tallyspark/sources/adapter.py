@@ -140,7 +140,9 @@ VIEWS: dict[str, str] = {
           CASE id % 5 WHEN 0 THEN 'declined' WHEN 1 THEN 'credit' WHEN 2 THEN 'credit' ELSE 'debit' END AS direction
         FROM {sms_messages}""",
     "settings": """
-        SELECT * FROM (VALUES ('poll.minutes', ' 15 '), ('poll.enabled', 'Yes'), ('poll.names', '[1, 2]'), ('llm.limit', 'many'), ('llm.enabled', 'off'), ('empty', CAST(NULL AS VARCHAR(9)))) AS t(key, value)""",
+        SELECT CASE c_custkey % 7 WHEN 0 THEN 'poll.minutes.' WHEN 1 THEN 'poll.enabled.' WHEN 2 THEN 'poll.names.' ELSE 'llm.' END || cast(c_custkey as string) AS key,
+          CASE c_custkey % 7 WHEN 0 THEN ' ' || cast(c_custkey as string) || ' ' WHEN 1 THEN 'Yes' WHEN 2 THEN '[' || cast(c_custkey as string) || ', 2]' WHEN 3 THEN 'many' WHEN 4 THEN 'off' WHEN 5 THEN CAST(NULL AS STRING) ELSE c_mktsegment END AS value
+        FROM {customer}""",
     "known_cards": """
         SELECT * FROM {cards} WHERE id % 3 <> 0""",
     "bank_uploads": """

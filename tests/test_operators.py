@@ -161,3 +161,15 @@ def test_disposals_equal_a_plain_loop(spark):
     assert {(r.source_ref, r.instrument): (r.resolved, r.disposals, r.units_left) for r in out.collect()} == want
     assert want["F", "long"] == (True, 1500, 0) and sum(r for r, _, _ in want.values()) > 10 and sum(not r for r, _, _ in want.values()) > 10
     assert "Python" not in out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+
+
+def test_whole_tokens_are_quoted_in_both_forms(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import udfs
+
+    udfs.register(spark)
+    rows = [("a.b c", "a.b"), ("aXb c", "a.b"), ("x \\E y", "\\E"), ("xab", "ab"), ("ab", ""), ("(q\\Ew) ", "q\\Ew"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "t string, k string")
+    got = df.select(udfs.contains_whole_token(F.col("t"), F.col("k")).alias("x"), F.expr("contains_whole_token(t, k)").alias("y")).collect()
+    assert [r.x for r in got] == [r.y for r in got] == [True, False, True, False, False, True, False, False]
