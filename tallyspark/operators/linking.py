@@ -2,8 +2,9 @@
 
 Masks agree by position from the right, so an equi-join needs a key: a usable mask has at least three trailing digits,
 and two masks that agree share those last three unless the stored one hides some there.  Stored masks are therefore
-joined on (bank, last three characters), the few with a wildcard among them on the bank alone (sent to all tasks if there are
-no more than ``is_small`` allows), and the exact test follows.
+joined on (bank, last three characters).  Those with a wildcard among them are sent to all tasks if there are few; many are
+joined by an index of visible positions: masks come in few shapes (which positions show a digit), and for each pair of shapes
+two masks that agree have equal digits where both show one.  The exact test follows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,38 @@ def mask_candidates(masks: DataFrame, stored: DataFrame) -> DataFrame:
     keyed = stored.where("stored <> ''").withColumn("sk", F.when(trailing_digits(F.col("stored")) >= 3, F.right(F.col("stored"), F.lit(3))))
     exact = ask.join(keyed.where("sk is not null").withColumnRenamed("bank_key", "sb"), (F.col("bank_key") == F.col("sb")) & (F.col("k") == F.col("sk")))
     few = keyed.where("sk is null").withColumnRenamed("bank_key", "sb")
-    loose = ask.join(F.broadcast(few) if is_small(few) else few, F.col("bank_key") == F.col("sb"))
+    loose = ask.join(F.broadcast(few), F.col("bank_key") == F.col("sb")) if is_small(few) else by_shape(ask, few)
     return exact.unionByName(loose).where(mask_matches(F.col("mask"), F.col("stored"))).drop("k", "sk", "sb")
 
 
+#: Shapes of masks on one side up to which masks meet by shape; each is a probe for every mask of the other side.
+SHAPES = 200
+
+
+def shape(mask: Column) -> Column:
+    """Which positions of a mask show a digit."""
+    return F.regexp_replace(mask, "[0-9]", "D")
+
+
+def _shown(mask: Column, other: Column) -> Column:
+    """The mask's digits at the positions, from the right, at which it and a mask of the other shape show one."""
+    at = F.sequence(F.lit(1), F.greatest(F.least(F.length(mask), F.length(other)), F.lit(1)))
+    return F.array_join(F.transform(at, lambda i: F.when((F.substring(other, -i, F.lit(1)) == "D") & (F.substring(mask, -i, F.lit(1)) != "X"), F.substring(mask, -i, F.lit(1))).otherwise("")), "")
+
+
+def by_shape(ask: DataFrame, stored: DataFrame) -> DataFrame:
+    """Masks joined with the stored ones of their bank (``sb``) that show the same digits where both show any.
+
+    The shapes of both sides are collected, ``SHAPES`` of a side at most; with more of them the join is on the bank alone."""
+    asked, kept = ([r[0] for r in df.select(shape(F.col(c))).distinct().limit(SHAPES + 1).collect()] for df, c in ((ask, "mask"), (stored, "stored")))
+    if len(asked) > SHAPES or len(kept) > SHAPES:
+        return ask.join(stored, F.col("bank_key") == F.col("sb"))
+    each = lambda shapes: F.explode(F.array(*map(F.lit, shapes)).cast("array<string>"))
+    a = ask.withColumn("_with", each(kept)).withColumn("_at", F.concat_ws("|", shape(F.col("mask")), "_with", _shown(F.col("mask"), F.col("_with")))).drop("_with")
+    s = stored.withColumn("_with", each(asked)).withColumn("_st", F.concat_ws("|", "_with", shape(F.col("stored")), _shown(F.col("stored"), F.col("_with")))).drop("_with")
+    return a.join(s, (F.col("bank_key") == F.col("sb")) & (F.col("_at") == F.col("_st"))).drop("_at", "_st")
+
+
 def _unique(hits: DataFrame, values: list[str]) -> DataFrame:
     """The only match of each id; several matches are refused."""
     return hits.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.max(v).alias(v) for v in values]).where("n = 1").drop("n")

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import asof, classify, ledger, substrings
+from tallyspark.operators import asof, classify, ledger, linking, substrings
 
 D = dt.date(2020, 1, 1)
 
@@ -62,3 +62,26 @@ def test_many_rules_need_no_nested_loop(spark, sf):
     many = classify.merchant_match(t["transactions"], few.unionByName(others.select(*few.columns)))
     assert sorted(map(tuple, many.collect())) == want
     assert "NestedLoop" not in plan(many) and "CartesianProduct" not in plan(many)
+
+
+def agree(a, b):
+    return all(x == y or "X" in (x, y) for x, y in zip(reversed(a), reversed(b)))
+
+
+def test_loose_masks_meet_by_shape(spark, monkeypatch):
+    rnd = random.Random(6)
+    ask = [(i, rnd.choice("ab"), rnd.choice(["", "XX", "1X", "12"]) + "".join(rnd.choice("12") for _ in range(rnd.choice([3, 4])))) for i in range(120)]
+    stored = [(rnd.choice("ab"), "".join(rnd.choice("12X") for _ in range(rnd.randrange(1, 7))), i) for i in range(150)] + [("a", "XX", 900), ("b", "", 901)]
+    asked, kept = spark.createDataFrame(ask, "id long, bank_key string, mask string"), spark.createDataFrame(stored, "bank_key string, stored string, hit long")
+    want = sorted((i, h) for i, b, m in ask for c, s, h in stored if b == c and s and agree(m, s))
+    monkeypatch.setattr(linking, "is_small", lambda df: False)
+    for most in (linking.SHAPES, 1):
+        monkeypatch.setattr(linking, "SHAPES", most)
+        assert sorted((r.id, r.hit) for r in linking.mask_candidates(asked, kept).collect()) == want
+
+
+def test_a_million_masks_with_hidden_last_digits(spark):
+    stored = spark.range(1_000_000).select(F.lit("a").alias("bank_key"), F.concat(F.lpad(F.col("id").cast("string"), 7, "0"), F.lit("XX")).alias("stored"), F.col("id").alias("hit"))
+    ask = spark.range(20_000).select("id", F.lit("a").alias("bank_key"), F.concat(F.lpad((F.col("id") * 37).cast("string"), 7, "0"), F.lit("12")).alias("mask"))
+    out = linking.mask_candidates(ask, stored)
+    assert out.count() == 20_000 and out.where("hit <> id * 37").isEmpty()
