@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions.expressions import is_small, local_time
+from tallyspark.operators.substrings import containing
 
 MAIL = "message_id string, sender string, subject string, received_at timestamp, body string, attachments array<string>"
 
@@ -155,12 +156,21 @@ def unseen(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return incoming.dropDuplicates([key]).join(stored.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
 
 
-def rules_for(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(message id, rule id) where the rule's sender and subject stand in the message's; an empty field fits all.  Rules are a
-    small table that people edit."""
-    m, r = messages.alias("m"), (F.broadcast(rules) if is_small(rules) else rules).alias("r")
-    fits = lambda rule, text: (F.coalesce(F.trim(rule), F.lit("")) == "") | F.lower(text).contains(F.lower(F.trim(rule)))
-    return m.join(r, fits(F.col("r.sender"), F.col("m.sender")) & fits(F.col("r.subject"), F.col("m.subject"))).select(F.col("m.id").alias("message_id"), F.col("r.id").alias("rule_id"))
+def rules_for(messages: DataFrame, rules: DataFrame, few: int = 1_000) -> DataFrame:
+    """(message id, rule id) where the rule's sender and subject stand in the message's; an empty field fits all.  Up to ``few``
+    rules are sent to all tasks; more are found by an index of the q-grams of their sender, or of their subject where that is empty.
+    A rule with neither fits every message."""
+    if is_small(rules, few):
+        m, r = messages.alias("m"), F.broadcast(rules).alias("r")
+        fits = lambda rule, text: (F.coalesce(F.trim(rule), F.lit("")) == "") | F.lower(text).contains(F.lower(F.trim(rule)))
+        return m.join(r, fits(F.col("r.sender"), F.col("m.sender")) & fits(F.col("r.subject"), F.col("m.subject"))).select(F.col("m.id").alias("message_id"), F.col("r.id").alias("rule_id"))
+    bare = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    m = messages.select(F.col("id").alias("message_id"), F.lower("sender").alias("from"), F.lower("subject").alias("about"))
+    r = rules.select(F.col("id").alias("rule_id"), bare("sender").alias("by"), bare("subject").alias("on"))
+    found = containing(m, "from", r.where("by <> ''"), "by").where((F.col("on") == "") | F.col("about").contains(F.col("on")))
+    named = containing(m, "about", r.where("by = '' and on <> ''"), "on")
+    every = m.join(r.where("by = '' and on = ''"), F.lit(True))
+    return found.select("message_id", "rule_id").unionByName(named.select("message_id", "rule_id")).unionByName(every.select("message_id", "rule_id"))
 
 
 def upserted(stored: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:

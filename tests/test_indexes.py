@@ -85,3 +85,14 @@ def test_a_million_masks_with_hidden_last_digits(spark):
     ask = spark.range(20_000).select("id", F.lit("a").alias("bank_key"), F.concat(F.lpad((F.col("id") * 37).cast("string"), 7, "0"), F.lit("12")).alias("mask"))
     out = linking.mask_candidates(ask, stored)
     assert out.count() == 20_000 and out.where("hit <> id * 37").isEmpty()
+
+
+def test_fetch_rules_by_index_equal_the_plain_join(spark):
+    from tallyspark.sources import messages
+
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcAB@.") for _ in range(n))
+    m = spark.createDataFrame([(i, rnd.choice([None, text(12), text(12)]), rnd.choice([None, text(20), text(20)])) for i in range(80)], "id long, sender string, subject string")
+    r = spark.createDataFrame([(i, rnd.choice([None, " ", text(2), " " + text(3)]), rnd.choice([None, "", text(1), text(4)])) for i in range(60)], "id long, sender string, subject string")
+    plain = sorted(map(tuple, messages.rules_for(m, r).collect()))
+    assert sorted(map(tuple, messages.rules_for(m, r, few=0).collect())) == plain and len(plain) > 300
