@@ -69,16 +69,22 @@ def fuzzy_candidates(incoming: DataFrame, stored: DataFrame, slots: bool = False
 def decide(incoming: DataFrame, candidates: DataFrame, slots: bool = False) -> DataFrame:
     """match, insert or defer by balances: a different known balance rules a candidate out, one equal balance is the event.  With
     ``slots`` a message without a balance needs a row that no message of its channel has."""
-    keep = candidates.where(F.col("balance_in").isNull() | F.col("balance").isNull() | (F.bround("balance", 2) == F.bround("balance_in", 2)))
-    g = keep.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("balance").isNotNull() & F.col("balance_in").isNotNull()).alias("equal"),
-                                F.max(F.when(F.col("balance").isNotNull(), F.col("id"))).alias("equal_id"), F.count_if(F.col("balance").isNull()).alias("bare"), F.max("id").alias("any_id"), F.bool_or(F.col("balance_in").isNotNull()).alias("known"), *([F.bool_or("open").alias("open")] if slots else []))
+    return _decided(incoming, candidates, slots).drop("near")
+
+
+def _decided(incoming: DataFrame, candidates: DataFrame, slots: bool) -> DataFrame:
+    """``decide`` with ``near``: whether the message has candidates at all, ruled out or not."""
+    can = F.col("balance_in").isNull() | F.col("balance").isNull() | (F.bround("balance", 2) == F.bround("balance_in", 2))
+    if_can = lambda x: F.when(can, x)
+    g = candidates.groupBy("seq").agg(F.count_if(can).alias("n"), F.count_if(can & F.col("balance").isNotNull() & F.col("balance_in").isNotNull()).alias("equal"), F.max(if_can(F.when(F.col("balance").isNotNull(), F.col("id")))).alias("equal_id"),
+                                      F.count_if(can & F.col("balance").isNull()).alias("bare"), F.max(if_can(F.col("id"))).alias("any_id"), F.bool_or(F.col("balance_in").isNotNull()).alias("known"), *([F.bool_or(if_can(F.col("open"))).alias("open")] if slots else []))
     g = g.withColumnRenamed("seq", "_seq")
     out = incoming.select("seq").join(g, F.col("seq") == F.col("_seq"), "left")
     sure = F.when(F.col("known"), F.when(F.col("equal") == 1, F.col("equal_id"))).otherwise(F.when((F.col("n") == 1) & (F.col("bare") == 1) & (F.col("open") if slots else F.lit(True)), F.col("any_id")))
-    action = F.when(F.col("n").isNull(), "insert").when(sure.isNotNull(), "match").otherwise("defer")
+    action = F.when(F.coalesce("n", F.lit(0)) == 0, "insert").when(sure.isNotNull(), "match").otherwise("defer")
     alone = "source_slot_filled" if slots else "balance_ambiguous"
     reason = F.when(action == "defer", F.when(F.col("known"), "balance_ambiguous").when(F.col("n") > 1, "multiple_candidates").otherwise(alone))
-    return out.select("seq", action.alias("action"), sure.alias("id"), reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("bigint").alias("candidates"))
+    return out.select("seq", action.alias("action"), F.when(action == "match", sure).alias("id"), reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("bigint").alias("candidates"), F.col("_seq").isNotNull().alias("near"))
 
 
 def twelve_hours_apart(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -140,12 +146,10 @@ def find_matches(incoming: DataFrame, stored: DataFrame, types: list[str] | None
     A reference that is stored decides by itself; else the rows within the time window do, if there are any; else the
     other half of the day, where a different balance makes it a new event."""
     ref = by_reference(incoming, stored).select(F.col("seq").alias("_q"), F.col("action").alias("_ra"), F.col("reason").alias("_rr"), F.col("id").alias("_ri"), F.col("candidates").alias("_rn"))
-    near = fuzzy_candidates(incoming, stored, slots)
-    fuzzy = decide(incoming, near, slots).select(F.col("seq").alias("_f"), F.col("action").alias("_fa"), F.col("reason").alias("_fr"), F.col("id").alias("_fi"), F.col("candidates").alias("_fn"))
-    any_near = near.select(F.col("seq").alias("_w")).distinct()
+    fuzzy = _decided(incoming, fuzzy_candidates(incoming, stored, slots), slots).select(F.col("seq").alias("_f"), F.col("action").alias("_fa"), F.col("reason").alias("_fr"), F.col("id").alias("_fi"), "near")
     half = other_half(incoming, stored, types).select(F.col("seq").alias("_h"), F.col("id").alias("_hi"), "balance_off")
-    j = incoming.select("seq").join(ref, F.col("seq") == F.col("_q"), "left").join(fuzzy, F.col("seq") == F.col("_f"), "left").join(any_near, F.col("seq") == F.col("_w"), "left").join(half, F.col("seq") == F.col("_h"), "left")
-    path = F.when(F.col("_ra").isNotNull(), "reference").when(F.col("_w").isNotNull(), "fuzzy").when(F.col("_hi").isNotNull(), "other_half").otherwise("none")
+    j = incoming.select("seq").join(ref, F.col("seq") == F.col("_q"), "left").join(fuzzy, F.col("seq") == F.col("_f"), "left").join(half, F.col("seq") == F.col("_h"), "left")
+    path = F.when(F.col("_ra").isNotNull(), "reference").when(F.col("near"), "fuzzy").when(F.col("_hi").isNotNull(), "other_half").otherwise("none")
     action = F.when(path == "reference", F.col("_ra")).when(path == "fuzzy", F.col("_fa")).when((path == "other_half") & ~F.col("balance_off"), "match").otherwise("insert")
     found = F.when(path == "reference", F.col("_ri")).when(path == "fuzzy", F.col("_fi")).when(action == "match", F.col("_hi"))
     reason = F.when(path == "reference", F.col("_rr")).when(path == "fuzzy", F.col("_fr")).when((path == "other_half") & F.col("balance_off"), "alias_balance_mismatch")
