@@ -110,6 +110,45 @@ def parse_day_first(c: Column) -> Column:
     return F.coalesce(*[F.when(t.rlike(pattern), F.try_to_date(t, shape)) for shape, pattern in DAY_FIRST])
 
 
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
+def parse_date_leniently(c: Column, this_year: int | None = None) -> Column:
+    """The date of a printed text, day first, however it is written: any separators, one or two digits, month names in short or
+    full, days as ordinals, weekdays in front, a time behind, years of two digits (the nearest within fifty years of
+    ``this_year``, by default the current one).  Of two numbers that can't be day and month in that order the other order holds;
+    a year in front is followed by month and day.  Null for anything else and for days that don't exist."""
+    t = F.lower(F.trim(c))
+    t = F.regexp_replace(t, r"^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,. ]+", "")
+    t = F.regexp_replace(t, r"[t, ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([ap]\.?m\.?)?\s*(z|utc|gmt|ist|[+-]\d{2}:?\d{2})?$", "")
+    t = F.regexp_replace(t, r"\b(\d{1,2})(st|nd|rd|th)\b( of\b)?", "$1")
+    t = F.trim(F.regexp_replace(t, r"[\s/.,_-]+", " "))
+    t = F.regexp_replace(t, r"(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)", " ")
+    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    named = r"^(\d{1,2}) (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* (\d{4}|\d{2})$"
+    leading = r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* (\d{1,2}) (\d{4}|\d{2})$"
+    plain, first = r"^(\d{1,2}) (\d{1,2}) (\d{4}|\d{2})$", r"^(\d{4}) ?(\d{2}|\d(?= )) ?(\d{1,2})$"
+    year_named = r"^(\d{4}) (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* (\d{1,2})$"
+    now = F.year(F.current_date()) if this_year is None else F.lit(this_year)
+
+    def year(text: Column) -> Column:
+        short = now - F.pmod(now, F.lit(100)) + text.cast("int")
+        near = F.when(short >= now + 50, short - 100).when(short < now - 50, short + 100).otherwise(short)
+        return F.when(F.length(text) == 4, text.cast("int")).otherwise(near)
+
+    month = lambda text: F.array_position(F.array(*map(F.lit, _MONTHS)), text)
+    day_of = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
+    a, b = part(plain, 1), part(plain, 2)
+    turned = F.when((b.try_cast("int") > 12) & (a.try_cast("int") <= 12), True).otherwise(False)
+    return (
+        F.when(t.rlike(plain), day_of(year(part(plain, 3)), F.when(turned, a).otherwise(b), F.when(turned, b).otherwise(a)))
+        .when(t.rlike(named), day_of(year(part(named, 3)), month(part(named, 2)), part(named, 1)))
+        .when(t.rlike(leading), day_of(year(part(leading, 3)), month(part(leading, 1)), part(leading, 2)))
+        .when(t.rlike(year_named), day_of(part(year_named, 1), month(part(year_named, 2)), part(year_named, 3)))
+        .when(t.rlike(first), day_of(part(first, 1), part(first, 2), part(first, 3)))
+    )
+
+
 def local_time(at: Column, zone: str = "Asia/Kolkata") -> Column:
     """A stored time (UTC, without zone) as the local one."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), at)

@@ -54,6 +54,20 @@ def requeued(txns: DataFrame, vocabulary: int) -> DataFrame:
     return txns.where((F.col("category") == "unknown") & (F.col("category_method") == "llm") & (F.coalesce("vocab_version", F.lit(0)) < vocabulary)).groupBy("vocab_version").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+def requeue(txns: DataFrame, vocabulary: int) -> DataFrame:
+    """Transactions after the vocabulary was raised to ``vocabulary``: the model's unknowns of older ones wait for the model again,
+    without category; all other rows stay as they are."""
+    stale = F.coalesce((F.col("category") == "unknown") & (F.col("category_method") == "llm") & (F.coalesce("vocab_version", F.lit(0)) < vocabulary), F.lit(False))
+    return txns.withColumns({"category": F.when(~stale, F.col("category")), "category_method": F.when(stale, "pending_llm").otherwise(F.col("category_method"))})
+
+
+def with_categories(categories: DataFrame, slugs: list[str], vocabulary: int) -> tuple[DataFrame, int]:
+    """The categories (slug, active) with those of ``slugs`` that are new, active, and the vocabulary, raised by one for each."""
+    wanted = categories.sparkSession.createDataFrame([(s, True) for s in dict.fromkeys(slugs)], "slug string, active boolean")
+    new = wanted.join(categories.select(F.col("slug").alias("_s")), F.col("slug") == F.col("_s"), "left_anti")
+    return categories.unionByName(new, allowMissingColumns=True), vocabulary + new.count()
+
+
 def to_notify(reviews: DataFrame, attempts: int, limit: int = 50) -> DataFrame:
     """The next pending reviews to announce, in order of ids: fewer than ``attempts`` tries so far; ``limit`` is the feature."""
     return reviews.where((F.col("review_status") == "pending") & (F.coalesce("tries", F.lit(0)) < attempts)).orderBy("id").limit(limit)
@@ -181,10 +195,17 @@ def auto_rules(sources: DataFrame, rules: DataFrame, senders: list[str], now_s:
     return want.join(have, (F.col("source_id") == F.col("_s")) & (F.col("sender") == F.col("_n")), "left_anti")
 
 
-def revisions(changes: DataFrame, by: str = "commit_id", width: int = 10_000) -> DataFrame:
-    """Each commit's revision after it: every changed row counts one, and a commit's rows count together.  Running sums are
-    taken within stretches of ``width`` commit ids and then over the stretches, so no task holds all commits."""
-    g = changes.groupBy(by).agg(F.count(F.lit(1)).cast("bigint").alias("changed"), F.min("at_s").alias("first_s"), F.max("at_s").alias("last_s")).withColumn("_s", F.floor(F.col(by) / width))
-    before = g.groupBy("_s").agg(F.sum("changed").alias("_n")).select(F.col("_s").alias("_b"), (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_start"))
-    own = F.sum("changed").over(Window.partitionBy("_s").orderBy(by))
-    return g.withColumn("_own", own).join(before, F.col("_s") == F.col("_b")).select(by, "changed", "first_s", "last_s", (F.col("_start") + F.col("_own")).cast("bigint").alias("revision"))
+def revisions(changes: DataFrame, by: str = "commit_id", width: int = 10_000, levels: int = 3) -> DataFrame:
+    """Each commit's revision after it: every changed row counts one, and a commit's rows count together.  Running sums are taken
+    within stretches of ``width`` commit ids, over the stretches of a stretch of those, and so on for ``levels``, so a task holds
+    ``width`` sums (the last window those of all ids by ``width`` to the power of ``levels``)."""
+    g = changes.groupBy(by).agg(F.count(F.lit(1)).cast("bigint").alias("changed"), F.min("at_s").alias("first_s"), F.max("at_s").alias("last_s"))
+    sums = [g.select(F.col(by).alias("_k0"), F.col("changed").alias("_n"))]
+    for k in range(1, levels + 1):
+        sums.append(sums[-1].groupBy(F.floor(F.col(f"_k{k - 1}") / width).alias(f"_k{k}")).agg(F.sum("_n").alias("_n")))
+    start = sums[-1].select(f"_k{levels}", (F.sum("_n").over(Window.orderBy(f"_k{levels}")) - F.col("_n")).alias("_start"))
+    for k in reversed(range(levels)):
+        within = F.sum("_n").over(Window.partitionBy("_up").orderBy(f"_k{k}")) - F.col("_n")
+        own = sums[k].withColumn("_up", F.floor(F.col(f"_k{k}") / width)).withColumn("_in", within)
+        start = own.join(start.withColumnRenamed("_start", "_above"), F.col("_up") == F.col(f"_k{k + 1}")).select(f"_k{k}", (F.col("_above") + F.col("_in")).alias("_start"))
+    return g.join(start, F.col(by) == F.col("_k0")).select(by, "changed", "first_s", "last_s", (F.col("_start") + F.col("changed")).cast("bigint").alias("revision"))

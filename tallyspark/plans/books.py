@@ -286,6 +286,16 @@ def assets_report(t):
 
 # ---- dates and times
 
+_WRITTEN = ["d/M/yyyy", "d.M.yy", "d MMMM yyyy", "MMM d, yyyy", "EEEE, dd-MMM-yyyy", "yyyyMMdd", "yyyy/M/d", "dd-MM-yyyy hh:mm:ss a", "d'th of' MMMM, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "ddMMMyyyy"]
+
+
+@_query("SELECT id, CASE WHEN id % 12 <> 11 THEN transaction_date END AS date FROM transactions")
+def lenient_dates(t):
+    """Dates written in eleven ways and one that is none."""
+    i = F.col("id") % 12
+    text = F.coalesce(*[F.when(i == k, F.date_format(F.col("transaction_date").cast("timestamp_ntz"), s)) for k, s in enumerate(_WRITTEN)], F.when(i == 11, "31.02.2024"))
+    return t["transactions"].select("id", X.parse_date_leniently(text, 2024).alias("date"))
+
 _SHAPES = ["dd/MM/yyyy", "d-MMM-yyyy", "dd-MM-yyyy", "d MMM yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yy"]
 
 

@@ -56,6 +56,11 @@ def requeued_unknowns(t):
     return upkeep.requeued(_versioned(t), 4)
 
 
+@_query(f"SELECT id, CASE WHEN NOT stale THEN category END AS category, CASE WHEN stale THEN 'pending_llm' ELSE category_method END AS category_method FROM (SELECT *, coalesce(category = 'unknown' AND category_method = 'llm' AND coalesce({_VOC}, 0) < 4, false) AS stale FROM transactions)")
+def requeued_rows(t):
+    return upkeep.requeue(_versioned(t), 4).select("id", "category", "category_method")
+
+
 @_query("SELECT id FROM transactions WHERE id % 2 = 0 AND coalesce(CASE WHEN id % 3 <> 0 THEN id % 5 END, 0) < 3 ORDER BY id LIMIT 50")
 def reviews_to_notify(t):
     i = F.col("id")

@@ -173,3 +173,34 @@ def test_whole_tokens_are_quoted_in_both_forms(spark):
     df = spark.createDataFrame(rows, "t string, k string")
     got = df.select(udfs.contains_whole_token(F.col("t"), F.col("k")).alias("x"), F.expr("contains_whole_token(t, k)").alias("y")).collect()
     assert [r.x for r in got] == [r.y for r in got] == [True, False, True, False, False, True, False, False]
+
+
+def test_dates_are_read_however_they_are_written(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import expressions as X
+
+    want = {"1/2/2024": "2024-02-01", "13/1/24": "2024-01-13", "1-13-2024": "2024-01-13", " 3rd Mar 1999 ": "1999-03-03", "March 3, 2001": "2001-03-03", "Tue, 5 September 2023": "2023-09-05", "5sep23": "2023-09-05", "2024-02-29": "2024-02-29", "20240229": "2024-02-29",
+            "2024 Jan 7": "2024-01-07", "07.08.73": "2073-08-07", "07.08.75": "1975-08-07", "1st of June 2020 at": None, "29/2/2023": None, "13/13/2024": None, "soon": None, "": None, "5/2024": None, "12/11/2020 5:07 pm": "2020-11-12", "2020-11-12T05:07:00+05:30": "2020-11-12", "0/1/2024": None}
+    got = {r.t: r.d for r in spark.createDataFrame([(k,) for k in [*want, None]], "t string").select("t", X.parse_date_leniently(F.col("t"), 2024).cast("string").alias("d")).collect()}
+    assert got == want | {None: None}
+
+
+def test_a_raised_vocabulary_requeues_unknowns(spark):
+    from tallyspark.operators import upkeep
+
+    cats, version = upkeep.with_categories(spark.createDataFrame([("dining", True), ("old", False)], "slug string, active boolean"), ["dining", "pets", "pets", "rent"], 3)
+    assert version == 5 and sorted(map(tuple, cats.collect())) == [("dining", True), ("old", False), ("pets", True), ("rent", True)]
+    rows = [(1, "unknown", "llm", 3), (2, "unknown", "llm", None), (3, "unknown", "llm", 5), (4, "unknown", "rule", 1), (5, "dining", "llm", 1), (6, None, None, None)]
+    got = upkeep.requeue(spark.createDataFrame(rows, "id long, category string, category_method string, vocab_version int"), version)
+    assert sorted(map(tuple, got.collect())) == [(1, None, "pending_llm", 3), (2, None, "pending_llm", None), *rows[2:]]
+
+
+def test_revisions_over_many_levels(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import upkeep
+
+    changes = spark.range(3000).select((F.col("id") * 7919 % 1000 - 300).alias("commit_id"), F.col("id").alias("at_s"))
+    got = {r.commit_id: r.revision for r in upkeep.revisions(changes, width=5).collect()}
+    assert got == {c: 3 * (i + 1) for i, c in enumerate(range(-300, 700))}
