@@ -416,13 +416,17 @@ def _kinds() -> np.ndarray:
     letters of later Unicode versions)."""
     from tokenizers import Regex, pre_tokenizers
 
-    every, out = [*range(0xD800), *range(0xE000, 0x110000)], np.zeros(0x110000, np.uint8)
-    points, text = np.array(every), "".join(map(chr, every))
+    out = np.zeros(0x110000, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        inside = np.ones(len(points), bool)
-        for _, (low, high) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(text):
-            inside[low:high] = False
-        out[points[inside]] = kind
+        split = pre_tokenizers.Split(Regex(pattern), "removed")
+        for begin in range(0, 0x110000, 1 << 11):  # the library keeps many bytes a character
+            if 0xD800 <= begin < 0xE000:
+                continue
+            own = out[begin : begin + (1 << 11)]
+            inside = np.ones(len(own), bool)
+            for _, (low, high) in split.pre_tokenize_str("".join(map(chr, range(begin, begin + len(own))))):
+                inside[low:high] = False
+            own[inside] = kind
     return out
 
 
