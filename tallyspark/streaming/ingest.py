@@ -70,9 +70,9 @@ def debounced(changes: DataFrame, key: str, time: str = "ts", quiet_s: int = 5,
     return timed.groupBy("key").applyInPandasWithState(step, "key string, first_s double, last_s double, n long", "first double, last double, n long", "append", "EventTimeTimeout")
 
 
-def upserted_table(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
+def upserted_table(spark: SparkSession, target: str) -> DataFrame:
     """The rows that ``upsert`` keeps."""
-    return KeyedTable(spark, target, keys, order).read()
+    return KeyedTable.at(spark, target).read()
 
 
 def poll(stream: DataFrame, stages: list[tuple[str, Callable[[DataFrame, int], None]]], checkpoint: str, minutes: int = 15, once: bool = False):

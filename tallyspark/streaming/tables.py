@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MANIFEST = "version long, batch long, bucket int, folder string, schema string"
+_MANIFEST = "version long, batch long, bucket int, folder string, keys array<string>, ordered_by string, schema string"
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,15 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str, buckets: int = 16, deltas: int = 8):
         self.spark, self.path, self.keys, self.order, self.buckets, self.deltas = spark, path.rstrip("/"), keys, order, buckets, deltas
 
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> KeyedTable:
+        """The table in a folder, with the keys and the order that its last manifest names."""
+        m = cls(spark, path, [], "")._manifests()
+        row = None if m is None else m.orderBy(F.desc("version")).select("keys", "ordered_by").first()
+        if row is None:
+            raise ValueError(f"no table in {path}")
+        return cls(spark, path, list(row["keys"]), row["ordered_by"])
+
     # ---- manifests
 
     def _manifests(self) -> DataFrame | None:
@@ -87,7 +96,8 @@ class KeyedTable:
         return Version(number, rows[0].batch, T.StructType.fromJson(json.loads(rows[0].schema)), folders)
 
     def _commit(self, v: Version) -> None:
-        rows = [(v.number, v.batch, b, f, v.schema.json()) for b, fs in v.folders.items() for f in fs] or [(v.number, v.batch, -1, None, v.schema.json())]
+        places = [(b, f) for b, fs in v.folders.items() for f in fs] or [(-1, None)]
+        rows = [(v.number, v.batch, b, f, self.keys, self.order, v.schema.json()) for b, f in places]
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("error").json(f"{self.path}/manifests/{v.number:012d}")
 
     # ---- rows

@@ -70,5 +70,7 @@ def test_schemas_grow_and_never_drop_rows(spark, tmp_path):
     assert t.read().count() == 101
     empty = spark.createDataFrame([], "k long, v long")
     assert t.upsert(empty, 4) == 3 and t.read().count() == 101
+    with pytest.raises(ValueError, match="no table"):
+        KeyedTable.at(spark, f"file://{tmp_path}/none")
     first = KeyedTable(spark, f"file://{tmp_path}/none", ["k"], "v")
     assert first.upsert(empty, 0) == 0 and first.read().count() == 0 and first.read().columns == ["k", "v"]
