@@ -448,7 +448,29 @@ def stmt_extra(t):
     return statements.extra(t["bank_statement_rows"], t["transactions"])
 
 
-@_query()
+_STANDS = lambda r, x: f"coalesce(regexp_matches({r}, '^[A-Za-z0-9]{{6,}}$') AND regexp_matches(' ' || {x} || ' ', '[^A-Za-z0-9]' || {r} || '[^A-Za-z0-9]'), false)"
+_STRONG = f"({_STANDS('tr', 'st')} OR {_STANDS('sr', 'tt')})"
+_MET = f"""SELECT stmt_idx, id, off, sr IS NOT NULL AND tr IS NOT NULL AND sr = tr AS same, abs(off) <= 1 AND CASE WHEN coalesce(sr = tr, false) THEN true WHEN coalesce(sb <> tb, false) THEN false WHEN sr IS NULL OR tr IS NULL THEN true WHEN off <> 0 THEN false ELSE {_STRONG} END AS fits, abs(off) <= 1 AND {_STRONG} AS strong, who
+    FROM (SELECT r.stmt_idx, t.id, coalesce(date_diff('day', r.date, t.transaction_date), 99) AS off, nullif(trim(r.reference_number), '') AS sr, nullif(trim(t.reference_number), '') AS tr, r.narration AS st, coalesce(t.raw_description, t.counterparty) AS tt, r.balance AS sb, t.balance AS tb, nullif(trim(coalesce(r.narration, '')), '') AS who
+      FROM bank_statement_rows r JOIN transactions t ON t.account_id = r.account_id AND t.direction = r.direction AND t.amount = r.amount) WHERE abs(off) <= 1 OR sr = tr"""
+
+
+def _pass(k: int, status: str, offset: int) -> str:
+    """One date pass over p{k}, as windows over a statement row (mine) or a stored row (its)."""
+    mine, its = "OVER (PARTITION BY stmt_idx)", "OVER (PARTITION BY id)"
+    return f"""
+    a{k} AS (SELECT *, open AND off = {offset} AS h0 FROM p{k}), b{k} AS (SELECT *, h0 AND (strong OR NOT bool_or(h0 AND strong) {mine}) AS h FROM a{k}), c{k} AS (SELECT *, h AND count(*) FILTER (WHERE h) {mine} = 1 AS sole FROM b{k}),
+    d{k} AS (SELECT *, sole AND (held OR stmt_idx = min(CASE WHEN sole THEN stmt_idx END) {its}) AS pick FROM c{k}), e{k} AS (SELECT *, bool_or(pick) {its} OR bool_or(pick) {mine} AS out_ FROM d{k}),
+    p{k + 1} AS (SELECT stmt_idx, id, off, same, fits, strong, held, open AND NOT out_ AS open, CASE WHEN pick AND NOT held THEN '{status}' ELSE status END AS status FROM e{k})"""
+
+
+@_query(f"""SELECT * FROM (WITH m AS ({_MET}), t0 AS (SELECT *, same AND count(*) FILTER (WHERE same) OVER (PARTITION BY stmt_idx) = 1 AND count(*) FILTER (WHERE same) OVER (PARTITION BY id) = 1 AS told FROM m),
+    t1 AS (SELECT *, bool_or(told) OVER (PARTITION BY id) AS gone, fits AND NOT bool_or(told) OVER (PARTITION BY stmt_idx) AS live FROM t0), t2 AS (SELECT *, CASE WHEN live THEN coalesce(who, '') END AS lw FROM t1),
+    p0 AS (SELECT stmt_idx, id, off, same, fits, strong, count(*) FILTER (WHERE live) OVER (PARTITION BY id) > 1 AND NOT coalesce(min(lw) OVER (PARTITION BY id) = max(lw) OVER (PARTITION BY id) AND max(lw) OVER (PARTITION BY id) <> '', false) AS held, live AND NOT gone AS open, CASE WHEN told THEN 'reference' END AS status FROM t2),
+    {_pass(0, 'date', 0)}, {_pass(1, 'date-1', -1)}, {_pass(2, 'date+1', 1)},
+    f AS (SELECT stmt_idx, max(status) AS status, max(CASE WHEN status IS NOT NULL THEN id END) AS id, bool_or(fits OR same) AS known FROM p3 GROUP BY 1),
+    o AS (SELECT DISTINCT r.stmt_idx FROM bank_statement_rows r JOIN transactions t ON t.account_id = r.account_id AND t.direction = r.direction AND trim(t.reference_number) = trim(r.reference_number) WHERE trim(r.reference_number) <> '' AND coalesce(t.amount <> r.amount, true))
+    SELECT r.stmt_idx, f.id, coalesce(f.status, CASE WHEN f.known OR o.stmt_idx IS NOT NULL THEN 'ambiguous' ELSE 'missing' END) AS status FROM bank_statement_rows r LEFT JOIN f ON f.stmt_idx = r.stmt_idx LEFT JOIN o ON o.stmt_idx = r.stmt_idx)""")
 def stmt_reconcile(t):
     return statements.reconcile(t["bank_statement_rows"], t["transactions"])
 

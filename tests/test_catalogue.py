@@ -31,7 +31,7 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(QUERIES) - set(SQL) == {"stmt_reconcile", "card_reconcile", "portfolio_disposals", "disposal_resolution", "pii_redact", "portfolio_tokens", "names_redacted"}
+    assert set(QUERIES) - set(SQL) == {"card_reconcile", "portfolio_disposals", "disposal_resolution", "pii_redact", "portfolio_tokens", "names_redacted"}
 
 
 def test_scopes_partition_all_rows(spark, sf):
