@@ -56,6 +56,7 @@ def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -520,7 +521,7 @@ def test_same_rows_as_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in cur.description]
