@@ -18,8 +18,9 @@ codebooks alone (parts x entries).  The trees lie in a table in the shared folde
 
 Defined results: rows whose vector is null or holds a null or non-finite component are left out; the codebooks start with the
 ``entries`` smallest ids (null ids last, equal ids by vector, repeated rows each count), with fewer rows there are fewer
-entries; an entry that no part chose stays.  An empty table gives an empty table.  Vectors of different lengths, of a length that
-the parts don't divide, and components so large that a squared distance leaves 64 bits are refused.  Extra columns are kept; one
+entries; an entry that no part chose stays.  Vectors of another length than most have (at a tie the longer) can't be cut like
+these and are left out, too, as are empty ones.  An empty table gives an empty table.  A length that the parts don't divide
+and components so large that a squared distance leaves 64 bits are refused.  Extra columns are kept; one
 with the name of an output column gives way to it.
 """
 
@@ -334,15 +335,17 @@ def quantize(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     keep = without([c for c in rows.columns if c != vector] if keep is None else keep, ["codes", "error"])
     schema = rows.select(*keep).schema.add("codes", T.ArrayType(T.IntegerType(), False), False).add("error", "long", False)
     good = finite_vectors(rows, vector)
-    least, most = good.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
-    if least is None:
+    common = good.groupBy(F.size(vector).alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d > 0").orderBy(F.desc("n"), F.desc("d")).first()
+    if common is None:
         return rows.sparkSession.createDataFrame([], schema), np.zeros((parts, 0, 0), np.int64)
-    if least != most or least % parts:
-        raise ValueError(f"vectors of {least} to {most} components can't be cut into {parts} equal parts")
+    dims = common["d"]
+    if dims % parts:
+        raise ValueError(f"vectors of {dims} components can't be cut into {parts} equal parts")
+    good = good.where(F.size(vector) == dims)
     first = good.orderBy(F.col(id_col).asc_nulls_last(), vector).select(vector).limit(entries).collect()
-    width = least // parts
+    width = dims // parts
     books = _integers(np.array([r[0] for r in first], np.float64), width).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
-    trees = tree_blocks(good, vector, parts, least, keep)
+    trees = tree_blocks(good, vector, parts, dims, keep)
     for _ in range(rounds):
         books = _moved(trees, books)
     return _coded(trees, books, keep, schema), books

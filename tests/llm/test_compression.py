@@ -92,9 +92,10 @@ def test_code_tables_that_are_empty_small_or_uneven(spark):
     assert coded.collect() == [] and books.size == 0 and coded.columns == ["vec_id", "codes", "error"]
     few, books = anchor_codes.quantize(spark.createDataFrame([(2, [1.0] * 16), (1, [0.5] * 16)], "vec_id long, embedding array<double>"))
     assert books.shape == (16, 2, 1) and [(r.vec_id, r.codes[0], r.error) for r in few.orderBy("vec_id").collect()] == [(1, 0, 0), (2, 1, 0)]
-    for bad in ([(1, [1.0] * 15)], [(1, [1.0] * 16), (2, [1.0] * 32)]):
-        with pytest.raises(ValueError, match="equal parts"):
-            anchor_codes.quantize(spark.createDataFrame(bad, "vec_id long, embedding array<float>"))
+    with pytest.raises(ValueError, match="equal parts"):
+        anchor_codes.quantize(spark.createDataFrame([(1, [1.0] * 15)], "vec_id long, embedding array<float>"))
+    mixed, books = anchor_codes.quantize(spark.createDataFrame([(1, [1.0] * 16), (2, [1.0] * 32), (3, []), (4, [2.0] * 16)], "vec_id long, embedding array<float>"))
+    assert sorted(r.vec_id for r in mixed.collect()) == [1, 4] and books.shape == (16, 2, 1)
 
 
 # ---- byte-level BPE through the library
