@@ -148,7 +148,7 @@ def random_rows(seed, n_stored, n_messages, amounts=(500, 900), minutes=90):
     return [event() | {"id": i, "source": rnd.choice(["sms", "email", "sms+email"])} for i in range(1, n_stored + 1)], [event() | {"seq": 7 + 3 * i, "by_email": rnd.random() < 0.5} for i in range(n_messages)]
 
 
-@pytest.mark.parametrize("seed,stored,messages,amounts,minutes", [(1, 6, 12, (500, 900), 60), (3, 40, 70, tuple(range(100, 170)), 30)])
+@pytest.mark.parametrize("seed,stored,messages,amounts,minutes", [(1, 5, 9, (500, 900), 60), (3, 40, 70, tuple(range(100, 170)), 30)])
 def test_rounds_equal_one_by_one(spark, seed, stored, messages, amounts, minutes):
     s, m = random_rows(seed, stored, messages, amounts, minutes)
     got = batches.merge_batch(table(spark, m, INCOMING)[0], table(spark, s, STORED)[0], TYPES)
