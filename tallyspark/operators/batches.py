@@ -10,8 +10,8 @@ its reference come that row's places.  Of two messages that share a reference or
 where it can matter: a message without a time, or on a day with a row without a time, reaches all messages of that day.
 So a wait is at most the number of messages about one amount within half an hour, or in one day without times.
 
-Each round is written to a table in the shared folder (``spark.checkpoint.dir``), which cuts its lineage; a lost executor costs
-a round at most.
+Each round is written to tables in the shared folder (``spark.checkpoint.dir``), which cuts its lineage; a lost executor costs
+a round at most.  The result is read from those tables later, so they stay until whoever reads it deletes them.
 """
 
 from __future__ import annotations
