@@ -164,7 +164,7 @@ def test_both_messages_of_one_event_are_one_row(spark):
 
     base = {"bank": "b", "direction": "debit", "amount": Decimal(500), "currency": "INR", "transaction_date": dt.date(2024, 1, 2), "transaction_time_s": 36000, "received_time": False, "counterparty": "Shop", "account_mask": None, "reference_number": None, "balance": None, "email_type": "other"}
     m = [base | {"seq": 1, "by_email": False}, base | {"seq": 2, "by_email": True, "transaction_time_s": 35990, "reference_number": "R9"}]
-    m += [x | {"seq": x["seq"] + 10 * k, "amount": Decimal(500 + k), "reference_number": x["reference_number"] and f"R{k}"} for k in range(1, 30) for x in m[:2]]
+    m += [x | {"seq": x["seq"] + 10 * k, "amount": Decimal(500 + k), "reference_number": x["reference_number"] and f"Q{k}"} for k in range(1, 30) for x in m[:2]]
     got = batches.merge_batch(table(spark, m, INCOMING)[0], table(spark, [], STORED)[0])
     rows = got.table.collect()
     assert len(rows) == 30 and {r.source for r in rows} == {"sms+email"} and len({r.reference_number for r in rows}) == 30 and got.rounds == 2
