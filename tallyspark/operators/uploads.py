@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import mask_digits, mask_matches, normalize_mask, paise, parse_amount, parse_day_first, trailing_digits
+from tallyspark.operators.linking import by_shape
 
 
 def last_four(c: Column) -> Column:
@@ -78,14 +79,27 @@ def account_of_mask(statements: DataFrame, accounts: DataFrame, cards: DataFrame
     own = accounts.where((F.col("type") == "credit_card") & F.coalesce("active", F.lit(True)))
     known = stored_masks(own, cards.join(own.select(F.col("id").alias("_o")), F.col("account_id") == F.col("_o"), "left_semi"))
     known = known.where(trailing_digits(F.col("mask")) > 0).join(own.select(F.col("id").alias("_i"), F.col("bank").alias("_bank")), F.col("account_id") == F.col("_i"))
-    s = statements.select("id", "bank", normalize_mask(F.col("mask")).alias("_sm")).where(trailing_digits(F.col("_sm")) > 0)
-    # two masks that end in digits agree only if their last digits do
-    hit = s.join(known, (F.col("bank") == F.col("_bank")) & (F.right("_sm", F.lit(1)) == F.right("mask", F.lit(1))) & mask_matches(F.col("_sm"), F.col("mask")))
-    g = hit.groupBy(F.col("id").alias("_s")).agg(F.countDistinct("account_id").cast("bigint").alias("matches"), F.min("account_id").alias("_only"))
-    out = statements.select("id").join(g, F.col("id") == F.col("_s"), "left")
+    # what statements ask is their bank and mask: each pair of them is looked up once, by the digits that both shapes show
+    shown = normalize_mask(F.col("mask"))
+    s = statements.select("id", "bank", shown.alias("_sm"), (trailing_digits(shown) > 0).alias("_can"))
+    ask = s.where("_can").select(F.col("bank").alias("bank_key"), F.col("_sm").alias("mask")).distinct()
+    stored = known.select(F.col("_bank").alias("sb"), "account_id", F.col("mask").alias("stored"))
+    hit = by_shape(ask, stored).where(mask_matches(F.col("mask"), F.col("stored")))
+    g = hit.groupBy(_asked(F.col("bank_key"), F.col("mask")).alias("_g")).agg(F.countDistinct("account_id").cast("bigint").alias("matches"), F.min("account_id").alias("_only"))
+    out = s.withColumn("_k", F.when(F.col("_can"), _asked(F.col("bank"), F.col("_sm"))).otherwise(_nothing())).join(g, F.col("_k") == F.col("_g"), "left")
     return out.select("id", F.when(F.col("matches") == 1, F.col("_only")).alias("account_id"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def _asked(bank: Column, shown: Column) -> Column:
+    """A bank and what a statement shows of a number as one text; null where either is."""
+    return F.concat(bank, F.lit("\1"), shown)
+
+
+def _nothing() -> Column:
+    """A key that nothing has, another one for every id, so that rows that ask nothing spread over all tasks."""
+    return F.concat(F.lit("\2"), F.col("id").cast("string"))
+
+
 def refuted(statements: DataFrame, accounts: DataFrame, cards: DataFrame) -> DataFrame:
     """(id, refuted) of statements with an account: whether a visible digit of the mask contradicts every stored mask."""
     known = stored_masks(accounts, cards).withColumnRenamed("account_id", "_a")
