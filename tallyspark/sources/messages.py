@@ -6,6 +6,7 @@ import email
 import email.message
 import email.policy
 import email.utils
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,7 +42,7 @@ def parsed_mail(files: DataFrame) -> DataFrame:
                 out.append((path, _header(m, "Message-ID"), _header(m, "From"), _header(m, "Subject"), _sent_at(m), body, names))
             yield pd.DataFrame(out, columns=["path", "message_id", "sender", "subject", "received_at", "body", "attachments"]).astype({"received_at": "datetime64[ns]"})
 
-    return files.select("path", "content").mapInPandas(parse, "path string, " + MAIL)
+    return _dealt(files).mapInPandas(parse, "path string, " + MAIL)
 
 
 def mail_attachments(files: DataFrame) -> DataFrame:
@@ -50,19 +51,54 @@ def mail_attachments(files: DataFrame) -> DataFrame:
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for path, raw in zip(f["path"], f["content"]):  # a frame a mail: attachments are large
+            out, held = [], 0
+            for path, raw in zip(f["path"], f["content"]):
                 m = _message(raw)
-                out = [] if m is None else [(path, i, name, kind, len(data), data) for i, (name, kind, data) in enumerate(_attachments(m))]
-                yield pd.DataFrame(out, columns=["path", "part", "name", "content_type", "size", "content"])
+                for i, (name, kind, data) in enumerate([] if m is None else _attachments(m)):
+                    out.append((path, i, name, kind, len(data), data))
+                    held += len(data)
+                if held > FRAME_BYTES:  # attachments can be large
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
+
+    columns = ["path", "part", "name", "content_type", "size", "content"]
+    return _dealt(files).mapInPandas(parse, "path string, part int, name string, content_type string, size long, content binary")
+
+
+#: Attachments that a task holds before it passes them on.
+FRAME_BYTES = 4 << 20
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """(path, content) of mail files dealt evenly over tasks: reading a mail costs far more than its bytes, and few splits of a table
+    can hold very many mails."""
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.select("path", "content").repartition(n, "path")
+
+
+class _Policy(email.policy.EmailPolicy):
+    """The default policy that keeps the last headers it has read: a part's are asked for several times, and mails of one sender
+    have many alike."""
+
+    def header_fetch_parse(self, name, value):
+        return value if hasattr(value, "name") else (_read_header if len(value) <= 500 else _read_header.__wrapped__)(name, value)
+
+
+@functools.lru_cache(maxsize=4096)
+def _read_header(name: str, value: str):
+    return email.policy.default.header_fetch_parse(name, value)
+
 
-    return files.select("path", "content").mapInPandas(parse, "path string, part int, name string, content_type string, size long, content binary")
+_POLICY = _Policy()
 
 
 def _message(raw: bytes | None) -> email.message.EmailMessage | None:
     """A mail, or None where the bytes have no header of one."""
     if not raw:
         return None
-    m = email.message_from_bytes(raw, policy=email.policy.default)
+    m = email.message_from_bytes(raw, policy=_POLICY)
     return m if m.keys() else None
 
 

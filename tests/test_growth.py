@@ -36,3 +36,22 @@ def test_card_statements_that_show_alike_are_looked_up_once(spark):
     assert _most_rows(spark, df, "Join") <= 3000
     got = {r["id"]: (r["account_id"], r["matches"]) for r in df.collect()}
     assert (len(got), got[0], got[1], got[2]) == (3000, (None, 4), (5, 1), (None, 0))
+
+
+@pytest.mark.parametrize("read", [messages.parsed_mail, messages.mail_attachments])
+def test_mails_of_one_split_are_dealt_over_tasks(spark, read):
+    raw = b"From: a@b.test\r\nSubject: s\r\nContent-Type: application/pdf; name=a.pdf\r\nContent-Disposition: attachment; filename=a.pdf\r\n\r\nx"
+    files = spark.range(0, 400, 1, 1).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit(raw).alias("content"))
+    rows = read(files).select("path", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == 400 and len({r["p"] for r in rows}) > 1
+
+
+def test_a_header_is_read_once(monkeypatch):
+    calls = []
+    messages._read_header.cache_clear()
+    default = email.policy.default.header_factory
+    monkeypatch.setattr(type(default), "__call__", lambda self, name, value, f=type(default).__call__: calls.append(name) or f(self, name, value))
+    m = messages._message(b"Content-Type: application/pdf; name=a.pdf\r\nContent-Disposition: attachment; filename=a.pdf\r\n\r\nx")
+    for _ in range(5):
+        messages._attachments(m)
+    assert calls.count("Content-Disposition") == 1
