@@ -7,6 +7,7 @@ import email.message
 import email.policy
 import email.utils
 import functools
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,8 +103,17 @@ def _message(raw: bytes | None) -> email.message.EmailMessage | None:
     return m if m.keys() else None
 
 
+_ATOMS = r"[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*"
+#: Header values that stand for themselves, for which the parser of headers isn't needed.
+_PLAIN = {"From": re.compile(_ATOMS), "Message-ID": re.compile(f"<{_ATOMS}>"), "Subject": re.compile(r"(?!.*=\?)[!-~]+(?: [!-~]+)*")}
+
+
 def _header(m: email.message.EmailMessage | None, name: str) -> str | None:
     try:
+        plain = _PLAIN.get(name)
+        raw = None if m is None or plain is None else next((v for k, v in m.raw_items() if k.lower() == name.lower()), None)
+        if isinstance(raw, str) and plain.fullmatch(raw):
+            return raw
         value = None if m is None else m[name]
         return None if value is None else str(value).encode("utf-8", "replace").decode()
     except Exception:  # noqa: BLE001  (the parser of a header that is none fails in many ways)

@@ -46,6 +46,21 @@ def test_mails_of_one_split_are_dealt_over_tasks(spark, read):
     assert len(rows) == 400 and len({r["p"] for r in rows}) > 1
 
 
+HEADERS = ["u1@bank.test", "<m.1@x>", "Statement 7", "a  b", " lead", "trail ", "=?utf-8?q?caf=C3=A9?=", "x =?utf-8?b?w6k=?= y", "A B <a@b.c>", "a=b? c", "caf\xe9", "a.@b", '"q" <x@y>', "a@b, c@d", "(c) a@b", "\x07", "tab\there", "<>", "@", ""]
+
+
+def test_headers_read_as_the_default_policy_reads_them():
+    for v in HEADERS:
+        for name in ("From", "Subject", "Message-ID"):
+            raw = f"{name}: {v}\r\nX-Y: z\r\n\r\nbody".encode()
+            want = email.message_from_bytes(raw, policy=email.policy.default)
+            try:
+                want = str(want[name]).encode("utf-8", "replace").decode()
+            except Exception:  # noqa: BLE001
+                want = None
+            assert messages._header(messages._message(raw), name) == want, (name, v)
+
+
 def test_a_header_is_read_once(monkeypatch):
     calls = []
     messages._read_header.cache_clear()
