@@ -28,8 +28,9 @@ def rarest(patterns: DataFrame, texts: DataFrame, pattern: str, text: str, q: in
     return own.join(seen, F.col("_g") == F.col("_t"), "left").groupBy("_p").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
 
 
-def containing(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, q: int = Q) -> DataFrame:
-    """Rows of ``texts`` joined with each row of ``patterns`` whose pattern (not empty) stands in the text."""
+def containing(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, q: int = Q, by: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of ``texts`` joined with each row of ``patterns`` whose pattern (not empty) stands in the text; with ``by`` those
+    alone whose columns of these names are equal."""
     keyed = rarest(patterns, texts, pattern, text, q)
     long = patterns.join(keyed, F.col(pattern) == F.col("_p")).drop("_p")
     short = [patterns.where(F.length(pattern) == k).withColumn("_g", F.col(pattern)) for k in range(1, q)]
@@ -39,4 +40,5 @@ def containing(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, q
     wanted = index.select(F.col("_g").alias("_w")).distinct()
     each = F.flatten(F.array(*[grams(F.col(text), k) for k in range(1, q + 1)]))
     asked = texts.withColumn("_t", F.explode(each)).join(wanted, F.col("_t") == F.col("_w"), "left_semi")
-    return asked.join(index, F.col("_t") == F.col("_g")).where(F.col(text).contains(F.col(pattern))).drop("_t", "_g")
+    same = F.col(by[0]) == F.col(by[1]) if by else F.lit(True)
+    return asked.join(index, (F.col("_t") == F.col("_g")) & same).where(F.col(text).contains(F.col(pattern))).drop("_t", "_g")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.expressions import mask_digits, mask_matches, normalize_mask, paise, parse_amount, parse_day_first, trailing_digits
 from tallyspark.operators.linking import by_shape
+from tallyspark.operators.substrings import containing
 
 
 def last_four(c: Column) -> Column:
@@ -125,12 +126,16 @@ def bank_account_of(statements: DataFrame, accounts: DataFrame) -> DataFrame:
     """(id, account_id) of bank statements: the first active account of the bank with their last four digits, or that holds the
     shorter number shown; else the bank's only account."""
     own = accounts.where((F.col("type") == "bank_account") & F.col("active")).select(F.col("id").alias("_a"), F.col("bank").alias("_b"), last_four_digits(F.col("account_number")).alias("_l4"), F.col("account_number").alias("_n"))
-    s = statements.select("id", "bank", last_four_digits(F.col("mask")).alias("_s4"), F.col("mask").alias("_m"))
-    full = s.where("_s4 is not null").join(own, (F.col("bank") == F.col("_b")) & (F.col("_s4") == F.col("_l4")))
-    part = s.where("_s4 is null and _m <> ''").join(own, (F.col("bank") == F.col("_b")) & F.col("_n").contains(F.col("_m")))
-    first = full.select("id", "_a").unionByName(part.select("id", "_a")).groupBy(F.col("id").alias("_s")).agg(F.min("_a").alias("_first"))
-    sole = own.groupBy(F.col("_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_k"), F.min("_a").alias("_sole")).where("_k = 1")
-    return s.join(first, F.col("id") == F.col("_s"), "left").join(sole, F.col("bank") == F.col("_sb"), "left").select("id", F.coalesce("_first", "_sole").alias("account_id"))
+    # each bank and number shown is looked up once: four digits by equality, a shorter number by the q-grams of accounts' numbers
+    four, short = last_four_digits(F.col("mask")), F.nullif(F.col("mask"), F.lit(""))
+    s = statements.select("id", "bank", four.alias("_s4"), F.when(four.isNull(), short).alias("_m"))
+    s = s.withColumn("_k", F.coalesce(_asked(F.col("bank"), F.concat(F.lit("="), F.col("_s4"))), _asked(F.col("bank"), F.concat(F.lit("~"), F.col("_m"))), _nothing()))
+    full = own.where("_l4 is not null").select(_asked(F.col("_b"), F.concat(F.lit("="), F.col("_l4"))).alias("_g"), "_a")
+    ask = s.where("_m is not null").select(F.col("bank").alias("_mb"), "_m").distinct()
+    part = containing(own.where("_n is not null").select("_a", "_b", "_n"), "_n", ask, "_m", by=("_b", "_mb")).select(_asked(F.col("_b"), F.concat(F.lit("~"), F.col("_m"))).alias("_g"), "_a")
+    first = full.unionByName(part).groupBy("_g").agg(F.min("_a").alias("_first"))
+    sole = own.groupBy(F.col("_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_k1"), F.min("_a").alias("_sole")).where("_k1 = 1")
+    return s.join(first, F.col("_k") == F.col("_g"), "left").join(sole, F.col("bank") == F.col("_sb"), "left").select("id", F.coalesce("_first", "_sole").alias("account_id"))
 
 
 # ---- stored reconciliations

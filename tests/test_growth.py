@@ -38,6 +38,15 @@ def test_card_statements_that_show_alike_are_looked_up_once(spark):
     assert (len(got), got[0], got[1], got[2]) == (3000, (None, 4), (5, 1), (None, 0))
 
 
+def test_bank_statements_that_show_alike_are_looked_up_once(spark):
+    accounts = spark.range(400).select("id", F.lit("hdfc").alias("bank"), F.lit("bank_account").alias("type"), F.lpad(F.col("id").cast("string"), 10, "0").alias("account_number"), F.lit(True).alias("active"))
+    s = spark.range(3000).select("id", F.lit("hdfc").alias("bank"), F.when(F.col("id") % 3 == 0, "X123").when(F.col("id") % 3 == 1, "XX0005").otherwise("123").alias("mask"))
+    df = uploads.bank_account_of(s, accounts)
+    assert _most_rows(spark, df, "Join") < 30_000
+    got = {r["id"]: r["account_id"] for r in df.collect()}
+    assert (len(got), got[0], got[1], got[2]) == (3000, None, 5, 123)
+
+
 @pytest.mark.parametrize("read", [messages.parsed_mail, messages.mail_attachments])
 def test_mails_of_one_split_are_dealt_over_tasks(spark, read):
     raw = b"From: a@b.test\r\nSubject: s\r\nContent-Type: application/pdf; name=a.pdf\r\nContent-Disposition: attachment; filename=a.pdf\r\n\r\nx"
