@@ -49,19 +49,27 @@ def fuzzy_candidates(incoming: DataFrame, stored: DataFrame, slots: bool = False
     day = F.unix_date(F.col("transaction_date"))
     dates = day.between(F.floor((at - own) / 86400), F.floor((at + own) / 86400))
     near = F.when(F.col("i_transaction_time_s").isNull(), F.col("transaction_date") == F.col("i_transaction_date")).otherwise(dates & F.coalesce(F.abs(at - other) <= window, F.lit(True)))
-    m, n = normalize_mask(F.col("i_account_mask")), normalize_mask(F.col("account_mask"))
-    hits = i.join(s, keys & near).where((m == "") | (n == "") | mask_matches(m, n)).withColumn("cp", counterparty_match(F.col("counterparty"), F.col("i_counterparty")))
-    w = Window.partitionBy("i_seq")
-    untimed = F.bool_or(F.col("transaction_time_s").isNull() | F.col("i_transaction_time_s").isNull()).over(w)
-    seen = hits.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_cp", F.bool_or("cp").over(w)).withColumn("_untimed", untimed)
+    # what pairs compare is made once a row
+    told = "identifies_by" in incoming.columns and "identifies_by" in stored.columns
+    card = lambda p, m=normalize_mask: F.when((F.col(f"{p}identifies_by") == "card_mask") & (trailing_digits(m(F.col(f"{p}card_mask"))) > 0), m(F.col(f"{p}card_mask")))
+    made = lambda df, p: df.withColumns({f"_{p}mask": normalize_mask(F.col(f"{p}account_mask")), f"_{p}name": normalize_counterparty(F.col(f"{p}counterparty")), **({f"_{p}card": card(p)} if told else {})})
+    i, s = made(i, "i_"), made(s, "")
+    m, n = F.col("_i_mask"), F.col("_mask")
+    x, y = F.col("_name"), F.col("_i_name")
+    cp = (x != "") & (y != "") & (x.contains(y) | y.contains(x))
     # without a time: by counterparty, else by the card that both say shows the event, else where both say that nothing does
-    tier = F.when(F.col("cp"), 3)
-    if "identifies_by" in incoming.columns and "identifies_by" in stored.columns:
-        m, n = normalize_mask(F.col("i_card_mask")), normalize_mask(F.col("card_mask"))
-        by_card = (F.col("identifies_by") == "card_mask") & (F.col("i_identifies_by") == "card_mask") & (trailing_digits(m) > 0) & (trailing_digits(n) > 0) & mask_matches(m, n)
+    tier = F.when(cp, 3)
+    if told:
+        a, b = F.col("_i_card"), F.col("_card")
+        by_card = (F.right(a, F.lit(1)) == F.right(b, F.lit(1))) & mask_matches(a, b)  # both end in a digit
         tier = tier.when(F.coalesce(by_card, F.lit(False)), 2).when((F.col("identifies_by") == "none") & (F.col("i_identifies_by") == "none"), 1)
-    seen = seen.withColumn("_tier", tier.otherwise(0)).withColumn("_best", F.max("_tier").over(w))
-    rule = F.when(F.col("_untimed"), (F.col("_tier") > 0) & (F.col("_tier") == F.col("_best"))).when((F.col("_n") > 1) & F.col("_cp"), F.col("cp")).otherwise(F.lit(True))
+    tier = tier.otherwise(0)
+    untimed = F.col("transaction_time_s").isNull() | F.col("i_transaction_time_s").isNull()
+    pairs = lambda asked: asked.join(s, keys & near).where((m == "") | (n == "") | mask_matches(m, n))
+    # pairs are told twice and never shuffled: added up a message where they meet, then kept by what their message has
+    tally = pairs(i).groupBy(F.col("i_seq").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(cp).alias("_cp"), F.bool_or(untimed).alias("_untimed"), F.max(tier).alias("_best"))
+    seen = pairs(i.join(tally, F.col("i_seq").eqNullSafe(F.col("_q"))))
+    rule = F.when(F.col("_untimed"), (F.col("_best") > 0) & (tier == F.col("_best"))).when((F.col("_n") > 1) & F.col("_cp"), cp).otherwise(F.lit(True))
     own = [F.col("source").isin("sms+email") | (F.col("source") == F.when(F.col("i_by_email"), "email").otherwise("sms"))] if slots else []
     return seen.where(rule).select(F.col("i_seq").alias("seq"), "id", F.col("i_balance").alias("balance_in"), "balance", *[(~F.coalesce(x, F.lit(False))).alias("open") for x in own])
 

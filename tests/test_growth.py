@@ -79,3 +79,11 @@ def test_a_header_is_read_once(monkeypatch):
     for _ in range(5):
         messages._attachments(m)
     assert calls.count("Content-Disposition") == 1
+
+
+def test_pairs_of_untimed_messages_are_not_shuffled(spark):
+    s = spark.range(1000).select("id", F.lit("hdfc").alias("bank"), F.lit("debit").alias("direction"), F.lit(1).alias("amount"), F.lit("INR").alias("currency"), F.lit("2024-01-01").cast("date").alias("transaction_date"), F.lit(5).alias("transaction_time_s"), F.lit(False).alias("received_time"), F.concat(F.lit("c"), (F.col("id") % 50).cast("string"), F.lit("x")).alias("counterparty"), F.lit(None).cast("string").alias("account_mask"), F.lit(None).cast("int").alias("balance"))
+    i = s.where("id % 2 = 0").withColumn("transaction_time_s", F.lit(None).cast("int")).withColumnRenamed("id", "seq")
+    df = matching.fuzzy_candidates(i, s).select("seq", "id")
+    assert df.count() == 500 * 20
+    assert _most_rows(spark, df, "Sort") == 0 and "Window" not in df._jdf.queryExecution().executedPlan().toString()
