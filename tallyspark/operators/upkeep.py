@@ -150,10 +150,12 @@ def recent_runs(log: DataFrame, limit: int = 50, operation: str | None = None, s
 
 def landing(rows: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of a bulk load that land: the first of each key, unless the key is stored."""
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
-    known = stored.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return first.join(known, on, "left_anti")
+    # stored keys stand before the rows of theirs, so that one sort finds both
+    both = rows.withColumn("_stored", F.lit(False)).unionByName(stored.select(*keys).withColumn("_stored", F.lit(True)), allowMissingColumns=True)
+    # by hash first: most comparisons of a sort end there
+    w = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(F.col("_stored").desc(), order)
+    kinds = dict(rows.dtypes)
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1 and not _stored").select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns])
 
 
 def repaired(txns: DataFrame) -> DataFrame:

@@ -87,3 +87,11 @@ def test_pairs_of_untimed_messages_are_not_shuffled(spark):
     df = matching.fuzzy_candidates(i, s).select("seq", "id")
     assert df.count() == 500 * 20
     assert _most_rows(spark, df, "Sort") == 0 and "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landing_needs_no_join_and_keeps_nulls_and_types(spark):
+    rows = spark.createDataFrame([(1, "a", 9), (2, "a", 9), (3, None, 9), (4, None, 8), (5, "b", None), (6, "c", 1)], "raw_id bigint, k string, n int")
+    stored = spark.createDataFrame([(None, 9), ("c", 1), ("c", 1), ("z", 1)], "k string, n bigint")
+    df = upkeep.landing(rows, stored, ["k", "n"], "raw_id")
+    assert dict(df.dtypes) == dict(rows.dtypes) and sorted(r["raw_id"] for r in df.collect()) == [1, 4, 5]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
