@@ -158,7 +158,7 @@ _COLS = "bank, direction, amount, currency, transaction_date, transaction_time_s
     SELECT seq, path, action, CASE WHEN action = 'insert' THEN fresh ELSE id END AS id, reason FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) JOIN n USING (seq))""")
 def batch_merged(t):
     """A batch that holds the text message and the e-mail of events that aren't stored."""
-    s = t["transactions"]
+    s = t.sorted_with("customer")["transactions"]
     own = s.where("id % 5 = 0").withColumns({"received_time": F.lit(False), "account_mask": F.lit(None).cast("string"), "reference_number": F.lit(None).cast("string"), "balance": F.lit(None).cast("decimal(12,2)")})
     own = own.select("id", *_COLS.split(", "))
     sms = own.withColumn("seq", F.col("id") * 2).withColumn("by_email", F.lit(False))

@@ -172,6 +172,13 @@ class FinanceTables:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
+    def sorted_with(self, name: str) -> FinanceTables:
+        """The same tables, of which this one is joined by sorting however small its files look, and never comes whole to the driver
+        (a table of few columns in well packed files is a multiple of them there)."""
+        out = FinanceTables(self.spark, self.sf_dir)
+        out._made[name] = self[name].hint("merge")
+        return out
+
 
 def oracle(sql: str) -> str:
     """``sql`` for DuckDB with the views it names (directly or through others) in front."""

@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tallyspark.operators import batches, matching
+from tallyspark.plans import merging
 from tests.test_batches import INCOMING, STORED, TYPES, one_by_one, random_rows, table
 
 BASE = {"bank": "b", "direction": "debit", "amount": Decimal(500), "currency": "INR", "transaction_date": dt.date(2024, 1, 2), "transaction_time_s": 36000, "received_time": False, "counterparty": "Shop", "account_mask": None, "reference_number": None, "balance": None, "email_type": "other"}
@@ -72,3 +73,13 @@ def test_lone_messages_are_decided_as_by_the_joins(spark):
     changed = matching.applied(stored.drop("source", "received_time"), incoming, matching.changes(incoming, stored, want)).drop("enriched")
     after = got.table.where("seq is null").select(changed.columns)
     assert sorted(map(tuple, after.collect()), key=repr) == sorted(map(tuple, changed.collect()), key=repr)
+
+
+def test_customers_of_a_batch_do_not_come_to_the_driver(spark, sf):
+    from tallyspark.sources.adapter import FinanceTables
+
+    t = FinanceTables(spark, sf)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [o_custkey" in plan(t["transactions"])
+    merged = plan(merging.batch_merged(t))
+    assert "SortMergeJoin [o_custkey" in merged and "BroadcastHashJoin [o_custkey" not in merged
