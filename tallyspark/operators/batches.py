@@ -110,7 +110,8 @@ def chains(messages: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     dated = lambda df, how: df.join(days, (F.col("_event") == F.col("_e")) & (_day() == F.col("_d")), how).drop("_e", "_d")
     named = messages.where("_ref is not null").select(F.col("_ref").alias("_named")).distinct()
     m = dated(messages, "left")
-    r = dated(rows, "left").join(named, F.col("_ref") == F.col("_named"), "left").where("_days is not null or _named is not null")
+    # rows without a reference are dealt by their id, else all of them would meet in one task
+    r = dated(rows, "left").join(named, F.coalesce("_ref", F.xxhash64(F.lit("i"), "_id")) == F.col("_named"), "left").where("_days is not null or _named is not null")
     m, r = m.withColumn("_node", F.coalesce("_days", "_ref", F.xxhash64(F.lit("m"), "seq"))), r.withColumn("_node", F.coalesce("_days", "_named"))
     links = m.where("_ref is not null").select(F.col("_ref").alias("ref"), F.col("_node").alias("node")).unionByName(r.where("_named is not null").select(F.col("_named").alias("ref"), F.col("_node").alias("node")))
     labels = joined_chains(links)

@@ -83,3 +83,10 @@ def test_customers_of_a_batch_do_not_come_to_the_driver(spark, sf):
     assert "BroadcastHashJoin [o_custkey" in plan(t["transactions"])
     merged = plan(merging.batch_merged(t))
     assert "SortMergeJoin [o_custkey" in merged and "BroadcastHashJoin [o_custkey" not in merged
+
+
+def test_rows_without_a_reference_are_dealt_over_tasks(spark):
+    m, s = table(spark, [BASE | {"seq": 1, "by_email": True}], INCOMING)[0], table(spark, [BASE | {"id": 1, "source": "sms"}], STORED)[0]
+    _, r = batches.chains(m.withColumn("_id", F.col("seq") + 10), s.withColumn("_id", F.col("id")))
+    keys = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(_ref" in keys and r.count() == 1
