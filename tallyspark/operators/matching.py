@@ -7,6 +7,9 @@ stored table; ``batches.merge_batch`` merges the messages of one batch in their
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +39,66 @@ def counterparty_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
-def fuzzy_candidates(incoming: DataFrame, stored: DataFrame, slots: bool = False) -> DataFrame:
+#: Rows that show the same are dealt into parts of about so many; parts meet parts as one row each.
+PART = 1024
+_KIND = ["bank", "direction", "amount", "currency", "transaction_date", "mask", "tier", "shown"]
+
+
+def _ways(df: DataFrame, p: str, told: bool, kept: Column) -> DataFrame:
+    """A row for each way to be known without a time: by counterparty (tier 3), by a card that is said to show the event (2), by
+    nothing where that is said (1); what rows are compared by and ``kept`` ({p}one)."""
+    way = lambda tier, shown: F.struct(F.lit(tier).alias("tier"), shown.alias("shown"))
+    ways = [F.when(F.col(f"_{p}name") != "", way(3, F.col(f"_{p}name")))]
+    if told:
+        ways += [F.when(F.col(f"_{p}card").isNotNull(), way(2, F.col(f"_{p}card"))), F.when(F.col(f"{p}identifies_by") == "none", way(1, F.lit("")))]
+    made = {"currency": F.coalesce(f"{p}currency", F.lit("INR")), "mask": F.col(f"_{p}mask"), "tier": F.col("w.tier"), "shown": F.col("w.shown")}
+    rows = df.withColumn("w", F.explode(F.array(*ways))).select(*[made.get(c, F.col(f"{p}{c}")).alias(f"{p}{c}") for c in _KIND], kept.alias(f"{p}one"))
+    return rows.where(" and ".join(f"{p}{c} is not null" for c in _KIND))
+
+
+def _kinds(ways: DataFrame, p: str) -> DataFrame:
+    return ways.groupBy(*[f"{p}{c}" for c in _KIND]).agg(F.count(F.lit(1)).alias("_size"))
+
+
+def _dealt(ways: DataFrame, kinds: DataFrame, p: str) -> DataFrame:
+    """Rows of these kinds with their part, of which there are more where a kind has more rows."""
+    kinds = kinds.select("_size", *[F.col(f"{p}{c}").alias(f"_{c}") for c in _KIND])
+    same = functools.reduce(operator.and_, [F.col(f"{p}{c}") == F.col(f"_{c}") for c in _KIND])
+    return ways.join(kinds, same).select(*ways.columns, F.pmod(F.xxhash64(f"{p}one"), F.ceil(F.col("_size") / PART)).alias(f"{p}part"))
+
+
+def _parts(dealt: DataFrame, p: str) -> DataFrame:
+    return dealt.groupBy(*[f"{p}{c}" for c in _KIND], f"{p}part").agg(F.collect_list(f"{p}one").alias(f"{p}ones"))
+
+
+def _untimed_candidates(i: DataFrame, s: DataFrame, told: bool, asks: Column, has: Column) -> DataFrame:
+    """Fields of ``asks`` and ``has`` of messages without a time and the stored rows of their date, by the best tier that a message has.
+
+    Rows are compared once for all that show the same; pairs are made last, from parts dealt over tasks, and neither joined nor moved."""
+    i, s = _ways(i, "i_", told, asks), _ways(s, "", told, has)
+    x, y, m, n = F.col("shown"), F.col("i_shown"), F.col("mask"), F.col("i_mask")
+    last = lambda p: F.when(F.col(f"{p}tier") == 2, F.right(F.col(f"{p}shown"), F.lit(1))).otherwise("")
+    keys = functools.reduce(operator.and_, [F.col(f"i_{c}") == F.col(c) for c in _KIND if c not in ("mask", "shown")], last("i_") == last(""))  # cards end in a digit
+    shown = F.when(F.col("tier") == 3, x.contains(y) | y.contains(x)).when(F.col("tier") == 2, mask_matches(y, x)).otherwise(True)
+    meet = keys & ((m == "") | (n == "") | mask_matches(n, m)) & shown
+    kinds = _kinds(s, "")
+    # the sizes are asked for here too, so that kinds are counted once for both uses
+    i = _dealt(i, _kinds(i, "i_").join(kinds.where("_size > 0").drop("_size"), meet, "left_semi"), "i_")
+    best = i.groupBy(F.col("i_one.seq").alias("_q")).agg(F.max("i_tier").alias("_best"))
+    i = i.join(best, F.col("i_one.seq").eqNullSafe(F.col("_q")) & (F.col("i_tier") == F.col("_best")))
+    spark = i.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    met = _parts(i, "i_").join(_parts(_dealt(s, kinds, ""), ""), meet)
+    met = met.select(F.xxhash64(*[f"{p}{c}" for p in ("i_", "") for c in [*_KIND, "part"]]).alias("_to"), "i_ones", "ones").repartition(tasks, "_to")
+    return met.select("ones", F.inline("i_ones")).select("*", F.inline("ones")).drop("ones")
+
+
+def fuzzy_candidates(incoming: DataFrame, stored: DataFrame, slots: bool = False, parts: bool = False) -> DataFrame:
     """(seq, id, ...) of stored rows that can be the message's event: equal keys, within the time window, no mask that rules
-    it out, narrowed by counterparty where a time is missing or several are left."""
+    it out, narrowed by counterparty where a time is missing or several are left.
+
+    With ``parts`` messages without a time (of a seq all or none) meet the rows that show the same as one: for keys that many rows
+    of a day share; where few do, its joins cost more than they spare."""
     cur = lambda c: F.coalesce(c, F.lit("INR"))
     i = incoming.where("transaction_date is not null").select(*[F.col(c).alias(f"i_{c}") for c in incoming.columns])
     s = stored.where("transaction_date is not null")
@@ -65,13 +125,19 @@ def fuzzy_candidates(incoming: DataFrame, stored: DataFrame, slots: bool = False
         tier = tier.when(F.coalesce(by_card, F.lit(False)), 2).when((F.col("identifies_by") == "none") & (F.col("i_identifies_by") == "none"), 1)
     tier = tier.otherwise(0)
     untimed = F.col("transaction_time_s").isNull() | F.col("i_transaction_time_s").isNull()
+    joined = i.where("i_transaction_time_s is not null") if parts else i
     pairs = lambda asked: asked.join(s, keys & near).where((m == "") | (n == "") | mask_matches(m, n))
     # pairs are told twice and never shuffled: added up a message where they meet, then kept by what their message has
-    tally = pairs(i).groupBy(F.col("i_seq").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(cp).alias("_cp"), F.bool_or(untimed).alias("_untimed"), F.max(tier).alias("_best"))
-    seen = pairs(i.join(tally, F.col("i_seq").eqNullSafe(F.col("_q"))))
+    tally = pairs(joined).groupBy(F.col("i_seq").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(cp).alias("_cp"), F.bool_or(untimed).alias("_untimed"), F.max(tier).alias("_best"))
+    seen = pairs(joined.join(tally, F.col("i_seq").eqNullSafe(F.col("_q"))))
     rule = F.when(F.col("_untimed"), (F.col("_best") > 0) & (tier == F.col("_best"))).when((F.col("_n") > 1) & F.col("_cp"), cp).otherwise(F.lit(True))
-    own = [F.col("source").isin("sms+email") | (F.col("source") == F.when(F.col("i_by_email"), "email").otherwise("sms"))] if slots else []
-    return seen.where(rule).select(F.col("i_seq").alias("seq"), "id", F.col("i_balance").alias("balance_in"), "balance", *[(~F.coalesce(x, F.lit(False))).alias("open") for x in own])
+    asks = [F.col("i_seq").alias("seq"), F.col("i_balance").alias("balance_in"), *([F.col("i_by_email").alias("by_email")] if slots else [])]
+    has = ["id", "balance", *(["source"] if slots else [])]
+    found = seen.where(rule).select(*asks, *has)
+    if parts:
+        found = found.unionByName(_untimed_candidates(i.where("i_transaction_time_s is null"), s, told, F.struct(*asks), F.struct(*has)))
+    own = [F.col("source").isin("sms+email") | (F.col("source") == F.when(F.col("by_email"), "email").otherwise("sms"))] if slots else []
+    return found.select("seq", "id", "balance_in", "balance", *[(~F.coalesce(x, F.lit(False))).alias("open") for x in own])
 
 
 def decide(incoming: DataFrame, candidates: DataFrame, slots: bool = False) -> DataFrame:

@@ -132,7 +132,7 @@ def untimed_tiers(t):
     who = F.when(F.col("id") % 3 == 0, "card_mask").when(F.col("id") % 3 == 1, "none")
     stored = t["transactions"].withColumn("identifies_by", who).withColumn("amount", F.lit(1)).withColumn("currency", F.lit("INR")).withColumn("account_mask", F.lit(None).cast("string"))
     i = stored.where("id % 5 = 0").withColumn("transaction_time_s", F.lit(None).cast("int")).withColumn("counterparty", F.when(F.col("id") % 2 == 0, F.col("counterparty"))).withColumnRenamed("id", "seq")
-    return matching.fuzzy_candidates(i.drop("email_type", "created_at"), stored).select("seq", "id")
+    return matching.fuzzy_candidates(i.drop("email_type", "created_at"), stored, parts=True).select("seq", "id")
 
 
 @_query(f"""SELECT * FROM (WITH tin AS (SELECT * FROM incoming) SELECT seq, id, CASE WHEN seq % 7 = 0 THEN 'stale' WHEN seq % 3 = 0 THEN 'created' WHEN coalesce(fine AND (auto OR {_SHORT}), false) THEN 'merged' ELSE 'refused' END AS outcome FROM (SELECT i.seq, s.id, (i.seq, s.id) IN (SELECT seq, id FROM ({_NEAR})) AS auto, {_BARE('s.reference_number')} AS x, {_BARE('i.reference_number')} AS y,

@@ -95,3 +95,55 @@ def test_landing_needs_no_join_and_keeps_nulls_and_types(spark):
     df = upkeep.landing(rows, stored, ["k", "n"], "raw_id")
     assert dict(df.dtypes) == dict(rows.dtypes) and sorted(r["raw_id"] for r in df.collect()) == [1, 4, 5]
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _untimed(spark, n, **columns):
+    made = {"bank": F.lit("hdfc"), "direction": F.lit("debit"), "amount": F.lit(1), "currency": F.lit("INR"), "transaction_date": F.lit("2024-01-01").cast("date"), "transaction_time_s": F.lit(None).cast("int"), "received_time": F.lit(False),
+            "counterparty": F.lit("Acme"), "account_mask": F.lit(None).cast("string"), "balance": F.lit(None).cast("int")}
+    return spark.range(n).select("id", *[c.alias(k) for k, c in (made | columns).items()])
+
+
+def test_rows_that_show_the_same_are_compared_once(spark, monkeypatch):
+    s, i = _untimed(spark, 600), _untimed(spark, 300).withColumnRenamed("id", "seq")
+    df = matching.fuzzy_candidates(i, s, parts=True).select("seq", "id")
+    assert _most_rows(spark, df, "Join") <= 600
+    assert df.distinct().count() == df.count() == 300 * 600
+    # many rows that show the same are some parts, not one
+    monkeypatch.setattr(matching, "PART", 50)
+    df = matching.fuzzy_candidates(i, s, parts=True).select("seq", "id")
+    assert 30 < _most_rows(spark, df.repartition(1), "ObjectHashAggregate") <= 600
+    assert df.distinct().count() == df.count() == 300 * 600
+
+
+@pytest.mark.parametrize("part", [0, 2, 1024])
+def test_untimed_messages_meet_the_rows_that_a_loop_finds(spark, monkeypatch, part):
+    monkeypatch.setattr(matching, "PART", part)
+    pick = lambda salt, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(values))) + 1).cast("int"))
+    odd = lambda salt: {
+        "bank": pick(salt + "b", "hdfc", "sbi", None), "direction": pick(salt + "d", "debit", "debit", "credit"), "amount": pick(salt + "a", "1", "1.5", None).cast("decimal(9,2)"), "currency": pick(salt + "c", "INR", None, "USD"),
+        "transaction_date": pick(salt + "t", "2024-01-01", "2024-01-01", "2024-01-02", None).cast("date"), "counterparty": pick(salt + "n", "Acme", "acme ltd", "Ravi", "", " ", None), "account_mask": pick(salt + "m", "XX12", "9912", "X34", "", "?", None),
+        "identifies_by": pick(salt + "w", "card_mask", "card_mask", "none", None), "card_mask": pick(salt + "k", "XX1234", "1234", "X4", "XX99", "34X", "", None), "balance": pick(salt + "l", "5", None).cast("decimal(9,2)"), "by_email": pick(salt + "e", "true", "false", None).cast("boolean"),
+        "source": pick(salt + "s", "sms", "email", "sms+email", None)}
+    s = _untimed(spark, 500, **odd("s"), transaction_time_s=pick("st", "5", None).cast("int"))
+    # some messages have a seq in common, some have none
+    i = _untimed(spark, 400, **odd("i")).withColumn("seq", F.when(F.col("id") < 250, F.col("id")).when(F.col("id") < 350, F.floor(F.col("id") / 2))).drop("id", "source")
+    stored, asked, pairs = [r.asDict() for r in s.collect()], [r.asDict() for r in i.collect()], []
+    bare = lambda c: "".join(x for x in (c or "").lower() if x.isalnum())
+    mask = lambda c: c or "" if set(c or "") <= set("0123456789X") else ""
+    fits = lambda a, b: all(x == y or "X" in (x, y) for x, y in zip(a[::-1], b[::-1]))
+    for a in asked:
+        for b in stored:
+            if any(a[c] is None or a[c] != b[c] for c in ("bank", "direction", "amount", "transaction_date")) or (a["currency"] or "INR") != (b["currency"] or "INR"):
+                continue
+            if mask(a["account_mask"]) and mask(b["account_mask"]) and not fits(mask(a["account_mask"]), mask(b["account_mask"])):
+                continue
+            x, y, j, k = bare(a["counterparty"]), bare(b["counterparty"]), mask(a["card_mask"]), mask(b["card_mask"])
+            card = a["identifies_by"] == b["identifies_by"] == "card_mask" and j[-1:].isdigit() and k[-1:].isdigit() and fits(j, k)
+            tier = 3 if x and y and (x in y or y in x) else 2 if card else int(a["identifies_by"] == b["identifies_by"] == "none")
+            is_open = not (b["source"] == "sms+email" or b["source"] == ("email" if a["by_email"] else "sms"))
+            pairs.append((a["seq"], tier, (a["seq"], b["id"], a["balance"], b["balance"], is_open)))
+    best = {q: max(t for p, t, _ in pairs if p == q) for q in {p for p, _, _ in pairs}}
+    want = [row for q, tier, row in pairs if tier == best[q] > 0]
+    assert {t for _, t, _ in pairs} == {0, 1, 2, 3} and {best[q] for q, *_ in want} == {1, 2, 3} and None in {q for q, *_ in want}
+    got = [tuple(r) for r in matching.fuzzy_candidates(i, s, slots=True, parts=part > 0).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
